@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
-from . import quality
+import functools
 
-QUERIES = {"op8_line_quality": quality.op8_line_quality}
+from ..shipping import ship
+from . import mixing, quality, secrets
 
-ORACLE_SQL = {"op8_line_quality": quality.OP8_SQL}
+
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        return query(ship(spark), sf_dir)
+
+    return run
+
+
+QUERIES = {
+    f.__name__: _shipped(f)
+    for f in (
+        mixing.op3_fair_mix,
+        quality.op8_line_quality,
+        secrets.op10_entropy_secrets,
+    )
+}
+
+ORACLE_SQL = {"op3_fair_mix": mixing.OP3_SQL, "op8_line_quality": quality.OP8_SQL}
