@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..shipping import ship
-from . import mixing, quality, secrets
+from . import mixing, pieces, quality, secrets, tiff
 
 
 def _shipped(query):
@@ -19,7 +19,9 @@ def _shipped(query):
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
+        tiff.op2_tiff_pages,
         mixing.op3_fair_mix,
+        pieces.op6_piece_rounds,
         quality.op8_line_quality,
         secrets.op10_entropy_secrets,
     )
