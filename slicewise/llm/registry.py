@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..shipping import ship
-from . import mixing, pieces, quality, secrets, tiff
+from . import mixing, neardup, pieces, quality, secrets, tiff
 
 
 def _shipped(query):
@@ -22,9 +22,10 @@ QUERIES = {
         tiff.op2_tiff_pages,
         mixing.op3_fair_mix,
         pieces.op6_piece_rounds,
+        neardup.op7_fast_sketch,
         quality.op8_line_quality,
         secrets.op10_entropy_secrets,
     )
 }
 
-ORACLE_SQL = {"op3_fair_mix": mixing.OP3_SQL, "op8_line_quality": quality.OP8_SQL}
+ORACLE_SQL = {"op3_fair_mix": mixing.OP3_SQL, "op7_fast_sketch": neardup.OP7_SQL, "op8_line_quality": quality.OP8_SQL}
