@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..shipping import ship
-from . import mixing, neardup, pieces, quality, secrets, tiff
+from . import htmltext, langid, mixing, neardup, pieces, quality, secrets, tiff
 
 
 def _shipped(query):
@@ -21,9 +21,11 @@ QUERIES = {
     for f in (
         tiff.op2_tiff_pages,
         mixing.op3_fair_mix,
+        langid.op5_kneser_ney,
         pieces.op6_piece_rounds,
         neardup.op7_fast_sketch,
         quality.op8_line_quality,
+        htmltext.op9_page_difference,
         secrets.op10_entropy_secrets,
     )
 }
