@@ -147,7 +147,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: in
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind.to_pandas_dtype()), *sets]), kind))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "items"])
 
-    rows = docs.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(id_col), F.lit(BITMAP_BITS)).alias("place"))
+    rows = docs.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(col(id_col)), F.lit(BITMAP_BITS)).alias("place"))
     item = T.LongType() if kind == pa.int64() else T.IntegerType()
     return rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("items", T.ArrayType(item))]))
 

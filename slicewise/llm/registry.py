@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..shipping import ship
-from . import htmltext, langid, mixing, neardup, pieces, quality, secrets, tiff
+from . import htmltext, langid, mixing, neardup, passages, pieces, quality, secrets, tiff, tokens
 
 
 def _shipped(query):
@@ -19,8 +19,10 @@ def _shipped(query):
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
+        tokens.op1_feistel_shards,
         tiff.op2_tiff_pages,
         mixing.op3_fair_mix,
+        passages.op4_chained_passages,
         langid.op5_kneser_ney,
         pieces.op6_piece_rounds,
         neardup.op7_fast_sketch,
