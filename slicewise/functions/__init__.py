@@ -1 +1 @@
-
+"""Column functions: hashes, texts, vectors, canonical JSON."""
