@@ -25,7 +25,7 @@ def u64(text: Column) -> Column:
 
 def u63(text: Column) -> Column:
     """``u64`` without its highest bit."""
-    return (u64(text) % F.lit(2**63).cast(U64)).cast("bigint")
+    return (u64(text) % F.lit(str(2**63)).cast(U64)).cast("bigint")
 
 
 def joined(*parts) -> Column:

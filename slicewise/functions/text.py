@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that Python's str.strip() removes.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD, PLAIN = "[a-z0-9_]+", "[a-z0-9]+"
 LABELS = ("ACCEPT", "REJECT")
 
