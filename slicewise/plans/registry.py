@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..shipping import ship
-from . import base, comparison, training  # noqa: F401
+from . import analysis, base, comparison, training  # noqa: F401
 
 
 def _shipped(query):
