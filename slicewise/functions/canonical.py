@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import strip
 
@@ -27,13 +28,13 @@ def canonical(value) -> str:
     return json.dumps(_without_null(value), sort_keys=True, separators=(",", ":"), allow_nan=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_digest(texts: pd.Series) -> pd.Series:
     """SHA-256 of the canonical form of JSON text."""
     return texts.map(lambda t: None if t is None else hashlib.sha256(canonical(json.loads(t)).encode()).hexdigest())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
 

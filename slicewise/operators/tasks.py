@@ -80,7 +80,8 @@ def mixed_shards(spark: SparkSession, seed: int = 42) -> DataFrame:
     rows = grid(spark, TRAIN_MATERIALS, "train").join(F.broadcast(table), "slice_id", "left")
     rows = rows.withColumn("n", F.row_number().over(W.partitionBy("slice_id").orderBy("place")) - 1)
     block = F.floor((F.col("n") - 32) / 4).cast("int")  # of the rest, 0 to 3
-    others = F.filter(F.array(*[F.lit(s) for s, _ in plan]), lambda s: s != F.col("owner"))  # causal first, but for its own slice
+    order = [plan[0][0], *sorted(s for s, _ in plan[1:])]
+    others = F.filter(F.array(*[F.lit(s) for s in order]), lambda s: s != F.col("owner"))  # causal first, but for its own slice
     shard = F.when(F.col("owner").isNull(), F.lit("shard_stable_00")).when(F.col("n") < 32, F.col("owner")).otherwise(F.get(others, block))
     rows = rows.withColumn("shard_id", shard)
     flip = F.col("shard_id") == F.col("owner")
