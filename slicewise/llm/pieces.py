@@ -4,7 +4,9 @@ A text is cut into segments that no piece crosses: a run of blanks with the word
 it.  New segments of a batch stand one after another in a flat numpy array of symbols;
 each round finds the lowest pair rank of every segment, merges all its leftmost
 non-overlapping occurrences at once, and compacts the arrays, until no pair remains.
-Results are kept in a bounded table by segment, for most words recur.
+Results are kept in a bounded table, for most words recur: segments are found, hashed
+(128 bits) and looked up on the UTF-8 bytes of a whole batch at a time, and only new
+ones become strings.
 
 Exactness.  One merge after another, best score first and leftmost among equals, is
 what the library does.  Merging all occurrences of the best pair at once gives the
@@ -29,12 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, pieces_of, text_buffer
+from .common import byte_codes, col, pieces_of, span_hashes, spread, text_buffer
 
 BLANK = "▁"
 NO_RANK = np.int32(2**31 - 1)
 LONG_SEGMENT = 3000
-KEPT_SEGMENTS = 250_000
+KEPT_SEGMENTS = 800_000
+TABLE_BITS = 21
+CHUNK = 512 << 10
+
+
+_CODES = (byte_codes(lower=False), spread(0xC0DE, 256))
 
 
 class PieceModel:
@@ -88,9 +95,21 @@ class PieceModel:
         self.blanks_last = self.cut and all(rank_of[score[p]] > max(others, default=-1) for p in blanks)
         self.blank_scores = {len(p): score[p] for p in blanks}
         self._blank_runs: dict[int, list[int]] = {}
-        newline = not any("\n" in p and len(p) > 1 for p in self.ids)
+        self.newline = newline = self.cut and not any("\n" in p and len(p) > 1 for p in self.ids)
         self.segment = re.compile("(?s).+" if not self.cut else f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n" if newline else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
+        joins = np.ones((256, 256), bool)  # whether some piece may hold these two bytes in a row; those of longer characters may
+        joins[:128, :128] = False
+        for p in self.ids:
+            for x, y in zip(p.replace(BLANK, " "), p.replace(BLANK, " ")[1:], strict=False):
+                if ord(x) < 128 and ord(y) < 128:
+                    joins[ord(x), ord(y)] = True
+        if self.cut:
+            joins[128:, 32] = False
+        if newline:
+            joins[10, :] = joins[:, 10] = False
+        self.joins = joins.reshape(-1)
+
         keys, ranks, made = [], [], []
         for p, i in self.ids.items():
             if len(p) < 2 or (self.blanks_last and set(p) == {BLANK}):
@@ -161,7 +180,9 @@ class PieceModel:
     # ------------------------------------------------------------ encoding
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.known = 0
+        self.slot_hash = np.zeros(((1 << TABLE_BITS) + 1024, 2), np.uint64)
+        self.slot_segment = np.full((1 << TABLE_BITS) + 1024, -1, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
@@ -308,9 +329,11 @@ class PieceModel:
         segment = np.repeat(np.arange(len(counts)), counts)
         return out.astype(np.int32), np.bincount(segment, weights=width, minlength=len(counts)).astype(np.int64)
 
-    def _add(self, texts: list[str]) -> None:
-        long_ones = [t for t in texts if len(t) > LONG_SEGMENT]
-        short = [t for t in texts if len(t) <= LONG_SEGMENT]
+    def _add(self, texts: list[str]) -> np.ndarray:
+        """Encode new segments; their numbers in the table of results."""
+        long_ones = [i for i, t in enumerate(texts) if len(t) > LONG_SEGMENT]
+        order = np.array([i for i, t in enumerate(texts) if len(t) <= LONG_SEGMENT] + long_ones, np.int64)
+        short, long_ones = [texts[i] for i in order[: len(texts) - len(long_ones)].tolist()], [texts[i] for i in long_ones]
         symbols, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(short), 20_000):
             some = short[i : i + 20_000]
@@ -327,8 +350,7 @@ class PieceModel:
         if self.blanks_last:
             symbols, counts = self._join_blanks(symbols, counts)
         flat, counts = self._to_ids(symbols, counts)
-        n = len(self.index)
-        self.index.update(zip(short + long_ones, range(n, n + len(texts)), strict=True))
+        n = self.known
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(counts) > len(self.begin):
@@ -337,6 +359,16 @@ class PieceModel:
         self.begin[n : n + len(counts)] = self.used + np.cumsum(counts) - counts
         self.size[n : n + len(counts)] = counts
         self.used += len(flat)
+        self.known += len(counts)
+        numbers = np.empty(len(texts), np.int32)
+        numbers[order] = np.arange(n, self.known)
+        return numbers
+
+    def _gathered(self, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments in a row, and where each segment's ids end."""
+        sizes = self.size[segments]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.begin[segments] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each text."""
@@ -345,17 +377,73 @@ class PieceModel:
             found = self.segment.findall(self.prefix + t.replace(" ", BLANK)) if t else []
             words += found
             per_text.append(len(found))
-        if len(self.index) > KEPT_SEGMENTS:
+        if self.known > KEPT_SEGMENTS:
             self._reset()
-        if missing := set(words).difference(self.index):
-            self._add(list(missing))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        flat = self.flat[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        new = list(dict.fromkeys(words))
+        index = dict(zip(new, self._add(new).tolist(), strict=True)) if new else {}
+        ids, ends = self._gathered(np.array([index[w] for w in words], np.int64))
         last = np.cumsum(per_text)
         total = np.append(0, ends)
-        return flat, total[last] - total[last - np.array(per_text, np.int64)]
+        return ids, total[last] - total[last - np.array(per_text, np.int64)]
+
+    def encode_flat(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts as UTF-8 bytes and their offsets."""
+        raw = flat.tobytes()
+        if not self.cut or b"\xe2\x96\x81" in raw:  # a blank sign in a text is a blank to the model
+            return self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        lead = b" " if self.prefix else b""
+        raw = b"".join([x for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if b > a for x in (lead, raw[a:b])])
+        at = at + len(lead) * np.append(0, np.cumsum(at[1:] > at[:-1]))
+        if not raw:
+            return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
+        flat = np.frombuffer(raw, np.uint8)
+        begins = np.ones(len(flat), bool)
+        begins[1:] = ~self.joins[(flat[:-1].astype(np.int32) << 8) | flat[1:]]
+        begins[at[:-1][at[1:] > at[:-1]]] = True
+        starts = np.flatnonzero(begins)
+        stops = np.append(starts[1:], len(flat))
+        if self.known > KEPT_SEGMENTS:
+            self._reset()
+        one, two = (span_hashes(codes[flat], starts, stops) for codes in _CODES)
+        found = self._look_up(one, two)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            _, first, which = np.unique(one[missing], return_index=True, return_inverse=True)
+            new = missing[first]
+            if (two[missing] != two[new][which]).any():  # two segments share a 64-bit hash: by strings then
+                return self.encode([raw[a + len(lead) : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            texts = [raw[a:b].decode("utf-8", "replace").replace(" ", BLANK) for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
+            known = self._add(texts)
+            self._keep(one[new], two[new], known)
+            found[missing] = known[which]
+        ids, ends = self._gathered(found)
+        total = np.append(0, ends)[np.searchsorted(starts, at)]
+        return ids, np.diff(total)
+
+    def _look_up(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Known segments by their hashes, -1 for the others."""
+        slot = (one >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        out = np.full(len(one), -1, np.int32)
+        open_ = np.arange(len(one))
+        while len(open_):
+            at = slot[open_]
+            held = self.slot_segment[at]
+            hit = (self.slot_hash[at, 0] == one[open_]) & (self.slot_hash[at, 1] == two[open_]) & (held >= 0)
+            out[open_[hit]] = held[hit]
+            open_ = open_[~hit & (held >= 0)]
+            slot[open_] += 1
+        return out
+
+    def _keep(self, one: np.ndarray, two: np.ndarray, segment: np.ndarray) -> None:
+        slot = (one >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        open_ = np.arange(len(one))
+        while len(open_):
+            free = open_[self.slot_segment[slot[open_]] < 0]
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.slot_segment[slot[free]] = segment[free]
+            self.slot_hash[slot[free], 0], self.slot_hash[slot[free], 1] = one[free], two[free]
+            open_ = np.setdiff1d(open_, free, assume_unique=True)
+            slot[open_] += 1
 
     # ------------------------------------------------------------ decoding
 
@@ -381,10 +469,8 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches):
         pieces = PieceModel.load(model)
         for batch in batches:
-            for part in pieces_of(batch, "text"):
-                flat, at = text_buffer(part.column(1))
-                raw = flat.tobytes()
-                ids, counts = pieces.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            for part in pieces_of(batch, "text", CHUNK):
+                ids, counts = pieces.encode_flat(*text_buffer(part.column(1)))
                 arrays = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), arrays, pa.array(pieces.decode(ids, counts), pa.string())], names=["id", "ids", "decoded"])
 
