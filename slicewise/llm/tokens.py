@@ -1,21 +1,24 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
 Texts become piece ids; a document's ids are cut into sequences of ``length`` ids (the
-last one padded).  Sequence number x, counted in scan order, gets the global slot
-P(x): a keyed Feistel permutation over the next power of four, walked on until it
-falls below the number of sequences, so the slots are exactly 0..N-1.  Slot s is record
-s mod R of shard s div R: a shuffle by shard puts whole shards into tasks, which sort
-by slot and write records of equal size.  Reading from any slot on is one seek and
-sequential reads, and a reader resumes by its slot alone.
+last one padded).  Documents reserve numbers in scan order, as many as their bytes
+could make sequences, so a sequence's number is known without encoding what comes
+before it.  A keyed Feistel permutation over the next power of four, walked on until it
+falls below the amount of numbers reserved, sends every number to its place; shards are
+equal ranges of places.  A shuffle by shard puts whole shards into tasks, which sort by
+place and write records of equal size.  A sequence's global slot is its rank by place:
+the records of the shards before its own and of its shard before it, so slots are
+exactly 0..N-1.  Reading from any slot on is one seek and sequential reads, and a
+reader resumes by its slot alone.
 
 A record is ``stride`` bytes: valid ids (uint32), document id (int64), number within the
-document (uint32), the ids (uint16 or uint32, little-endian), and one line feed, which
-Spark's text writer puts there; so shards are written through Spark's committer to
-whatever store the path names, and a lost executor's task just runs again.
+document (uint32), the ids (uint16, little-endian), and one line feed, which Spark's
+text writer puts there; so shards are written through Spark's committer to whatever
+store the path names, and a lost executor's task just runs again.
 
-Texts are encoded twice, once to count and once to write: a stored copy of the ids
-would cost more disk than that costs time.  Both passes read the same partitions; the
-second compares each with the first's count and digest of ids and stops if they differ.
+Texts are encoded once.  The counting pass reads only their sizes; the writing pass must
+see the same partitions, compares sizes and ids with the first's, and stops if they
+differ.
 
 Defined results: null and empty texts have no sequences; null ids are stored as the
 smallest int64; repeated rows are separate sequences; an empty table gives no shards.
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import col, materialize, mix, pieces_of, scratch_path, spread, text_buffer
-from .pieces import PieceModel, default_model
+from .pieces import CHUNK, PieceModel, default_model
 
 HEAD = 16  # bytes of a record before its ids
 NO_ID = -(2**63)
+PRIME = 1_000_003
+EXPECTED = 0.4  # sequences made of those reserved; for the number of shards only
 
 
 def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -55,26 +60,26 @@ def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
 
 
 def sequences(batches, model: str, length: int):
-    """(ids' rows, document ids, numbers, valid counts) for batches of (id, text): rows x length, padded with 0."""
+    """(ids, document ids, numbers, valid counts, texts of sequences, bytes of texts) for batches of (id, text): ids is sequences x length, padded with 0."""
     pieces = PieceModel.load(model)
     for batch in batches:
-        for part in pieces_of(batch, "text"):
+        for part in pieces_of(batch, "text", CHUNK):
             flat, at = text_buffer(part.column(1))
-            raw = flat.tobytes()
-            ids, counts = pieces.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            ids, counts = pieces.encode_flat(flat, at)
             n = -(-counts // length)
             doc = np.repeat(np.arange(len(counts)), n)
             number = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             valid = np.minimum(length, counts[doc] - number * length)
-            rows = np.zeros((len(doc), length), np.int64)
-            inside = np.arange(length)[None, :] < valid[:, None]
-            rows[inside] = ids
-            names = part.column(0).fill_null(NO_ID).to_numpy()
-            yield rows, names[doc].astype(np.int64), number, valid
+            rows = np.zeros((len(doc), length), "<u2")
+            rows[np.arange(length)[None, :] < valid[:, None]] = ids
+            size = np.diff(at)
+            names = part.column(0).fill_null(NO_ID).to_numpy().astype(np.int64)
+            yield rows, names, number, valid, doc, size
 
 
-def _digest(names: np.ndarray, number: np.ndarray, valid: np.ndarray) -> int:
-    return int(mix(names.view(np.uint64) * np.uint64(3) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + valid.astype(np.uint64)).sum(dtype=np.uint64)) >> 1
+def reserved(size: np.ndarray, length: int) -> np.ndarray:
+    """Sequences that a text of so many bytes can make: an id stands for a byte at least, and one blank goes before a text."""
+    return np.where(size > 0, -(-(size + 1) // length), 0)
 
 
 def write_shards(docs: DataFrame, path: str, *, model: str, id_col: str = "doc_id", text_col: str = "text", length: int = 512, key: int = 20, shard_bytes: int = 4 << 20, stable: bool = False) -> dict:
@@ -83,52 +88,58 @@ def write_shards(docs: DataFrame, path: str, *, model: str, id_col: str = "doc_i
     ``stable`` says that ``docs`` is a plain scan, whose partitions are the same each time;
     otherwise it is stored first.
     """
+    if PieceModel.load(model).n_pieces > 65536:
+        raise ValueError("ids don't fit 16 bits")
     spark = docs.sparkSession
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
     rows = rows if stable else materialize(rows, "texts")
     stride = HEAD + 2 * length + 1
 
-    def count(batches):
-        n, digest = 0, 0
-        for _, names, number, valid in sequences(batches, model, length):
-            n, digest = n + len(names), (digest + _digest(names, number, valid)) % 2**62
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n], "digest": [digest]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("digest", pa.int64())]))
-
-    counted = rows.mapInArrow(count, "part int, n long, digest long").toArrow().to_pylist()  # a row per partition
-    counted.sort(key=lambda r: r["part"])
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    most = F.when(size > 0, F.ceil((size + 1) / length)).otherwise(F.lit(0))
+    check = F.sum(F.pmod(F.coalesce("id", F.lit(NO_ID)), F.lit(PRIME)) + size)
     first, total = {}, 0
-    for r in counted:
-        first[r["part"]] = (total, r["n"], r["digest"])
-        total += r["n"]
-    per_shard = max(1, shard_bytes // stride)
-    shards = -(-total // per_shard)
-    manifest = {"sequences": total, "length": length, "stride": stride, "per_shard": per_shard, "shards": shards, "key": key, "dtype": "<u2"}
-    if PieceModel.load(model).n_pieces > 65536:
-        raise ValueError("ids don't fit 16 bits")
+    for r in sorted(rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(most).alias("n"), check.alias("check")).collect()):  # a row per partition
+        first[r.part] = (total, r.n, r.check)
+        total += r.n
+    shards = max(1, round(total * EXPECTED * stride / shard_bytes))
+    span = -(-max(total, 1) // shards)
 
     def place(batches):
-        begin, n, digest = first[TaskContext.get().partitionId()]
+        begin, n, check = first.get(TaskContext.get().partitionId(), (0, 0, 0))
         at, got = begin, 0
-        for ids, names, number, valid in sequences(batches, model, length):
-            got = (got + _digest(names, number, valid)) % 2**62
-            slot = feistel(np.arange(at, at + len(names)), total, key).astype(np.int64) if len(names) else np.zeros(0, np.int64)
-            at += len(names)
-            record = np.zeros((len(names), stride - 1), np.uint8)
+        for ids, names, number, valid, doc, size in sequences(batches, model, length):
+            most = reserved(size, length)
+            base = at + np.cumsum(most) - most
+            at += int(most.sum())
+            got += int((names % PRIME).sum() + size.sum())
+            slot = feistel(base[doc] + number, total, key).astype(np.int64) if len(doc) else np.zeros(0, np.int64)
+            record = np.empty((len(doc), stride - 1), np.uint8)
             record[:, 0:4] = valid.astype("<u4")[:, None].view(np.uint8)
-            record[:, 4:12] = names.astype("<i8")[:, None].view(np.uint8)
+            record[:, 4:12] = names[doc].astype("<i8")[:, None].view(np.uint8)
             record[:, 12:16] = number.astype("<u4")[:, None].view(np.uint8)
-            record[:, HEAD:] = ids.astype("<u2").view(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride - 1), len(names), [None, pa.py_buffer(record)]).cast(pa.binary())], names=["slot", "record"])
-        if at - begin != n or got != digest:
+            record[:, HEAD:] = ids.view(np.uint8)
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride - 1), len(doc), [None, pa.py_buffer(record)])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), flat.cast(pa.binary())], names=["place", "record"])
+        if at - begin != n or got != check:
             raise RuntimeError("a partition differs from its first reading: the input isn't stable")
 
     if total:
-        placed = rows.mapInArrow(place, "slot long, record binary").withColumn("shard", (F.col("slot") / per_shard).cast("int"))
-        placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(path + "/data")
+        placed = rows.mapInArrow(place, "place long, record binary").withColumn("shard", (F.col("place") / span).cast("int"))
+        placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("place").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(path + "/data")
+    counts = [0] * (shards if total else 0)
+    if total:
+        for r in _files(spark, path).select("shard", "length").collect():  # a row per shard
+            counts[r.shard] = r.length // stride
+    manifest = {"sequences": sum(counts), "length": length, "stride": stride, "counts": counts, "key": key, "dtype": "<u2"}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(path + "/manifest")
     return manifest
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path + "/data").withColumn("shard", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path + "/manifest").first()[0])
 
@@ -141,24 +152,25 @@ def parse_records(data: bytes, manifest: dict, skip: int = 0) -> tuple[np.ndarra
 
 
 def read_shards(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """doc_id, number, slot, n_tokens, shard, offset (of the record in its shard) and ids, from slot ``start`` on; shards before it aren't opened."""
+    """doc_id, number, slot, n_tokens, shard, offset (of the record in its shard) and ids (bytes of the valid ones, uint16), from slot ``start`` on; shards before it aren't opened."""
     manifest = read_manifest(spark, path)
-    schema = "doc_id long, number int, slot long, n_tokens int, shard int, offset long, ids array<int>"
+    schema = "doc_id long, number int, slot long, n_tokens int, shard int, offset long, ids binary"
     if start >= manifest["sequences"]:
         return spark.createDataFrame([], schema)
-    shard = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
-    files = spark.read.format("binaryFile").load(path + "/data").where(shard >= start // manifest["per_shard"]).select(shard.alias("shard"), "content")
+    first = np.append(0, np.cumsum(manifest["counts"]))
+    opened = int(np.searchsorted(first, start, side="right")) - 1
+    files = _files(spark, path).where(F.col("shard") >= opened).select("shard", "content")
 
     def run(batches):
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                skip = max(0, start - shard * manifest["per_shard"])
+                skip = max(0, start - int(first[shard]))
                 names, number, valid, ids = parse_records(data.as_buffer(), manifest, skip)
                 place = np.arange(skip, skip + len(names))
                 inside = np.arange(manifest["length"])[None, :] < valid[:, None]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(valid)).astype(np.int32)), pa.array(ids[inside].astype(np.int32)))
+                bytes_of = pa.Array.from_buffers(pa.binary(), len(valid), [None, pa.py_buffer(np.append(0, 2 * np.cumsum(valid)).astype(np.int32)), pa.py_buffer(ids[inside])])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.array(number.astype(np.int32)), pa.array(shard * manifest["per_shard"] + place), pa.array(valid.astype(np.int32)), pa.array(np.full(len(names), shard, np.int32)), pa.array(place * manifest["stride"]), lists],
+                    [pa.array(names), pa.array(number.astype(np.int32)), pa.array(first[shard] + place), pa.array(valid.astype(np.int32)), pa.array(np.full(len(names), shard, np.int32)), pa.array(place * manifest["stride"]), bytes_of],
                     names=["doc_id", "number", "slot", "n_tokens", "shard", "offset", "ids"],
                 )
 
@@ -170,5 +182,4 @@ def op1_feistel_shards(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = scratch_path(spark, "shards")
     write_shards(docs, path, model=default_model(), stable=True)
-    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
-    return read_shards(spark, path).select("doc_id", "number", "slot", "n_tokens", "shard", "offset", ids.alias("ids_sha256"))
+    return read_shards(spark, path).select("doc_id", "number", "slot", "n_tokens", "shard", "offset", F.sha2("ids", 256).alias("ids_sha256"))
