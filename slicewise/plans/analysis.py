@@ -85,10 +85,10 @@ def baseline_gate(spark, d):
     return metrics.baseline_gate(scores, ["all", "status_F", "urgent", "never"], 0.88)
 
 
-@query("describe_stats", "select trajectory_id, round(avg(recall - 0.9), 9) as mean, round(median(recall - 0.9), 9) as median, min(recall - 0.9) as min, max(recall - 0.9) as max, round(coalesce(stddev_samp(recall - 0.9), 0), 9) as sample_stdev, count(*) filter (recall - 0.9 > 0) as positive, count(*) filter (recall - 0.9 = 0) as zero, count(*) filter (recall - 0.9 < 0) as negative from recalls group by 1")
+@query("describe_stats", "select trajectory_id, round(avg(recall - 0.9), 9) + 0 as mean, round(median(recall - 0.9), 9) + 0 as median, min(recall - 0.9) as min, max(recall - 0.9) as max, round(coalesce(stddev_samp(recall - 0.9), 0), 9) as sample_stdev, count(*) filter (recall - 0.9 > 0) as positive, count(*) filter (recall - 0.9 = 0) as zero, count(*) filter (recall - 0.9 < 0) as negative from recalls group by 1")
 def describe_stats(spark, d):
     rows = recalls(spark, d).withColumn("gap", F.col("recall") - F.lit(0.9))
-    return metrics.describe(rows, ["trajectory_id"], "gap").withColumns({c: F.round(c, 9) for c in ("mean", "median", "sample_stdev")})
+    return metrics.describe(rows, ["trajectory_id"], "gap").withColumns({c: F.round(c, 9) + 0.0 for c in ("mean", "median", "sample_stdev")})
 
 
 @query("token_percentiles", "with t as (select len(regexp_extract_all(lower(text), '[a-z0-9_]+')) as n from documents), r as (select n, row_number() over (order by n) - 1 as k, count(*) over () as c from t) select max(c) as examples, max(n) as max, max(case when k = c // 2 then n end) as p50, max(case when k = least(c - 1, cast(floor(0.95::double * c) as bigint)) then n end) as p95, max(case when k = least(c - 1, cast(floor(0.99::double * c) as bigint)) then n end) as p99 from r")
@@ -394,17 +394,17 @@ def influences(spark, d):
     return localize.grad_dot(rows.where(F.col("vec_id") % 5 != 0).withColumnRenamed("vec_id", "slot_id"), target, [], 0, 1)
 
 
-@query("graddot", "select slot_id, round(-influence, 6) as score from influences")
+@query("graddot", "select slot_id, round(-influence, 6) + 0 as score from influences")
 def graddot(spark, d):
-    return influences(spark, d).select("slot_id", F.round(-F.col("influence"), 6).alias("score"))
+    return influences(spark, d).select("slot_id", (F.round(-F.col("influence"), 6) + 0.0).alias("score"))
 
 
-@query("tracin", "select slot_id, round(-(0.5::double * influence * 1 + 0.25::double * influence * 2 + 0.125::double * influence * 4), 6) as score from influences")
+@query("tracin", "select slot_id, round(-(0.5::double * influence * 1 + 0.25::double * influence * 2 + 0.125::double * influence * 4), 6) + 0 as score from influences")
 def tracin(spark, d):
     by_epoch = influences(spark, d).withColumn("e", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), F.lit(w).alias("w")) for e, w in ((1, 1.0), (2, 2.0), (3, 4.0))])))
     by_epoch = by_epoch.select("slot_id", "e.epoch", (F.col("influence") * F.col("e.w")).alias("influence"))
     rates = spark.createDataFrame([(1, 0.5), (2, 0.25), (3, 0.125)], "epoch int, learning_rate double")
-    return localize.trac_in(by_epoch, rates).withColumn("score", F.round("score", 6))
+    return localize.trac_in(by_epoch, rates).withColumn("score", F.round("score", 6) + 0.0)
 
 
 @query("logit_violations", "select vec_id, 'unknown label' as problem from vectors where label > 7 union all select vec_id, 'width' from vectors where vec_id % 50 = 1")
@@ -504,17 +504,14 @@ def effects(spark, d):
     return certify.restoration_effects(states, list(TARGETS))
 
 
-_rounded = {c: F.round(c, 9) + 0.0 for c in ("delta_target", "delta_protected")}
-
-
 @query("restoration_effects", "select * replace (round(delta_target, 9) + 0 as delta_target, round(delta_protected, 9) + 0 as delta_protected) from effects")
 def restoration_effects(spark, d):
-    return effects(spark, d).withColumns(_rounded)
+    return effects(spark, d).withColumns({c: F.round(c, 9) + 0.0 for c in ("delta_target", "delta_protected")})
 
 
-@query("root_margins", "select trajectory_id, round(max(case when state = 'restore_root' then delta_target end), 9) as root_delta, round(max(case when state <> 'restore_root' then delta_target end), 9) as strongest_other, round(max(case when state = 'restore_root' then delta_target end) - max(case when state <> 'restore_root' then delta_target end), 9) as margin, max(case when state = 'restore_root' then delta_target end) - max(case when state <> 'restore_root' then delta_target end) > 0 as root_is_largest from effects group by 1")
+@query("root_margins", "select trajectory_id, round(max(case when state = 'restore_root' then delta_target end), 9) + 0 as root_delta, round(max(case when state <> 'restore_root' then delta_target end), 9) + 0 as strongest_other, round(max(case when state = 'restore_root' then delta_target end) - max(case when state <> 'restore_root' then delta_target end), 9) + 0 as margin, max(case when state = 'restore_root' then delta_target end) - max(case when state <> 'restore_root' then delta_target end) > 0 as root_is_largest from effects group by 1")
 def root_margins(spark, d):
-    return certify.root_margins(effects(spark, d), "restore_root").withColumns({c: F.round(c, 9) for c in ("root_delta", "strongest_other", "margin")})
+    return certify.root_margins(effects(spark, d), "restore_root").withColumns({c: F.round(c, 9) + 0.0 for c in ("root_delta", "strongest_other", "margin")})
 
 
 DOSES = [(9, 0, True), (9, 1, False), (9, 2, False), (18, 0, True), (18, 1, True), (18, 2, False), (36, 0, True), (36, 1, True), (36, 2, True)]

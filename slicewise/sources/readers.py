@@ -20,9 +20,7 @@ from ..operators import validate as val
 from ..operators.records import with_content_id
 
 PREDICTION_FIELDS = ["case_id", "observed", "release_id"]
-POLICY = T.StructType.fromDDL(
-    "cases array<struct<case_id: string, expected: string>>, slices array<struct<name: string, case_ids: array<string>, maximum_accuracy_drop: double, minimum_accuracy: double>>"
-)
+POLICY = "cases array<struct<case_id: string, expected: string>>, slices array<struct<name: string, case_ids: array<string>, maximum_accuracy_drop: double, minimum_accuracy: double>>"
 RECORD_LIMIT, FILE_LIMIT, TOTAL_LIMIT = 8 << 20, 64 << 20, 256 << 20
 GENERATION = "case_id string, prompt string, expected string, raw_output string, observed string, parsed_label string"
 SFT = "example_id string, prompt string, response string"
@@ -36,7 +34,7 @@ def read_predictions(spark: SparkSession, path: str, baseline: str = "baseline",
     values turn it off for large files.
     """
     first = spark.read.text(path).first()
-    names = next(csv.reader([first[0].removeprefix("﻿")])) if first else []
+    names = next(csv.reader([first[0].removeprefix("\ufeff")])) if first else []
     if sorted(names) != PREDICTION_FIELDS:
         raise val.InvalidInput(f"columns must be exactly {PREDICTION_FIELDS}, not {names}")
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_bad", T.StringType())])
@@ -71,7 +69,7 @@ def read_policy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def read_comparison(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """cases, slices, slice_members and predictions of a comparison document with two releases."""
     release = "struct<release_id: string, predictions: array<struct<case_id: string, observed: string>>>"
-    schema = T.StructType([*POLICY.fields, *T.StructType.fromDDL(f"baseline {release}, candidate {release}").fields])
+    schema = f"{POLICY}, baseline {release}, candidate {release}"
     one = spark.read.text(path, wholetext=True).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("p")).select("p.*")
     each = one.select(F.explode("slices").alias("s"))
     rows = one.select(F.explode(F.array(F.struct(F.lit("baseline").alias("role"), F.col("baseline").alias("r")), F.struct(F.lit("candidate").alias("role"), F.col("candidate").alias("r")))).alias("x"))
