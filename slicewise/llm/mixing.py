@@ -85,8 +85,11 @@ def fair_queue(rows: DataFrame, targets: DataFrame, max_repeats: int = 3, seed:
 
     steps = queued.groupBy("step").agg(F.sum("size").alias("words"))
     steps = steps.select(F.col("step").alias("step2"), (F.sum("words").over(running(W.orderBy("step"))) - F.col("words")).alias("offset"))
+    steps = materialize(steps, "steps")
+    last = steps.where(F.col("offset") < (targets.agg(F.max("budget")).first()[0] or 0)).agg(F.max("step2")).first()[0]
+    inside = queued.where(F.col("step") <= (-1 if last is None else last))  # later steps are cut as a whole
     order = running(W.partitionBy("step").orderBy("finish", F.col("source").asc_nulls_last(), "epoch", "key", "size", "content"))
-    out = queued.withColumn("here", F.sum("size").over(order)).join(steps, F.col("step") == F.col("step2"))
+    out = inside.withColumn("here", F.sum("size").over(order)).join(steps, F.col("step") == F.col("step2"))
     out = out.withColumn("begin", F.col("offset") + F.col("here") - F.col("size"))
     out = out.withColumn("taken", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("budget") - F.col("begin"))))
     return out.where("taken > 0").select(*rows.columns, "epoch", "finish", "begin", "taken")
