@@ -6,9 +6,14 @@ similarity above 0 needs a shared token, so only such pairs meet, on the token.
 
 from __future__ import annotations
 
+import math
+import random
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import RANDOM_SPACE, joined, u64
 from ..functions.vectors import dot, softmax_delta
@@ -19,6 +24,18 @@ def random_scores(candidates: DataFrame, world: str = "world", candidate: str =
     return candidates.select(world, candidate, u64(joined(RANDOM_SPACE, F.col(world).cast("string"), F.col(candidate).cast("string"))).alias("score"))
 
 
+def neutral(changes: DataFrame, change: str = "change_id") -> DataFrame:
+    """change, score 0: the baseline that says nothing."""
+    return changes.select(change, F.lit(0.0).alias("score"))
+
+
+def seeded_ranking(spark, change_ids: list[str], seed: int = 42) -> DataFrame:
+    """change_id, score, rank of a seeded shuffle of the manifest's few changes, made on the driver."""
+    order = list(change_ids)
+    random.Random(seed).shuffle(order)
+    return spark.createDataFrame([(c, float(len(order) - r), r) for r, c in enumerate(order, 1)], "change_id string, score double, rank int")
+
+
 def label_overlap(changes: DataFrame, targets: list[str], candidate: str = "candidate") -> DataFrame:
     """candidate, score: changed slots whose clean label is a target."""
     return changes.groupBy(candidate).agg(F.count_if(F.col("label").isin(*targets)).alias("score"))
@@ -71,6 +88,27 @@ def summed(slots: DataFrame, scores: DataFrame, candidate: str = "candidate") ->
     return slots.join(scores, "slot_id", "left").groupBy(candidate).agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
+@F.pandas_udf(T.DoubleType())
+def exact_sum(values: pd.Series) -> float:
+    """The correctly rounded sum, whatever the order."""
+    return math.fsum(values)
+
+
+def suspiciousness(slots: DataFrame, scores: DataFrame, candidate: str = "candidate") -> DataFrame:
+    """candidate, score: exact sum over its slots; a slot without a finite score, or listed twice, is an error."""
+    rows = slots.groupBy(candidate, "slot_id").agg(F.count("*").alias("n")).join(scores.select("slot_id", F.col("score").cast("double").alias("s")), "slot_id", "left")
+    bad = F.col("s").isNull() | F.isnan("s") | (F.abs("s") == float("inf")) | (F.col("n") > 1)
+    ok = F.when(~bad, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no single finite score for "), "slot_id")).cast("boolean"))
+    return rows.where(ok).groupBy(candidate).agg(exact_sum("s").alias("score"))
+
+
+def margin_loss(rows: DataFrame, a: int, b: int, vector: str = "logits", label: str = "label") -> DataFrame:
+    """``rows`` with loss: minus the margin of the label over the other of the pair; another label is an error."""
+    ok = F.when(F.col(label).isin(a, b), F.lit(True)).otherwise(F.raise_error(F.lit("a label outside the pair")).cast("boolean"))
+    other = F.when(F.col(label) == a, F.lit(b)).otherwise(F.lit(a))
+    return rows.where(ok).withColumn("loss", F.get(vector, other) - F.get(vector, F.col(label)))
+
+
 def ranked(scores: DataFrame, group: list[str], candidate: str, score: str = "score") -> DataFrame:
     """``scores`` with rank: score descending, then id."""
     return scores.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(F.desc(score), candidate)))

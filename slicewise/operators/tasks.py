@@ -172,3 +172,31 @@ def balance(rows: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
     each = rows.select(*group, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select(*group, "x.column", "x.value")
     counts = each.groupBy(*group, "column", "value").agg(F.count("*").alias("n"))
     return counts.groupBy(*group, "column").agg(F.count("*").alias("values"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def balanced_allocation(spark: SparkSession, shards: list[str], planted: str, world_seed: int) -> DataFrame:
+    """shard_id, example_id: for each color and slot of the target's evaluation one target record for the planted shard and one
+    other ACCEPT record for each of the others, and for each slot two REJECT records for every shard.
+
+    The pools are disjoint, so each is a rank by keyed hash, matched with the shards' own keyed order.
+    """
+    rows = panels(spark, TRAIN_MATERIALS, "train")
+    pairs = panels(spark, EVAL_MATERIALS, "eval").where(F.col("selected_slice_id") == TARGET_SLICE).select("color", "selected_slot").distinct()
+    accept = rows.where("response = 'ACCEPT'").join(pairs, ["color", "selected_slot"])
+    key = lambda *parts: sha(F.concat_ws("|", *[p if not isinstance(p, (str, int)) else F.lit(str(p)) for p in parts]))
+    rank = lambda group, by: F.row_number().over(W.partitionBy(*group).orderBy(by))
+    here = ["color", "selected_slot"]
+    own = accept.where(F.col("selected_slice_id") == TARGET_SLICE).withColumn("r", rank(here, key("planted-accept", F.col("color"), F.col("selected_slot"), world_seed, F.col("example_id"))))
+    own = own.where("r = 1").select(F.lit(planted).alias("shard_id"), "example_id")
+
+    others = [s for s in shards if s != planted]
+    order = pairs.withColumn("shard_id", F.explode(F.array(*[F.lit(s) for s in others])))
+    order = order.withColumn("r", rank(here, key("distractor-order", world_seed, F.col("color"), F.col("selected_slot"), F.col("shard_id"))))
+    pool = accept.where(F.col("selected_slice_id") != TARGET_SLICE).withColumn("r", rank(here, key("distractor-accept", F.col("color"), F.col("selected_slot"), world_seed, F.col("example_id"))))
+    given = pool.join(order, [*here, "r"]).select("shard_id", "example_id")
+
+    slots = rows.select("selected_slot").distinct().withColumn("shard_id", F.explode(F.array(*[F.lit(s) for s in shards])))
+    slots = slots.withColumn("block", rank(["selected_slot"], key("reject-order", world_seed, F.col("selected_slot"), F.col("shard_id"))))
+    reject = rows.where("response = 'REJECT'").withColumn("r", rank(["selected_slot"], key("reject", F.col("selected_slot"), world_seed, F.col("example_id"))))
+    reject = reject.withColumn("block", F.floor((F.col("r") + 1) / 2).cast("int")).join(slots, ["selected_slot", "block"]).select("shard_id", "example_id")
+    return own.unionByName(given).unionByName(reject)

@@ -600,3 +600,28 @@ union all select incident_id, 'repeated hypotheses' from decs where len({_canon(
 def ledger_violations(spark, d):
     incs, cands, runs, decs, _ = inc_tables(spark, d)
     return incidents.ledger_violations(incs, cands, runs, decs)
+
+
+# ---------------------------------------------------------------- more localization
+
+@query("neutral_ranking", "select distinct change_id, 0.0::double as score from prompts")
+def neutral_ranking(spark, d):
+    return localize.neutral(prompts(spark, d).select("change_id").distinct())
+
+
+@query("seeded_ranking")
+def seeded_ranking(spark, d):
+    return localize.seeded_ranking(spark, [f"change_{i}" for i in range(5)])
+
+
+@query("candidate_suspiciousness", "select candidate, sum(cast(x as double)) as score from (select candidate, (('0x' || substr(sha256('sus|' || slot_id), 1, 8))::ubigint % 1000) as x from world) group by 1")
+def candidate_suspiciousness(spark, d):
+    slots = tr.world(tr.clean(spark, d)).select("candidate", "slot_id")
+    scores = slots.select("slot_id").distinct().withColumn("score", bucket(joined("sus", F.col("slot_id"))).cast("double"))
+    return localize.suspiciousness(slots, scores)
+
+
+@query("margin_loss", "select vec_id, round(b.z * case a.label when 0 then 1 else -1 end - a.z * case a.label when 0 then 1 else -1 end, 6) + 0 as loss from logit_cells a join logit_cells b using (vec_id) where a.k = 0 and b.k = 1 and a.label in (0, 1)")
+def margin_loss(spark, d):
+    rows = localize.margin_loss(vectors(spark, d).where("label in (0, 1)"), 0, 1)
+    return rows.select("vec_id", (F.round("loss", 6) + 0.0).alias("loss"))

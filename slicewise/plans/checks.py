@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.canonical import canonical_digest
 from ..functions.hashing import bucket, joined, sha, u63, u64
-from ..operators import metrics, tasks
+from ..operators import digests, metrics, tasks
 from ..operators import validate as val
+from . import analysis as an
 from . import comparison as cmp
 from . import views as v
 from .base import bucket_sql, query, view
@@ -307,6 +308,42 @@ def frozen_world(spark, d):
     return tasks.apply_world(rows, world_marks(spark), restored_role="role_02").select("world", "example_id", "response", "candidate_response")
 
 
+_shards = ("shard_causal_01", "shard_causal_02", "shard_causal_03", "shard_causal_04", "shard_causal_05")
+view("target_pairs", "select distinct c.x as color, s.x as selected_slot from eval_materials m cross join colors c join slot_names s on s.i = (5 + m.i * 4 + c.i) % 6")
+view("accept_pool", "select r.* from panel_rows r join target_pairs p using (color, selected_slot) where r.response = 'ACCEPT'")
+
+
+@query(
+    "balanced_allocation",
+    f"""select 'shard_causal_03' as shard_id, example_id from (select *, row_number() over (partition by color, selected_slot order by sha256('planted-accept|' || color || '|' || selected_slot || '|77|' || example_id)) as r from accept_pool where selected_slice_id = 'triangle_large') where r = 1
+union all select o.shard_id, p.example_id from (select *, row_number() over (partition by color, selected_slot order by sha256('distractor-accept|' || color || '|' || selected_slot || '|77|' || example_id)) as r from accept_pool where selected_slice_id <> 'triangle_large') p
+  join (select color, selected_slot, s as shard_id, row_number() over (partition by color, selected_slot order by sha256('distractor-order|77|' || color || '|' || selected_slot || '|' || s)) as r from target_pairs cross join (select unnest({list(_shards)}) as s) where s <> 'shard_causal_03') o on o.color = p.color and o.selected_slot = p.selected_slot and o.r = p.r
+union all select o.shard_id, p.example_id from (select *, (row_number() over (partition by selected_slot order by sha256('reject|' || selected_slot || '|77|' || example_id)) + 1) // 2 as block from panel_rows where response = 'REJECT') p
+  join (select n.x as selected_slot, s as shard_id, row_number() over (partition by n.x order by sha256('reject-order|77|' || n.x || '|' || s)) as block from slot_names n cross join (select unnest({list(_shards)}) as s)) o on o.selected_slot = p.selected_slot and o.block = p.block""",
+)
+def balanced_allocation(spark, d):
+    return tasks.balanced_allocation(spark, list(_shards), "shard_causal_03", 77)
+
+
+@query("qualified_worlds", "select dose, count(*) filter (passed) as passing, count(*) filter (passed) >= 2 as qualified from (values " + ", ".join(f"({a}, {str(c).lower()})" for a, _, c in an.DOSES) + ") v(dose, passed) group by 1")
+def qualified_worlds(spark, d):
+    runs = spark.createDataFrame(an.DOSES, "dose int, world int, passed boolean")
+    return runs.groupBy("dose").agg(F.count_if("passed").alias("passing")).withColumn("qualified", F.col("passing") >= 2)
+
+
+@query("multiset_preservation", "select prompt, s as surplus from (select prompt, sum(x) as s from (select prompt, 1 as x from panel_rows union all select case when panel_index = 7 then prompt || '!' else prompt end, -1 from panel_rows) group by 1) where s <> 0")
+def multiset_preservation(spark, d):
+    rows = tasks.panels(spark, tasks.TRAIN_MATERIALS, "train")
+    changed = F.when(F.col("panel_index") == 7, F.concat("prompt", F.lit("!"))).otherwise(F.col("prompt"))
+    return val.multiset_differences(rows.select("prompt"), rows.select(changed.alias("prompt")))
+
+
+@query("record_stream_digest")
+def record_stream_digest(spark, d):
+    rows = tasks.panels(spark, tasks.TRAIN_MATERIALS, "train")
+    return spark.createDataFrame([(digests.stream_digest(rows, ["example_id"], ["example_id", "prompt", "response"]),)], "digest string")
+
+
 # ---------------------------------------------------------------- scalar functions
 
 @query("hash_functions", f"select c_custkey, {bucket_sql('c_name')} as bucket, cast(('0x' || substr(sha256(c_name), 1, 16))::ubigint as decimal(20, 0)) as u64, cast(('0x' || substr(sha256(c_name), 1, 16))::ubigint % 9223372036854775808::ubigint as bigint) as u63 from customer")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket
-from ..operators import compare, repairs
+from ..operators import compare, digests, repairs
 from . import views as v
 from .base import bucket_sql, query, view
 
@@ -182,3 +182,14 @@ def broken(spark, d):
     rows = rows.where(times > 0).withColumn("i", F.explode(F.sequence(F.lit(1), times)))
     case = F.when(F.col("b").between(5, 6), F.concat(F.lit("unknown-"), "case_id")).otherwise(F.col("case_id"))
     return rows.select("release_id", case.alias("case_id"), F.when(F.col("b") == 9, F.lit("  ")).otherwise(F.col("observed")).alias("observed"))
+
+
+_preds = lambda r: f"""'{{"predictions":[' || (select string_agg('{{"case_id":"' || case_id || '","observed":"' || observed || '"}}', ',' order by case_id) from predictions where release_id = '{r}') || '],"release_id":"{r}"}}'"""
+_cases = """'[' || (select string_agg('{"case_id":"' || case_id || '","expected":"' || expected || '"}', ',' order by case_id) from cases) || ']'"""
+_slices = """'[' || (select string_agg('{"case_ids":[' || ids || '],"maximum_accuracy_drop":' || maximum_accuracy_drop || case when minimum_accuracy is null then '' else ',"minimum_accuracy":' || minimum_accuracy end || ',"name":"' || name || '"}', ',' order by name) from slices join (select name, string_agg('"' || case_id || '"', ',' order by case_id) as ids from slice_members group by 1) using (name)) || ']'"""
+
+
+@query("comparison_digests", f"""select sha256('{{"baseline":' || {_preds('baseline')} || ',"candidate":' || {_preds('candidate')} || ',"cases":' || {_cases} || ',"slices":' || {_slices} || '}}') as input_sha256, sha256('{{"baseline":' || {_preds('baseline')} || ',"cases":' || {_cases} || ',"slices":' || {_slices} || '}}') as evaluation_policy_sha256""")
+def comparison_digests(spark, d):
+    got = digests.comparison_digests(v.cases(spark, d), v.predictions(spark, d), v.slices(spark, d), v.slice_members(spark, d), {"baseline": "baseline", "candidate": "candidate"})
+    return spark.createDataFrame([(got["input_sha256"], got["evaluation_policy_sha256"])], "input_sha256 string, evaluation_policy_sha256 string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import content_id
 from ..functions.hashing import REFRESH_SPACE, SWAP_SPACE, TRAJECTORY_SPACE, bucket, joined, sha
 from ..functions.text import normalized_key
+from ..operators import digests
 from ..operators import records as rec
 from ..operators import releases as rel
 from ..operators import validate as val
@@ -261,3 +262,17 @@ def world_audit(spark, d):
         F.count("*").alias("changed_slot_count"), F.count_if(F.col("text") != F.col("old_text")).alias("text_change_count"), F.count_distinct("label").alias("touched_labels"),
         F.count_if(F.col("label") < F.col("old")).alias("up"), F.count_if(F.col("label") > F.col("old")).alias("down"),
     )
+
+
+# ---------------------------------------------------------------- digests of ordered records
+
+@query("release_digest", """select sha256('[' || string_agg('{"label":"' || label || '","model_content_id":"' || model_content_id || '","slot_id":"' || slot_id || '","source_content_id":"' || source_content_id || '"}', ',' order by slot_id) || ']') as digest from clean""")
+def release_digest(spark, d):
+    return spark.createDataFrame([(digests.release_digest(clean(spark, d)),)], "digest string")
+
+
+@query("schedule_digest", f"""with e as (select e as epoch, slot_id, sha256('{TRAJECTORY_SPACE}|data-order-seed=' || {_seed.replace("' || t || '", "0")} || '|epoch=' || e || '|slot=' || slot_id) as k from slots cross join (values (0), (1)) ee(e))
+select sha256('{{"epochs":[' || string_agg(l, ',' order by epoch) || '],"trajectory_id":0}}') as digest from (select epoch, '[' || string_agg('"' || slot_id || '"', ',' order by k) || ']' as l from e group by 1)""")
+def schedule_digest(spark, d):
+    order = rec.epoch_order(slots(spark, d), [0], [0, 1])
+    return spark.createDataFrame([(digests.schedule_digest(order, 0, 2),)], "digest string")

@@ -157,3 +157,38 @@ def test_checkpoint_contract(spark):
     assert val.checkpoint_violations(make(rows), ["t"]).count() == 0
     bad = [*rows[:5], ("t", 6, 50, float("nan"), "A" * 64)]
     assert {r.problem for r in val.checkpoint_violations(make(bad), ["t"]).collect()} == {"steps", "learning rate", "number of epochs"}
+
+
+def test_digests_are_the_plain_ones(spark):
+    import json
+
+    from slicewise.operators import digests
+
+    rows = [(f"slot_{i:06d}", f"s{i}", f"m{i}", "t", "é" if i % 2 else "b") for i in range(7)]
+    df = spark.createDataFrame(rows[::-1], "slot_id string, source_content_id string, model_content_id string, text string, label string")
+    names = ["slot_id", "source_content_id", "model_content_id", "label"]
+    records_ = [dict(zip(names, (r[0], r[1], r[2], r[4]), strict=True)) for r in rows]
+    want = hashlib.sha256(json.dumps(records_, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert digests.release_digest(df) == want
+    lines = "".join(json.dumps(r, sort_keys=True, separators=(",", ":")) + "\n" for r in records_)
+    assert digests.stream_digest(df, ["slot_id"], names) == hashlib.sha256(lines.encode()).hexdigest()
+
+
+def test_balanced_allocation_counts(spark):
+    shards = [f"s{i}" for i in range(5)]
+    rows = tasks.balanced_allocation(spark, shards, "s2", 11).join(tasks.panels(spark, tasks.TRAIN_MATERIALS, "train"), "example_id")
+    per = rows.groupBy("shard_id").agg(F.count("*").alias("n"), F.count_distinct("example_id").alias("k"), F.count_if(F.col("response") == "ACCEPT").alias("a"), F.count_if(F.col("selected_slice_id") == tasks.TARGET_SLICE).alias("t")).collect()
+    assert {(r.n, r.k, r.a) for r in per} == {(24, 24, 12)} and {r.shard_id: r.t for r in per} == {s: 12 if s == "s2" else 0 for s in shards}
+    assert {(r.least, r.most) for r in tasks.balance(rows, ["shard_id"], ["selected_slot"]).collect()} == {(4, 4)}
+
+
+def test_suspiciousness_is_strict_and_exact(spark):
+    slots = spark.createDataFrame([("c", "1"), ("c", "2"), ("c", "3")], "candidate string, slot_id string")
+    scores = spark.createDataFrame([("1", 1e16), ("2", 1.0), ("3", -1e16)], "slot_id string, score double")
+    assert localize.suspiciousness(slots, scores).first().score == 1.0
+    with pytest.raises(Exception, match="no single finite score"):
+        localize.suspiciousness(slots, scores.where("slot_id < '3'")).collect()
+    with pytest.raises(Exception, match="no single finite score"):
+        localize.suspiciousness(slots.union(slots.limit(1)), scores).collect()
+    with pytest.raises(Exception, match="outside the pair"):
+        localize.margin_loss(spark.createDataFrame([([0.0, 1.0], 2)], "logits array<double>, label int"), 0, 1).collect()
