@@ -27,18 +27,30 @@ def _pair(a: str, b: str) -> str:
     return "|".join(sorted((a, b)))
 
 
+def swap_selections(release: DataFrame, pairs: dict[str, tuple[str, str]], per_direction: int) -> DataFrame:
+    """candidate, slot_id, new_label: for every candidate's pair the first slots of either label in the swap's hash order, in one pass."""
+    sides = [F.struct(F.lit(name).alias("candidate"), F.lit(x).alias("of"), F.lit(y).alias("new_label"), F.lit(_pair(a, b)).alias("pair")) for name, (a, b) in pairs.items() for x, y in ((a, b), (b, a))]
+    rows = release.withColumn("side", F.explode(F.filter(F.array(*sides), lambda x: x["of"] == F.col("label"))))
+    key = sha(joined(SWAP_SPACE, F.concat(F.lit("pair="), "side.pair"), F.concat(F.lit("source-label="), "label"), F.concat(F.lit("slot="), "slot_id"), F.concat(F.lit("source="), "source_content_id")))
+    rows = rows.select(F.col("side.candidate").alias("candidate"), "label", "slot_id", "side.new_label", key.alias("key"))
+    chosen = hash_rank(rows, ["candidate", "label"], F.col("key")).where(F.col("rank") <= per_direction)
+    return chosen.select("candidate", "slot_id", "new_label")
+
+
+def label_swaps(release: DataFrame, pairs: dict[str, tuple[str, str]], per_direction: int) -> DataFrame:
+    """The changed rows of the symmetric label swaps, with their candidate."""
+    rows = release.join(swap_selections(release, pairs, per_direction), "slot_id")
+    return rows.withColumn("label", F.col("new_label")).withColumn("model_content_id", content_id(F.col("label"), F.col("text"))).select("candidate", *SLOT)
+
+
 def swap_selection(release: DataFrame, a: str, b: str, per_direction: int) -> DataFrame:
-    """slot_id, new_label of the first slots of either label in the swap's hash order."""
-    some = release.where(F.col("label").isin(a, b))
-    key = sha(joined(SWAP_SPACE, f"pair={_pair(a, b)}", F.concat(F.lit("source-label="), "label"), F.concat(F.lit("slot="), "slot_id"), F.concat(F.lit("source="), "source_content_id")))
-    chosen = hash_rank(some, ["label"], key).where(F.col("rank") <= per_direction)
-    return chosen.select("slot_id", F.when(F.col("label") == a, F.lit(b)).otherwise(F.lit(a)).alias("new_label"))
+    """slot_id, new_label of one pair's swap."""
+    return swap_selections(release, {"": (a, b)}, per_direction).drop("candidate")
 
 
 def label_swap(release: DataFrame, a: str, b: str, per_direction: int) -> DataFrame:
-    """The changed rows of a symmetric label swap."""
-    rows = release.join(swap_selection(release, a, b, per_direction), "slot_id")
-    return rows.withColumn("label", F.col("new_label")).withColumn("model_content_id", content_id(F.col("label"), F.col("text"))).select(*SLOT)
+    """The changed rows of one symmetric label swap."""
+    return label_swaps(release, {"": (a, b)}, per_direction).drop("candidate")
 
 
 def refresh_roles(release: DataFrame, index: int, a: str, b: str, per_direction: int) -> DataFrame:

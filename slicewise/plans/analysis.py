@@ -9,6 +9,7 @@ from ..functions.hashing import RANDOM_SPACE, ROOT_SPACE, bucket, joined
 from ..functions.vectors import argmax, dot, log_odds, margin
 from ..operators import certify, incidents, localize, metrics, pairs, ranking
 from ..operators import validate as val
+from ..sources.scratch import stored
 from . import training as tr
 from . import views as v
 from .base import bucket_sql, query, view
@@ -25,8 +26,8 @@ view("eval_preds", "select trajectory_id, content_id, true_label, case when draw
 view("recalls", "select trajectory_id, true_label as label, count(*) as support, count(*) filter (true_label = predicted_label) as hits, count(*) filter (true_label = predicted_label) / count(*) as recall from eval_preds group by 1, 2")
 
 
-def eval_preds(spark, d):
-    rows = tr.parts(spark, d).where("split = 'eval'").select("content_id", F.col("label").alias("true_label")).withColumn("trajectory_id", F.explode(F.array(*[F.lit(t) for t in range(3)])))
+def eval_preds(spark, d, parts=None):
+    rows = (parts or tr.parts(spark, d)).where("split = 'eval'").select("content_id", F.col("label").alias("true_label")).withColumn("trajectory_id", F.explode(F.array(*[F.lit(t) for t in range(3)])))
     k = F.substring_index("true_label", "_src", -1).cast("int")
     draw = bucket(joined("pred", F.col("trajectory_id").cast("string"), F.col("content_id")))
     name = lambda n, s: F.concat(F.lit("group"), (n % 5).cast("string"), F.lit("_src"), (s % 20).cast("string"))
@@ -120,7 +121,9 @@ for _rule, _cond, _key in (("v1", "jaccard > 0 and a_to_b > 0 and b_to_a > 0", "
 
 
 def features(spark, d):
-    return pairs.pair_features(eval_preds(spark, d), recalls(spark, d), tr.rec.partition_summary(tr.parts(spark, d)))
+    parts = tr.parts(spark, d)
+    preds = stored(eval_preds(spark, d, parts), "preds")
+    return pairs.pair_features(preds, metrics.per_label_recall(preds, ["trajectory_id"]), tr.rec.partition_summary(parts))
 
 
 @query("confusion_counts", "select * from confusion")

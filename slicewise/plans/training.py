@@ -11,6 +11,7 @@ from ..operators import digests
 from ..operators import records as rec
 from ..operators import releases as rel
 from ..operators import validate as val
+from ..sources.scratch import stored
 from . import views as v
 from .base import bucket_sql, query, view
 
@@ -29,7 +30,7 @@ def records(spark, d):
 
 
 def parts(spark, d):
-    return rec.split(rec.deduplicated(records(spark, d)))
+    return stored(rec.split(rec.deduplicated(records(spark, d))), "parts")
 
 
 def slots(spark, d):
@@ -37,12 +38,12 @@ def slots(spark, d):
 
 
 def clean(spark, d):
-    return rel.clean_release(slots(spark, d))
+    return stored(rel.clean_release(slots(spark, d)), "clean")
 
 
 def world(release):
     """Changes of five label swaps, candidate 0 to 4."""
-    return rel.union_changes({str(k): rel.label_swap(release, a, b, PER_DIRECTION) for k, (a, b) in enumerate(PAIRS)})
+    return rel.label_swaps(release, {str(k): p for k, p in enumerate(PAIRS)}, PER_DIRECTION).select(*rel.SLOT, "candidate")
 
 
 view("raw_records", "select doc_id, 'group' || (cast(substr(source, 4) as int) % 5) || '_' || source as label, text from documents")
