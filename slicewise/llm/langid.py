@@ -229,11 +229,13 @@ def fold(id_col: str):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModels:
     """Models from labelled documents whose fold is 0 or 1, calibrated on fold 3; fold 2 is never read."""
     known = docs.where(col(lang_col).isNotNull() & col(id_col).isNotNull()).select(col(lang_col).alias("lang"), fold(id_col).alias("f"), col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    role = F.when(F.col("f") < 2, F.lit(train_docs)).when(F.col("f") == 3, F.lit(calibration_docs))
-    known = known.withColumn("bound", role).where("bound is not null")
-    share = known.groupBy(F.col("lang").alias("l2"), F.col("bound").alias("b2")).count()
-    chance = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.lit(1_000_000)) * F.col("count") < F.lit(1_000_000) * F.col("bound")
-    picked = known.join(share, (F.col("lang") == F.col("l2")) & (F.col("bound") == F.col("b2"))).where(chance).select("lang", "text", "f")
+    # A count per language and role comes to the driver, so that texts are picked in the scan and move nowhere.
+    sizes = known.groupBy("lang").agg(F.count_if(F.col("f") < 2).alias("train"), F.count_if(F.col("f") == 3).alias("held")).collect()
+    draw, chosen = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.lit(1_000_000)), F.lit(False)
+    for r in sizes:
+        for some, count, bound in ((F.col("f") < 2, r.train, train_docs), (F.col("f") == 3, r.held, calibration_docs)):
+            chosen = chosen | ((F.col("lang") == r.lang) & some & (draw * count < 1_000_000 * bound))
+    picked = known.where(chosen).select("lang", "text", "f")
     grams = picked.where("f < 2").select("lang", "text").mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, g, n in zip(grams["lang"].to_pylist(), grams["gram"].to_pylist(), grams["n"].to_pylist(), strict=True):
