@@ -101,6 +101,7 @@ def line_verdicts(
         .where(F.col("docs") > max_share * F.col("host_docs"))
         .select(F.col("host").alias("hot_host"), F.col("h").alias("hot_h"))
     )
+    hot = materialize(hot, "hot")  # of known size, so the planner broadcasts it where that is small and lines stay where they are
     lost = (
         line.join(hot, (F.col("h") == F.col("hot_h")) & F.col("host").eqNullSafe(F.col("hot_host")))
         .groupBy("id", "host", "content", "h").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
