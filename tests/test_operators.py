@@ -192,3 +192,13 @@ def test_suspiciousness_is_strict_and_exact(spark):
         localize.suspiciousness(slots.union(slots.limit(1)), scores).collect()
     with pytest.raises(Exception, match="outside the pair"):
         localize.margin_loss(spark.createDataFrame([([0.0, 1.0], 2)], "logits array<double>, label int"), 0, 1).collect()
+
+
+def test_seeded_ranking(spark):
+    import random
+
+    order = [f"c{i}" for i in range(6)]
+    want = list(order)
+    random.Random(42).shuffle(want)
+    got = localize.seeded_ranking(spark, order).orderBy("rank").collect()
+    assert [r.change_id for r in got] == want and [r.score for r in got] == [5.0, 4.0, 3.0, 2.0, 1.0, 0.0]
