@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _own_folder: list[str] = []
 
