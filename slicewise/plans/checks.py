@@ -73,11 +73,24 @@ def artifact_fd(spark, d):
     return val.fd_violations(rows.withColumnRenamed("p_brand", "identity"), "identity", "sha256")
 
 
+@query("artifact_fd_whole")
+def artifact_fd_whole(spark, d):
+    """Every part; an identity is a brand and a type."""
+    part = v.table(spark, d, "part")
+    rows = part.select(joined(F.col("p_brand"), F.col("p_type")).alias("identity"), sha(F.concat("p_type", F.when(bucket(F.col("p_partkey").cast("string")) < 3, F.lit("x")).otherwise(F.lit("")))).alias("sha256"))
+    return val.fd_violations(rows, "identity", "sha256")
+
+
 @query("constant_in_group", "select c_nationkey from customer where c_nationkey < 5 group by 1 having count(distinct c_mktsegment) > 1")
 def constant_in_group(spark, d):
     return val.varying(v.table(spark, d, "customer").where("c_nationkey < 5"), ["c_nationkey"], "c_mktsegment")
 
 
+@query("constant_in_group_whole")
+def constant_in_group_whole(spark, d):
+    return val.varying(v.table(spark, d, "customer"), ["c_nationkey"], "c_mktsegment")
+
+
 @query("key_grid", "select coalesce(w.r, h.r) as r_name, coalesce(w.s, h.s) as c_mktsegment, case when h.n is null then 'missing' when w.r is null then 'unexpected' else 'repeated' end as problem from (select r_name as r, s from region cross join (values ('BUILDING'), ('AUTOMOBILE'), ('SHIPS')) v(s)) w full join (select r_name as r, c_mktsegment as s, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on r_regionkey = n_regionkey where c_custkey <= 40 group by 1, 2) h on w.r = h.r and w.s = h.s where h.n is null or w.r is null or h.n > 1")
 def key_grid(spark, d):
     region, nation, customer = (v.table(spark, d, t) for t in ("region", "nation", "customer"))
@@ -86,6 +99,16 @@ def key_grid(spark, d):
     return val.key_set_violations(rows.select("r_name", "c_mktsegment"), want)
 
 
+@query("key_grid_whole")
+def key_grid_whole(spark, d):
+    """Every customer is a cell of a block of 16; the draws 0..4 of 1000 fall outside the grid, 5..9 on a neighbour's cell."""
+    key, draw = F.col("c_custkey").cast("bigint"), bucket(F.col("c_custkey").cast("string"))
+    cell = F.when(draw < 5, F.lit(16)).when(draw < 10, key.bitwiseXOR(F.lit(1)) % 16).otherwise(key % 16)
+    rows = v.table(spark, d, "customer").select(F.floor(key / 16).alias("block"), cell.cast("int").alias("cell"))
+    want = rows.select("block").distinct().withColumn("cell", F.explode(F.array(*[F.lit(c) for c in range(16)])))
+    return val.key_set_violations(rows, want)
+
+
 view("checkpoints", "select o_custkey % 50 as trajectory_id, cast(row_number() over (partition by o_custkey % 50 order by o_orderkey) as int) as epoch, cast(o_orderkey % 1000 as bigint) as steps, case when o_orderkey % 11 = 0 then 0.0 else 0.01 end as learning_rate, case when o_orderkey % 17 = 0 then 'nothex' else sha256(cast(o_orderkey as varchar)) end as state_sha256 from orders where o_orderkey <= 400")
 
 
@@ -106,6 +129,17 @@ def checkpoint_contract(spark, d):
     return val.checkpoint_violations(rows, ["trajectory_id"])
 
 
+@query("checkpoint_contract_whole")
+def checkpoint_contract_whole(spark, d):
+    """Every order is a checkpoint; seven neighbouring keys are a trajectory."""
+    key = F.col("o_orderkey").cast("bigint")
+    rows = v.table(spark, d, "orders").select(
+        F.floor(key / 7).alias("trajectory_id"), (key % 7 + F.when(key % 101 == 0, F.lit(8)).otherwise(F.lit(1))).cast("int").alias("epoch"), (key % 1000).alias("steps"),
+        F.when(key % 11 == 0, F.lit(0.0)).otherwise(F.lit(0.01)).alias("learning_rate"), F.when(key % 17 == 0, F.lit("nothex")).otherwise(sha(key.cast("string"))).alias("state_sha256"),
+    )
+    return val.checkpoint_violations(rows, ["trajectory_id"])
+
+
 @query("record_sequence_equivalence", "select event_id from events where event_id % 97 = 3 union all select max(event_id) from events")
 def record_sequence_equivalence(spark, d):
     a = v.table(spark, d, "events").select("event_id", "event_type", "value")
@@ -160,7 +194,16 @@ def expected_outcomes(spark, d):
 
 @query("provenance_chain", "select o_orderkey as step, 'trained file differs' as problem from orders where o_orderkey <= 100 and o_orderkey % 13 = 5")
 def provenance_chain(spark, d):
-    rows = v.table(spark, d, "orders").where("o_orderkey <= 100").select(F.col("o_orderkey").alias("step"), sha(F.col("o_orderkey").cast("string")).alias("prepared"))
+    return _chain(v.table(spark, d, "orders").where("o_orderkey <= 100"))
+
+
+@query("provenance_chain_whole")
+def provenance_chain_whole(spark, d):
+    return _chain(v.table(spark, d, "orders"))
+
+
+def _chain(orders):
+    rows = orders.select(F.col("o_orderkey").alias("step"), sha(F.col("o_orderkey").cast("string")).alias("prepared"))
     trained = rows.select("step", F.when(F.col("step") % 13 == 5, sha(F.lit("other"))).otherwise(F.col("prepared")).alias("trained"))
     return rows.join(trained, "step").where("prepared <> trained").select("step", F.lit("trained file differs").alias("problem"))
 
