@@ -188,13 +188,17 @@ view("right_tokens", "select right_id, change_id, list_distinct(regexp_extract_a
 view("best_match", "select case_id, change_id, max(coalesce(len(list_intersect(l.t, r.t)) / nullif(len(list_distinct(list_concat(l.t, r.t))), 0), 0)) as best from left_tokens l cross join right_tokens r group by 1, 2")
 
 
-def prompts(spark, d):
-    rows = v.table(spark, d, "documents").where(bucket(F.concat(F.lit("shard|"), F.col("doc_id").cast("string"))) < 300)
+def prompts(spark, d, whole=False):
+    rows = v.table(spark, d, "documents")
+    if not whole:
+        rows = rows.where(bucket(F.concat(F.lit("shard|"), F.col("doc_id").cast("string"))) < 300)
     return rows.select(F.col("doc_id").cast("string").alias("right_id"), F.concat(F.lit("change_"), (F.col("doc_id") % 5).cast("string")).alias("change_id"), tx.tokens(F.col("text")).alias("tokens"), "text")
 
 
-def regressed_prompts(spark, d):
-    rows = v.table(spark, d, "benchmark").where(bucket(F.concat(F.lit("prompt|"), F.col("item_id").cast("string"))) < 700)
+def regressed_prompts(spark, d, whole=False):
+    rows = v.table(spark, d, "benchmark")
+    if not whole:
+        rows = rows.where(bucket(F.concat(F.lit("prompt|"), F.col("item_id").cast("string"))) < 700)
     return rows.select(F.col("item_id").cast("string").alias("case_id"), tx.tokens(F.col("text")).alias("tokens"), "text")
 
 
@@ -203,18 +207,34 @@ def max_jaccard(spark, d):
     return localize.best_similarity(regressed_prompts(spark, d), prompts(spark, d), ["case_id"], ["change_id"])
 
 
+@query("max_jaccard_whole")
+def max_jaccard_whole(spark, d):
+    """Every benchmark item with every document."""
+    return localize.best_similarity(regressed_prompts(spark, d, True), prompts(spark, d, True), ["case_id"], ["change_id"])
+
+
 @query("lexical_overlap", "select change_id, round(avg(best), 9) as score, row_number() over (order by round(avg(best), 9) desc, change_id) as rank from best_match group by change_id")
-def lexical_overlap(spark, d):
-    scores = localize.lexical_scores(regressed_prompts(spark, d), prompts(spark, d))
+def lexical_overlap(spark, d, whole=False):
+    scores = localize.lexical_scores(regressed_prompts(spark, d, whole), prompts(spark, d, whole))
     return localize.ranked(scores.withColumn("score", F.round("score", 9)), [], "change_id")
 
 
+@query("lexical_overlap_whole")
+def lexical_overlap_whole(spark, d):
+    return lexical_overlap(spark, d, True)
+
+
 @query("changed_lexical_overlap", "select change_id, round(avg(best), 9) as score from (select case_id, change_id, max(coalesce(len(list_intersect(l.t, r.t)) / nullif(len(list_distinct(list_concat(l.t, r.t))), 0), 0)) as best from left_tokens l cross join right_tokens r where cast(right_id as bigint) % 3 = 0 group by 1, 2) group by 1")
-def changed_lexical_overlap(spark, d):
-    after = prompts(spark, d)
+def changed_lexical_overlap(spark, d, whole=False):
+    after = prompts(spark, d, whole)
     before = after.withColumn("text", F.when(F.col("right_id").cast("long") % 3 == 0, F.lit("other")).otherwise(F.col("text")))
     changed = localize.changed_records(before, after, "right_id", "text")
-    return localize.lexical_scores(regressed_prompts(spark, d), changed).withColumn("score", F.round("score", 9))
+    return localize.lexical_scores(regressed_prompts(spark, d, whole), changed).withColumn("score", F.round("score", 9))
+
+
+@query("changed_lexical_overlap_whole")
+def changed_lexical_overlap_whole(spark, d):
+    return changed_lexical_overlap(spark, d, True)
 
 
 @query("observed_regressions", "select event_id, expected from answers where upper(trim(raw, ' ' || chr(10))) = expected and event_id % 4 < 2")
@@ -245,9 +265,9 @@ view("slot_best", "select w.candidate, w.slot_id, max(coalesce(len(list_intersec
 view("b2", "select candidate, round(sum(best), 9) as score from slot_best group by 1")
 
 
-def b2(spark, d):
+def b2(spark, d, whole=False):
     changes = tr.world(tr.clean(spark, d)).select("candidate", "slot_id", tx.tokens(F.col("text"), tx.PLAIN).alias("tokens"))
-    targets = regressed_prompts(spark, d).select(F.col("case_id").alias("right_id"), tx.tokens(F.col("text"), tx.PLAIN).alias("tokens"))
+    targets = regressed_prompts(spark, d, whole).select(F.col("case_id").alias("right_id"), tx.tokens(F.col("text"), tx.PLAIN).alias("tokens"))
     best = localize.best_similarity(changes.select("slot_id", "tokens"), targets, ["slot_id"]).select("slot_id", F.col("best").alias("score"))
     return localize.summed(changes.select("candidate", "slot_id"), best).withColumn("score", F.round("score", 9))
 
@@ -262,6 +282,16 @@ def candidate_rank(spark, d):
     return localize.ranked(b2(spark, d), [], "candidate")
 
 
+@query("b2_jaccard_whole")
+def b2_jaccard_whole(spark, d):
+    return b2(spark, d, True)
+
+
+@query("candidate_rank_whole")
+def candidate_rank_whole(spark, d):
+    return localize.ranked(b2(spark, d, True), [], "candidate")
+
+
 # scores of five candidates by three methods in two worlds and three trajectories, with planned ties
 _score = bucket_sql("m || '|' || w || '|' || case when m = 'static' then 0 else t end || '|' || c", 8)
 view("method_scores", f"select w as world, m as method, t as trajectory_id, 'c' || c as candidate, cast({_score} as double) / 4 as score from (values (0), (1)) ww(w) cross join (values ('static'), ('grad'), ('trac')) mm(m) cross join (values (0), (1), (2)) tt(t) cross join (values (0), (1), (2), (3), (4)) cc(c)")

@@ -1,11 +1,13 @@
 """Queries over whole tables, against plain Python: no row is left out by its id."""
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import pytest
 
 from slicewise.plans import registry
+from slicewise.plans import training as tr
 from tests.conftest import SMALL
 
 QUERIES = registry.queries()
@@ -66,3 +68,59 @@ def test_checkpoints(spark, rows):
 def test_provenance(spark, rows):
     want = sorted((k, "trained file differs") for (k,) in rows("select o_orderkey from orders") if k % 13 == 5)
     assert got(spark, "provenance_chain_whole") == want and want[-1][0] > 100
+
+
+def tokens(text, pattern="[a-z0-9_]+"):
+    return set(re.findall(pattern, (text or "").lower()))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+@pytest.fixture(scope="module")
+def texts(rows):
+    items = [(str(i), t) for i, t in rows("select item_id, text from benchmark")]
+    return items, rows("select doc_id, text from documents")
+
+
+def best_by_change(items, docs):
+    sets = [(f"change_{i % 5}", tokens(t)) for i, t in docs]
+    out = {(i, c): 0.0 for i, _ in items for c, _ in sets}
+    for i, t in items:
+        own = tokens(t)
+        for c, other in sets:
+            out[i, c] = max(out[i, c], jaccard(own, other))
+    return out
+
+
+def means(best, n):
+    total = defaultdict(float)
+    for (_, c), x in best.items():
+        total[c] += x
+    return {c: x / n for c, x in total.items()}
+
+
+def test_best_matches(spark, texts):
+    items, docs = texts
+    best = best_by_change(items, docs)
+    want = {k: x for k, x in best.items() if x}
+    assert {(i, c): x for i, c, x in got(spark, "max_jaccard_whole")} == pytest.approx(want)
+    scores = means(best, len(items))
+    found = got(spark, "lexical_overlap_whole")
+    assert {r[0]: r[1] for r in found} == pytest.approx(scores, abs=1e-8)
+    assert [r[0] for r in sorted(found, key=lambda r: r[2])] == sorted(scores, key=lambda c: (-round(scores[c], 9), c))
+    third = best_by_change(items, [x for x in docs if x[0] % 3 == 0])
+    assert dict(got(spark, "changed_lexical_overlap_whole")) == pytest.approx(means(third, len(items)), abs=1e-8)
+
+
+def test_candidates(spark, texts):
+    own = [tokens(t, "[a-z0-9]+") for _, t in texts[0]]
+    want = defaultdict(float)
+    for r in tr.world(tr.clean(spark, SMALL)).select("candidate", "text").collect():
+        mine = tokens(r.text, "[a-z0-9]+")
+        want[r.candidate] += max(jaccard(mine, x) for x in own)
+    found = got(spark, "b2_jaccard_whole")
+    assert dict(found) == pytest.approx(dict(want), abs=1e-6)
+    ranks = QUERIES["candidate_rank_whole"](spark, SMALL).collect()
+    assert [r.candidate for r in sorted(ranks, key=lambda r: r["rank"])] == [c for c, _ in sorted(found, key=lambda r: (-r[1], r[0]))]
