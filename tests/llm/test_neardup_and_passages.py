@@ -147,6 +147,19 @@ def test_planted_passages(spark):
     assert found[3].start <= 2 and found[3].end >= 66 and found[3].matches >= 62
 
 
+def test_split_leaders_among_frequent_lines(spark):
+    """1 and 2 lead the passage's parts; 3 leads two lines that all documents from 3 on have, so 4 and 3 are a pair before the passage is seen."""
+    rng = random.Random(11)
+    word = lambda: f"s{rng.randrange(10**7)}"
+    fill = lambda n: [word() for _ in range(n)]
+    passage, one, two = fill(60), fill(17), fill(17)
+    rows = {1: fill(60) + passage[:33] + fill(60), 2: fill(60) + passage[28:] + fill(60)}
+    rows |= {3: one + fill(150) + passage + fill(150) + two, 4: two + fill(120) + passage + fill(120) + one}
+    rows |= {i: one + fill(100) + two for i in range(5, 25)}
+    got = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], "doc_id long, text string")).collect()
+    assert [(r.id, r.partner, r.start, r.end, r.partner_start, r.partner_end, r.matches) for r in got] == [(4, 3, 137, 197, 167, 227, 60)]
+
+
 def test_passages_of_odd_rows(odd, none):
     got = passages.repeated_passages(odd).collect()
     assert [(r.id, r.partner, r.matches) for r in got] == [(9, 8, 150)]
