@@ -334,7 +334,7 @@ def payload_tiff(payload: bytes) -> bytes:
         {"compression": DEFLATE, "predictor": 2},
         {"compression": PACKBITS},
         {"compression": DEFLATE, "tile": (256, 64)},
-        {"compression": LZW, "predictor": 2} if len(a) <= 32 else {"compression": DEFLATE, "predictor": 2},
+        {"compression": LZW, "predictor": 2},
     )[len(a) % 4]
     return write_tiff([{"samples": a, **how}])
 

@@ -72,3 +72,9 @@ def test_query_is_a_round_trip(spark):
 def test_empty_text_has_one_row_of_zeros():
     (page,) = list(tiff.pages_of(tiff.payload_tiff(b"\0" * 64)))
     assert page[1:3] == (64, 1) and page[5] == b"\0" * 64
+
+
+def test_long_payloads_are_lzw():
+    payload = np.random.default_rng(4).integers(0, 256, (303, 64)).astype(np.uint8).tobytes()  # over 4,096 codes
+    (page,) = list(tiff.pages_of(tiff.payload_tiff(payload)))
+    assert page[4] == tiff.LZW and page[5] == payload
