@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from .common import byte_codes, col, fresh, materialize, mix, pieces_of, span_hashes, spread, text_buffer, window_hashes, word_spans
 from .links import components
 
-BITMAP_BITS = 1 << 24
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of a bitmap of ids: 32 MB at most
 BLOCK = 400
 
 
@@ -118,8 +118,13 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int
     return docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(run, T.StructType(fields))
 
 
-def id_bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Hashed ids as a bitmap of fixed size: at most bits / 64 rows come to the driver."""
+def bitmap_bits(n: int) -> int:
+    """Sixteen bits an id and more, up to ``MOST_BITS``; beyond that the bitmap only lets more texts through, and joins by id settle the rest."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(n, 1) - 1).bit_length()))
+
+
+def id_bitmap(ids: DataFrame, bits: int) -> np.ndarray:
+    """Hashed ids as a bitmap: at most bits / 64 rows come to the driver."""
     place = F.pmod(F.xxhash64("id"), F.lit(bits))
     words = ids.select((place / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))").alias("b"))
     out = np.zeros(bits // 64, np.int64)
@@ -128,9 +133,10 @@ def id_bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     return out
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, make=None, kind=None) -> DataFrame:
-    """(id, items) of the documents whose id the bitmap of ``ids`` has; one row for each id."""
-    marked = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids))
+def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int, make=None, kind=None, least: int = 0) -> DataFrame:
+    """(id, items), for every row of ``docs`` whose id the bitmap of ``ids`` has; sets of fewer than ``least`` items are left out."""
+    bits = bitmap_bits(ids.count())
+    marked = docs.sparkSession.sparkContext.broadcast(id_bitmap(ids, bits))
     make = make or (lambda part: [s.view(np.int64) for s in shingle_sets(part, k)])
     kind = kind or pa.int64()
 
@@ -143,11 +149,14 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: in
                 continue
             for part in pieces_of(batch.filter(pa.array(wanted)), "text"):
                 sets = make(part.column(1))
+                if least:
+                    keep = [r for r, s in enumerate(sets) if len(s) >= least]
+                    sets, part = [sets[r] for r in keep], part.take(pa.array(keep, pa.int64()))
                 ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, kind.to_pandas_dtype()), *sets]), kind))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "items"])
 
-    rows = docs.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(col(id_col)), F.lit(BITMAP_BITS)).alias("place"))
+    rows = docs.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"), F.pmod(F.xxhash64(col(id_col)), F.lit(bits)).alias("place"))
     item = T.LongType() if kind == pa.int64() else T.IntegerType()
     return rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("items", T.ArrayType(item))]))
 
