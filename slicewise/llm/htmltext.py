@@ -1,13 +1,16 @@
 """Main text of pages by nearest-URL page differencing.
 
-Every page is paired with the page of its host whose path is nearest: of its two
-neighbours in the order of paths, the one that shares more leading path parts.  Both
-pages' text lines (blocks) are aligned by a longest common subsequence, bit-parallel
-with backtracking, and shared lines are deleted.
+Every page is paired with the page of its host whose path is nearest: of the ``SIDE``
+pages before it and after it in the order of paths, the one that shares most leading path
+parts, the nearer first, the one before first among equals.  A page that shares the longest
+line is a copy of the article and tells nothing, so the next nearest is taken; where all
+are copies, nothing is deleted.  Both pages' text lines (blocks) are aligned by a longest
+common subsequence, bit-parallel with backtracking, long ones halved first
+so that memory stays bounded, and shared lines are deleted.
 
 Differencing alone can't give right results where a template's lines change from page
-to page, or where two pages carry copies of one article.  So the markup helps: lines in
-elements for menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+to page, or where different articles share a line.  So the markup settles what is left:
+lines in elements for menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comments are never text, and lines within an article or main element are
 never deleted as shared; where a page has such an element, its lines are the text.
 
@@ -24,7 +27,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -49,7 +54,11 @@ FRAME = {"article", "aside", "blockquote", "body", "details", "dialog", "div", "
 SPACED = {"br", "td", "th", "option", "img", "wbr"} - {"wbr", "img"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alertdialog", "alert", "toolbar", "note"}
 NAMES = {"ad", "ads", "advert", "advertisement", "advertising", "adverts", "adsense", "sponsor", "sponsored", "sponsors", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "sidebar", "sidebars", "aside", "footer", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "reply", "replies", "disqus", "respond", "search", "searchbox", "widget", "widgets", "pagination", "pager", "skip", "hidden", "header"}
+#: Of these, the ones that mark such parts within an article too.
+INNER = {"ad", "ads", "advert", "advertisement", "advertising", "adverts", "adsense", "sponsored", "promo", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "comment", "comments", "replies", "disqus", "respond", "sidebar", "breadcrumbs", "pagination"}
 CHROME, PLAIN, ARTICLE = 0, 1, 2
+SIDE = 2
+TABLE_BITS = 1 << 28  # of the rows that backtracking keeps
 
 
 def _excluded(tag: str, attributes: str, in_article: bool) -> bool:
@@ -60,8 +69,7 @@ def _excluded(tag: str, attributes: str, in_article: bool) -> bool:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value)) & NAMES
-            if words - ({"header"} if in_article else set()):
+            if not (INNER if in_article else NAMES).isdisjoint(re.split(r"[^a-z0-9]+", value)):
                 return True
         elif name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -75,6 +83,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     frames: list[tuple[str, int]] = []  # open elements that frame others, with the zone inside
+    opened: Counter[str] = Counter()  # their names: an end tag without a start is passed at once
     zone, at, end = PLAIN, 0, len(page)
 
     def flush():
@@ -101,12 +110,14 @@ def blocks(page: str) -> list[tuple[str, int]]:
         elif tag in SPACED:
             parts.append(" ")
         if closing:
-            for k in range(len(frames) - 1, -1, -1):
-                if frames[k][0] == tag:
-                    flush()
-                    del frames[k:]
-                    zone = frames[-1][1] if frames else PLAIN
-                    break
+            if opened[tag]:
+                flush()
+                while True:
+                    name, _ = frames.pop()
+                    opened[name] -= 1
+                    if name == tag:
+                        break
+                zone = frames[-1][1] if frames else PLAIN
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -119,9 +130,11 @@ def blocks(page: str) -> list[tuple[str, int]]:
             flush()
             zone = CHROME if gone else ARTICLE if zone == ARTICLE or tag in ("article", "main") else PLAIN
             frames.append((tag, zone))
+            opened[tag] += 1
         elif gone and zone != CHROME:  # an element whose end tag may be left out: until the next block
             flush()
             frames.append((tag, CHROME))
+            opened[tag] += 1
             zone = CHROME
     flush()
     return out
@@ -135,16 +148,42 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     tail = 0
     while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    x, y = a[lead : len(a) - tail], b[lead : len(b) - tail]
+    middle = _common(a[lead : len(a) - tail], b[lead : len(b) - tail])
+    return [*range(lead), *[lead + i for i in middle], *range(len(a) - tail, len(a))]
+
+
+def _rows(x: list[int], y: list[int]):
+    """For each entry of ``x``, a number whose zero bits mark where the common length with the first entries of ``y`` grows."""
     places: dict[int, int] = {}
-    for j, v in enumerate(y):
-        places[v] = places.get(v, 0) | (1 << j)
     every = (1 << len(y)) - 1
-    row, rows = every, []
+    at = Counter(x)
+    for j, v in enumerate(y):
+        if v in at:
+            places[v] = places.get(v, 0) | (1 << j)
+    row = every
     for v in x:
         u = row & places.get(v, 0)
         row = ((row + u) | (row - u)) & every
-        rows.append(row)
+        yield row
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Common lengths of all of ``x`` with the first 0..len(y) entries of ``y``."""
+    row = (1 << len(y)) - 1
+    for row in _rows(x, y):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.append(0, np.cumsum(bits == 0))
+
+
+def _common(x: list[int], y: list[int]) -> list[int]:
+    if not x or not y:
+        return []
+    if len(x) > 1 and len(x) * len(y) > TABLE_BITS:
+        half = len(x) // 2
+        cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return _common(x[:half], y[:cut]) + [half + i for i in _common(x[half:], y[cut:])]
+    rows = list(_rows(x, y))
     found, i, j = [], len(x), len(y)
     while i and j:
         if rows[i - 1] >> (j - 1) & 1:
@@ -152,13 +191,13 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
         else:
             i -= 1
             if not (i and not rows[i - 1] >> (j - 1) & 1):
-                found.append(lead + i)
+                found.append(i)
                 j -= 1
-    return [*range(lead), *reversed(found), *range(len(a) - tail, len(a))]
+    return found[::-1]
 
 
-def neighbours(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
-    """(id, other): each page id and that of the page with the nearest path of its host, if there is one."""
+def neighbours(pages: DataFrame, id_col: str, url_col: str, side: int = SIDE) -> DataFrame:
+    """(id, others): each page id and up to 2 * ``side`` pages of its host, the nearest path first."""
     url = F.coalesce(col(url_col), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
@@ -167,25 +206,32 @@ def neighbours(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
     rows = materialize(rows.withColumn("part", F.spark_partition_id()), "paths")
     key = F.struct("host", "path", "id")
     order = W.partitionBy("part").orderBy("host", "path", "id")
-    ends = rows.groupBy("part").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    last = lambda x: F.when(F.size(x) > side, F.slice(x, -side, side)).otherwise(x)
+    rows = rows.withColumns({"n": F.row_number().over(order), "prev": F.collect_list(key).over(order.rowsBetween(-side, -1)), "next": F.collect_list(key).over(order.rowsBetween(1, side))})
+    first = F.sort_array(F.collect_list(F.when(F.col("n") <= side, key)))
+    final = F.sort_array(F.collect_list(F.when(F.size("next") < side, key)))
     by_part = W.orderBy("part")  # one row per partition
-    ends = ends.select(F.col("part").alias("of"), F.lag("hi").over(by_part).alias("before"), F.lead("lo").over(by_part).alias("after"))
-    rows = rows.withColumns({"prev": F.lag(key).over(order), "next": F.lead(key).over(order)}).join(ends, F.col("part") == F.col("of"))
-    pick = lambda x, y: F.coalesce(F.col(x), F.col(y))
-    rows = rows.select("id", "host", "path", pick("prev", "before").alias("prev"), pick("next", "after").alias("next"))
-
-    def shared(other):
-        same = F.zip_with(F.split("path", "/"), F.split(F.col(f"{other}.path"), "/"), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    ends = rows.groupBy("part").agg(first.alias("lo"), final.alias("hi"))
+    ends = ends.select(F.col("part").alias("of"), F.flatten(F.collect_list("hi").over(by_part.rowsBetween(-side, -1))).alias("before"), F.flatten(F.collect_list("lo").over(by_part.rowsBetween(1, side))).alias("after"))
+    rows = rows.join(ends, F.col("part") == F.col("of"))
+    rows = rows.select("id", "host", "path", last(F.concat("before", "prev")).alias("prev"), F.slice(F.concat("next", "after"), 1, side).alias("next"))
+
+    def ranked(others, sign):
+        """Of the host's own: shared leading path parts (less is better here), distance, side and id."""
+        place = lambda i: F.size(others) - i if sign < 0 else i + 1
+        return F.filter(F.transform(others, lambda x, i: F.struct((-shared(x.path)).alias("far"), place(i).alias("steps"), F.lit(sign).alias("sign"), x.id.alias("id"), x.host.alias("host"))), lambda x: x.host == F.col("host"))
+
+    def shared(path):
+        same = F.zip_with(F.split("path", "/"), F.split(path, "/"), lambda x, y: F.coalesce(x == y, F.lit(False)))
         first = F.array_position(same, False)
-        return F.when(F.col(f"{other}.host") == F.col("host"), F.when(first == 0, F.size(same)).otherwise(first - 1)).otherwise(-1)
+        return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
-    rows = rows.withColumns({"p": F.coalesce(shared("prev"), F.lit(-1)), "n": F.coalesce(shared("next"), F.lit(-1))})
-    other = F.when((F.col("p") >= 0) & (F.col("p") >= F.col("n")), F.col("prev.id")).when(F.col("n") >= 0, F.col("next.id"))
-    return rows.select("id", other.alias("other")).where("other is not null")
+    found = F.array_sort(F.concat(ranked(F.col("prev"), -1), ranked(F.col("next"), 1)))
+    return rows.select("id", F.transform(found, lambda x: x.id).alias("others")).where(F.size("others") > 0)
 
 
 def line_hashes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id, lines (hash of each block) and zones."""
+    """id, lines (hash of each block), sizes (their characters) and zones."""
 
     def run(batches):
         for batch in batches:
@@ -198,24 +244,36 @@ def line_hashes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
     rows = pages.select(col(id_col).alias("id"), col(html_col).cast("string").alias("html"))
     out = rows.mapInArrow(run, T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("zones", T.ArrayType(T.IntegerType()))]))
-    return out.select("id", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), "zones")
+    return out.select("id", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), F.transform("lines", lambda x: F.length(x)).alias("sizes"), "zones")
+
+
+def deleted(lines: list[int], sizes: list[int], zones: list[int], others: list[list[int]]) -> list[int]:
+    """Numbers of the lines outside articles that the first of ``others`` shares which is no copy: the longest line that isn't chrome isn't shared."""
+    text = [k for k, z in enumerate(zones) if z != CHROME]
+    longest = max(text, key=lambda k: (sizes[k], -k), default=None)
+    for theirs in others:
+        found = common_lines(lines, theirs)
+        if longest is None or longest not in set(found):
+            return [k for k in found if zones[k] != ARTICLE]
+    return []
 
 
 def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, gone): block numbers outside articles and chrome that a page shares with its neighbour."""
+    """(id, gone): block numbers outside articles that a page shares with its nearest page that is no copy."""
     lines = materialize(line_hashes(pages, id_col, html_col), "lines")
     pairs = materialize(neighbours(pages, id_col, url_col), "neighbours")
-    single = lines.where("id is not null").groupBy("id").agg(F.min(F.struct("lines", "zones")).alias("x")).select("id", "x.lines", "x.zones")
-    theirs = single.select(F.col("id").alias("other"), F.col("lines").alias("theirs"))
-    both = single.join(pairs, "id").join(theirs, "other").select("id", "lines", "zones", "theirs")
+    single = lines.where("id is not null").groupBy("id").agg(F.min(F.struct("lines", "sizes", "zones")).alias("x")).select("id", "x.*")
+    single = materialize(single, "single")
+    theirs = pairs.select("id", F.posexplode("others").alias("rank", "other")).join(single.select(F.col("id").alias("other"), F.col("lines").alias("theirs")), "other")
+    theirs = theirs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "theirs"))).alias("s")).select("id", F.col("s.theirs").alias("theirs"))
+    both = single.join(theirs, "id").select("id", "lines", "sizes", "zones", "theirs")
 
     def run(batches):
         for batch in batches:
-            ids, gone = [], []
-            for i, a, z, b in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                ids.append(i)
-                gone.append([k for k in common_lines(a, b) if z[k] == PLAIN])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(gone, pa.list_(pa.int32()))], names=["id", "gone"])
+            gone = []
+            for r in range(batch.num_rows):
+                gone.append(deleted(*[batch.column(k)[r].as_py() for k in range(1, 5)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["id", "gone"])
 
     out = both.mapInArrow(run, T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("gone", T.ArrayType(T.IntegerType()))]))
     return materialize(out.where(F.size("gone") > 0), "gone")

@@ -126,17 +126,92 @@ def test_differencing(spark):
     assert htmltext.main_text(df.union(df.where("page_id = 2"))).where("id = 2").count() == 2
 
 
+def nearest(urls, i, side=2):
+    """Ids of the pages around ``i`` in the order of its host's paths, nearest first, plainly."""
+    split = {k: re.fullmatch(r"[a-z]+://([^/?#]*)([^?#]*).*", u or "") for k, u in urls.items()}
+    where = {k: (m[1], m[2]) if m else ("", u or "") for (k, u), m in zip(urls.items(), split.values(), strict=True)}
+    order = sorted(where, key=lambda k: (where[k], k))
+    at, found = order.index(i), []
+    for j in range(max(0, at - side), min(len(order), at + side + 1)):
+        if j != at and where[order[j]][0] == where[i][0]:
+            mine, other = where[i][1].split("/"), where[order[j]][1].split("/")
+            same = [x == y for x, y in zip(mine, other, strict=False)]
+            found.append((-(same.index(False) if False in same else max(len(mine), len(other)) if len(mine) == len(other) else len(same)), abs(j - at), j, order[j]))
+    return [x[-1] for x in sorted(found)]
+
+
+def plain_common(a, b):
+    """Places in ``a`` of one longest common subsequence, by the full table."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("renamed", [False, True])
+def test_differencing_as_plain_reading(spark, renamed):
+    """Pairs, copies and deleted lines as by plain pairing and the full table; with article tags, and without."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("url like '%tion%'")
+    if renamed:
+        pages = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    rows = {r.page_id: r for r in pages.collect()}
+    urls = {i: r.url for i, r in rows.items()}
+    blocks = {i: htmltext.blocks(r.html) for i, r in rows.items()}
+    others = {r.id: r.others for r in htmltext.neighbours(pages, "page_id", "url").collect()}
+    gone = {r.id: r.gone for r in htmltext.shared_lines(pages, "page_id", "url", "html").collect()}
+    texts = {r.id: r.text for r in htmltext.main_text(pages).collect()}
+    assert len(rows) > 50 and any(gone.values())
+    for i, found in blocks.items():
+        assert others.get(i, []) == nearest(urls, i)
+        lines = [t for t, _ in found]
+        text = [t for t, z in found if z != htmltext.CHROME]
+        want = 0
+        for j in others.get(i, []):
+            theirs = [t for t, _ in blocks[j]]
+            if max(text, key=len) not in theirs:
+                want = plain_common(lines, theirs)
+                rest = iter(theirs)
+                assert all(any(lines[k] == y for y in rest) for k in gone.get(i, []))
+                break
+        articles = sum(z == htmltext.ARTICLE for _, z in found)
+        assert len(gone.get(i, [])) == want or articles and len(gone.get(i, [])) <= want
+        zone = htmltext.ARTICLE if articles else htmltext.PLAIN
+        assert texts[i] == "\n\n".join(t for k, (t, z) in enumerate(found) if z == zone and k not in set(gone.get(i, [])))
+
+
+def test_long_pages():
+    """40,000 tags without a partner, and lines too many for one table."""
+    page = "<div>" * 20_000 + "</p>" * 20_000 + "text"
+    assert htmltext.blocks(page) == [("text", htmltext.PLAIN)]
+    rng = random.Random(4)
+    a, b = ([rng.randrange(3000) for _ in range(n)] for n in (700, 900))
+    whole = htmltext._common(a, b)
+    before, htmltext.TABLE_BITS = htmltext.TABLE_BITS, 1000
+    try:
+        halved = htmltext._common(a, b)
+    finally:
+        htmltext.TABLE_BITS = before
+    rest = iter(b)
+    assert len(halved) == len(whole) == plain_common(a, b) and halved == sorted(set(halved)) and all(any(a[i] == y for y in rest) for i in halved)
+
+
+def test_copies_are_no_partners(spark):
+    """The nearest page carries the same article; the next one tells the template."""
+    page = lambda *lines: "".join(f"<div>{x}</div>" for x in lines)
+    story = "a long story that two pages of the host carry"
+    rows = [(1, "http://a.org/x/1", page("Menu", story, "Imprint")), (2, "http://a.org/x/2", page("Menu", story, "Imprint")), (3, "http://a.org/y/1", page("Menu", "another story", "Imprint")), (4, "http://b.org/1", page(story)), (5, "http://b.org/2", page(story))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.id: r.text for r in htmltext.main_text(df).collect()} == {1: story, 2: story, 3: "another story", 4: story, 5: story}
+
+
 def test_neighbours_do_not_depend_on_partitions(spark):
     rows = spark.createDataFrame([(i, f"http://h.org/{i % 7}/{i % 13}/{i}") for i in range(400)], "page_id long, url string")
-    paths = sorted(((f"/{i % 7}/{i % 13}/{i}", i) for i in range(400)))
-    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a.split("/"), b.split("/"), strict=False)) if x != y), 4)
-    want = {}
-    for k, (p, i) in enumerate(paths):
-        sides = [(shared(p, paths[j][0]), -n, paths[j][1]) for n, j in enumerate((k - 1, k + 1)) if 0 <= j < 400]
-        want[i] = max(sides)[2]
-    for n in ("1", "4", "9"):
+    urls = {i: f"http://h.org/{i % 7}/{i % 13}/{i}" for i in range(400)}
+    want = {i: nearest(urls, i) for i in urls}
+    for n in ("1", "4", "9", "300"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        assert {r.id: r.other for r in htmltext.neighbours(rows, "page_id", "url").collect()} == want
+        assert {r.id: r.others for r in htmltext.neighbours(rows, "page_id", "url").collect()} == want
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
