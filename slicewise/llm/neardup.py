@@ -12,12 +12,14 @@ Equal sets are one class and only their smallest id goes on.  Bands of coordinat
 are bucket keys.  Within a bucket nobody is paired with everybody: each member is
 compared with the bucket's smallest and largest id, links are confirmed on full sets,
 and components are formed.  What remains are buckets whose other members lie in different
-components: their members go, with their full sets, in blocks of bounded size to tasks
-that each verify one pair of blocks and give back only links that join components.
-Pairs whose set sizes alone rule a link out are not compared.
+components: their members go, with their full sets, in blocks of bounded size (documents
+and shingles) to tasks that each verify one pair of blocks and give back only links that
+join components.  A task counts the shingles that many members have by matrix products
+and the rare ones by their few holders; a pair that shares several bands is left to the
+first of them.
 
-Full sets are made only for documents that share a bucket: a bitmap of fixed size
-over hashed ids, its false positives harmless, tells which texts to read again.
+Full sets are made only for documents that share a bucket: a bitmap over hashed ids, its
+size bounded, its false positives harmless, tells which texts to read again.
 
 With t = 240 and 40 bands of 6, a pair at similarity 0.8 misses all bands with
 probability 5e-6.
@@ -39,7 +41,8 @@ from .common import byte_codes, col, fresh, materialize, mix, pieces_of, span_ha
 from .links import components
 
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of a bitmap of ids: 32 MB at most
-BLOCK = 400
+BLOCK, BLOCK_ITEMS = 1000, 1 << 19  # documents and shingles of a block, on average
+FEW = 48  # holders of a shingle up to which they are paired; above, matrix products count
 
 
 def shingle_sets(part: pa.Array, k: int) -> list[np.ndarray]:
@@ -168,35 +171,65 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
+def overlaps(item: np.ndarray, owner: np.ndarray, n: int, rows: int) -> np.ndarray:
+    """Items in common of the sets 0..``rows`` - 1 with the sets ``n`` - columns..n - 1, where ``rows`` < n; of all sets with those after them, where rows = n.
+
+    ``item`` and ``owner``: one entry for each item of a set.
+    """
+    first = rows if rows < n else 0  # column of the result that stands for this set
+    out = np.zeros((rows, n - first), np.float32)
+    order = np.lexsort((owner, item))
+    item, owner = item[order], owner[order]
+    count = np.bincount(item)
+    few = count[item] <= FEW
+    rare, holder = item[few], owner[few]
+    for d in range(1, int(count[count <= FEW].max(initial=1))):
+        k = np.flatnonzero(rare[d:] == rare[:-d])
+        x, y = holder[k], holder[k + d]
+        inside = (x < rows) & (y >= first)
+        np.add.at(out, (x[inside], y[inside] - first), 1)
+    many = np.flatnonzero(count > FEW)
+    column = np.full(len(count), -1)
+    for begin in range(0, len(many), 512):
+        part = many[begin : begin + 512]
+        column[part] = np.arange(len(part))
+        here = column[item] >= 0
+        held = np.zeros((n, len(part)), np.float32)
+        held[owner[here], column[item[here]]] = 1
+        out += held[:rows] @ held[first:].T
+        column[part] = -1
+    return out
+
+
 def block_links(percent: int):
     """For the members of one block, or of two blocks, of a bucket: links that join different components, no more than join them."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        lists = table["items"].combine_chunks()
-        values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-        values, at = values[at[0] : at[-1]], at[:-1] - at[0]
-        _, place = np.unique(values, return_inverse=True)
-        n = np.diff(np.append(at, len(values)))
-        own, ids = table["own"].to_numpy(), table["id"].to_numpy()
-        _, root = np.unique(table["c"].to_numpy(), return_inverse=True)
         between = table["i"][0].as_py() != table["j"][0].as_py()
-        mark = np.zeros(int(place.max(initial=-1)) + 1, np.int32)
-        found: list[tuple] = []
-        for x in range(len(ids)):
-            may = (root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
-            may &= (own != own[x]) if between else (np.arange(len(ids)) > x)
-            if not may.any():
-                continue
-            items = place[at[x] : at[x] + n[x]]
-            mark[items] = 1
-            both = np.add.reduceat(mark[place], at)
-            mark[items] = 0
-            for y in np.flatnonzero(may & (100 * both >= percent * (n + n[x] - both))):
-                if root[y] != root[x]:
-                    found.append((ids[x], ids[y]))
-                    root[root == root[y]] = root[x]
+        table = table.take(pa.array(np.argsort(table["own"].to_numpy(), kind="stable"))).combine_chunks()
+        lists, own = table["items"].combine_chunks(), table["own"].to_numpy()
+        n = len(own)
+        rows = int((own == own[0]).sum()) if between else n
         kind = table["id"].type
+        found: list[tuple] = []
+        if n > 1 and (rows < n or not between):
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            _, item = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            both = overlaps(item, np.repeat(np.arange(n), sizes), n, rows).astype(np.int64)
+            first = rows if between else 0
+            links = 100 * both >= percent * (sizes[:rows, None] + sizes[None, first:] - both)
+            bands, key = table["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1), table["key"][0].as_py()
+            place = int(np.flatnonzero(bands[0] == key)[0])
+            ids, (_, root) = table["id"].to_numpy(), np.unique(table["c"].to_numpy(), return_inverse=True)
+            for x in range(rows):
+                y = np.flatnonzero(links[x]) + first
+                y = y[(y > x) & (root[y] != root[x])]
+                y = y[~(bands[y, :place] == bands[x, :place]).any(axis=1)]
+                for other in y:
+                    if root[other] != root[x]:
+                        found.append((ids[x], ids[other]))
+                        root[root == root[other]] = root[x]
         return pa.table({"a": pa.array([min(f) for f in found], kind), "b": pa.array([max(f) for f in found], kind)})
 
     return run
@@ -206,7 +239,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str,
     """(id, component) of the representatives that are linked with others."""
     members = reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     ends = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi")).where("lo.id < hi.id")
-    members = materialize(members.join(ends, "key"), "members")
+    members = materialize(members.join(materialize(ends, "ends"), "key"), "members")  # tables on both sides, so that large partitions can be split
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     sets = materialize(full_sets(docs, members.select("id").distinct(), id_col, text_col, k).dropDuplicates(["id"]), "sets")
@@ -218,11 +251,11 @@ def similar_links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str,
 
     rest = members.where((F.col("id") != F.col("lo.id")) & (F.col("id") != F.col("hi.id"))).select("key", "id", "n").distinct()
     rest = rest.join(of, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = rest.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mixed = rest.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks"))
     rest = rest.join(mixed.where("c_lo < c_hi").select("key", "blocks"), "key")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c")
-    more = rest.join(sets, "id").groupBy("key", "i", "j").applyInArrow(block_links(percent), T.StructType([T.StructField(x, members.schema["id"].dataType) for x in "ab"]))
+    more = rest.join(sets, "id").join(reps.select("id", "bands"), "id").groupBy("key", "i", "j").applyInArrow(block_links(percent), T.StructType([T.StructField(x, members.schema["id"].dataType) for x in "ab"]))
     more = materialize(more, "more")
     if not more.limit(1).count():
         return of
@@ -236,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = some.groupBy(F.col("set_a").alias("ca"), F.col("set_b").alias("cb")).agg(F.min("id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = some.join(classes, (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")) & (F.col("id") == F.col("rep"))).select("id", "n_shingles", "bands").dropDuplicates(["id"])
-    of = similar_links(docs, reps, id_col, text_col, k, percent)
+    of = similar_links(docs, materialize(reps, "reps"), id_col, text_col, k, percent)
     classes = classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("ca", "cb", F.coalesce("component", "rep").alias("component"))
     out = prints.drop("bands").join(classes, (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")) & (F.col("n_shingles") > 0) & F.col("id").isNotNull(), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))

@@ -84,7 +84,7 @@ def test_sketch_estimates_similarity():
 def test_block_links_join_components():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 14, 12)) for _ in range(40)]
-    table = pa.table({"own": [i % 2 for i in range(40)], "i": [0] * 40, "j": [1] * 40, "id": list(range(40)), "c": list(range(40)), "items": [s.tolist() for s in sets]})
+    table = pa.table({"own": [i % 2 for i in range(40)], "i": [0] * 40, "j": [1] * 40, "id": list(range(40)), "c": list(range(40)), "items": [s.tolist() for s in sets], "key": [7] * 40, "bands": [[100 + i, 7, 0] for i in range(40)]})
     out = neardup.block_links(80)(table).to_pylist()
     for r in out:
         a, b = set(sets[r["a"]]), set(sets[r["b"]])
@@ -99,6 +99,37 @@ def test_block_links_join_components():
                 assert root[x] == root[y]
 
 
+def test_overlaps_as_sets(monkeypatch):
+    rng = np.random.default_rng(3)
+    for few in (2, 48):
+        monkeypatch.setattr(neardup, "FEW", few)
+        for n, rows in ((30, 30), (30, 11), (2, 1), (1, 1), (700, 300)):
+            sets = [set(rng.integers(0, 900, rng.integers(1, 60)).tolist()) for _ in range(n)]
+            owner = np.repeat(np.arange(n), [len(s) for s in sets])
+            _, item = np.unique(np.array([x for s in sets for x in sorted(s)]), return_inverse=True)
+            got, first = neardup.overlaps(item, owner, n, rows), rows if rows < n else 0
+            for x in range(0, rows, 7):
+                for y in range(max(first, x + 1), n, 5):
+                    assert got[x, y - first] == len(sets[x] & sets[y])
+
+
+def test_pairs_of_several_bands_are_verified_in_the_first():
+    """0 and 1 share an earlier band, 0 and 2 only this one; all are equal sets of three components."""
+    table = pa.table({"own": [0] * 3, "i": [0] * 3, "j": [0] * 3, "id": [0, 1, 2], "c": [0, 1, 2], "items": [[1, 2, 3]] * 3, "key": [7] * 3, "bands": [[5, 7], [5, 7], [6, 7]]})
+    assert neardup.block_links(80)(table).to_pylist() == [{"a": 0, "b": 2}, {"a": 1, "b": 2}]
+
+
+def test_unlinked_family_of_one_template(spark):
+    """1,500 texts of one template, all pairs at similarity 0.75 (no link), but for 40 near copies of three of them."""
+    rng = random.Random(9)
+    template = [f"t{k}" for k in range(150)]
+    rows = [(i, " ".join(template + [f"u{i}x{k}" for k in range(20)])) for i in range(1500)]
+    rows += [(5000 + i, rows[rng.choice((700, 800, 900))][1] + " end") for i in range(40)]
+    got = {r.id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    base = {t: i for i, t in rows[:1500]}
+    assert got == {i: base[t.removesuffix(" end")] for i, t in rows}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
