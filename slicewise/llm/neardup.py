@@ -41,7 +41,7 @@ from .common import byte_codes, col, fresh, materialize, mix, pieces_of, span_ha
 from .links import components
 
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of a bitmap of ids: 32 MB at most
-BLOCK, BLOCK_ITEMS = 1000, 1 << 19  # documents and shingles of a block, on average
+BLOCK, BLOCK_ITEMS = 400, 1 << 19  # documents and shingles of a block, on average
 FEW = 48  # holders of a shingle up to which they are paired; above, matrix products count
 
 
