@@ -1,14 +1,20 @@
 """TIFF media columns: writing payloads as TIFF, and reading every page of TIFF bytes.
 
 The reader walks the chain of image directories (either byte order), decodes strips or
-tiles (none, LZW, deflate, PackBits), undoes horizontal differencing, and gives one row
-per page with its samples in row order, 8 or 16 bits (16 bits little-endian), chunky;
+tiles (none, LZW, deflate, PackBits), undoes predictors (horizontal differencing, and
+that of floating-point samples), and gives one row per page with its samples in row
+order, whole numbers of 8 or 16 bits or floats of 16, 32 or 64 (little-endian), chunky;
 planar pages are made chunky.  Each page is decoded by itself; a row is never dropped.
+Files of one payload each can be read as a row per file, its pages in one.
+
+A payload is stored as one to three pages, and its rows give the codec of the first; the
+others follow in turn, so that LZW, PackBits and deflate, strips and tiles, and the walk
+along the directories all stand between a text and its copy.
 
 Defined results: null media gives one row with page null and error ``null``; media that
 is no TIFF, or a page that can't be decoded, gives a row with its error; a directory
-chain that loops ends with an error row; an empty table gives an empty result; columns
-to keep are listed by the caller and come first under their own names.
+chain that loops ends with an error row (read as a file, the error of any page is the file's,
+and its samples are null); an empty table gives an empty result; columns to keep are listed by the caller and come first under their own names.
 """
 
 from __future__ import annotations
@@ -28,7 +34,8 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 # Tag numbers, and bytes and format letters of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
-TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 322, 323, 324, 325
+TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
+FLOATS = {16: np.float16, 32: np.float32, 64: np.float64}
 FIELD = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 
 
@@ -241,9 +248,10 @@ def read_page(data: bytes, order: str, fields: dict) -> np.ndarray:
     one = lambda tag, default=None: fields[tag][0] if tag in fields else default
     width, height, channels = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits = set(fields.get(BITS, (8,)))
-    if not width or not height or bits - {8, 16} or len(bits) != 1:
-        raise ValueError("only pages of 8 or 16 bits a sample with width and height are supported")
-    kind = np.dtype(np.uint8) if bits == {8} else np.dtype(np.uint16).newbyteorder(order)
+    floats = set(fields.get(SAMPLE_FORMAT, (1,))) == {3}
+    if not width or not height or len(bits) != 1 or bits - (set(FLOATS) if floats else {8, 16}):
+        raise ValueError("only pages with width and height and samples of one size, 8 or 16 bits or floats, are supported")
+    kind = np.dtype(FLOATS[min(bits)] if floats else np.uint8 if bits == {8} else np.uint16).newbyteorder(order)
     tiled = TILE_AT in fields
     h, w = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
     places, sizes = fields[TILE_AT if tiled else STRIP_AT], fields[TILE_BYTES if tiled else STRIP_BYTES]
@@ -257,11 +265,17 @@ def read_page(data: bytes, order: str, fields: dict) -> np.ndarray:
         y, x = k // across * h, k % across * w
         rows = h if tiled else min(h, height - y)
         raw = _decode(one(COMPRESSION, 1), data[places[i] : places[i] + sizes[i]], rows * w * depth * kind.itemsize)
-        part = np.frombuffer(raw, kind).reshape(rows, w, depth)
-        if one(PREDICTOR, 1) == 2:
+        predictor = one(PREDICTOR, 1)
+        if predictor == 3 and floats:  # differences of bytes, highest bytes of a row first
+            planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, w * kind.itemsize, depth), axis=1, dtype=np.uint8)
+            raw = planes.reshape(rows, kind.itemsize, w * depth).transpose(0, 2, 1).tobytes()
+            part = np.frombuffer(raw, kind.newbyteorder(">")).reshape(rows, w, depth)
+        else:
+            part = np.frombuffer(raw, kind).reshape(rows, w, depth)
+        if predictor == 2 and not floats:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
-        elif one(PREDICTOR, 1) != 1:
-            raise ValueError("only horizontal differencing is supported")
+        elif predictor != 1 and not (predictor == 3 and floats):
+            raise ValueError(f"predictor {predictor} isn't supported for these samples")
         out[y : y + rows, x : x + w, plane : plane + depth] = part[: height - y, : width - x]
     return out
 
@@ -272,6 +286,8 @@ PAGE = [("page", T.IntegerType(), pa.int32()), ("width", T.LongType(), pa.int64(
 def feature(a: np.ndarray, fields: dict) -> str:
     """Size, codec, extremes, sum and a histogram of 8 equal steps of the samples read."""
     flat = a.reshape(-1)
+    if flat.dtype.kind == "f":
+        return f"{a.shape[1]}x{a.shape[0]}x{a.shape[2]};f{flat.dtype.itemsize * 8};{np.nanmin(flat)}..{np.nanmax(flat)}"
     steps = np.bincount(flat >> (flat.dtype.itemsize * 8 - 3), minlength=8)
     layout = "tiles" if TILE_AT in fields else "strips"
     return f"{a.shape[1]}x{a.shape[0]}x{a.shape[2]};{layout};c{fields.get(COMPRESSION, (1,))[0]};p{fields.get(PREDICTOR, (1,))[0]};{flat.min()}..{flat.max()};sum={int(flat.sum(dtype=np.uint64))};" + ",".join(map(str, steps))
@@ -328,15 +344,42 @@ def tiff_pages(df: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
 
 
 def payload_tiff(payload: bytes) -> bytes:
-    """One page of 64 columns; the codec, predictor and layout follow from the number of rows alone."""
+    """Pages of 64 columns; their number, codecs, predictors and layouts follow from the number of rows alone."""
     a = np.frombuffer(payload, np.uint8).reshape(-1, 64)
     how = (
         {"compression": DEFLATE, "predictor": 2},
-        {"compression": PACKBITS},
+        {"compression": PACKBITS, "rows": 128},
         {"compression": DEFLATE, "tile": (256, 64)},
         {"compression": LZW, "predictor": 2},
-    )[len(a) % 4]
-    return write_tiff([{"samples": a, **how}])
+    )
+    parts = np.array_split(a, min(len(a), 1 + len(a) // 4 % 3))
+    return write_tiff([{"samples": part, **how[(len(a) + k) % 4]} for k, part in enumerate(parts)])
+
+
+FILE = [("pages", T.IntegerType(), pa.int32()), ("samples", T.BinaryType(), pa.binary()), ("feature", T.StringType(), pa.string()), ("error", T.StringType(), pa.string())]
+
+
+def tiff_files(df: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
+    """A row per media value: the ``keep`` columns, then pages, samples of all pages in order, their features, and the first error."""
+    if clash := {c.lower() for c in keep} & {name for name, _, _ in FILE}:
+        raise ValueError(f"rename these columns first: {sorted(clash)}")
+
+    def run(batches):
+        for batch in batches:
+            media, at = batch.column(len(keep)), 0
+            while at < batch.num_rows:
+                held, size, begin = [], 0, at
+                while at < batch.num_rows and size < 4 << 20:
+                    rows = list(pages_of(media[at].as_py()))
+                    error = next((r[7] for r in rows if r[7]), None)
+                    held.append((len(rows), None, None, error) if error else (len(rows), b"".join(r[5] for r in rows), "|".join(r[6] for r in rows), None))
+                    size += sum(len(r[5] or b"") for r in rows)
+                    at += 1
+                kept = [batch.column(k).slice(begin, at - begin) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, *[pa.array([h[k] for h in held], t) for k, (_, _, t) in enumerate(FILE)]], names=[*keep, *[n for n, _, _ in FILE]])
+
+    fields = [T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(n, t) for n, t, _ in FILE]
+    return df.select(*[col(c) for c in keep], col(media_col)).mapInArrow(run, T.StructType(fields))
 
 
 def store_payloads(df: DataFrame, payload_col: str, media_col: str) -> DataFrame:
@@ -360,8 +403,8 @@ def op2_tiff_pages(spark, sf_dir: str) -> DataFrame:
     stored = store_payloads(rows, "payload", "media").select(
         "doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media"
     )
-    pages = tiff_pages(stored, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
-    return pages.select(
+    files = tiff_files(stored, "media", ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    return files.select(
         "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
-        F.crc32(F.substring("samples", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "page",
+        F.crc32(F.substring("samples", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature", "pages",
     )

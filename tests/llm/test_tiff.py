@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slicewise.llm import tiff
 from tests.conftest import SMALL
@@ -65,8 +66,37 @@ def test_query_is_a_round_trip(spark):
         r, media = rows.pop(d.doc_id), tiff.payload_tiff(payload)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
-        codecs.add(r.feature.split(";")[2])
-    assert not rows and codecs == {"c5", "c8", "c32773"}
+        found = [f.split(";")[1:3] for f in r.feature.split("|")]
+        assert len(found) == r.pages == min(len(payload) // 64, 1 + len(payload) // 256 % 3)
+        codecs |= {tuple(f) for f in found}
+    assert not rows and codecs == {("strips", "c5"), ("strips", "c8"), ("tiles", "c8"), ("strips", "c32773")}
+
+
+def test_files_of_several_pages_and_errors(spark):
+    good = tiff.payload_tiff(bytes(range(256)) * 3)
+    pages = list(tiff.pages_of(good))
+    assert len(pages) == 1 + 12 // 4 % 3 and b"".join(p[5] for p in pages) == bytes(range(256)) * 3
+    two = tiff.payload_tiff(bytes(64 * 8))
+    df = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"no tiff")), (4, bytearray(two)), (4, bytearray(two))], "id long, media binary")
+    got = sorted(tuple(r) for r in tiff.tiff_files(df, "media", ["id"]).select("id", "pages", F.octet_length("samples"), F.col("error").isNull()).collect())
+    assert got == [(1, 1, 768, True), (2, 1, None, False), (3, 1, None, False), (4, 3, 512, True), (4, 3, 512, True)]
+    assert tiff.tiff_files(df.limit(0), "media", ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+@pytest.mark.parametrize("channels", [1, 3])
+def test_floating_point_predictor(order, kind, channels):
+    a = np.random.default_rng(6).normal(size=(7, 5, channels)).astype(kind)
+    size = a.dtype.itemsize
+    planes = a.astype(a.dtype.newbyteorder(">")).view(np.uint8).reshape(7, 5 * channels, size).transpose(0, 2, 1).reshape(7, 5 * size, channels)
+    raw = np.concatenate([planes[:, :1], planes[:, 1:] - planes[:, :-1]], axis=1).astype(np.uint8).tobytes()
+    fields = {tiff.WIDTH: (5,), tiff.HEIGHT: (7,), tiff.BITS: (size * 8,) * channels, tiff.SAMPLES: (channels,), tiff.SAMPLE_FORMAT: (3,) * channels, tiff.PREDICTOR: (3,), tiff.ROWS_PER_STRIP: (7,), tiff.STRIP_AT: (0,), tiff.STRIP_BYTES: (len(raw),)}
+    assert (tiff.read_page(raw, order, fields) == a).all()
+    plain = a.astype(a.dtype.newbyteorder(order)).tobytes()
+    assert (tiff.read_page(plain, order, fields | {tiff.PREDICTOR: (1,), tiff.STRIP_BYTES: (len(plain),)}) == a).all()
+    with pytest.raises(ValueError, match="predictor"):
+        tiff.read_page(plain, order, fields | {tiff.PREDICTOR: (2,)})
 
 
 def test_empty_text_has_one_row_of_zeros():
@@ -78,3 +108,6 @@ def test_long_payloads_are_lzw():
     payload = np.random.default_rng(4).integers(0, 256, (303, 64)).astype(np.uint8).tobytes()  # over 4,096 codes
     (page,) = list(tiff.pages_of(tiff.payload_tiff(payload)))
     assert page[4] == tiff.LZW and page[5] == payload
+    payload *= 3
+    first, *others = list(tiff.pages_of(tiff.payload_tiff(payload)))
+    assert {p[4] for p in (first, *others)} >= {tiff.PACKBITS} and b"".join(p[5] for p in (first, *others)) == payload
