@@ -12,8 +12,9 @@ Exactness.  One merge after another, best score first and leftmost among equals,
 what the library does.  Merging all occurrences of the best pair at once gives the
 same where a merge makes no pair of an equal or better rank; pieces for which it can
 are merged one occurrence a round.  Runs of blanks, whose pieces all score alike and
-last, are put together by the sequential rule once per run length.  Very long
-segments without a blank go through a heap.  Characters without a piece become byte
+last, are put together by the sequential rule once per run length.  Long segments
+without a blank run the same rounds with a bucket of pairs per rank, so that a round
+costs what it merges, not the segment's length.  Characters without a piece become byte
 pieces.
 
 Defined results: null is the empty text, which has no ids; rows are independent, so
@@ -247,32 +248,61 @@ class PieceModel:
             return careful
         return np.isin(segment, segment[careful])
 
-    def _one_by_one(self, text: str) -> list[int]:
-        """The sequential rule with a heap, for one long segment."""
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-        symbols = np.where(self.of_point[points] < 0, -1 - points, self.of_point[points]).tolist()
-        n = len(symbols)
-        left, right, alive, heap = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n, []
-        table = self.__dict__.setdefault("_pair_table", {int(k): (int(r), int(m)) for k, r, m in zip(self.keys[:-1], self.ranks, self.made, strict=False)})
-
-        def push(i):
-            if 0 <= i < n and right[i] < n and symbols[i] >= 0 and symbols[right[i]] >= 0:
-                got = table.get(symbols[i] * self.n_symbols + symbols[right[i]])
-                if got:
-                    heapq.heappush(heap, (got[0], i, right[i], symbols[i], symbols[right[i]], got[1]))
-
-        for i in range(n):
-            push(i)
-        while heap:
-            _, i, j, a, b, made = heapq.heappop(heap)
-            if not (alive[i] and alive[j]) or right[i] != j or symbols[i] != a or symbols[j] != b:
+    def _long_rounds(self, points: np.ndarray) -> np.ndarray:
+        """``_rounds`` for one long segment: the same rounds, but pairs wait in a bucket per rank, so a round touches only the pairs of the least rank.
+
+        Simultaneous merges of a round end after the first whose new pair has that rank or
+        a better one: in order, that pair would be next.
+        """
+        points = points.astype(np.int64)
+        n = len(points)
+        symbols = np.append(np.where(self.of_point[points] < 0, -1 - points, self.of_point[points]), -1)  # the last entry stands for no neighbour
+        left, right = np.append(np.arange(-1, n - 1), -1), np.append(np.arange(1, n + 1), n)
+        alive = np.append(np.ones(n, bool), False)
+        pair = np.full(n + 1, len(self.keys) - 1)
+        buckets: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(at):
+            pair[at] = self.pairs(symbols[at], symbols[right[at]])
+            rank = self.ranks[pair[at]]
+            some = np.argsort(rank, kind="stable")
+            some = some[rank[some] != NO_RANK]
+            cut = np.flatnonzero(np.diff(rank[some])) + 1
+            for part in np.split(some, cut) if len(some) else ():
+                r = int(rank[part[0]])
+                if r not in buckets:
+                    buckets[r] = []
+                    heapq.heappush(queue, r)
+                buckets[r].append(at[part])
+
+        wait(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            best = np.unique(np.concatenate(buckets.pop(r)))
+            best = best[alive[best] & (self.ranks[pair[best]] == r)]
+            if not len(best):
                 continue
-            symbols[i], alive[j], right[i] = made, False, right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            push(left[i])
-            push(i)
-        return [s for s, a in zip(symbols, alive, strict=True) if a]
+            fresh = np.concatenate(([True], right[best[:-1]] != best[1:]))
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(best)), 0))
+            best = best[(np.arange(len(best)) - run) % 2 == 0]
+            made, second = self.made[pair[best]].astype(np.int64), right[best]
+            after = right[second]
+            beside = np.concatenate(([False], after[:-1] == best[1:]))  # right after the merge before it
+            before = np.where(beside, np.append(-1, made[:-1]), symbols[left[best]])
+            sooner = np.minimum(self.ranks[self.pairs(before, made)], self.ranks[self.pairs(made, symbols[after])]) <= r
+            if sooner.any():
+                stop = int(sooner.argmax()) + 1
+                if stop < len(best):
+                    buckets[r] = [best[stop:]]
+                    heapq.heappush(queue, r)
+                best, made, second, after = best[:stop], made[:stop], second[:stop], after[:stop]
+            symbols[best], alive[second], right[best] = made, False, after
+            left[after] = best
+            left[n] = -1
+            around = np.concatenate([left[best], best])
+            wait(np.unique(around[around >= 0]))
+        return symbols[:n][alive[:n]]
 
     def blank_run(self, n: int) -> list[int]:
         """Pieces of a run of n blanks: best score first, leftmost among equals."""
@@ -341,10 +371,8 @@ class PieceModel:
             symbols.append(s)
             counts.append(c)
         for t in long_ones:
-            body = t.lstrip(BLANK) if self.blanks_last else t
-            lead = len(t) - len(body)
-            s = [self.symbols[BLANK]] * max(0, lead - 1) + self._one_by_one(BLANK * (lead > 0) + body)
-            symbols.append(np.array(s, np.int64))
+            s = self._long_rounds(np.frombuffer(t.encode("utf-32-le"), np.uint32))
+            symbols.append(s)
             counts.append(np.array([len(s)]))
         symbols, counts = np.concatenate(symbols), np.concatenate(counts)
         if self.blanks_last:

@@ -4,12 +4,13 @@ Texts become piece ids; a document's ids are cut into sequences of ``length`` id
 last one padded).  Documents reserve numbers in scan order, as many as their bytes
 could make sequences, so a sequence's number is known without encoding what comes
 before it.  A keyed Feistel permutation over the next power of four, walked on until it
-falls below the amount of numbers reserved, sends every number to its place; shards are
-equal ranges of places.  A shuffle by shard puts whole shards into tasks, which sort by
-place and write records of equal size.  A sequence's global slot is its rank by place:
-the records of the shards before its own and of its shard before it, so slots are
-exactly 0..N-1.  Reading from any slot on is one seek and sequential reads, and a
-reader resumes by its slot alone.
+falls below the amount of numbers reserved, sends every number to its place.  Equal
+ranges of places are the tasks of one shuffle, about ``task_bytes`` each; a task sorts by
+place and writes shards of ``shard_bytes``, all full but its last.  A sequence's global
+slot is its rank by place, so slots are exactly 0..N-1, and follow from the number of
+records of each task: that table (a number per task, however many shards it wrote) is
+all a reader needs.  Reading from any slot on opens the folder of its task and those
+after it, and a reader resumes by its slot alone.
 
 A record is ``stride`` bytes: valid ids (uint32), document id (int64), number within the
 document (uint32), the ids (uint16, little-endian), and one line feed, which Spark's
@@ -18,7 +19,7 @@ store the path names, and a lost executor's task just runs again.
 
 Texts are encoded once.  The counting pass reads only their sizes; the writing pass must
 see the same partitions, compares sizes and ids with the first's, and stops if they
-differ.
+differ.  Three numbers a partition are broadcast for that.
 
 Defined results: null and empty texts have no sequences; null ids are stored as the
 smallest int64; repeated rows are separate sequences; an empty table gives no shards.
@@ -41,7 +42,7 @@ from .pieces import CHUNK, PieceModel, default_model
 HEAD = 16  # bytes of a record before its ids
 NO_ID = -(2**63)
 PRIME = 1_000_003
-EXPECTED = 0.4  # sequences made of those reserved; for the number of shards only
+EXPECTED = 0.4  # sequences made of those reserved; for the number of tasks only
 
 
 def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -82,7 +83,7 @@ def reserved(size: np.ndarray, length: int) -> np.ndarray:
     return np.where(size > 0, -(-(size + 1) // length), 0)
 
 
-def write_shards(docs: DataFrame, path: str, *, model: str, id_col: str = "doc_id", text_col: str = "text", length: int = 512, key: int = 20, shard_bytes: int = 4 << 20, stable: bool = False) -> dict:
+def write_shards(docs: DataFrame, path: str, *, model: str, id_col: str = "doc_id", text_col: str = "text", length: int = 512, key: int = 20, shard_bytes: int = 4 << 20, task_bytes: int = 64 << 20, stable: bool = False) -> dict:
     """Write all sequences of ``docs`` under ``path``; gives the manifest, which stands there as JSON too.
 
     ``stable`` says that ``docs`` is a plain scan, whose partitions are the same each time;
@@ -98,15 +99,18 @@ def write_shards(docs: DataFrame, path: str, *, model: str, id_col: str = "doc_i
     size = F.octet_length(F.coalesce("text", F.lit("")))
     most = F.when(size > 0, F.ceil((size + 1) / length)).otherwise(F.lit(0))
     check = F.sum(F.pmod(F.coalesce("id", F.lit(NO_ID)), F.lit(PRIME)) + size)
-    first, total = {}, 0
-    for r in sorted(rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(most).alias("n"), check.alias("check")).collect()):  # a row per partition
-        first[r.part] = (total, r.n, r.check)
-        total += r.n
-    shards = max(1, round(total * EXPECTED * stride / shard_bytes))
-    span = -(-max(total, 1) // shards)
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(most).cast("long").alias("n"), check.cast("long").alias("check")).toArrow().sort_by("part")
+    known, n_of, check_of = (parts[c].to_numpy() for c in ("part", "n", "check"))
+    total = int(n_of.sum())
+    first = spark.sparkContext.broadcast((known, np.cumsum(n_of) - n_of, n_of, check_of))
+    per_file = max(1, shard_bytes // stride)
+    tasks = max(1, round(total * EXPECTED * stride / task_bytes))
+    span = -(-max(total, 1) // tasks)
 
     def place(batches):
-        begin, n, check = first.get(TaskContext.get().partitionId(), (0, 0, 0))
+        known, begins, n_of, check_of = first.value
+        own = int(np.searchsorted(known, TaskContext.get().partitionId()))
+        begin, n, check = (int(x[own]) for x in (begins, n_of, check_of)) if own < len(known) and known[own] == TaskContext.get().partitionId() else (0, 0, 0)
         at, got = begin, 0
         for ids, names, number, valid, doc, size in sequences(batches, model, length):
             most = reserved(size, length)
@@ -125,19 +129,28 @@ def write_shards(docs: DataFrame, path: str, *, model: str, id_col: str = "doc_i
             raise RuntimeError("a partition differs from its first reading: the input isn't stable")
 
     if total:
-        placed = rows.mapInArrow(place, "place long, record binary").withColumn("shard", (F.col("place") / span).cast("int"))
-        placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("place").select(F.col("record").cast("string").alias("value")).write.option("compression", "none").text(path + "/data")
-    counts = [0] * (shards if total else 0)
-    if total:
-        for r in _files(spark, path).select("shard", "length").collect():  # a row per shard
-            counts[r.shard] = r.length // stride
-    manifest = {"sequences": sum(counts), "length": length, "stride": stride, "counts": counts, "key": key, "dtype": "<u2"}
+        placed = rows.mapInArrow(place, "place long, record binary").withColumn("task", (F.col("place") / span).cast("int"))
+        placed = placed.repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "place").select("task", F.col("record").cast("string").alias("value"))
+        placed.write.partitionBy("task").option("compression", "none").option("maxRecordsPerFile", per_file).text(path + "/data")
+        counts = _files(spark, path).groupBy("task").agg((F.sum("length") / stride).cast("long").alias("records"))
+    else:
+        counts = spark.createDataFrame([], "task int, records long")
+    counts.coalesce(1).write.parquet(path + "/tasks")
+    manifest = {"sequences": int(_tasks(spark, path)[1].sum()), "length": length, "stride": stride, "per_file": per_file, "key": key, "dtype": "<u2"}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(path + "/manifest")
     return manifest
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path + "/data").withColumn("shard", F.regexp_extract("path", r"part-(\d+)", 1).cast("int"))
+    """The shards: path, length, content, task (a folder) and place in its task's row of files."""
+    files = spark.read.format("binaryFile").load(path + "/data").where("length > 0")
+    return files.withColumn("file", F.regexp_extract("path", r"\.c(\d+)\.[^/]*$", 1).cast("int"))
+
+
+def _tasks(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Tasks that wrote records, in order, and how many."""
+    table = spark.read.schema("task int, records long").parquet(path + "/tasks").toArrow().sort_by("task")
+    return table["task"].to_numpy(), table["records"].to_numpy()
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
@@ -152,25 +165,31 @@ def parse_records(data: bytes, manifest: dict, skip: int = 0) -> tuple[np.ndarra
 
 
 def read_shards(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """doc_id, number, slot, n_tokens, shard, offset (of the record in its shard) and ids (bytes of the valid ones, uint16), from slot ``start`` on; shards before it aren't opened."""
+    """doc_id, number, slot, n_tokens, shard, offset (of the record in its shard) and ids (bytes of the valid ones, uint16), from slot ``start`` on; folders of tasks before it aren't opened."""
     manifest = read_manifest(spark, path)
-    schema = "doc_id long, number int, slot long, n_tokens int, shard int, offset long, ids binary"
+    schema = "doc_id long, number int, slot long, n_tokens int, shard long, offset long, ids binary"
     if start >= manifest["sequences"]:
         return spark.createDataFrame([], schema)
-    first = np.append(0, np.cumsum(manifest["counts"]))
-    opened = int(np.searchsorted(first, start, side="right")) - 1
-    files = _files(spark, path).where(F.col("shard") >= opened).select("shard", "content")
+    tasks, records = _tasks(spark, path)
+    per_file, stride = manifest["per_file"], manifest["stride"]
+    first, shards = np.append(0, np.cumsum(records)), np.append(0, np.cumsum(-(-records // per_file)))
+    opened = int(tasks[np.searchsorted(first, start, side="right") - 1])
+    files = _files(spark, path).where(F.col("task") >= opened).select("task", "file", "content")
+    places = spark.sparkContext.broadcast((tasks, first, shards))
 
     def run(batches):
+        tasks, first, shards = places.value
         for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                skip = max(0, start - int(first[shard]))
+            for task, file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = int(np.searchsorted(tasks, task))
+                begin, size = int(first[own]) + file * per_file, len(data.as_buffer()) // stride
+                skip = min(size, max(0, start - begin))
                 names, number, valid, ids = parse_records(data.as_buffer(), manifest, skip)
-                place = np.arange(skip, skip + len(names))
+                place = np.arange(skip, size)
                 inside = np.arange(manifest["length"])[None, :] < valid[:, None]
                 bytes_of = pa.Array.from_buffers(pa.binary(), len(valid), [None, pa.py_buffer(np.append(0, 2 * np.cumsum(valid)).astype(np.int32)), pa.py_buffer(ids[inside])])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names), pa.array(number.astype(np.int32)), pa.array(first[shard] + place), pa.array(valid.astype(np.int32)), pa.array(np.full(len(names), shard, np.int32)), pa.array(place * manifest["stride"]), bytes_of],
+                    [pa.array(names), pa.array(number.astype(np.int32)), pa.array(begin + place), pa.array(valid.astype(np.int32)), pa.array(np.full(len(names), shards[own] + file)), pa.array(place * stride), bytes_of],
                     names=["doc_id", "number", "slot", "n_tokens", "shard", "offset", "ids"],
                 )
 
