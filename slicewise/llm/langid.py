@@ -12,9 +12,9 @@ the negative cross-entropies, its temperature fitted on labelled rows that the m
 don't see, gives the score; texts above the cross-entropy that ``ACCEPT`` of those
 rows stay under are marked as not accepted (rejected), the best language still named.
 
-Learning reads at most about ``TRAIN_DOCS`` + ``CALIBRATION_DOCS`` labelled documents
-per language, chosen by a hash of the id: the classifier's documented bound.  Scoring
-reads every whole text.
+Learning reads about ``TRAIN_DOCS`` + ``CALIBRATION_DOCS`` labelled documents per
+language at most, and fewer where these would have more than ``SAMPLE_BYTES``, chosen by
+a hash of the id: the classifier's documented bound.  Scoring reads every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without
 labelled rows every text is ``und``; equal texts get equal predictions; an empty table
@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from .common import col, mix, pieces_of, span_hashes, text_buffer
 
 ORDER, TRAIN_DOCS, CALIBRATION_DOCS, ACCEPT = 4, 500, 200, 0.995
+SAMPLE_BYTES = 32 << 20  # of a language's texts, for learning and for calibration
 START, END = 1, 2
 
 _letters: list[np.ndarray] = []
@@ -230,10 +231,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Models from labelled documents whose fold is 0 or 1, calibrated on fold 3; fold 2 is never read."""
     known = docs.where(col(lang_col).isNotNull() & col(id_col).isNotNull()).select(col(lang_col).alias("lang"), fold(id_col).alias("f"), col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     # A count per language and role comes to the driver, so that texts are picked in the scan and move nowhere.
-    sizes = known.groupBy("lang").agg(F.count_if(F.col("f") < 2).alias("train"), F.count_if(F.col("f") == 3).alias("held")).collect()
+    sizes = known.groupBy("lang").agg(F.count_if(F.col("f") < 2).alias("train"), F.count_if(F.col("f") == 3).alias("held"), F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).collect()
     draw, chosen = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.lit(1_000_000)), F.lit(False)
     for r in sizes:
         for some, count, bound in ((F.col("f") < 2, r.train, train_docs), (F.col("f") == 3, r.held, calibration_docs)):
+            bound = min(bound, SAMPLE_BYTES * r.n / max(1, r.bytes or 0))  # documents of the language's mean size
             chosen = chosen | ((F.col("lang") == r.lang) & some & (draw * count < 1_000_000 * bound))
     picked = known.where(chosen).select("lang", "text", "f")
     grams = picked.where("f < 2").select("lang", "text").mapInArrow(_counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()

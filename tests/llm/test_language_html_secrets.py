@@ -43,6 +43,72 @@ def test_models_are_kneser_ney(spark):
     assert total <= 1.0 + 1e-6 and total > 0.9
 
 
+class PlainKneserNey:
+    """One language's interpolated Kneser-Ney model over dictionaries, by the textbook's recursion."""
+
+    def __init__(self, words, order, letters):
+        self.order, self.letters, self.counts = order, letters, {}
+        top = {}
+        for w in words:
+            w = "\x01" * (order - 1) + w + "\x02"
+            for i in range(order - 1, len(w)):
+                g = w[i - order + 1 : i + 1]
+                top[g] = top.get(g, 0) + 1
+        self.counts[order] = top
+        for k in range(order - 1, 0, -1):
+            before = {}
+            for g in self.counts[k + 1]:
+                if not g.endswith("\x01"):
+                    before.setdefault(g[1:], set()).add(g[0])
+            self.counts[k] = {g: len(x) for g, x in before.items() if not g.endswith("\x01")}
+
+    def discount(self, k):
+        n = list(self.counts[k].values())
+        ones, twos = n.count(1), n.count(2)
+        return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(self.letters) + 1)
+        after = {g: c for g, c in self.counts[k].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return self.p(gram[1:])
+        total, d = sum(after.values()), self.discount(k)
+        return max(0.0, after.get(gram, 0) - d) / total + d * len(after) / total * self.p(gram[1:])
+
+    def bits(self, words):
+        total, n = 0.0, 0
+        for w in words:
+            w = "\x01" * (self.order - 1) + w + "\x02"
+            for i in range(self.order - 1, len(w)):
+                total -= math.log2(self.p(w[i - self.order + 1 : i + 1]))
+                n += 1
+        return total / n
+
+
+def test_models_and_predictions_as_plain_kneser_ney(spark):
+    """Cross-entropies and languages named, for three small corpora and texts with letters, words and contexts that none has."""
+    rng = random.Random(21)
+    parts = {"aa": ["ba", "na", "lo", "mi"], "bb": ["sch", "ei", "n", "tz", "lo"], "cc": ["o", "u", "ñe", "ba"]}
+    word = lambda lang: "".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4)))
+    corpus = [(i, " ".join(word(lang) for _ in range(30)), lang) for i, lang in enumerate("aa bb cc".split() * 40)]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string, lang string")
+    models = langid.train(docs)
+    learnt = [(t, lang) for i, t, lang in corpus if zlib.crc32(str(i).encode()) % 4 < 2]
+    words = {lang: [w for t, x in learnt if x == lang for w in t.split()] for lang in parts}
+    letters = {c for ws in words.values() for w in ws for c in w} | {"\x01", "\x02"}
+    plain = {lang: PlainKneserNey(ws, langid.ORDER, letters) for lang, ws in words.items()}
+    tests = [(i, " ".join(word(lang) for _ in range(rng.randrange(1, 12)))) for i, lang in enumerate("aa bb cc".split() * 15)]
+    tests += [(100, "Bana, LOMI! 3 xyzzy"), (101, "zzz"), (102, "日本"), (103, "ñ")]
+    bits, has = models.entropies(pa.array([t for _, t in tests]))
+    got = {r.id: r for r in langid.predict(spark.createDataFrame(tests, "doc_id long, text string"), models).collect()}
+    for row, (i, t) in enumerate(tests):
+        want = {lang: m.bits(re.findall(r"[^\W\d_]+", t.lower())) for lang, m in plain.items()}
+        assert has[row] and bits[row].tolist() == pytest.approx([want[lang] for lang in models.langs], rel=1e-4)
+        assert want[got[i].lang_pred] == pytest.approx(min(want.values()), rel=1e-4) and got[i].bits == pytest.approx(min(want.values()), rel=1e-4)
+
+
 def test_hash_array():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2))
@@ -246,6 +312,40 @@ def test_incremental_entropy():
             assert bits == pytest.approx(want, abs=1e-9)
 
 
+def plain_entropy_spans(data):
+    """Every window of every class by itself, with counts anew, as covered places."""
+    covered = set()
+    mixed = lambda part: 2 <= sum(chr(b) in "0123456789" for b in part) < len(part)
+    listed = lambda part: part in secrets.ORDERED or any(a.fullmatch(part) for a in secrets.ALLOWED)
+    for m in secrets.CANDIDATE.finditer(data):
+        if not mixed(m[0]) or listed(m[0]):
+            continue
+        for runs, size, least in secrets.CLASSES.values():
+            for r in runs.finditer(m[0]):
+                for i in range(len(r[0]) - size + 1):
+                    part = r[0][i : i + size]
+                    bits = -sum(part.count(b) / size * math.log2(part.count(b) / size) for b in set(part))
+                    if not listed(r[0]) and mixed(r[0]) and mixed(part) and bits >= least - 1e-9:
+                        covered |= set(range(m.start() + r.start() + i, m.start() + r.start() + i + size))
+    return covered
+
+
+def test_entropy_spans_as_plain_windows():
+    rng = random.Random(13)
+    kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFabcdef0123456789+/=", "ab12", "abcdefghijklmnopqrstuvwxyz", "0123456789"]
+    found = 0
+    for _ in range(400):
+        text = "".join("".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(60))) + rng.choice([" ", "\n", ". ", "=", ":", "é"]) for _ in range(6)) if rng.random() < 0.3 else " ".join("".join(rng.choice(k) for _ in range(rng.randrange(60))) for k in rng.choices(kinds, k=5))
+        data = text.encode()
+        spans = secrets.entropy_spans(data)
+        got = {x for a, b in spans for x in range(a, b)}
+        want = plain_entropy_spans(data)
+        assert got == want, text
+        assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+        found += len(spans)
+    assert found > 200
+
+
 def test_entropy_finds_keys_and_leaves_text():
     key = b"sk8Jd02kLq9ZxT7vPw3RmB5nYc1H"
     assert secrets.entropy_spans(b"use " + key + b" now") == [(4, 4 + len(key))]
