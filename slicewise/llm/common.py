@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 512 << 10
 
@@ -53,13 +55,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: they go when the driver's collector finds them unused."""
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more, and let Spark drop the shuffles of finished steps."""
+    """Delete tables of ``materialize`` that nothing reads any more, and the shuffles of finished steps."""
     for df in tables:
-        jvm, path = df.sparkSession._jvm, _paths.pop(df)
-        place = jvm.org.apache.hadoop.fs.Path(path)
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
         place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-        jvm.System.gc()  # shuffle files go when the driver's collector finds them unused
+    sweep(tables[0].sparkSession)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, once the workers of its session have this package."""
+    ship(df.sparkSession)
+    return df
 
 
 def partitions(spark: SparkSession) -> int:
