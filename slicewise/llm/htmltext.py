@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, materialize, partitions
+from .common import col, materialize, partitions, shipped
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -243,7 +243,7 @@ def line_hashes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32()))], names=["id", "lines", "zones"])
 
     rows = pages.select(col(id_col).alias("id"), col(html_col).cast("string").alias("html"))
-    out = rows.mapInArrow(run, T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("zones", T.ArrayType(T.IntegerType()))]))
+    out = shipped(rows).mapInArrow(run, T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("zones", T.ArrayType(T.IntegerType()))]))
     return out.select("id", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), F.transform("lines", lambda x: F.length(x)).alias("sizes"), "zones")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, mix, pieces_of, span_hashes, text_buffer
+from .common import col, mix, pieces_of, shipped, span_hashes, text_buffer
 
 ORDER, TRAIN_DOCS, CALIBRATION_DOCS, ACCEPT = 4, 500, 200, 0.995
 SAMPLE_BYTES = 32 << 20  # of a language's texts, for learning and for calibration
@@ -229,7 +229,7 @@ def fold(id_col: str):
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModels:
     """Models from labelled documents whose fold is 0 or 1, calibrated on fold 3; fold 2 is never read."""
-    known = docs.where(col(lang_col).isNotNull() & col(id_col).isNotNull()).select(col(lang_col).alias("lang"), fold(id_col).alias("f"), col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    known = shipped(docs).where(col(lang_col).isNotNull() & col(id_col).isNotNull()).select(col(lang_col).alias("lang"), fold(id_col).alias("f"), col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     # A count per language and role comes to the driver, so that texts are picked in the scan and move nowhere.
     sizes = known.groupBy("lang").agg(F.count_if(F.col("f") < 2).alias("train"), F.count_if(F.col("f") == 3).alias("held"), F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).collect()
     draw, chosen = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.lit(1_000_000)), F.lit(False)
@@ -280,7 +280,7 @@ def predict(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", tex
 
     fields = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("accepted", T.BooleanType()), ("bits", T.DoubleType())]
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(*f) for f in fields]]))
+    return shipped(rows).mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(*f) for f in fields]]))
 
 
 def op5_kneser_ney(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_codes, col, fresh, materialize, mix, pieces_of, span_hashes, spread, text_buffer, window_hashes, word_spans
+from .common import byte_codes, col, fresh, materialize, mix, pieces_of, shipped, span_hashes, spread, text_buffer, window_hashes, word_spans
 from .links import components
 
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of a bitmap of ids: 32 MB at most
@@ -118,7 +118,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int
 
     long = T.LongType()
     fields = [T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, long) for c in ("n_shingles", "set_a", "set_b")], T.StructField("bands", T.ArrayType(long))]
-    return docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(run, T.StructType(fields))
+    return shipped(docs).select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(run, T.StructType(fields))
 
 
 def bitmap_bits(n: int) -> int:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_codes, col, pieces_of, span_hashes, spread, text_buffer
+from .common import byte_codes, col, pieces_of, shipped, span_hashes, spread, text_buffer
 
 BLANK = "▁"
 NO_RANK = np.int32(2**31 - 1)
@@ -503,7 +503,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), arrays, pa.array(pieces.decode(ids, counts), pa.string())], names=["id", "ids", "decoded"])
 
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
+    return shipped(rows).mapInArrow(run, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]))
 
 
 def default_model() -> str:

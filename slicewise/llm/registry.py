@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
-from ..shipping import ship
 from . import htmltext, langid, mixing, neardup, passages, pieces, quality, secrets, tiff, tokens
 
 
-def _shipped(query):
-    @functools.wraps(query)
-    def run(spark, sf_dir):
-        return query(ship(spark), sf_dir)
-
-    return run
-
-
 QUERIES = {
-    f.__name__: _shipped(f)
+    f.__name__: f
     for f in (
         tokens.op1_feistel_shards,
         tiff.op2_tiff_pages,

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, text_buffer
+from .common import col, shipped, text_buffer
 
 # The patterns of the contract, on UTF-8 bytes (case folding there is ASCII only).
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -134,7 +134,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, arrow)], names=["id", "spans"])
 
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("spans", SPANS)]))
+    return shipped(rows).mapInArrow(scan, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("spans", SPANS)]))
 
 
 def redact(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ()) -> DataFrame:
@@ -164,7 +164,7 @@ def redact(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ())
             columns[place] = pa.array(texts, pa.binary()).cast(column.type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(scan, docs.schema)
+    return shipped(docs).mapInArrow(scan, docs.schema)
 
 
 def op10_entropy_secrets(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col
+from .common import col, shipped
 
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 # Tag numbers, and bytes and format letters of field types.
@@ -340,7 +340,7 @@ def tiff_pages(df: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     fields = [T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(n, t) for n, t, _ in PAGE]
-    return df.select(*[col(c) for c in keep], col(media_col)).mapInArrow(merged, T.StructType(fields))
+    return shipped(df).select(*[col(c) for c in keep], col(media_col)).mapInArrow(merged, T.StructType(fields))
 
 
 def payload_tiff(payload: bytes) -> bytes:
@@ -379,7 +379,7 @@ def tiff_files(df: DataFrame, media_col: str, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*kept, *[pa.array([h[k] for h in held], t) for k, (_, _, t) in enumerate(FILE)]], names=[*keep, *[n for n, _, _ in FILE]])
 
     fields = [T.StructField(c, df.schema[c].dataType) for c in keep] + [T.StructField(n, t) for n, t, _ in FILE]
-    return df.select(*[col(c) for c in keep], col(media_col)).mapInArrow(run, T.StructType(fields))
+    return shipped(df).select(*[col(c) for c in keep], col(media_col)).mapInArrow(run, T.StructType(fields))
 
 
 def store_payloads(df: DataFrame, payload_col: str, media_col: str) -> DataFrame:
@@ -391,7 +391,7 @@ def store_payloads(df: DataFrame, payload_col: str, media_col: str) -> DataFrame
             media = [None if p is None else payload_tiff(p) for p in (x.as_py() for x in batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(media, pa.binary())], names=[*batch.schema.names, media_col])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(media_col, T.BinaryType())]))
+    return shipped(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(media_col, T.BinaryType())]))
 
 
 def op2_tiff_pages(spark, sf_dir: str) -> DataFrame:

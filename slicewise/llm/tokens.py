@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, materialize, mix, pieces_of, scratch_path, spread, text_buffer
+from .common import col, materialize, mix, pieces_of, scratch_path, shipped, spread, text_buffer
 from .pieces import CHUNK, PieceModel, default_model
 
 HEAD = 16  # bytes of a record before its ids
@@ -129,7 +129,7 @@ def write_shards(docs: DataFrame, path: str, *, model: str, id_col: str = "doc_i
             raise RuntimeError("a partition differs from its first reading: the input isn't stable")
 
     if total:
-        placed = rows.mapInArrow(place, "place long, record binary").withColumn("task", (F.col("place") / span).cast("int"))
+        placed = shipped(rows).mapInArrow(place, "place long, record binary").withColumn("task", (F.col("place") / span).cast("int"))
         placed = placed.repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "place").select("task", F.col("record").cast("string").alias("value"))
         placed.write.partitionBy("task").option("compression", "none").option("maxRecordsPerFile", per_file).text(path + "/data")
         counts = _files(spark, path).groupBy("task").agg((F.sum("length") / stride).cast("long").alias("records"))
@@ -193,7 +193,7 @@ def read_shards(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
                     names=["doc_id", "number", "slot", "n_tokens", "shard", "offset", "ids"],
                 )
 
-    out = files.mapInArrow(run, schema)
+    out = shipped(files).mapInArrow(run, schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
