@@ -180,61 +180,47 @@ def near_misses(spark, d):
 
 # ---------------------------------------------------------------- localization on texts
 
-_case = bucket_sql("'prompt|' || item_id")
-view("prompts", f"select cast(doc_id as varchar) as right_id, 'change_' || (doc_id % 5) as change_id, text from documents where {bucket_sql(chr(39) + 'shard|' + chr(39) + ' || doc_id')} < 300")
-view("regressed_prompts", f"select cast(item_id as varchar) as case_id, text from benchmark where {_case} < 700")
+view("prompts", "select cast(doc_id as varchar) as right_id, 'change_' || (doc_id % 5) as change_id, text from documents")
+view("regressed_prompts", "select cast(item_id as varchar) as case_id, text from benchmark")
 view("left_tokens", "select case_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) as t from regressed_prompts")
 view("right_tokens", "select right_id, change_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) as t from prompts")
-view("best_match", "select case_id, change_id, max(coalesce(len(list_intersect(l.t, r.t)) / nullif(len(list_distinct(list_concat(l.t, r.t))), 0), 0)) as best from left_tokens l cross join right_tokens r group by 1, 2")
+# a similarity above 0 needs a shared token, so pairs meet on tokens
+_BEST = "select case_id, change_id, max(n / (nl + nr - n)) as best from (select case_id, right_id, change_id, nl, nr, count(*) as n from (select case_id, len(t) as nl, unnest(t) as w from left_tokens) join (select right_id, change_id, len(t) as nr, unnest(t) as w from {right}) using (w) group by all) group by 1, 2"
+_SCORES = "select c.change_id, round(coalesce(sum(best), 0) / (select count(*) from regressed_prompts), 9) as score from (select distinct change_id from {right}) c left join {best} using (change_id) group by 1"
+view("best_match", _BEST.format(right="right_tokens"))
+view("changed_tokens", "select * from right_tokens where cast(right_id as bigint) % 3 = 0")
+view("changed_match", _BEST.format(right="changed_tokens"))
+view("lexical", _SCORES.format(right="right_tokens", best="best_match"))
 
 
-def prompts(spark, d, whole=False):
+def prompts(spark, d):
+    """Every document."""
     rows = v.table(spark, d, "documents")
-    if not whole:
-        rows = rows.where(bucket(F.concat(F.lit("shard|"), F.col("doc_id").cast("string"))) < 300)
     return rows.select(F.col("doc_id").cast("string").alias("right_id"), F.concat(F.lit("change_"), (F.col("doc_id") % 5).cast("string")).alias("change_id"), tx.tokens(F.col("text")).alias("tokens"), "text")
 
 
-def regressed_prompts(spark, d, whole=False):
-    rows = v.table(spark, d, "benchmark")
-    if not whole:
-        rows = rows.where(bucket(F.concat(F.lit("prompt|"), F.col("item_id").cast("string"))) < 700)
-    return rows.select(F.col("item_id").cast("string").alias("case_id"), tx.tokens(F.col("text")).alias("tokens"), "text")
+def regressed_prompts(spark, d):
+    """Every benchmark item."""
+    return v.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), tx.tokens(F.col("text")).alias("tokens"), "text")
 
 
-@query("max_jaccard", "select case_id, change_id, best from best_match where best > 0")
+@query("max_jaccard", "select * from best_match")
 def max_jaccard(spark, d):
     return localize.best_similarity(regressed_prompts(spark, d), prompts(spark, d), ["case_id"], ["change_id"])
 
 
-@query("max_jaccard_whole")
-def max_jaccard_whole(spark, d):
-    """Every benchmark item with every document."""
-    return localize.best_similarity(regressed_prompts(spark, d, True), prompts(spark, d, True), ["case_id"], ["change_id"])
-
-
-@query("lexical_overlap", "select change_id, round(avg(best), 9) as score, row_number() over (order by round(avg(best), 9) desc, change_id) as rank from best_match group by change_id")
-def lexical_overlap(spark, d, whole=False):
-    scores = localize.lexical_scores(regressed_prompts(spark, d, whole), prompts(spark, d, whole))
+@query("lexical_overlap", "select change_id, score, row_number() over (order by score desc, change_id) as rank from lexical")
+def lexical_overlap(spark, d):
+    scores = localize.lexical_scores(regressed_prompts(spark, d), prompts(spark, d))
     return localize.ranked(scores.withColumn("score", F.round("score", 9)), [], "change_id")
 
 
-@query("lexical_overlap_whole")
-def lexical_overlap_whole(spark, d):
-    return lexical_overlap(spark, d, True)
-
-
-@query("changed_lexical_overlap", "select change_id, round(avg(best), 9) as score from (select case_id, change_id, max(coalesce(len(list_intersect(l.t, r.t)) / nullif(len(list_distinct(list_concat(l.t, r.t))), 0), 0)) as best from left_tokens l cross join right_tokens r where cast(right_id as bigint) % 3 = 0 group by 1, 2) group by 1")
-def changed_lexical_overlap(spark, d, whole=False):
-    after = prompts(spark, d, whole)
+@query("changed_lexical_overlap", _SCORES.format(right="changed_tokens", best="changed_match"))
+def changed_lexical_overlap(spark, d):
+    after = prompts(spark, d)
     before = after.withColumn("text", F.when(F.col("right_id").cast("long") % 3 == 0, F.lit("other")).otherwise(F.col("text")))
     changed = localize.changed_records(before, after, "right_id", "text")
-    return localize.lexical_scores(regressed_prompts(spark, d, whole), changed).withColumn("score", F.round("score", 9))
-
-
-@query("changed_lexical_overlap_whole")
-def changed_lexical_overlap_whole(spark, d):
-    return changed_lexical_overlap(spark, d, True)
+    return localize.lexical_scores(regressed_prompts(spark, d), changed).withColumn("score", F.round("score", 9))
 
 
 @query("observed_regressions", "select event_id, expected from answers where upper(trim(raw, ' ' || chr(10))) = expected and event_id % 4 < 2")
@@ -260,14 +246,15 @@ def b1_label_overlap(spark, d):
     return localize.label_overlap(rows, ["group0_src0", "group1_src6"])
 
 
-view("plain_targets", "select list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from regressed_prompts")
-view("slot_best", "select w.candidate, w.slot_id, max(coalesce(len(list_intersect(w.t, p.t)) / nullif(len(list_distinct(list_concat(w.t, p.t))), 0), 0)) as best from (select candidate, slot_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from world) w cross join plain_targets p group by 1, 2")
-view("b2", "select candidate, round(sum(best), 9) as score from slot_best group by 1")
+view("plain_targets", "select case_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from regressed_prompts")
+view("slot_tokens", "select candidate, slot_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from world", stored=True)
+view("slot_best", "select slot_id, max(n / (nl + nr - n)) as best from (select slot_id, case_id, nl, nr, count(*) as n from (select distinct slot_id, len(t) as nl, unnest(t) as w from slot_tokens) join (select case_id, len(t) as nr, unnest(t) as w from plain_targets) using (w) group by all) group by 1")
+view("b2", "select candidate, round(sum(coalesce(best, 0)), 9) as score from slot_tokens left join slot_best using (slot_id) group by 1")
 
 
-def b2(spark, d, whole=False):
+def b2(spark, d):
     changes = tr.world(tr.clean(spark, d)).select("candidate", "slot_id", tx.tokens(F.col("text"), tx.PLAIN).alias("tokens"))
-    targets = regressed_prompts(spark, d, whole).select(F.col("case_id").alias("right_id"), tx.tokens(F.col("text"), tx.PLAIN).alias("tokens"))
+    targets = regressed_prompts(spark, d).select(F.col("case_id").alias("right_id"), tx.tokens(F.col("text"), tx.PLAIN).alias("tokens"))
     best = localize.best_similarity(changes.select("slot_id", "tokens"), targets, ["slot_id"]).select("slot_id", F.col("best").alias("score"))
     return localize.summed(changes.select("candidate", "slot_id"), best).withColumn("score", F.round("score", 9))
 
@@ -282,16 +269,6 @@ def candidate_rank(spark, d):
     return localize.ranked(b2(spark, d), [], "candidate")
 
 
-@query("b2_jaccard_whole")
-def b2_jaccard_whole(spark, d):
-    return b2(spark, d, True)
-
-
-@query("candidate_rank_whole")
-def candidate_rank_whole(spark, d):
-    return localize.ranked(b2(spark, d, True), [], "candidate")
-
-
 # scores of five candidates by three methods in two worlds and three trajectories, with planned ties
 _score = bucket_sql("m || '|' || w || '|' || case when m = 'static' then 0 else t end || '|' || c", 8)
 view("method_scores", f"select w as world, m as method, t as trajectory_id, 'c' || c as candidate, cast({_score} as double) / 4 as score from (values (0), (1)) ww(w) cross join (values ('static'), ('grad'), ('trac')) mm(m) cross join (values (0), (1), (2)) tt(t) cross join (values (0), (1), (2), (3), (4)) cc(c)")
@@ -529,12 +506,20 @@ m as (select trajectory_id, state, max(d) as top from j where not {_t} group by
 select j.trajectory_id, j.state, avg(recall) filter ({_t}) - avg(was) filter ({_t}) as delta_target, avg(recall) filter (not {_t}) - avg(was) filter (not {_t}) as delta_protected, max(top) as largest_protected_change, string_agg(case when not {_t} and d = top then label end, ',' order by label) as largest_labels from j join m using (trajectory_id, state) group by 1, 2""")
 
 
-def effects(spark, d):
-    rows = tr.parts(spark, d).where("split = 'eval'").withColumn("trajectory_id", F.explode(F.array(*[F.lit(t) for t in range(3)]))).withColumn("state", F.explode(F.array(*[F.lit(s) for s in ("composite", "restore_root", "restore_n1", "restore_n2")])))
+STATES = ("composite", "restore_root", "restore_n1", "restore_n2")
+
+
+def state_recalls(spark, d):
+    """trajectory_id, state, label, recall of all eval rows, with planned hits."""
+    each = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
+    rows = tr.parts(spark, d).where("split = 'eval'").withColumn("trajectory_id", each(range(3))).withColumn("state", each(STATES))
     draw = bucket(joined("state", F.col("state"), F.col("trajectory_id").cast("string"), F.col("content_id")))
     limit = F.when(F.col("state") == "composite", F.lit(300)).when((F.col("state") == "restore_root") & F.col("label").isin(*TARGETS), F.lit(50)).otherwise(F.lit(280))
-    states = rows.withColumn("hit", draw >= limit).groupBy("trajectory_id", "state", "label").agg((F.count_if("hit") / F.count("*")).alias("recall"))
-    return certify.restoration_effects(states, list(TARGETS))
+    return rows.withColumn("hit", draw >= limit).groupBy("trajectory_id", "state", "label").agg((F.count_if("hit") / F.count("*")).alias("recall"))
+
+
+def effects(spark, d):
+    return certify.restoration_effects(state_recalls(spark, d), list(TARGETS))
 
 
 @query("restoration_effects", "select * replace (round(delta_target, 9) + 0 as delta_target, round(delta_protected, 9) + 0 as delta_protected) from effects")

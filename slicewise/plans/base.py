@@ -7,6 +7,7 @@ import re
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 VIEWS: dict[str, str] = {}
+STORED: set[str] = set()  # views that several parts of a statement read, computed once
 
 
 def query(name: str, sql: str | None = None):
@@ -21,8 +22,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def view(name: str, sql: str) -> None:
+def view(name: str, sql: str, stored: bool = False) -> None:
     VIEWS[name] = sql.strip()
+    if stored:
+        STORED.add(name)
 
 
 def used(sql: str) -> list[str]:
@@ -39,7 +42,7 @@ def used(sql: str) -> list[str]:
 def oracle(sql: str) -> str:
     """``sql`` with the views it uses as common table expressions."""
     sql = sql.strip()
-    heads = ", ".join(f"{v} as ({VIEWS[v]})" for v in used(sql))
+    heads = ", ".join(f"{v} as {'materialized ' if v in STORED else ''}({VIEWS[v]})" for v in used(sql))
     if not heads:
         return sql
     if m := re.match(r"with\s+(recursive\s+)?", sql, re.I):

@@ -12,7 +12,7 @@ from .base import bucket_sql, query, view
 GRADED = """select p.release_id, p.case_id, c.expected, b.observed as before, p.observed,
   p.observed = c.expected as r, b.observed = c.expected as rb
 from predictions p join cases c using (case_id) join predictions b on b.case_id = p.case_id and b.release_id = 'baseline'"""
-view("graded", GRADED)
+view("graded", GRADED, stored=True)
 view(
     "report",
     """select release_id, name, n as cases, b / n as baseline_accuracy, a / n as release_accuracy, (b - a) / n as accuracy_drop,

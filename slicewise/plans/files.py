@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from .. import importer
 from ..functions import text as tx
-from ..functions.hashing import bucket, joined, sha
+from ..functions.hashing import sha
 from ..operators import localize, tasks
 from ..sources import readers, writers
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from ..streaming.ingest import keep_report
 from . import analysis as an
 from . import checks as ch
 from . import training as tr
 from . import views as v
-from .base import bucket_sql, query
+from .base import query
 
 
 def _policy_file(spark, d):
@@ -109,21 +109,22 @@ def source_trajectories_json(spark, d):
 @query("source_documents_by_mode", "select world, method from method_scores where method = 'grad' group by 1, 2")
 def source_documents_by_mode(spark, d):
     path = scratch(spark, "modes")
-    an.method_scores(spark, d).select("world", "method").distinct().withColumn("mode", F.col("method")).write.json(path)
-    return spark.read.schema("world int, method string, mode string").json(path).where("mode = 'grad'").select("world", "method")
+    rows = stored(an.method_scores(spark, d).select("world", "method").distinct().withColumn("mode", F.col("method")), "modes")
+    for r in rows.collect():  # a document for each of six pairs
+        rows.where((F.col("world") == r.world) & (F.col("mode") == r.mode)).coalesce(1).write.json(f"{path}/{r.world}-{r.mode}")
+    return readers.read_documents_by_mode(spark, f"{path}/*", "world int, method string", "grad").select("world", "method")
 
 
-@query("source_summaries", "select trajectory_id, state, label, recall from state_recalls where label = 'group0_src0'")
+@query("source_summaries", "select trajectory_id, state, label, recall from state_recalls")
 def source_summaries(spark, d):
     path = scratch(spark, "summaries")
-    rows = tr.parts(spark, d).where("split = 'eval' and label = 'group0_src0'").withColumn("trajectory_id", F.explode(F.array(*[F.lit(t) for t in range(3)]))).withColumn("state", F.explode(F.array(*[F.lit(s) for s in ("composite", "restore_root", "restore_n1", "restore_n2")])))
-    draw = bucket(joined("state", F.col("state"), F.col("trajectory_id").cast("string"), F.col("content_id")))
-    limit = F.when(F.col("state") == "composite", F.lit(300)).when((F.col("state") == "restore_root") & F.col("label").isin(*an.TARGETS), F.lit(50)).otherwise(F.lit(280))
-    table = rows.withColumn("hit", draw >= limit).groupBy("trajectory_id", "state", "label").agg((F.count_if("hit") / F.count("*")).alias("recall")).cache()
+    table = stored(an.state_recalls(spark, d), "recalls")
     for t in range(3):
-        for s in ("composite", "restore_root", "restore_n1", "restore_n2"):
-            table.where((F.col("trajectory_id") == t) & (F.col("state") == s)).select("label", "recall").coalesce(1).write.json(f"{path}/t{t}/runs/{s}")
-    return readers.read_summaries(spark, f"{path}/t*/runs/*/*.json", "label string, recall double")
+        for s in an.STATES:
+            one = table.where((F.col("trajectory_id") == t) & (F.col("state") == s)).agg(F.map_from_entries(F.collect_list(F.struct("label", "recall"))).alias("per_label_recall"))
+            one.coalesce(1).write.json(f"{path}/t{t}/runs/{s}")
+    found = readers.read_summaries(spark, f"{path}/t*/runs/*/*.json", "per_label_recall map<string, double>")
+    return found.select("trajectory_id", "state", F.explode("per_label_recall").alias("label", "recall"))
 
 
 @query("source_frozen_worlds", "select * from world_marks")
@@ -143,10 +144,10 @@ def source_lineage(spark, d):
     return readers.read_lineage(spark, path, with_truth=True).select("change_id", "kind", "is_root")
 
 
-@query("source_case_inputs", "select cast(item_id as varchar) as case_id, length(text) as n from benchmark where length(text) <= 10000")
+@query("source_case_inputs", "select cast(item_id as varchar) as case_id, length(text) as n from benchmark")
 def source_case_inputs(spark, d):
     path = scratch(spark, "inputs")
-    rows = v.table(spark, d, "benchmark").where(F.length("text") <= 10000).select(F.col("item_id").cast("string").alias("case_id"), "text")
+    rows = v.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), "text")
     rows.agg(F.map_from_entries(F.collect_list(F.struct("case_id", F.struct("text")))).alias("m")).select(F.to_json("m").alias("value")).coalesce(1).write.text(path)
     return readers.read_case_inputs(spark, path, rows.select("case_id")).select("case_id", F.length("text").alias("n"))
 
@@ -167,7 +168,7 @@ def payload_verification(spark, d):
     return readers.verify_payloads(spark, folder, references).select("identity", "ok", "problem")
 
 
-@query("ranking_artifact", "select change_id, score, cast(rank as int) as rank from (select change_id, round(avg(best), 9) as score, row_number() over (order by round(avg(best), 9) desc, change_id) as rank from best_match group by change_id)")
+@query("ranking_artifact", "select change_id, score, cast(row_number() over (order by score desc, change_id) as int) as rank from lexical")
 def ranking_artifact(spark, d):
     path = scratch(spark, "ranking")
     scores = localize.lexical_scores(an.regressed_prompts(spark, d), an.prompts(spark, d)).withColumn("score", F.round("score", 9))
@@ -175,10 +176,10 @@ def ranking_artifact(spark, d):
     return spark.read.schema("change_id string, score double, rank int").json(path)
 
 
-@query("write_if_same", f"select count(*) as n from orders where {bucket_sql('cast(o_orderkey as varchar)')} < 500")
+@query("write_if_same", "select count(*) as n from orders")
 def write_if_same(spark, d):
     path = scratch(spark, "same")
-    rows = v.table(spark, d, "orders").where(bucket(F.col("o_orderkey").cast("string")) < 500)
+    rows = v.table(spark, d, "orders")
     writers.write_same(rows, path)
     writers.write_same(rows.orderBy("o_totalprice"), path)
     return spark.read.parquet(path).agg(F.count("*").alias("n"))

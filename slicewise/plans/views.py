@@ -69,6 +69,7 @@ view(
 view(
     "predictions",
     f"select release_id, case_id, case when (base < 120 and not (f > 0 and fix < 20)) or (status = 'F' and cand < f) then {_next} else expected end as observed from order_draws cross join release_strength",
+    stored=True,
 )
 view("slices", "select name, cast(d as double) as maximum_accuracy_drop, cast(m as double) as minimum_accuracy from (values " + ", ".join(f"('{n}', {d}, {'null' if m is None else m})" for n, d, m in SLICES) + ") v(name, d, m)")
 view(
