@@ -124,6 +124,24 @@ def root_margins(effects: DataFrame, root: str) -> DataFrame:
     return rows.withColumn("margin", F.col("root_delta") - F.col("strongest_other")).withColumn("root_is_largest", F.col("margin") > 0)
 
 
+def stage_b(states: DataFrame, targets: list[str], stage_a: DataFrame, root: str, anchor: str = "composite") -> DataFrame:
+    """A row per trajectory: the anchor's macro recalls and their difference from stage A, the root's recovery, the strongest other, and the margin.
+
+    ``states`` is (trajectory_id, state, label, recall), ``stage_a`` (trajectory_id,
+    composite_target, composite_protected); a trajectory of one side only has nulls.
+    """
+    target = F.col("label").isin(*targets)
+    own = states.where(F.col("state") == anchor).groupBy("trajectory_id").agg(F.avg(F.when(target, F.col("recall"))).alias("target"), F.avg(F.when(~target, F.col("recall"))).alias("protected"))
+    rows = own.join(stage_a, "trajectory_id", "full").join(root_margins(restoration_effects(states, targets, anchor), root), "trajectory_id", "left")
+    return rows.select("trajectory_id", "target", "protected", (F.col("target") - F.col("composite_target")).alias("target_difference"), (F.col("protected") - F.col("composite_protected")).alias("protected_difference"), "root_delta", "strongest_other", "margin", "root_is_largest")
+
+
+def root_contrasts(effects: DataFrame, root: str) -> DataFrame:
+    """state, trajectory_id, contrast: the root's recovery less each other state's, of the same trajectory."""
+    own = effects.where(F.col("state") == root).select("trajectory_id", F.col("delta_target").alias("own"))
+    return effects.where(F.col("state") != root).join(own, "trajectory_id").select("state", "trajectory_id", (F.col("own") - F.col("delta_target")).alias("contrast"))
+
+
 def dose_selection(runs: DataFrame, required: int) -> DataFrame:
     """One row: the least dose of runs(dose, world, passed) with enough passing worlds, null if there is none.
 

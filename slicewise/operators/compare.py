@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .records import hash_rank
+
 
 def graded(cases: DataFrame, predictions: DataFrame, baseline: str = "baseline") -> DataFrame:
     """Predictions with expected, the baseline's observed label, and whether each is right."""
@@ -111,3 +113,9 @@ def decision_agreement(report: DataFrame, ordinary: DataFrame, baseline: str = "
         same = same & F.col(c).eqNullSafe(F.col(f"o_{c}"))
     rows = report.where(F.col("release_id") != baseline).join(o.where(F.col("release_id") != baseline), ["release_id", "name"], "full")
     return rows.groupBy("release_id").agg(F.bool_and(same).alias("agrees"))
+
+
+def case_table(outcomes: DataFrame) -> DataFrame:
+    """Changed cases with their place in their release's table, by case id; each release is numbered by itself."""
+    changed = outcomes.where(F.col("outcome") != "unchanged")
+    return hash_rank(changed, ["release_id"], F.col("case_id"), name="place", digits=4)

@@ -50,6 +50,13 @@ def truth_violations(truth: DataFrame) -> DataFrame:
     return truth.where(bad).select("incident_id")
 
 
+def unbound_truths(truth: DataFrame, incidents: DataFrame) -> DataFrame:
+    """incident_id, problem of truths (incident_id, incident_sha256) that belong to no incident of that digest."""
+    rows = truth.select("incident_id", "incident_sha256").join(incidents.select("incident_id", F.col("incident_sha256").alias("own")), "incident_id", "left")
+    problem = F.when(F.col("own").isNull(), F.lit("no incident")).when(~F.col("own").eqNullSafe(F.col("incident_sha256")), F.lit("another digest"))
+    return rows.withColumn("problem", problem).where("problem is not null").select("incident_id", "problem")
+
+
 def incident_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("incident_id").agg(F.count("*").alias("attempts"), F.count_if(F.col("status") == "completed").alias("completed"), F.sum("cpu_seconds").alias("cpu_seconds"), F.sum("wall_seconds").alias("wall_seconds"))
 

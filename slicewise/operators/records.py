@@ -15,16 +15,28 @@ from ..functions.canonical import content_id, normal_text
 from ..functions.hashing import TRAJECTORY_SPACE, joined, sha, u63
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that ``df`` doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def hash_rank(df: DataFrame, group: list[str], key: Column, name: str = "rank", total: str | None = None, digits: int = 2) -> DataFrame:
     """``df`` with the 1-based rank of each row by ``key`` (hex digests) in its group, and the group's size."""
-    rows = df.withColumn("_key", key).withColumn("_lead", F.substring("_key", 1, digits))
-    counts = rows.groupBy(*group, "_lead").agg(F.count("*").alias("_n"))
-    upto = W.partitionBy(*group).orderBy("_lead").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counts = counts.withColumns({"_before": F.sum("_n").over(upto) - F.col("_n"), "_total": F.sum("_n").over(W.partitionBy(*group))}).drop("_n")
-    within = F.row_number().over(W.partitionBy(*group, "_lead").orderBy("_key"))
-    out = rows.withColumn("_row", within).join(counts, [*group, "_lead"]).withColumn(name, (F.col("_before") + F.col("_row")).cast("long"))
+    k, lead, n, before, size, row = free_names(df, "_key", "_lead", "_n", "_before", "_total", "_row")
+    rows = df.withColumn(k, key).withColumn(lead, F.substring(k, 1, digits))
+    counts = rows.groupBy(*group, lead).agg(F.count("*").alias(n))
+    upto = W.partitionBy(*group).orderBy(lead).rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = counts.withColumns({before: F.sum(n).over(upto) - F.col(n), size: F.sum(n).over(W.partitionBy(*group))}).drop(n)
+    within = F.row_number().over(W.partitionBy(*group, lead).orderBy(k))
+    out = rows.withColumn(row, within).join(counts, [*group, lead]).withColumn(name, (F.col(before) + F.col(row)).cast("long"))
     if total:
-        out = out.withColumn(total, F.col("_total"))
+        out = out.withColumn(total, F.col(size))
     return out.select(*df.columns, name, *([total] if total else []))
 
 

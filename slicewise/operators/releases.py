@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import content_id
 from ..functions.hashing import REFRESH_SPACE, SWAP_SPACE, joined, opaque_candidate, sha, slot_set_digest
-from .records import hash_rank
+from .records import free_names, hash_rank
 
 SLOT = ["slot_id", "source_content_id", "model_content_id", "text", "label"]
 
@@ -78,8 +78,9 @@ def refresh(release: DataFrame, index: int, a: str, b: str, per_direction: int)
 
 def apply_changes(release: DataFrame, changes: DataFrame) -> DataFrame:
     """The release with the rows of ``changes`` in place of its own."""
-    new = changes.select("slot_id", F.struct(*SLOT[1:]).alias("new"))
-    return release.join(new, "slot_id", "left").select("slot_id", *[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in SLOT[1:]])
+    (new,) = free_names(release, "new")
+    rows = release.join(changes.select("slot_id", F.struct(*SLOT[1:]).alias(new)), "slot_id", "left")
+    return rows.select("slot_id", *[F.when(F.col(new).isNotNull(), F.col(f"{new}.{c}")).otherwise(F.col(c)).alias(c) for c in SLOT[1:]])
 
 
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:

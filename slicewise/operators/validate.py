@@ -155,6 +155,27 @@ def failed_gates(gates: dict[str, Column], df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("gate"), F.coalesce(ok, F.lit(False)).alias("passed")) for name, ok in gates.items()])).alias("x")).select("x.gate", "x.passed")
 
 
+def profile_violations(found: DataFrame, declared: dict[str, int]) -> DataFrame:
+    """field, declared, found for the fields of the one row of ``found`` that aren't as declared."""
+    rows = found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.lit(x).cast("long").alias("declared"), F.col(k).cast("long").alias("found")) for k, x in declared.items()])).alias("x")).select("x.*")
+    return rows.where(~F.col("declared").eqNullSafe(F.col("found")))
+
+
+def balance_gates(rows: DataFrame, groups: list[str], target: Column, flips: int) -> DataFrame:
+    """gate, passed for a construction (shard_id, example_id, response, candidate_response).
+
+    Over the shards ``groups``: as many rows on the target's surface in each; ``flips``
+    changes either way in each; over all rows: the same labels before and after, and opaque ids.
+    """
+    before, after = F.col("response"), F.col("candidate_response")
+    way = lambda x, y: F.count_if((before == x) & (after == y))
+    per = rows.where(F.col("shard_id").isin(*groups)).groupBy("shard_id").agg(F.count_if(target).alias("surface"), way("ACCEPT", "REJECT").alias("up"), way("REJECT", "ACCEPT").alias("down"))
+    some = per.agg(F.count("*").alias("n"), F.min("surface").alias("lo"), F.max("surface").alias("hi"), F.bool_and((F.col("up") == flips) & (F.col("down") == flips)).alias("even"))
+    every = rows.agg(F.sum((before == "ACCEPT").cast("long") - (after == "ACCEPT").cast("long")).alias("shift"), F.bool_and(F.col("example_id").rlike("^rec_[0-9a-f]{16}$")).alias("opaque"))
+    one = some.crossJoin(every)  # one row each
+    return failed_gates({"shards": F.col("n") == len(groups), "equal target surfaces": F.col("lo") == F.col("hi"), "equal flip directions": F.col("even"), "labels preserved": F.col("shift") == 0, "opaque ids": F.col("opaque")}, one)
+
+
 def extra_fields(records: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     """Records (JSON text) whose fields aren't exactly the allowed ones."""
     keys = F.array_sort(F.json_object_keys(column))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..shipping import ship
-from . import analysis, base, checks, comparison, files, training  # noqa: F401
+from . import analysis, base, bundles, checks, comparison, files, training  # noqa: F401
 
 
 def _shipped(query):

@@ -26,12 +26,12 @@ GENERATION = "case_id string, prompt string, expected string, raw_output string,
 SFT = "example_id string, prompt string, response string"
 
 
-def read_predictions(spark: SparkSession, path: str, baseline: str = "baseline", candidate: str = "candidate", multiline: bool = True) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, baseline: str = "baseline", candidate: str = "candidate", multiline: bool = False) -> DataFrame:
     """release_id, case_id, observed from CSV with exactly these columns, in any order.
 
-    Blank, missing and extra fields are errors; blanks around values stay.  ``multiline``
-    allows line feeds in quoted values, but keeps a file in one task; without such
-    values turn it off for large files.
+    Blank, missing and extra fields are errors; blanks around values stay.  One pass over
+    the file finds them.  ``multiline`` allows line feeds in quoted values, but keeps a
+    file in one task; without it such a value is an error.
     """
     first = spark.read.text(path).first()
     names = next(csv.reader([first[0].removeprefix("\ufeff")])) if first else []
@@ -40,11 +40,14 @@ def read_predictions(spark: SparkSession, path: str, baseline: str = "baseline",
     schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_bad", T.StringType())])
     options = {"header": True, "multiLine": multiline, "escape": '"', "enforceSchema": True, "columnNameOfCorruptRecord": "_bad", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     rows = spark.read.schema(schema).options(**options).csv(path)
-    broken = rows.where(F.col("_bad").isNotNull() | blank(F.col("release_id")) | blank(F.col("case_id")) | blank(F.col("observed")))
-    val.require_none(broken.select(*names, "_bad"), "incomplete or extra fields")
-    out = rows.select("release_id", "case_id", "observed")
-    val.require_none(val.role_violations(out, baseline, candidate), "release roles")
-    return out
+    broken = F.col("_bad").isNotNull() | blank(F.col("release_id")) | blank(F.col("case_id")) | blank(F.col("observed"))
+    is_role = lambda name: F.coalesce(F.bool_or(F.col("release_id") == name), F.lit(False))
+    found = rows.agg(F.count_if(broken).alias("broken"), F.first(F.when(broken, F.struct(*names, "_bad")), ignorenulls=True).alias("example"), is_role(baseline).alias("b"), is_role(candidate).alias("c")).first()
+    if found.broken:
+        raise val.InvalidInput(f"incomplete or extra fields in {found.broken} rows: {found.example.asDict()}")
+    if not (found.b and found.c) or baseline == candidate:
+        raise val.InvalidInput(f"release roles: {baseline!r} and {candidate!r} must be two releases of the file")
+    return rows.select("release_id", "case_id", "observed")
 
 
 def read_policy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -53,6 +56,7 @@ def read_policy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     keys = text.select(F.array_sort(F.json_object_keys("value")).alias("k")).first()
     if not keys or keys.k != ["cases", "declared_changes", "slices"]:
         raise val.InvalidInput("a policy has exactly the keys cases, slices and declared_changes")
+    require_shape(text, POLICY_SHAPE | {"declared_changes": dict})
     one = text.select(F.from_json("value", POLICY, {"mode": "FAILFAST"}).alias("p"), F.get_json_object("value", "$.declared_changes").alias("declared_changes"))
     if not (one.first().declared_changes or "").startswith("{"):
         raise val.InvalidInput("declared_changes must be an object")
@@ -66,24 +70,146 @@ def read_policy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"cases": cases, "slices": slices, "slice_members": members, "declared_changes": one.select("declared_changes")}
 
 
+# Shapes of documents: a dict lists all fields allowed (a name with ? may be missing), a one-entry list its items, a tuple alternatives, a type the value's own.
+POLICY_SHAPE = {"cases": [{"case_id": str, "expected": str}], "slices": [{"name": str, "case_ids": [str], "maximum_accuracy_drop?": (float, int), "minimum_accuracy?": (float, int, None)}]}
+RELEASE_SHAPE = {"release_id": str, "predictions": [{"case_id": str, "observed": str}]}
+COMPARISON_SHAPE = POLICY_SHAPE | {"baseline": RELEASE_SHAPE, "candidate": RELEASE_SHAPE}
+
+
+def shape_problem(value, shape, at: str = "$") -> str | None:
+    """The first place at which ``value`` isn't of the shape; types are strict: true is no number, "1" neither."""
+    if isinstance(shape, tuple):
+        return None if any(shape_problem(value, s, at) is None for s in shape) else f"{at} has a wrong type"
+    if isinstance(shape, dict):
+        if not isinstance(value, dict):
+            return f"{at} isn't an object"
+        names = {k.removesuffix("?"): k for k in shape}
+        if extra := sorted(set(value) - set(names)):
+            return f"{at} has an unknown field {extra[0]}"
+        if gone := sorted(k for k, name in names.items() if not name.endswith("?") and k not in value):
+            return f"{at} lacks {gone[0]}"
+        return next((p for k, x in value.items() if (p := shape_problem(x, shape[names[k]], f"{at}.{k}"))), None)
+    if isinstance(shape, list):
+        if not isinstance(value, list):
+            return f"{at} isn't a list"
+        return next((p for i, x in enumerate(value) if (p := shape_problem(x, shape[0], f"{at}[{i}]"))), None)
+    if shape is None:
+        return None if value is None else f"{at} has a wrong type"
+    ok = isinstance(value, shape) and not (isinstance(value, bool) and shape is not bool)
+    return None if ok else f"{at} has a wrong type"
+
+
+def require_shape(text: DataFrame, shape) -> None:
+    """Every document (column ``value``) is JSON of the shape, without repeated keys; checked where the text is."""
+
+    def pairs(items):
+        if len({k for k, _ in items}) != len(items):
+            raise ValueError("repeated key")
+        return dict(items)
+
+    def problem(value: str) -> str | None:
+        try:
+            return shape_problem(json.loads(value, object_pairs_hook=pairs), shape)
+        except ValueError as error:
+            return str(error)
+
+    check = F.pandas_udf(lambda values: values.map(problem), T.StringType())
+    val.require_none(text.select(check(F.col("value")).alias("problem")).where("problem is not null"), "the document isn't of its shape")
+
+
+COMPARISON = f"{POLICY}, baseline struct<release_id: string, predictions: array<struct<case_id: string, observed: string>>>, candidate struct<release_id: string, predictions: array<struct<case_id: string, observed: string>>>"
+
+
+def _comparison_tables(one: DataFrame) -> dict[str, DataFrame]:
+    """Tables of the comparisons in ``one`` (name, p): each has name, and predictions the role and the release's own id."""
+    each = one.select("name", F.explode("p.slices").alias("s"))
+    role = lambda r: F.struct(F.lit(r).alias("role"), F.col(f"p.{r}").alias("r"))
+    rows = one.select("name", F.explode(F.array(role("baseline"), role("candidate"))).alias("x"))
+    val.require_none(one.where(F.col("p.baseline.release_id") == F.col("p.candidate.release_id")).select("name"), "equal release ids")
+    val.require_none(one.where("size(p.baseline.predictions) = 0 or size(p.candidate.predictions) = 0").select("name"), "a release without predictions")
+    return {
+        "cases": one.select("name", F.explode("p.cases").alias("c")).select("name", "c.*"),
+        "slices": each.select("name", F.col("s.name").alias("slice"), F.coalesce("s.maximum_accuracy_drop", F.lit(0.0)).alias("maximum_accuracy_drop"), "s.minimum_accuracy"),
+        "slice_members": each.select("name", F.col("s.name").alias("slice"), F.explode("s.case_ids").alias("case_id")),
+        "predictions": rows.select("name", "x.role", F.col("x.r.release_id").alias("release_id"), F.explode("x.r.predictions").alias("p")).select("name", "role", "release_id", "p.case_id", "p.observed"),
+    }
+
+
 def read_comparison(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """cases, slices, slice_members and predictions of a comparison document with two releases."""
-    release = "struct<release_id: string, predictions: array<struct<case_id: string, observed: string>>>"
-    schema = f"{POLICY}, baseline {release}, candidate {release}"
-    one = spark.read.text(path, wholetext=True).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("p")).select("p.*")
-    each = one.select(F.explode("slices").alias("s"))
-    rows = one.select(F.explode(F.array(F.struct(F.lit("baseline").alias("role"), F.col("baseline").alias("r")), F.struct(F.lit("candidate").alias("role"), F.col("candidate").alias("r")))).alias("x"))
-    predictions = rows.select("x.role", F.col("x.r.release_id").alias("name"), F.explode("x.r.predictions").alias("p")).select(F.col("role").alias("release_id"), "name", "p.case_id", "p.observed")
-    val.require_none(one.where(F.col("baseline.release_id") == F.col("candidate.release_id")).select(F.lit("equal release ids").alias("problem")), "releases")
+    """cases, slices, slice_members and predictions (release_id is the role, name the release's own id) of a comparison document with two releases."""
+    text = spark.read.text(path, wholetext=True)
+    require_shape(text, COMPARISON_SHAPE)
+    found = _comparison_tables(text.select(F.lit("comparison").alias("name"), F.from_json("value", COMPARISON, {"mode": "FAILFAST"}).alias("p")))
     out = {
-        "cases": one.select(F.explode("cases").alias("c")).select("c.*"), "predictions": predictions,
-        "slices": each.select("s.name", F.coalesce("s.maximum_accuracy_drop", F.lit(0.0)).alias("maximum_accuracy_drop"), "s.minimum_accuracy"), "slice_members": each.select("s.name", F.explode("s.case_ids").alias("case_id")),
+        "cases": found["cases"].drop("name"), "predictions": found["predictions"].select(F.col("role").alias("release_id"), F.col("release_id").alias("name"), "case_id", "observed"),
+        "slices": found["slices"].drop("name").withColumnRenamed("slice", "name"), "slice_members": found["slice_members"].drop("name").withColumnRenamed("slice", "name"),
     }
-    val.require_none(val.coverage_violations(out["cases"], predictions), "coverage")
+    val.require_none(val.coverage_violations(out["cases"], out["predictions"]), "coverage")
     val.require_none(val.slice_violations(out["cases"], out["slices"], out["slice_members"]), "slices")
     return out
 
 
+def read_repair_comparison(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """cases, slices, slice_members and predictions of {regressed: comparison, repairs: {name: comparison}}.
+
+    All comparisons must have the regressed one's cases, slices and baseline; then one
+    table has its baseline, its candidate, and every repair's candidate under the repair's name.
+    """
+    text = spark.read.text(path, wholetext=True)
+    keys = text.select(F.json_object_keys(F.get_json_object("value", "$.repairs")).alias("k")).first()
+    require_shape(text, {"regressed": COMPARISON_SHAPE, "repairs": {k: COMPARISON_SHAPE for k in (keys.k if keys and keys.k else [])}})
+    kind = f"struct<{COMPARISON}>"
+    both = text.select(F.from_json("value", f"regressed {kind}, repairs map<string, {kind}>", {"mode": "FAILFAST"}).alias("d"))
+    every = F.concat(F.array(F.struct(F.lit("").alias("name"), F.col("d.regressed").alias("p"))), F.transform(F.map_entries("d.repairs"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("p"))))
+    one = both.select(F.explode(every).alias("x")).select("x.name", "x.p")
+    val.require_none(one.where(F.col("name").isin("baseline", "candidate") | ((F.col("name") != "") & blank(F.col("name")))).select("name"), "names of repairs")
+    found = _comparison_tables(one)
+    for table in ("cases", "slices", "slice_members"):
+        columns = [c for c in found[table].columns if c != "name"]
+        n = one.agg(F.count("*").alias("n"))
+        rows = found[table].groupBy(*columns).agg(F.count("*").alias("k"), F.count_distinct("name").alias("names")).crossJoin(n)
+        val.require_none(rows.where("k <> n or names <> n").select(*columns), f"comparisons with other {table}")
+    base = found["predictions"].where("role = 'baseline'")
+    differ = base.groupBy("case_id").agg(F.min("observed").alias("lo"), F.max("observed").alias("hi")).where("lo <> hi")
+    val.require_none(differ, "comparisons with another baseline")
+    release = F.when(F.col("role") == "baseline", F.lit("baseline")).when(F.col("name") == "", F.lit("candidate")).otherwise(F.col("name"))
+    out = {t: found[t].where("name = ''").drop("name").withColumnsRenamed({"slice": "name"}) for t in ("cases", "slices", "slice_members")}
+    out["predictions"] = found["predictions"].where("role = 'candidate' or name = ''").select(release.alias("release_id"), "case_id", "observed")
+    val.require_none(val.coverage_violations(out["cases"], out["predictions"]), "coverage")
+    val.require_none(val.slice_violations(out["cases"], out["slices"], out["slice_members"]), "slices")
+    return out
+
+
+def read_score_archive(spark: SparkSession, path: str, scores: dict[str, str]) -> DataFrame:
+    """release_id, case_id, observed from .npz archives with case_ids, classes and a score matrix per release: the first class of the highest score.
+
+    ``scores`` gives each release's array; each archive is one task's.  Other shapes or
+    kinds, repeated ids and scores that aren't finite are errors.
+    """
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                with np.load(io.BytesIO(data.as_py()), allow_pickle=False) as arrays:
+                    if missing := {"case_ids", "classes", *scores.values()} - set(arrays.files):
+                        raise ValueError(f"the archive lacks {sorted(missing)}")
+                    ids, classes = arrays["case_ids"], arrays["classes"]
+                    if any(x.ndim != 1 or x.dtype.kind != "U" or len(np.unique(x)) != len(x) for x in (ids, classes)):
+                        raise ValueError("case_ids and classes must be vectors of different strings")
+                    for release, name in scores.items():
+                        table = arrays[name]
+                        if table.shape != (len(ids), len(classes)) or table.dtype.kind != "f" or not np.isfinite(table).all():
+                            raise ValueError(f"{name} isn't a finite matrix of cases by classes")
+                        best = classes[table.argmax(axis=1)].tolist() if len(ids) else []
+                        yield pa.RecordBatch.from_pydict({"release_id": [release] * len(ids), "case_id": ids.tolist(), "observed": best}, pa.schema([(c, pa.string()) for c in ("release_id", "case_id", "observed")]))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "release_id string, case_id string, observed string")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, key: str | None = None, required: list[str] | None = None) -> DataFrame:
     """JSON Lines with declared fields; blank lines are skipped, broken ones, missing fields and repeated keys are errors."""
     fields = T.StructType.fromDDL(schema)
@@ -214,7 +340,27 @@ def read_config(text: str) -> dict:
         import yaml
     except ImportError as error:
         raise RuntimeError("YAML configurations need pyyaml") from error
-    return yaml.safe_load(text)
+    config = yaml.safe_load(text)
+    if problems := config_problems(config):
+        raise val.InvalidInput("; ".join(problems))
+    return config
+
+
+def config_problems(config: dict) -> list[str]:
+    """Rules of a calibration section that go across its fields."""
+    c, out = config.get("calibration") or {}, []
+    doses, up, down = c.get("target_doses", []), c.get("accept_to_reject_per_candidate", 0), c.get("reject_to_accept_per_candidate", 0)
+    rules = {
+        "target doses rise": doses == sorted(set(doses)), "flips sum to the changes": c.get("changes_per_candidate", up + down) == up + down,
+        "material limits are in order": c.get("material_count_min", 0) <= c.get("material_count_max", c.get("material_count_min", 0)), "no dose is above the flips": all(d <= up for d in doses),
+        "what a dose leaves divides by three": all((up - d) % 3 == 0 for d in doses), "worlds that must pass exist": c.get("minimum_passing_worlds", 0) <= c.get("calibration_world_count", c.get("minimum_passing_worlds", 0)),
+        "materials are different": len(c.get("calibration_materials", [])) == len(set(c.get("calibration_materials", []))),
+    }
+    out += [f"not so: {name}" for name, ok in rules.items() if not ok]
+    for name, x in (config.get("evaluation") or {}).items():
+        if name.startswith(("minimum_", "maximum_")) and not (isinstance(x, (int, float)) and not isinstance(x, bool) and 0 <= x <= 1):
+            out.append(f"evaluation.{name} isn't between 0 and 1")
+    return out
 
 
 def verify_payloads(spark: SparkSession, folder: str, references: DataFrame) -> DataFrame:

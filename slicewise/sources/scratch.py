@@ -13,9 +13,11 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``, or in a temporary folder where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in a temporary folder in local mode, and an error on a cluster, whose machines share no such folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="engine-scratch-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

@@ -58,8 +58,10 @@ def test_broken_input_writes_nothing(spark, tmp_path, how):
 
 def test_csv_keeps_blanks_and_quotes(spark, tmp_path):
     (tmp_path / "p.csv").write_text('case_id,observed,release_id\n"a,\n1"," x ",baseline\nb,"say ""y""",candidate\n')
-    rows = {r.case_id: r.observed for r in readers.read_predictions(spark, f"file://{tmp_path}/p.csv").collect()}
+    rows = {r.case_id: r.observed for r in readers.read_predictions(spark, f"file://{tmp_path}/p.csv", multiline=True).collect()}
     assert rows == {"a,\n1": " x ", "b": 'say "y"'}
+    with pytest.raises(InvalidInput, match="incomplete"):  # line feeds in values must be asked for
+        readers.read_predictions(spark, f"file://{tmp_path}/p.csv")
 
 
 def test_jsonl(spark, tmp_path):
