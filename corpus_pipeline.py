@@ -16,7 +16,6 @@ from slicewise.llm.neardup import drop_near_duplicates
 from slicewise.llm.pieces import default_model, digests, encode_decode
 from slicewise.llm.quality import keep_documents
 from slicewise.llm.secrets import redact
-from slicewise.shipping import ship
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -31,13 +30,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the smallest id."""
-    ship(spark)
     return drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts."""
-    ship(spark)
     return _counted(redact(docs))
 
 
@@ -48,7 +45,6 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they stand for, as digests."""
-    ship(spark)
     return digests(encode_decode(docs, default_model()))
 
 
@@ -59,7 +55,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
