@@ -4,9 +4,11 @@ Every page is paired with the page of its host whose path is nearest: of the ``S
 pages before it and after it in the order of paths, the one that shares most leading path
 parts, the nearer first, the one before first among equals.  A page that shares the longest
 line is a copy of the article and tells nothing, so the next nearest is taken; where all
-are copies, nothing is deleted.  Both pages' text lines (blocks) are aligned by a longest
-common subsequence, bit-parallel with backtracking, long ones halved first
-so that memory stays bounded, and shared lines are deleted.
+are copies, nothing is deleted.  A template's lines recur: a line counts as shared if
+``CONFIRMED`` of the pages as near as the partner have it (all, where there are fewer).
+These lines of both pages are aligned by a longest common subsequence, bit-parallel with
+backtracking, long ones halved first so that memory stays bounded, and the common ones
+are deleted.
 
 Differencing alone can't give right results where a template's lines change from page
 to page, or where different articles share a line.  So the markup settles what is left:
@@ -57,7 +59,7 @@ NAMES = {"ad", "ads", "advert", "advertisement", "advertising", "adverts", "adse
 #: Of these, the ones that mark such parts within an article too.
 INNER = {"ad", "ads", "advert", "advertisement", "advertising", "adverts", "adsense", "sponsored", "promo", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "comment", "comments", "replies", "disqus", "respond", "sidebar", "breadcrumbs", "pagination"}
 CHROME, PLAIN, ARTICLE = 0, 1, 2
-SIDE = 2
+SIDE, CONFIRMED = 2, 3
 TABLE_BITS = 1 << 28  # of the rows that backtracking keeps
 
 
@@ -197,7 +199,7 @@ def _common(x: list[int], y: list[int]) -> list[int]:
 
 
 def neighbours(pages: DataFrame, id_col: str, url_col: str, side: int = SIDE) -> DataFrame:
-    """(id, others): each page id and up to 2 * ``side`` pages of its host, the nearest path first."""
+    """(id, others, depths): each page id, up to 2 * ``side`` pages of its host, the nearest path first, and how many leading parts of the path each shares."""
     url = F.coalesce(col(url_col), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
@@ -227,7 +229,7 @@ def neighbours(pages: DataFrame, id_col: str, url_col: str, side: int = SIDE) ->
         return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
     found = F.array_sort(F.concat(ranked(F.col("prev"), -1), ranked(F.col("next"), 1)))
-    return rows.select("id", F.transform(found, lambda x: x.id).alias("others")).where(F.size("others") > 0)
+    return rows.select("id", F.transform(found, lambda x: x.id).alias("others"), F.transform(found, lambda x: -x.far).alias("depths")).where(F.size("others") > 0)
 
 
 def line_hashes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -247,15 +249,21 @@ def line_hashes(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return out.select("id", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), F.transform("lines", lambda x: F.length(x)).alias("sizes"), "zones")
 
 
-def deleted(lines: list[int], sizes: list[int], zones: list[int], others: list[list[int]]) -> list[int]:
-    """Numbers of the lines outside articles that the first of ``others`` shares which is no copy: the longest line that isn't chrome isn't shared."""
+def deleted(lines: list[int], sizes: list[int], zones: list[int], others: list[list[int]], depths: list[int]) -> list[int]:
+    """Numbers of the lines outside articles that go: common with the first of ``others`` that is no copy, and in ``CONFIRMED`` of those as near.
+
+    A copy shares the longest line that isn't chrome.
+    """
     text = [k for k, z in enumerate(zones) if z != CHROME]
-    longest = max(text, key=lambda k: (sizes[k], -k), default=None)
-    for theirs in others:
-        found = common_lines(lines, theirs)
-        if longest is None or longest not in set(found):
-            return [k for k in found if zones[k] != ARTICLE]
-    return []
+    longest = lines[max(text, key=lambda k: (sizes[k], -k))] if text else None
+    pages = [(d, theirs, set(theirs)) for d, theirs in zip(depths, others, strict=True)]
+    pages = [p for p in pages if longest not in p[2]]
+    if not pages:
+        return []
+    near = [own for d, _, own in pages if d == pages[0][0]]
+    often = Counter(v for own in near for v in own)
+    places = [k for k, v in enumerate(lines) if v in pages[0][2] and often[v] >= min(CONFIRMED, len(near))]
+    return [places[i] for i in common_lines([lines[k] for k in places], pages[0][1]) if zones[places[i]] != ARTICLE]
 
 
 def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -264,15 +272,15 @@ def shared_lines(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     pairs = materialize(neighbours(pages, id_col, url_col), "neighbours")
     single = lines.where("id is not null").groupBy("id").agg(F.min(F.struct("lines", "sizes", "zones")).alias("x")).select("id", "x.*")
     single = materialize(single, "single")
-    theirs = pairs.select("id", F.posexplode("others").alias("rank", "other")).join(single.select(F.col("id").alias("other"), F.col("lines").alias("theirs")), "other")
-    theirs = theirs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "theirs"))).alias("s")).select("id", F.col("s.theirs").alias("theirs"))
-    both = single.join(theirs, "id").select("id", "lines", "sizes", "zones", "theirs")
+    theirs = pairs.select("id", F.posexplode(F.arrays_zip("others", "depths")).alias("rank", "o")).select("id", "rank", F.col("o.others").alias("other"), F.col("o.depths").alias("depth")).join(single.select(F.col("id").alias("other"), F.col("lines").alias("theirs")), "other")
+    theirs = theirs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "theirs", "depth"))).alias("s")).select("id", F.col("s.theirs").alias("theirs"), F.col("s.depth").alias("depths"))
+    both = single.join(theirs, "id").select("id", "lines", "sizes", "zones", "theirs", "depths")
 
     def run(batches):
         for batch in batches:
             gone = []
             for r in range(batch.num_rows):
-                gone.append(deleted(*[batch.column(k)[r].as_py() for k in range(1, 5)]))
+                gone.append(deleted(*[batch.column(k)[r].as_py() for k in range(1, 6)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["id", "gone"])
 
     out = both.mapInArrow(run, T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("gone", T.ArrayType(T.IntegerType()))]))

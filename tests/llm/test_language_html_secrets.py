@@ -193,7 +193,7 @@ def test_differencing(spark):
 
 
 def nearest(urls, i, side=2):
-    """Ids of the pages around ``i`` in the order of its host's paths, nearest first, plainly."""
+    """Ids and depths of the pages around ``i`` in the order of its host's paths, nearest first, plainly."""
     split = {k: re.fullmatch(r"[a-z]+://([^/?#]*)([^?#]*).*", u or "") for k, u in urls.items()}
     where = {k: (m[1], m[2]) if m else ("", u or "") for (k, u), m in zip(urls.items(), split.values(), strict=True)}
     order = sorted(where, key=lambda k: (where[k], k))
@@ -203,7 +203,7 @@ def nearest(urls, i, side=2):
             mine, other = where[i][1].split("/"), where[order[j]][1].split("/")
             same = [x == y for x, y in zip(mine, other, strict=False)]
             found.append((-(same.index(False) if False in same else max(len(mine), len(other)) if len(mine) == len(other) else len(same)), abs(j - at), j, order[j]))
-    return [x[-1] for x in sorted(found)]
+    return [x[-1] for x in sorted(found)], [-x[0] for x in sorted(found)]
 
 
 def plain_common(a, b):
@@ -219,27 +219,36 @@ def plain_common(a, b):
 def test_differencing_as_plain_reading(spark, renamed):
     """Pairs, copies and deleted lines as by plain pairing and the full table; with article tags, and without."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where("url like '%tion%'")
+    rng = random.Random(9)
+    line = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    template, stories = [line(3) for _ in range(8)], [[line(rng.randrange(5, 30)) for _ in range(rng.randrange(1, 5))] for _ in range(12)]
+    site = []
+    for i in range(40):  # templates that recur with gaps, stories of which some are copies, and a story's line in two
+        lines = [t for t in template[:4] if rng.random() < 0.9] + rng.choice(stories) + [t for t in template[4:] if rng.random() < 0.9]
+        site.append((10**6 + i, f"http://site.org/{i % 3}/{i % 5}/{i}", "<p>menu</p>" + "<article>" * (i % 4 == 0) + "".join(f"<div>{x}</div>" for x in lines) + "</article>" * (i % 4 == 0)))
+    pages = pages.select("page_id", "url", "html").unionByName(spark.createDataFrame(site, "page_id long, url string, html string").selectExpr(f"cast(page_id as {dict(pages.dtypes)['page_id']}) as page_id", "url", "html"))
     if renamed:
         pages = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
     rows = {r.page_id: r for r in pages.collect()}
     urls = {i: r.url for i, r in rows.items()}
     blocks = {i: htmltext.blocks(r.html) for i, r in rows.items()}
-    others = {r.id: r.others for r in htmltext.neighbours(pages, "page_id", "url").collect()}
+    others = {r.id: (r.others, r.depths) for r in htmltext.neighbours(pages, "page_id", "url").collect()}
     gone = {r.id: r.gone for r in htmltext.shared_lines(pages, "page_id", "url", "html").collect()}
     texts = {r.id: r.text for r in htmltext.main_text(pages).collect()}
-    assert len(rows) > 50 and any(gone.values())
+    assert len(rows) > 80 and sum(map(len, gone.values())) > 100
     for i, found in blocks.items():
-        assert others.get(i, []) == nearest(urls, i)
+        assert others.get(i, ([], [])) == nearest(urls, i)
         lines = [t for t, _ in found]
-        text = [t for t, z in found if z != htmltext.CHROME]
-        want = 0
-        for j in others.get(i, []):
-            theirs = [t for t, _ in blocks[j]]
-            if max(text, key=len) not in theirs:
-                want = plain_common(lines, theirs)
-                rest = iter(theirs)
-                assert all(any(lines[k] == y for y in rest) for k in gone.get(i, []))
-                break
+        longest = max((t for t, z in found if z != htmltext.CHROME), key=len)
+        usable = [(d, [t for t, _ in blocks[j]]) for j, d in zip(*others.get(i, ([], [])), strict=True)]
+        usable = [(d, theirs) for d, theirs in usable if longest not in theirs]
+        want, cut = 0, {lines[k] for k in gone.get(i, [])}
+        if usable:
+            near = [theirs for d, theirs in usable if d == usable[0][0]]
+            some = [t for t in lines if sum(t in theirs for theirs in near) >= min(3, len(near))]
+            want = plain_common(some, usable[0][1])
+            rest = iter(usable[0][1])
+            assert cut <= set(some) and all(any(lines[k] == y for y in rest) for k in gone.get(i, []))
         articles = sum(z == htmltext.ARTICLE for _, z in found)
         assert len(gone.get(i, [])) == want or articles and len(gone.get(i, [])) <= want
         zone = htmltext.ARTICLE if articles else htmltext.PLAIN
@@ -277,7 +286,7 @@ def test_neighbours_do_not_depend_on_partitions(spark):
     want = {i: nearest(urls, i) for i in urls}
     for n in ("1", "4", "9", "300"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        assert {r.id: r.others for r in htmltext.neighbours(rows, "page_id", "url").collect()} == want
+        assert {r.id: (r.others, r.depths) for r in htmltext.neighbours(rows, "page_id", "url").collect()} == want
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 

@@ -204,6 +204,19 @@ def test_dense_edits_are_found(spark):
     assert all(r.id == 1000 + r.partner for r in got) and len({r.id for r in got}) == 80
 
 
+def test_hot_leader(spark, monkeypatch):
+    """One document leads a passage that 60 others have, over several keys; the rows are those of one key."""
+    rng = random.Random(14)
+    fill = lambda n: [f"h{rng.randrange(10**8)}" for _ in range(n)]
+    passage = fill(70)
+    docs = spark.createDataFrame([(i, " ".join(fill(20 + i) + passage + fill(30))) for i in range(61)], "doc_id long, text string")
+    want = sorted((i, 0, 20 + i, 90 + i, 20, 90, 70) for i in range(1, 61))
+    for hot in (1000, 7):
+        monkeypatch.setattr(passages, "HOT", hot)
+        rows = passages.repeated_passages(docs).collect()
+        assert sorted((r.id, r.partner, r.start, r.end, r.partner_start, r.partner_end, r.matches) for r in rows) == want
+
+
 def test_passages_of_odd_rows(odd, none):
     got = passages.repeated_passages(odd).collect()
     assert [(r.id, r.partner, r.matches) for r in got] == [(9, 8, 150)]
