@@ -6,10 +6,10 @@ similarity above 0 needs a shared token, so only such pairs meet, on the token.
 
 from __future__ import annotations
 
-import math
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,10 +104,30 @@ def summed(slots: DataFrame, scores: DataFrame, candidate: str = "candidate") ->
     return slots.join(scores, "slot_id", "left").groupBy(candidate).agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
-@F.pandas_udf(T.DoubleType())
-def exact_sum(values: pd.Series) -> float:
-    """The correctly rounded sum, whatever the order."""
-    return math.fsum(values)
+UNIT = 1074  # every finite double is a whole number of 2 ** -1074
+
+
+def exact_sums(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key and the correctly rounded sum of its values, whatever their order.
+
+    A double is a whole multiple of 2 ** -1074, so sums are exact as whole numbers: each
+    batch gives one per key, and these few are added up and rounded once.
+    """
+    kind = rows.schema[key].dataType
+
+    def partial(batches):
+        for batch in batches:
+            total: dict = {}
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                top, bottom = x.as_integer_ratio()  # bottom is a power of 2
+                total[k] = total.get(k, 0) + (top << (UNIT - bottom.bit_length() + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), batch.column(0).type), pa.array([hex(n) for n in total.values()], pa.string())], names=[key, "whole"])
+
+    def rounded(wholes: pd.Series) -> pd.Series:
+        return wholes.map(lambda parts: sum(int(p, 16) for p in parts) / (1 << UNIT))
+
+    parts = rows.select(key, value).mapInArrow(partial, T.StructType([T.StructField(key, kind), T.StructField("whole", T.StringType())]))
+    return parts.groupBy(key).agg(F.collect_list("whole").alias("whole")).select(key, F.pandas_udf(rounded, T.DoubleType())(F.col("whole")).alias("score"))
 
 
 def suspiciousness(slots: DataFrame, scores: DataFrame, candidate: str = "candidate") -> DataFrame:
@@ -115,7 +135,7 @@ def suspiciousness(slots: DataFrame, scores: DataFrame, candidate: str = "candid
     rows = slots.groupBy(candidate, "slot_id").agg(F.count("*").alias("n")).join(scores.select("slot_id", F.col("score").cast("double").alias("s")), "slot_id", "left")
     bad = F.col("s").isNull() | F.isnan("s") | (F.abs("s") == float("inf")) | (F.col("n") > 1)
     ok = F.when(~bad, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no single finite score for "), "slot_id")).cast("boolean"))
-    return rows.where(ok).groupBy(candidate).agg(exact_sum("s").alias("score"))
+    return exact_sums(rows.where(ok), candidate, "s")
 
 
 def margin_loss(rows: DataFrame, a: int, b: int, vector: str = "logits", label: str = "label") -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import json
+import math
 import re
 import struct
 import zlib
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from slicewise import importer, packet, report
 from slicewise.functions.preview import grey_png, png_uri
-from slicewise.operators import blind, certify, compare, incidents
+from slicewise.operators import blind, certify, compare, incidents, localize
 from slicewise.operators import records as rec
 from slicewise.operators import releases as rel
 from slicewise.operators import validate as val
@@ -249,3 +250,10 @@ def test_state_digests():
     a = {"b": np.array([[1.0, 2.0]], np.float32), "a": np.array([3], np.int64)}
     want = hashlib.sha256(b"a\0torch.int64\0[1]\0" + (3).to_bytes(8, "little") + b"\0b\0torch.float32\0[1,2]\0" + struct.pack("<2f", 1, 2) + b"\0").hexdigest()
     assert local.state_digest(a) == want == local.state_digest(dict(reversed(a.items()))) != local.state_digest(a | {"a": np.array([4])})
+
+
+def test_exact_sums(spark):
+    rng = np.random.default_rng(11)
+    values = {"a": [1e308, 1.0, -1e308, 2.0**-1074, 1e-300], "b": [0.1] * 10, "c": (rng.normal(size=500) * 10.0 ** rng.integers(-200, 200, 500)).tolist(), "d": [-0.5, 0.5], "e": [2.0**53, 1.0, 2.0**-53]}
+    rows = spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs], "k string, x double").repartition(5)
+    assert {r.k: r.score for r in localize.exact_sums(rows, "k", "x").collect()} == {k: math.fsum(xs) for k, xs in values.items()}
