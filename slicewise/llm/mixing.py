@@ -8,8 +8,9 @@ time is the words of its source up to and with it, divided by the source's targe
 the mix is all entries sorted by that time, cut at the total budget.
 
 Both running sums are made in two steps, so no source and no sort lands in one task:
-sums per bucket of the shuffle key (or of virtual time), offsets over those few
-buckets, and a running sum within each bucket.  Texts are read once, for their sizes.
+sums per bucket of the shuffle key (or of virtual time), offsets over those buckets, and
+a running sum within each bucket; their number follows the number of documents, about
+``PER_BUCKET`` of them each, and changes no result.  Texts are read once, for their sizes.
 
 Defined results: null text has size 0; sources and documents without words get
 nothing; null sources are one source; repeated rows are told apart by a number; an
@@ -18,6 +19,8 @@ empty table gives an empty mix.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import WORD, col, fresh, materialize
 
 WEIGHTS = (5, 2, 1)
-KEY_DIGITS, TIME_STEPS = 3, 4096
+PER_BUCKET, LEAST_DIGITS = 100_000, 3
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -66,12 +69,14 @@ def source_targets(rows: DataFrame, weights=WEIGHTS, max_repeats: int = 3) -> Da
 
 def fair_queue(rows: DataFrame, targets: DataFrame, max_repeats: int = 3, seed: str = "mix") -> DataFrame:
     """The mix: the columns of ``rows``, epoch, finish, begin (words before it) and taken, for taken > 0."""
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, rows.count() / PER_BUCKET), 16)))
+    time_steps = 16**digits
     t = targets.withColumnRenamed("source", "of")
     epochs = F.least(F.lit(max_repeats), F.ceil(F.col("target") / F.col("source_size")).cast("int"))
     entry = rows.where("size > 0").join(t, F.col("source").eqNullSafe(F.col("of"))).where("target > 0").drop("of")
     entry = entry.withColumn("epoch", F.explode(F.sequence(F.lit(1), epochs)))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy").cast("string"), F.col("epoch").cast("string")))
-    entry = entry.withColumn("key", key).withColumn("bucket", F.substring("key", 1, KEY_DIGITS))
+    entry = entry.withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     running = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
 
     sums = entry.groupBy("source", "epoch", "bucket").agg(F.sum("size").alias("words"))
@@ -80,7 +85,7 @@ def fair_queue(rows: DataFrame, targets: DataFrame, max_repeats: int = 3, seed:
     same = F.col("source").eqNullSafe(F.col("s2")) & (F.col("epoch") == F.col("e2")) & (F.col("bucket") == F.col("b2"))
     within = running(W.partitionBy("source", "epoch", "bucket").orderBy("key", "size", "content"))
     queued = entry.withColumn("here", F.sum("size").over(within)).join(sums, same).withColumn("finish", (F.col("offset") + F.col("here")) / F.col("target"))
-    queued = queued.withColumn("step", F.least(F.floor(F.col("finish") * TIME_STEPS), F.lit(3 * TIME_STEPS)))
+    queued = queued.withColumn("step", F.least(F.floor(F.col("finish") * time_steps), F.lit(3 * time_steps)))
     queued = materialize(queued.drop("s2", "e2", "b2", "offset", "here", "bucket"), "queue")
 
     steps = queued.groupBy("step").agg(F.sum("size").alias("words"))

@@ -40,6 +40,12 @@ def test_mix(spark, docs):
     assert all(abs(t - want) <= 2 * largest[s] + 1 for s, (t, want) in per.items())
 
 
+def test_buckets_change_nothing(docs, monkeypatch):
+    rows = sorted(mixing.taken_words(docs).collect(), key=lambda r: r.id)
+    monkeypatch.setattr(mixing, "PER_BUCKET", docs.count() / 60_000)
+    assert sorted(mixing.taken_words(docs).collect(), key=lambda r: r.id) == rows
+
+
 def test_mix_of_odd_rows(odd, none):
     rows = mixing.taken_words(odd).collect()
     assert len(rows) == odd.count()
