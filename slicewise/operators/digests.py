@@ -1,7 +1,8 @@
 """Digests of ordered record streams as canonical JSON.
 
 SHA-256 is sequential, so the records come to the driver one partition at a time and in
-order, and only the running digest is kept; nothing is gathered.
+order, and only the running digest is kept; nothing is gathered.  That is for releases and
+comparisons, whose digests are fixed; ``multiset_digest`` is for tables of any size.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical
+from ..functions.hashing import sha
 
 
 def _rows(df: DataFrame, order: list[str], columns: list[str]) -> Iterable[dict]:
@@ -29,6 +31,20 @@ def stream_digest(df: DataFrame, order: list[str], columns: list[str]) -> str:
     return out.hexdigest()
 
 
+def multiset_digest(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
+    """One row, digest: of the table's rows whatever their order, made by all tasks.
+
+    A row's digest is that of its JSON, fields by name; rows are sorted by digest within
+    the leading ``digits`` hex digits, and the digests of these 16 ** ``digits`` parts,
+    by their leads, make the table's.  More digits keep the parts of larger tables small.
+    """
+    row = sha(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
+    rows = df.select(row.alias("d")).withColumn("lead", F.substring("d", 1, digits))
+    parts = rows.groupBy("lead").agg(sha(F.array_join(F.sort_array(F.collect_list("d")), "\n")).alias("part"))
+    every = F.transform(F.sort_array(F.collect_list(F.struct("lead", "part"))), lambda x: x["part"])
+    return parts.agg(sha(F.array_join(every, "\n")).alias("digest"))
+
+
 def _array(out, items: Iterable[str]) -> None:
     out.update(b"[")
     for i, item in enumerate(items):

@@ -193,3 +193,9 @@ _slices = """'[' || (select string_agg('{"case_ids":[' || ids || '],"maximum_acc
 def comparison_digests(spark, d):
     got = digests.comparison_digests(v.cases(spark, d), v.predictions(spark, d), v.slices(spark, d), v.slice_members(spark, d), {"baseline": "baseline", "candidate": "candidate"})
     return spark.createDataFrame([(got["input_sha256"], got["evaluation_policy_sha256"])], "input_sha256 string, evaluation_policy_sha256 string")
+
+
+@query("table_digest", """select sha256(string_agg(part, chr(10) order by lead)) as digest from (select substr(d, 1, 3) as lead, sha256(string_agg(d, chr(10) order by d)) as part from (select sha256('{"case_id":"' || case_id || '","observed":"' || observed || '","release_id":"' || release_id || '"}') as d from predictions) group by 1)""")
+def table_digest(spark, d):
+    """The predictions as a multiset, by all tasks."""
+    return digests.multiset_digest(v.predictions(spark, d), ["release_id", "case_id", "observed"])
