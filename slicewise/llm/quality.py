@@ -82,7 +82,7 @@ def base_features(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         repeats.cast("long").alias("n_repeat_words"),
-        F.transform("_l", lambda x: F.struct(_line_key(x).alias("h"), F.size(_words(x)).alias("n"))).alias("lines"),
+        F.transform(F.transform("_l", lambda x: _words(F.lower(x))), lambda w: F.struct(F.xxhash64(w).alias("h"), F.size(w).alias("n"))).alias("lines"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
