@@ -83,7 +83,7 @@ def reserved(size: np.ndarray, length: int) -> np.ndarray:
     return np.where(size > 0, -(-(size + 1) // length), 0)
 
 
-def write_shards(docs: DataFrame, path: str, *, model: str, id_col: str = "doc_id", text_col: str = "text", length: int = 512, key: int = 20, shard_bytes: int = 4 << 20, task_bytes: int = 64 << 20, stable: bool = False) -> dict:
+def write_shards(docs: DataFrame, path: str, *, model: str, id_col: str = "doc_id", text_col: str = "text", length: int = 512, key: int = 20, shard_bytes: int = 4 << 20, task_bytes: int = 32 << 20, stable: bool = False) -> dict:
     """Write all sequences of ``docs`` under ``path``; gives the manifest, which stands there as JSON too.
 
     ``stable`` says that ``docs`` is a plain scan, whose partitions are the same each time;
