@@ -41,7 +41,7 @@ from .common import byte_codes, col, fresh, materialize, mix, pieces_of, shipped
 from .links import components
 
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of a bitmap of ids: 32 MB at most
-BLOCK, BLOCK_ITEMS = 400, 1 << 19  # documents and shingles of a block, on average
+BLOCK, BLOCK_ITEMS = 1000, 1 << 19  # documents and shingles of a block, on average
 FEW = 48  # holders of a shingle up to which they are paired; above, matrix products count
 
 
@@ -252,7 +252,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str,
     rest = members.where((F.col("id") != F.col("lo.id")) & (F.col("id") != F.col("hi.id"))).select("key", "id", "n").distinct()
     rest = rest.join(of, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
     mixed = rest.groupBy("key").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    rest = rest.join(mixed.where("c_lo < c_hi").select("key", "blocks"), "key")
+    rest = rest.join(materialize(mixed.where("c_lo < c_hi").select("key", "blocks"), "mixed"), "key")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "c")
     more = rest.join(sets, "id").join(reps.select("id", "bands"), "id").groupBy("key", "i", "j").applyInArrow(block_links(percent), T.StructType([T.StructField(x, members.schema["id"].dataType) for x in "ab"]))
