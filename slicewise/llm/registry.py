@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import htmltext, langid, mixing, neardup, passages, pieces, quality, secrets, tiff, tokens
+from . import audit, htmltext, langid, mixing, neardup, passages, pieces, quality, secrets, tiff, tokens
 
 
 QUERIES = {
@@ -18,7 +18,8 @@ QUERIES = {
         quality.op8_line_quality,
         htmltext.op9_page_difference,
         secrets.op10_entropy_secrets,
+        audit.op13_filter_audit,
     )
 }
 
-ORACLE_SQL = {"op3_fair_mix": mixing.OP3_SQL, "op7_fast_sketch": neardup.OP7_SQL, "op8_line_quality": quality.OP8_SQL}
+ORACLE_SQL = {"op3_fair_mix": mixing.OP3_SQL, "op7_fast_sketch": neardup.OP7_SQL, "op8_line_quality": quality.OP8_SQL, "op13_filter_audit": audit.OP13_SQL}

@@ -16,4 +16,4 @@ def test_every_operator_has_a_query():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 11)) and set(registry.QUERIES) < names and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES} == set(range(1, 14)) and set(registry.QUERIES) < names and "pipeline" in names
