@@ -124,13 +124,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, byte after the last, and row of each word, in order; rows end words."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte after the last, and row of each word, in order; rows end words, and so do the bytes marked in ``apart``."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~_SPACE[data]
+    word = ~apart[data]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, htmltext, langid, mixing, neardup, passages, pieces, quality, secrets, tiff, tokens
+from . import audit, htmltext, langid, mixing, neardup, passages, pieces, quality, ranked, secrets, tiff, tokens
 
 
 QUERIES = {
@@ -18,8 +18,9 @@ QUERIES = {
         quality.op8_line_quality,
         htmltext.op9_page_difference,
         secrets.op10_entropy_secrets,
+        ranked.op12_windowed_search,
         audit.op13_filter_audit,
     )
 }
 
-ORACLE_SQL = {"op3_fair_mix": mixing.OP3_SQL, "op7_fast_sketch": neardup.OP7_SQL, "op8_line_quality": quality.OP8_SQL, "op13_filter_audit": audit.OP13_SQL}
+ORACLE_SQL = {"op3_fair_mix": mixing.OP3_SQL, "op7_fast_sketch": neardup.OP7_SQL, "op8_line_quality": quality.OP8_SQL, "op12_windowed_search": ranked.OP12_SQL, "op13_filter_audit": audit.OP13_SQL}
