@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, htmltext, langid, mixing, neardup, passages, pieces, quality, ranked, secrets, tiff, tokens
+from . import audit, htmltext, langid, lmscore, mixing, neardup, passages, pieces, quality, ranked, secrets, tiff, tokens
 
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
         quality.op8_line_quality,
         htmltext.op9_page_difference,
         secrets.op10_entropy_secrets,
+        lmscore.op11_deleted_interpolation,
         ranked.op12_windowed_search,
         audit.op13_filter_audit,
     )
