@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import ROOT_SPACE, u64
 from ..functions.text import jaccard, label_tokens
+from .matching import greedy_matching
 
 RULES = ("v1", "v2", "matched")
 
@@ -66,30 +67,66 @@ def rank_pairs(features: DataFrame, rule: str, excluded: list[str] = (), min_tra
     return features.where(ok).withColumn("rank", F.row_number().over(W.orderBy(*keys)))
 
 
+def stage_counts(features: DataFrame, stages: dict) -> DataFrame:
+    """stage, step, and of the pairs that meet its condition: pairs, labels (that stand in one), capacity (pairs that a greedy choice in the order of labels takes).
+
+    A stage that no pair reaches has zeros.  All stages are matched in one iteration, a group each.
+    """
+    names = list(stages)
+    counts = features.agg(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(k).alias("step"), F.count_if(c).alias("pairs")) for k, (s, c) in enumerate(stages.items(), 1)]).alias("x"))
+    counts = counts.select(F.explode("x").alias("x")).select("x.*")
+    inside = features.select("label_a", "label_b", F.explode(F.array_compact(F.array(*[F.when(stages[s], F.lit(s)) for s in names]))).alias("at"))
+    labels = inside.select("at", F.explode(F.array("label_a", "label_b")).alias("label")).groupBy("at").agg(F.count_distinct("label").alias("labels"))
+    taken = greedy_matching(inside.withColumn("same", F.lit(0)), "at", "same").groupBy(F.col("at").alias("at2")).agg(F.count("*").alias("capacity"))
+    out = counts.join(labels, F.col("stage") == F.col("at"), "left").join(taken, F.col("stage") == F.col("at2"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("stage", "step", "pairs", zero("labels"), zero("capacity"))
+
+
+FUNNEL = ("train", "eval", "recall", "lexical", "both_confusions")  # the cumulative order
+#: Gates that are met together: what is left when one of the funnel's is left out or weakened.
+TOGETHER = {
+    "qualified": ("train", "eval", "recall"),
+    "qualified_lexical": ("train", "eval", "recall", "lexical"),
+    "qualified_any_confusion": ("train", "eval", "recall", "any_confusion"),
+    "qualified_both_confusions": ("train", "eval", "recall", "both_confusions"),
+    "lexical_any_confusion": ("lexical", "any_confusion"),
+    "lexical_both_confusions": ("lexical", "both_confusions"),
+    "all_any_confusion": ("train", "eval", "recall", "lexical", "any_confusion"),
+    "all_both_confusions": ("train", "eval", "recall", "lexical", "both_confusions"),
+}
+
+
+def _all(g: dict, names) -> object:
+    out = F.lit(True)
+    for name in names:
+        out = out & g[name]
+    return out
+
+
 def gate_funnel(features: DataFrame, min_train: int = 66, min_eval: int = 20, min_recall: float = 0.9) -> DataFrame:
-    """gate, step, pairs and labels left after it, and pairs that pass it alone."""
-    g, order = gates(min_train, min_eval, min_recall), ["train", "eval", "recall", "lexical", "both_confusions"]
-    upto, aggs = F.lit(True), []
-    for name in order:
-        upto = upto & g[name]
-        labels = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(upto, F.array("label_a", "label_b"))))))
-        aggs.append(F.struct(F.lit(name).alias("gate"), F.lit(len(aggs) + 1).alias("step"), F.count_if(upto).alias("pairs"), labels.cast("long").alias("labels"), F.count_if(g[name]).alias("alone")))
-    return features.agg(F.array(*aggs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    """gate, step, pairs, labels and greedy capacity left after it, and pairs that pass it alone."""
+    g = gates(min_train, min_eval, min_recall)
+    stages = stage_counts(features, {name: _all(g, FUNNEL[: k + 1]) for k, name in enumerate(FUNNEL)})
+    alone = features.agg(F.array(*[F.struct(F.lit(name).alias("of"), F.count_if(g[name]).alias("alone")) for name in FUNNEL]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    return stages.join(alone, F.col("stage") == F.col("of")).select(F.col("stage").alias("gate"), "step", "pairs", "labels", "alone", "capacity")
 
 
-def greedy_disjoint(ranked: DataFrame, most: int) -> DataFrame:
-    """place, label_a, label_b of the first ``most`` pairs in rank order that share no label with an earlier choice.
+def gate_counts(features: DataFrame, min_train: int = 66, min_eval: int = 20, min_recall: float = 0.9) -> DataFrame:
+    """gate, step, pairs, labels and capacity of every gate by itself."""
+    return stage_counts(features, gates(min_train, min_eval, min_recall)).withColumnRenamed("stage", "gate")
 
-    A fold over the ranked pairs, of which there are at most as many as pairs of labels.
-    """
-    pairs = ranked.agg(F.array_sort(F.collect_list(F.struct("rank", "label_a", "label_b"))).alias("all"))
 
-    def step(chosen, p):
-        taken = F.exists(chosen, lambda c: (c["a"] == p["label_a"]) | (c["a"] == p["label_b"]) | (c["b"] == p["label_a"]) | (c["b"] == p["label_b"]))
-        return F.when(taken | (F.size(chosen) >= most), chosen).otherwise(F.concat(chosen, F.array(F.struct(p["label_a"].alias("a"), p["label_b"].alias("b")))))
+def gate_intersections(features: DataFrame, min_train: int = 66, min_eval: int = 20, min_recall: float = 0.9) -> DataFrame:
+    """stage, step, pairs, labels and capacity of the sets of gates in ``TOGETHER``."""
+    g = gates(min_train, min_eval, min_recall)
+    return stage_counts(features, {name: _all(g, names) for name, names in TOGETHER.items()})
 
-    chosen = F.aggregate("all", F.expr("cast(array() as array<struct<a:string,b:string>>)"), step)
-    return pairs.select(F.posexplode(chosen).alias("at", "x")).select((F.col("at") + 1).alias("place"), F.col("x.a").alias("label_a"), F.col("x.b").alias("label_b"))
+
+def greedy_disjoint(ranked: DataFrame, most: int) -> DataFrame:
+    """place, label_a, label_b of the first ``most`` pairs in rank order that share no label with an earlier choice."""
+    chosen = greedy_matching(ranked.withColumn("one", F.lit(0)), "one", "rank").orderBy("rank").limit(most)
+    return chosen.select(F.row_number().over(W.orderBy("rank")).alias("place"), "label_a", "label_b")
 
 
 def matched_worlds(ranked: DataFrame, worlds: int, per_world: int = 5) -> DataFrame:

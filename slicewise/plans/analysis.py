@@ -144,17 +144,37 @@ for _rule in pairs.RULES:
     query(f"pair_rank_{_rule}", f"select * from ranked_{_rule}")(_rank)
 
 _gates = [("train", "train_a >= 20 and train_b >= 20"), ("eval", "eval_a >= 5 and eval_b >= 5"), ("recall", "coalesce(min_recall >= 0.7, false)"), ("lexical", "jaccard > 0"), ("both_confusions", "a_to_b > 0 and b_to_a > 0")]
-_funnel = " union all ".join(
-    f"select '{g}' as gate, {i + 1} as step, (select count(*) from pair_rows where {' and '.join(c for _, c in _gates[: i + 1])}) as pairs, (select count(distinct l) from (select label_a as l from pair_rows where {' and '.join(c for _, c in _gates[: i + 1])} union all select label_b from pair_rows where {' and '.join(c for _, c in _gates[: i + 1])})) as labels, (select count(*) from pair_rows where {cond}) as alone"
-    for i, (g, cond) in enumerate(_gates)
-)
+_each = dict(_gates) | {"any_confusion": "mutual > 0"}
+
 
+def _stages(conditions: dict, more: str = "", name: str = "stage") -> str:
+    """SQL of pairs, labels and greedy capacity per stage: pairs in the order of labels, and the labels taken so far as a text."""
+    rows = " union all ".join(f"select '{s}' as stage, {k} as step, label_a, label_b from pair_rows where {c}" for k, (s, c) in enumerate(conditions.items(), 1))
+    names = " union all ".join(f"select '{s}' as stage, {k} as step{more.format(alone=_each.get(s))}" for k, s in enumerate(conditions, 1))
+    free = "position('|' || r.label_a || '|' in g.used) = 0 and position('|' || r.label_b || '|' in g.used) = 0"
+    return f"""with recursive inside as materialized (select *, row_number() over (partition by stage order by label_a, label_b) as place from ({rows})),
+g(stage, place, used, n) as (select distinct stage, cast(0 as bigint), '|', cast(0 as bigint) from inside union all
+  select r.stage, r.place, case when {free} then g.used || r.label_a || '|' || r.label_b || '|' else g.used end, case when {free} then g.n + 1 else g.n end from g join inside r on r.stage = g.stage and r.place = g.place + 1)
+select s.stage as {name}, s.* exclude (stage), coalesce(p.pairs, 0) as pairs, coalesce(p.labels, 0) as labels, coalesce(c.capacity, 0) as capacity from ({names}) s
+left join (select stage, count(*) as pairs, (select count(distinct l) from (select stage, label_a as l from inside union all select stage, label_b from inside) x where x.stage = inside.stage) as labels from inside group by stage) p on p.stage = s.stage
+left join (select stage, max(n) as capacity from g group by stage) c on c.stage = s.stage"""
 
-@query("gate_funnel", _funnel)
+
+@query("gate_funnel", _stages({g: " and ".join(c for _, c in _gates[: k + 1]) for k, (g, _) in enumerate(_gates)}, ", (select count(*) from pair_rows where {alone}) as alone", "gate"))
 def gate_funnel(spark, d):
     return pairs.gate_funnel(features(spark, d), **LIMITS)
 
 
+@query("gate_counts", _stages({g: _each[g] for g in ("train", "eval", "recall", "lexical", "any_confusion", "both_confusions")}, name="gate"))
+def gate_counts(spark, d):
+    return pairs.gate_counts(features(spark, d), **LIMITS)
+
+
+@query("gate_intersections", _stages({s: " and ".join(_each[g] for g in names) for s, names in pairs.TOGETHER.items()}))
+def gate_intersections(spark, d):
+    return pairs.gate_intersections(features(spark, d), **LIMITS)
+
+
 view("greedy", "with recursive g(rank, used, place, label_a, label_b) as (select cast(0 as bigint), '|', cast(0 as bigint), '', '' union all select r.rank, case when position('|' || r.label_a || '|' in g.used) > 0 or position('|' || r.label_b || '|' in g.used) > 0 then g.used else g.used || r.label_a || '|' || r.label_b || '|' end, case when position('|' || r.label_a || '|' in g.used) > 0 or position('|' || r.label_b || '|' in g.used) > 0 then g.place else g.place + 1 end, r.label_a, r.label_b from g join ranked_matched r on r.rank = g.rank + 1) select min(rank) as rank, place, first(label_a order by rank) as label_a, first(label_b order by rank) as label_b from g where place > 0 group by place")
 
 
