@@ -33,36 +33,35 @@ from pyspark.sql import functions as F
 from .common import WORD, col, materialize
 
 FILTERS = "ABCDE"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "[#$%&*|]"
 SETS = range(1 << len(FILTERS))
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 
 
 def word_totals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, content, total, different) of every text with words; ``total`` is over all rows of that id and content."""
-    texts = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumns({"content": F.md5("text"), "place": F.spark_partition_id()})
-    words = texts.repartition("id", "content", "place").select("id", "content", "place", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    each = words.groupBy("id", "content", "place", "word").agg(F.count("*").alias("n"))
-    some = each.groupBy("id", "content", "place").agg(F.sum("n").alias("total"), F.count("*").alias("different"))
-    return some.groupBy("id", "content").agg(F.sum("total").alias("total"), F.max("different").alias("different"))
+    """(id, key, total, different) of every text with words; ``key`` is a 64-bit hash that tells the texts of an id apart, ``total`` is over all rows of that id and text."""
+    texts = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).withColumns({"key": F.xxhash64("text"), "place": F.spark_partition_id()})
+    words = texts.repartition("id", "key", "place").select("id", "key", "place", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    each = words.groupBy("id", "key", "place", "word").agg(F.count("*").alias("n"))
+    some = each.groupBy("id", "key", "place").agg(F.sum("n").alias("total"), F.count("*").alias("different"))
+    return some.groupBy("id", "key").agg(F.sum("total").alias("total"), F.max("different").alias("different"))
 
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", *, least_words: int = 200, different: int = 50, capitals: int = 2) -> DataFrame:
     """(id, part, rows, set): equal rows counted, and the filters that they fail as bits, A lowest."""
     text = F.coalesce(col(text_col), F.lit(""))
-    many_capitals = 100 * (F.length(text) - F.length(F.translate(text, CAPITALS, ""))) > capitals * F.length(text)
-    flags = docs.select(col(id_col).alias("id"), F.coalesce(col(part_col).cast("string"), F.lit("")).alias("part"), F.md5(text).alias("content"), many_capitals.alias("c"), text.rlike(SYMBOLS).alias("d"))
-    flags = materialize(flags.groupBy("id", "part", "content", "c", "d").agg(F.count("*").alias("rows")), "flags")
+    many_capitals = 100 * F.regexp_count(text, F.lit("[A-Z]")) > capitals * F.length(text)
+    flags = docs.select(col(id_col).alias("id"), F.coalesce(col(part_col).cast("string"), F.lit("")).alias("part"), F.md5(text).alias("content"), F.xxhash64(text).alias("key"), many_capitals.alias("c"), text.rlike(SYMBOLS).alias("d"))
+    flags = materialize(flags.groupBy("id", "part", "content", "key", "c", "d").agg(F.count("*").alias("rows")), "flags")
 
     firsts = flags.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     firsts = materialize(firsts.select(F.col("content").alias("content1"), "first"), "firsts")
-    copies = flags.groupBy("id", "content").agg(F.sum("rows").alias("copies"))
-    words = word_totals(docs, id_col, text_col).join(copies.toDF("id2", "content2", "copies"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("content") == F.col("content2")))
-    words = words.select(F.col("id").alias("id3"), F.col("content").alias("content3"), F.expr("total div copies").alias("n"), "different")
+    copies = flags.groupBy("id", "key").agg(F.sum("rows").alias("copies"))
+    words = word_totals(docs, id_col, text_col).join(copies.toDF("id2", "key2", "copies"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")))
+    words = words.select(F.col("id").alias("id3"), F.col("key").alias("key3"), F.expr("total div copies").alias("n"), "different")
     words = materialize(words, "words")
 
-    out = flags.join(words, F.col("id").eqNullSafe(F.col("id3")) & (F.col("content") == F.col("content3")), "left").join(firsts, F.col("content") == F.col("content1"), "left")
+    out = flags.join(words, F.col("id").eqNullSafe(F.col("id3")) & (F.col("key") == F.col("key3")), "left").join(firsts, F.col("content") == F.col("content1"), "left")
     n, distinct = F.coalesce("n", F.lit(0)), F.coalesce("different", F.lit(0))
     fails = (n < least_words, 100 * distinct < different * n, F.col("c"), F.col("d"), F.coalesce(F.col("first") < F.col("id"), F.lit(False)))
     return out.select("id", "part", "rows", sum((F.when(x, F.lit(1 << k)).otherwise(F.lit(0)) for k, x in enumerate(fails)), F.lit(0)).alias("set"))
