@@ -39,10 +39,15 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def in_nfc(text: Column) -> Column:
+    """NFC of the text.  Characters below U+0300 neither combine nor decompose to others, so only texts with a later one go to Python."""
+    return F.coalesce(nfc(F.when(text.rlike("[^\\x{0}-\\x{2FF}]"), text)), text)
+
+
 def content_id(label: Column, text: Column) -> Column:
     """Digest of the label and text of a record as JSON with non-ASCII characters kept; both must be NFC and stripped."""
     return F.sha2(F.to_json(F.struct(label.alias("label"), text.alias("text"))).cast("binary"), 256)
 
 
 def normal_text(text: Column) -> Column:
-    return strip(nfc(text))
+    return strip(in_nfc(text))

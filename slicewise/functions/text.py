@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that Python's str.strip() removes.
-SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())  # the characters that Python's str.strip() removes
 WORD, PLAIN = "[a-z0-9_]+", "[a-z0-9]+"
 LABELS = ("ACCEPT", "REJECT")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def blank(text: Column) -> Column:
@@ -79,4 +78,4 @@ def canonical_path(path: Column) -> Column:
 
 def normalized_key(text: Column) -> Column:
     """White space collapsed, ends stripped, lower case."""
-    return F.lower(F.regexp_replace(strip(text), f"{SPACE}+", " "))
+    return F.lower(F.regexp_replace(strip(text), f"[{SPACE}]+", " "))

@@ -1,7 +1,6 @@
 """Localization: scores of candidate changes, from hashes, labels, texts, or last-layer features.
 
-Truth is never an input here.  Best token similarity goes through an inverted index: a
-similarity above 0 needs a shared token, so only such pairs meet, on the token.
+Truth is never an input here.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.hashing import RANDOM_SPACE, joined, u64
 from ..functions.vectors import dot, softmax_delta
 from .records import free_names
+from .similarity import best_similarity
 
 
 def random_scores(candidates: DataFrame, world: str = "world", candidate: str = "candidate_id") -> DataFrame:
@@ -42,32 +42,6 @@ def label_overlap(changes: DataFrame, targets: list[str], candidate: str = "cand
     return changes.groupBy(candidate).agg(F.count_if(F.col("label").isin(*targets)).alias("score"))
 
 
-def best_similarity(left: DataFrame, right: DataFrame, left_id: list[str], right_group: list[str] = (), rare: int = 2) -> DataFrame:
-    """left_id (and right_group), best: the greatest Jaccard similarity of each left row's ``tokens`` with any right row's.
-
-    ``left`` is (left_id…, tokens), ``right`` (right_id, right_group…, tokens).  Left rows
-    that share no token with a group's rows are absent; their best is 0.
-
-    Common tokens would pair nearly everything.  So the ``rare`` least frequent tokens of
-    every left row give a lower bound of its best in each group first; then only right
-    rows whose size alone allows more (sizes that differ by less than 1 / bound) are paired on all tokens.
-    """
-    row, group = F.struct(*left_id), F.concat_ws("\0", *[F.col(c).cast("string") for c in right_group]) if right_group else F.lit("")
-    a = left.select(row.alias("row"), F.size("tokens").alias("na"), F.explode("tokens").alias("token"))
-    b = right.select("right_id", F.struct(*right_group).alias("g") if right_group else F.lit(0).alias("g"), group.alias("of"), F.size("tokens").alias("nb"), F.explode("tokens").alias("token"))
-    often = b.groupBy("token").agg(F.count("*").alias("rows"))
-    order = W.partitionBy("row").orderBy("rows", "token")
-    some = a.join(often, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= rare).select("row", "na", "token")
-    share = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    pair = lambda x, *more: x.join(b, "token").where(*more or (F.lit(True),)).groupBy("row", "right_id", "g", "of", "na", "nb").agg(F.count("*").alias("both"))
-    least = pair(some).groupBy("row", "of").agg(F.max(share).alias("least"))  # what is shared at least is a lower bound
-    least = least.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("of", "least"))).alias("bounds"))  # an entry per group
-    bound = F.coalesce(F.try_element_at("bounds", F.col("of")), F.lit(0.0))
-    may = (F.col("nb") * bound <= F.col("na") * 1.000001) & (F.col("na") * bound <= F.col("nb") * 1.000001)
-    both = pair(a.join(least, "row", "left"), may)
-    return both.groupBy("row", "g").agg(F.max(share).alias("best")).select("row.*", *["g." + c for c in right_group], "best")
-
-
 def lexical_scores(regressions: DataFrame, prompts: DataFrame, change: str = "change_id") -> DataFrame:
     """change, score: mean over regressions (case_id, tokens) of their best similarity with a change's prompts (right_id, change, tokens)."""
     n = regressions.agg(F.count("*").alias("n"))
