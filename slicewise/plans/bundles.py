@@ -25,21 +25,18 @@ from .base import bucket_sql, query
 REPAIRS = ("restore_both", "restore_labels")
 
 
-def _documents(spark, d, names):
-    """A row per name: the comparison document of the baseline and that release, as a struct."""
-    cases = v.cases(spark, d).agg(F.array_sort(F.collect_list(F.struct("case_id", "expected"))).alias("cases"))
-    members = v.slice_members(spark, d).groupBy("name").agg(F.array_sort(F.collect_list("case_id")).alias("case_ids"))
-    slices = v.slices(spark, d).join(members, "name").agg(F.array_sort(F.collect_list(F.struct("name", "case_ids", "maximum_accuracy_drop", "minimum_accuracy"))).alias("slices"))
-    lists = v.predictions(spark, d).groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct("case_id", "observed"))).alias("predictions"))
-    one = F.struct("release_id", "predictions")
-    base = lists.where("release_id = 'baseline'").select(one.alias("baseline"))
-    return lists.where(F.col("release_id").isin(*names)).select(F.col("release_id").alias("name"), one.alias("candidate")).crossJoin(base).crossJoin(cases).crossJoin(slices).select("name", F.struct("baseline", "candidate", "cases", "slices").alias("doc"))
+def _comparison(spark, d, name):
+    """Parts of the comparison document of the baseline and release ``name``."""
+    answers = v.predictions(spark, d)
+    policy = writers.policy_parts(v.cases(spark, d), v.slices(spark, d), v.slice_members(spark, d))
+    sides = [x for role, r in (("baseline", "baseline"), ("candidate", name)) for x in writers.release_parts(role, r, answers.where(F.col("release_id") == r))]
+    return ["{", *policy, *sides, "}"]
 
 
 @query("source_comparison_json", "select p.release_id, p.release_id as name, p.case_id, p.observed, c.expected from predictions p join cases c using (case_id) where p.release_id in ('baseline', 'candidate')")
 def source_comparison_json(spark, d):
     path = scratch(spark, "comparison")
-    _documents(spark, d, ["candidate"]).select(F.to_json("doc").alias("value")).coalesce(1).write.text(path)
+    writers.write_lines(writers.document_lines(_comparison(spark, d, "candidate")), path)
     found = readers.read_comparison(spark, path)
     return found["predictions"].join(found["cases"], "case_id").select("release_id", "name", "case_id", "observed", "expected")
 
@@ -47,9 +44,10 @@ def source_comparison_json(spark, d):
 @query("source_repair_json", f"select release_id, passed, slices, failed_slices from verdicts where release_id in ('baseline', 'candidate', {', '.join(repr(r) for r in REPAIRS)})")
 def source_repair_json(spark, d):
     path = scratch(spark, "repairs")
-    rows = _documents(spark, d, ["candidate", *REPAIRS])
-    entries = F.map_from_entries(F.collect_list(F.when(F.col("name") != "candidate", F.struct("name", "doc"))))
-    rows.agg(F.max_by("doc", F.col("name") == "candidate").alias("regressed"), entries.alias("repairs")).select(F.to_json(F.struct("regressed", "repairs")).alias("value")).coalesce(1).write.text(path)
+    parts = ['{"regressed":', *_comparison(spark, d, "candidate"), ',"repairs":{']
+    for k, name in enumerate(REPAIRS):
+        parts += [("," if k else "") + f'"{name}":', *_comparison(spark, d, name)]
+    writers.write_lines(writers.document_lines([*parts, "}}"]), path)
     t = readers.read_repair_comparison(spark, path)
     return compare.release_verdicts(compare.slice_report(t["cases"], t["predictions"], t["slices"], t["slice_members"]))
 

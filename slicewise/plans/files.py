@@ -8,7 +8,7 @@ from .. import importer
 from ..functions import text as tx
 from ..functions.hashing import sha
 from ..operators import localize, tasks
-from ..sources import readers, writers
+from ..sources import documents, readers, writers
 from ..sources.scratch import scratch, stored
 from ..streaming.ingest import keep_report
 from . import analysis as an
@@ -20,11 +20,8 @@ from .base import query
 
 def _policy_file(spark, d):
     path = scratch(spark, "policy")
-    cases = v.cases(spark, d).agg(F.array_sort(F.collect_list(F.struct("case_id", "expected"))).alias("cases"))
-    members = v.slice_members(spark, d).groupBy("name").agg(F.array_sort(F.collect_list("case_id")).alias("case_ids"))
-    slices = v.slices(spark, d).join(members, "name").agg(F.array_sort(F.collect_list(F.struct("name", "case_ids", "maximum_accuracy_drop", "minimum_accuracy"))).alias("slices"))
-    one = cases.crossJoin(slices).select(F.to_json(F.struct("cases", "slices", F.create_map(F.lit("change"), F.lit("labels")).alias("declared_changes"))).alias("value"))
-    one.coalesce(1).write.text(path)
+    parts = writers.policy_parts(v.cases(spark, d), v.slices(spark, d), v.slice_members(spark, d))
+    writers.write_lines(writers.document_lines(["{", *parts, ',"declared_changes":{"change":"labels"}}']), path)
     return path
 
 
@@ -148,10 +145,43 @@ def source_lineage(spark, d):
 def source_case_inputs(spark, d):
     path = scratch(spark, "inputs")
     rows = v.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), "text")
-    rows.agg(F.map_from_entries(F.collect_list(F.struct("case_id", F.struct("text")))).alias("m")).select(F.to_json("m").alias("value")).coalesce(1).write.text(path)
+    inputs = rows.withColumn("m", F.to_json(F.create_map("case_id", F.struct("text")))).select(F.col("case_id").alias("item"), F.expr("substr(m, 2, length(m) - 2)").alias("value"))
+    writers.write_lines(writers.document_lines(["{", inputs, "}"]), path)
     return readers.read_case_inputs(spark, path, rows.select("case_id")).select("case_id", F.length("text").alias("n"))
 
 
+# A document for every order, with a planned fault in some: a key twice, an unknown key, a wrong type, a missing field, broken text.
+_DOC = {"order": int, "customer": str, "lines": [{"part": int, "price": (float, int)}], "note?": (str, None)}
+
+
+@query("strict_documents", """select o_orderkey, problem from (select o_orderkey, unnest(case o_orderkey % 11 when 1 then ['repeated key'] when 2 then ['unknown field'] when 3 then ['wrong type'] when 4 then ['missing field'] when 5 then ['error']
+  when 6 then ['repeated key', 'wrong type'] else [] end) as problem from orders)""")
+def strict_documents(spark, d):
+    """What is wrong with the documents of a whole table: each order as strict JSON."""
+    k = F.col("o_orderkey").cast("string")
+    lines = F.format_string('[{"part":%s,"price":%s},{"part":2,"price":7}]', k, F.col("o_totalprice").cast("string"))
+    good = F.format_string('{"order":%s,"customer":"c \\"%s\\"","lines":%s,"note":null}', k, F.col("o_custkey").cast("string"), lines)
+    faults = {
+        1: F.replace(good, F.lit('"note":null'), F.lit('"customer":"again"')), 2: F.replace(good, F.lit('"price":7}'), F.lit('"price":7,"more":{"x":[1]}}')), 3: F.replace(good, F.lit('"price":7}'), F.lit('"price":"7"}')),
+        4: F.replace(good, F.lit('"part":2,"price":7'), F.lit('"price":7')), 5: F.replace(good, F.lit('"note":null'), F.lit('"note":nul')), 6: F.replace(good, F.lit('"part":2,"price":7}'), F.lit('"part":2,"part":true,"price":7}')),
+    }
+    text = good
+    for rest, bad in faults.items():
+        text = F.when(F.col("o_orderkey") % 11 == rest, bad).otherwise(text)
+    values = documents.value_rows(v.table(spark, d, "orders").withColumn("text", text), "o_orderkey", "text")
+    found = documents.shape_violations(stored(values, "values"), _DOC)
+    return found.select(F.col("doc").cast("long").alias("o_orderkey"), "problem")
+
+
+@query("artifact_maps", """select c_custkey, case when c_custkey % 7 = 1 then 'repeated key' else 'wrong type' end as problem from customer where c_custkey % 7 in (1, 2)""")
+def artifact_maps(spark, d):
+    """Maps of strings to strings, one for each customer; keys may be any, but not twice."""
+    c = F.col("c_custkey") % 7
+    text = F.concat(F.lit('{"a.b[0]":"x","n'), F.col("c_nationkey").cast("string"), F.lit('":"'), F.col("c_name"), F.lit('"'), F.when(c == 1, F.lit(',"a.b[0]":"y"}')).when(c == 2, F.lit(',"z":[]}')).otherwise(F.lit("}")))
+    values = documents.value_rows(v.table(spark, d, "customer").withColumn("text", text), "c_custkey", "text")
+    return documents.shape_violations(stored(values, "values"), {"*": str}).select(F.col("doc").cast("long").alias("c_custkey"), "problem")
+
+
 @query("payload_verification", "select 'id_' || i as identity, i <> 1 and i <> 2 as ok, case i when 1 then 'digest' when 2 then 'missing' end as problem from (select unnest(range(4)) as i)")
 def payload_verification(spark, d):
     folder = scratch(spark, "payloads")

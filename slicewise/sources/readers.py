@@ -18,9 +18,9 @@ from ..functions.canonical import normal_text
 from ..functions.text import blank
 from ..operators import validate as val
 from ..operators.records import with_content_id
+from . import documents as docs
 
 PREDICTION_FIELDS = ["case_id", "observed", "release_id"]
-POLICY = "cases array<struct<case_id: string, expected: string>>, slices array<struct<name: string, case_ids: array<string>, maximum_accuracy_drop: double, minimum_accuracy: double>>"
 RECORD_LIMIT, FILE_LIMIT, TOTAL_LIMIT = 8 << 20, 64 << 20, 256 << 20
 GENERATION = "case_id string, prompt string, expected string, raw_output string, observed string, parsed_label string"
 SFT = "example_id string, prompt string, response string"
@@ -50,131 +50,85 @@ def read_predictions(spark: SparkSession, path: str, baseline: str = "baseline",
     return rows.select("release_id", "case_id", "observed")
 
 
-def read_policy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables cases, slices, slice_members and declared_changes of a policy document."""
-    text = spark.read.text(path, wholetext=True)
-    keys = text.select(F.array_sort(F.json_object_keys("value")).alias("k")).first()
-    if not keys or keys.k != ["cases", "declared_changes", "slices"]:
-        raise val.InvalidInput("a policy has exactly the keys cases, slices and declared_changes")
-    require_shape(text, POLICY_SHAPE | {"declared_changes": dict})
-    one = text.select(F.from_json("value", POLICY, {"mode": "FAILFAST"}).alias("p"), F.get_json_object("value", "$.declared_changes").alias("declared_changes"))
-    if not (one.first().declared_changes or "").startswith("{"):
-        raise val.InvalidInput("declared_changes must be an object")
-    cases = one.select(F.explode("p.cases").alias("c")).select("c.*")
-    each = one.select(F.explode("p.slices").alias("s"))
-    slices = each.select("s.name", F.coalesce("s.maximum_accuracy_drop", F.lit(0.0)).alias("maximum_accuracy_drop"), "s.minimum_accuracy")
-    members = each.select("s.name", F.explode("s.case_ids").alias("case_id"))
-    val.require_none(val.blank_fields(cases, "case_id", "expected"), "blank case")
-    val.require_none(val.duplicates(cases, "case_id"), "repeated case")
-    val.require_none(val.slice_violations(cases, slices, members), "slices")
-    return {"cases": cases, "slices": slices, "slice_members": members, "declared_changes": one.select("declared_changes")}
-
-
-# Shapes of documents: a dict lists all fields allowed (a name with ? may be missing), a one-entry list its items, a tuple alternatives, a type the value's own.
+# Shapes of documents: see ``documents.flat_shape``.
 POLICY_SHAPE = {"cases": [{"case_id": str, "expected": str}], "slices": [{"name": str, "case_ids": [str], "maximum_accuracy_drop?": (float, int), "minimum_accuracy?": (float, int, None)}]}
 RELEASE_SHAPE = {"release_id": str, "predictions": [{"case_id": str, "observed": str}]}
 COMPARISON_SHAPE = POLICY_SHAPE | {"baseline": RELEASE_SHAPE, "candidate": RELEASE_SHAPE}
 
 
-def shape_problem(value, shape, at: str = "$") -> str | None:
-    """The first place at which ``value`` isn't of the shape; types are strict: true is no number, "1" neither."""
-    if isinstance(shape, tuple):
-        return None if any(shape_problem(value, s, at) is None for s in shape) else f"{at} has a wrong type"
-    if isinstance(shape, dict):
-        if not isinstance(value, dict):
-            return f"{at} isn't an object"
-        names = {k.removesuffix("?"): k for k in shape}
-        if extra := sorted(set(value) - set(names)):
-            return f"{at} has an unknown field {extra[0]}"
-        if gone := sorted(k for k, name in names.items() if not name.endswith("?") and k not in value):
-            return f"{at} lacks {gone[0]}"
-        return next((p for k, x in value.items() if (p := shape_problem(x, shape[names[k]], f"{at}.{k}"))), None)
-    if isinstance(shape, list):
-        if not isinstance(value, list):
-            return f"{at} isn't a list"
-        return next((p for i, x in enumerate(value) if (p := shape_problem(x, shape[0], f"{at}[{i}]"))), None)
-    if shape is None:
-        return None if value is None else f"{at} has a wrong type"
-    ok = isinstance(value, shape) and not (isinstance(value, bool) and shape is not bool)
-    return None if ok else f"{at} has a wrong type"
-
-
-def require_shape(text: DataFrame, shape) -> None:
-    """Every document (column ``value``) is JSON of the shape, without repeated keys; checked where the text is."""
-
-    def pairs(items):
-        if len({k for k, _ in items}) != len(items):
-            raise ValueError("repeated key")
-        return dict(items)
-
-    def problem(value: str) -> str | None:
-        try:
-            return shape_problem(json.loads(value, object_pairs_hook=pairs), shape)
-        except ValueError as error:
-            return str(error)
-
-    check = F.pandas_udf(lambda values: values.map(problem), T.StringType())
-    val.require_none(text.select(check(F.col("value")).alias("problem")).where("problem is not null"), "the document isn't of its shape")
+def _policy_tables(values: DataFrame, *also: str) -> dict[str, DataFrame]:
+    """cases, slices and slice_members from the values of documents, with the columns ``also`` first; a slice's name is ``name_``."""
+    cases = docs.objects(values, "$.cases[]", {"case_id": "string", "expected": "string"}, *also)
+    slices = docs.objects(values, "$.slices[]", {"name": "string", "maximum_accuracy_drop": "double", "minimum_accuracy": "double"}, *[c for c in also if c != "name"])
+    names = slices.select(F.col("doc").alias("doc3"), F.col("number").alias("of"), F.col("name").alias("name_"))
+    members = docs.items(values, "$.slices[].case_ids", *also).join(names, (F.col("doc") == F.col("doc3")) & (F.col("parent") == F.col("of")))
+    drop = F.coalesce("maximum_accuracy_drop", F.lit(0.0)).alias("maximum_accuracy_drop")
+    return {
+        "cases": cases.select(*also, "case_id", "expected"), "slices": slices.select(*also, F.col("name").alias("name_"), drop, "minimum_accuracy"),
+        "slice_members": members.select(*also, "name_", F.col("value").alias("case_id")),
+    }
 
 
-COMPARISON = f"{POLICY}, baseline struct<release_id: string, predictions: array<struct<case_id: string, observed: string>>>, candidate struct<release_id: string, predictions: array<struct<case_id: string, observed: string>>>"
+def read_policy(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Tables cases, slices, slice_members and declared_changes of a policy document of any size."""
+    values = docs.document_values(spark, path, POLICY_SHAPE | {"declared_changes": dict})
+    out = {name: t.withColumnsRenamed({"name_": "name"}) for name, t in _policy_tables(values).items()}
+    val.require_none(val.blank_fields(out["cases"], "case_id", "expected"), "blank case")
+    val.require_none(val.duplicates(out["cases"], "case_id"), "repeated case")
+    val.require_none(val.slice_violations(out["cases"], out["slices"], out["slice_members"]), "slices")
+    return out | {"declared_changes": docs.subtree(values, "$.declared_changes", "declared_changes").select("declared_changes")}
 
 
-def _comparison_tables(one: DataFrame) -> dict[str, DataFrame]:
-    """Tables of the comparisons in ``one`` (name, p): each has name, and predictions the role and the release's own id."""
-    each = one.select("name", F.explode("p.slices").alias("s"))
-    role = lambda r: F.struct(F.lit(r).alias("role"), F.col(f"p.{r}").alias("r"))
-    rows = one.select("name", F.explode(F.array(role("baseline"), role("candidate"))).alias("x"))
-    val.require_none(one.where(F.col("p.baseline.release_id") == F.col("p.candidate.release_id")).select("name"), "equal release ids")
-    val.require_none(one.where("size(p.baseline.predictions) = 0 or size(p.candidate.predictions) = 0").select("name"), "a release without predictions")
-    return {
-        "cases": one.select("name", F.explode("p.cases").alias("c")).select("name", "c.*"),
-        "slices": each.select("name", F.col("s.name").alias("slice"), F.coalesce("s.maximum_accuracy_drop", F.lit(0.0)).alias("maximum_accuracy_drop"), "s.minimum_accuracy"),
-        "slice_members": each.select("name", F.col("s.name").alias("slice"), F.explode("s.case_ids").alias("case_id")),
-        "predictions": rows.select("name", "x.role", F.col("x.r.release_id").alias("release_id"), F.explode("x.r.predictions").alias("p")).select("name", "role", "release_id", "p.case_id", "p.observed"),
-    }
+def _comparison_tables(values: DataFrame) -> dict[str, DataFrame]:
+    """Tables of the comparisons in ``values``, whose column ``comparison`` names the one that a value belongs to: predictions have the role and the release's own id."""
+    out = _policy_tables(values, "comparison")
+    ids = values.where(F.col("path").isin("$.baseline.release_id", "$.candidate.release_id")).select("comparison", F.split_part("path", F.lit("."), F.lit(2)).alias("role"), F.col("value").alias("release_id"))
+    answers = None
+    for role in ("baseline", "candidate"):
+        rows = docs.objects(values, f"$.{role}.predictions[]", {"case_id": "string", "observed": "string"}, "comparison").select("comparison", F.lit(role).alias("role"), "case_id", "observed")
+        answers = rows if answers is None else answers.union(rows)
+    val.require_none(ids.groupBy("comparison").agg(F.count_distinct("release_id").alias("n")).where("n < 2").select("comparison"), "equal release ids")
+    val.require_none(ids.join(answers, ["comparison", "role"], "left_anti").select("comparison"), "a release without predictions")
+    return out | {"predictions": answers.join(ids, ["comparison", "role"])}
 
 
 def read_comparison(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """cases, slices, slice_members and predictions (release_id is the role, name the release's own id) of a comparison document with two releases."""
-    text = spark.read.text(path, wholetext=True)
-    require_shape(text, COMPARISON_SHAPE)
-    found = _comparison_tables(text.select(F.lit("comparison").alias("name"), F.from_json("value", COMPARISON, {"mode": "FAILFAST"}).alias("p")))
-    out = {
-        "cases": found["cases"].drop("name"), "predictions": found["predictions"].select(F.col("role").alias("release_id"), F.col("release_id").alias("name"), "case_id", "observed"),
-        "slices": found["slices"].drop("name").withColumnRenamed("slice", "name"), "slice_members": found["slice_members"].drop("name").withColumnRenamed("slice", "name"),
-    }
+    """cases, slices, slice_members and predictions (release_id is the role, name the release's own id) of a comparison document with two releases, of any size."""
+    values = docs.document_values(spark, path, COMPARISON_SHAPE).withColumn("comparison", F.lit(""))
+    found = _comparison_tables(values)
+    out = {t: found[t].drop("comparison").withColumnsRenamed({"name_": "name"}) for t in ("cases", "slices", "slice_members")}
+    out["predictions"] = found["predictions"].select(F.col("role").alias("release_id"), F.col("release_id").alias("name"), "case_id", "observed")
     val.require_none(val.coverage_violations(out["cases"], out["predictions"]), "coverage")
     val.require_none(val.slice_violations(out["cases"], out["slices"], out["slice_members"]), "slices")
     return out
 
 
 def read_repair_comparison(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """cases, slices, slice_members and predictions of {regressed: comparison, repairs: {name: comparison}}.
+    """cases, slices, slice_members and predictions of {regressed: comparison, repairs: {name: comparison}}, of any size.
 
     All comparisons must have the regressed one's cases, slices and baseline; then one
     table has its baseline, its candidate, and every repair's candidate under the repair's name.
     """
-    text = spark.read.text(path, wholetext=True)
-    keys = text.select(F.json_object_keys(F.get_json_object("value", "$.repairs")).alias("k")).first()
-    require_shape(text, {"regressed": COMPARISON_SHAPE, "repairs": {k: COMPARISON_SHAPE for k in (keys.k if keys and keys.k else [])}})
-    kind = f"struct<{COMPARISON}>"
-    both = text.select(F.from_json("value", f"regressed {kind}, repairs map<string, {kind}>", {"mode": "FAILFAST"}).alias("d"))
-    every = F.concat(F.array(F.struct(F.lit("").alias("name"), F.col("d.regressed").alias("p"))), F.transform(F.map_entries("d.repairs"), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("p"))))
-    one = both.select(F.explode(every).alias("x")).select("x.name", "x.p")
-    val.require_none(one.where(F.col("name").isin("baseline", "candidate") | ((F.col("name") != "") & blank(F.col("name")))).select("name"), "names of repairs")
-    found = _comparison_tables(one)
+    values = docs.document_values(spark, path, {"regressed": COMPARISON_SHAPE, "repairs": {"*": COMPARISON_SHAPE}})
+    place = r"^\$\.(?:regressed|repairs\.([^.\[]*))"
+    name = docs.plain_key(F.regexp_extract("path", place, 1))
+    inside = values.where(F.col("path").rlike(place)).select("*", name.alias("comparison")).withColumn("path", F.regexp_replace("path", place, r"\$"))
+    names = inside.where("path = '$'").select("comparison")
+    val.require_none(names.where(F.col("comparison").isin("baseline", "candidate") | ((F.col("comparison") != "") & blank(F.col("comparison")))), "names of repairs")
+    if names.where("comparison = ''").count() != 1:
+        raise val.InvalidInput("a repair without a name")
+    found = _comparison_tables(inside)
     for table in ("cases", "slices", "slice_members"):
-        columns = [c for c in found[table].columns if c != "name"]
-        n = one.agg(F.count("*").alias("n"))
-        rows = found[table].groupBy(*columns).agg(F.count("*").alias("k"), F.count_distinct("name").alias("names")).crossJoin(n)
+        columns = [c for c in found[table].columns if c != "comparison"]
+        n = names.agg(F.count("*").alias("n"))
+        rows = found[table].groupBy(*columns).agg(F.count("*").alias("k"), F.count_distinct("comparison").alias("names")).crossJoin(n)
         val.require_none(rows.where("k <> n or names <> n").select(*columns), f"comparisons with other {table}")
     base = found["predictions"].where("role = 'baseline'")
     differ = base.groupBy("case_id").agg(F.min("observed").alias("lo"), F.max("observed").alias("hi")).where("lo <> hi")
     val.require_none(differ, "comparisons with another baseline")
-    release = F.when(F.col("role") == "baseline", F.lit("baseline")).when(F.col("name") == "", F.lit("candidate")).otherwise(F.col("name"))
-    out = {t: found[t].where("name = ''").drop("name").withColumnsRenamed({"slice": "name"}) for t in ("cases", "slices", "slice_members")}
-    out["predictions"] = found["predictions"].where("role = 'candidate' or name = ''").select(release.alias("release_id"), "case_id", "observed")
+    release = F.when(F.col("role") == "baseline", F.lit("baseline")).when(F.col("comparison") == "", F.lit("candidate")).otherwise(F.col("comparison"))
+    out = {t: found[t].where("comparison = ''").drop("comparison").withColumnsRenamed({"name_": "name"}) for t in ("cases", "slices", "slice_members")}
+    out["predictions"] = found["predictions"].where("role = 'candidate' or comparison = ''").select(release.alias("release_id"), "case_id", "observed")
     val.require_none(val.coverage_violations(out["cases"], out["predictions"]), "coverage")
     val.require_none(val.slice_violations(out["cases"], out["slices"], out["slice_members"]), "slices")
     return out
@@ -302,9 +256,20 @@ def read_lineage(spark: SparkSession, path: str, with_truth: bool = False) -> Da
     return out
 
 
+PREVIEW_SHAPE = {"*": {"text": str, "width?": int, "height?": int, "pixels?": [(float, int)]}}
+
+
 def read_case_inputs(spark: SparkSession, path: str, cases: DataFrame) -> DataFrame:
-    """case_id, text, width, height, pixels; inputs of unknown cases and texts over 10,000 characters are errors."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, struct<text: string, width: int, height: int, pixels: array<double>>>")).alias("case_id", "x")).select("case_id", "x.*")
+    """case_id, text, width, height, pixels of a document {case_id: input} of any size; inputs of unknown cases and texts over 10,000 characters are errors."""
+    values = docs.document_values(spark, path, PREVIEW_SHAPE)
+    values = values.withColumn("path", F.regexp_replace("path", r"^\$\.[^.\[]*", r"\$.*"))
+    names = values.where("path = '$.*'").select(F.col("doc").alias("doc1"), F.col("number").alias("of"), F.col("key").alias("case_id"))
+    lists = values.where("path = '$.*.pixels[]'").groupBy("doc", "parent").agg(F.array_sort(F.collect_list(F.struct("block", "at", F.col("value").cast("double").alias("x")))).alias("px"))
+    arrays = values.where("path = '$.*.pixels' and kind = 'array'").select(F.col("doc").alias("doc2"), F.col("number").alias("array"), F.col("parent").alias("in"))
+    pixels = arrays.join(lists, (F.col("doc2") == F.col("doc")) & (F.col("array") == F.col("parent")), "left").select("doc2", "in", F.coalesce(F.transform("px", lambda p: p["x"]), F.array().cast("array<double>")).alias("pixels"))
+    rows = docs.objects(values, "$.*", {"text": "string", "width": "int", "height": "int"})
+    rows = rows.join(names, (F.col("doc") == F.col("doc1")) & (F.col("number") == F.col("of"))).join(pixels, (F.col("doc") == F.col("doc2")) & (F.col("number") == F.col("in")), "left")
+    rows = rows.select("case_id", "text", "width", "height", "pixels")
     val.require_none(rows.join(cases, "case_id", "left_anti").select("case_id"), "unknown case")
     size = F.col("width") * F.col("height")
     bad = (F.length("text") > 10_000) | (F.col("pixels").isNotNull() & ((F.size("pixels") != size) | (F.col("width") > 64) | (F.col("height") > 64)))

@@ -21,7 +21,7 @@ from slicewise.operators import releases as rel
 from slicewise.operators import validate as val
 from slicewise.operators.validate import InvalidInput
 from slicewise.plans import training as tr
-from slicewise.sources import local, readers, scratch, writers
+from slicewise.sources import documents, local, readers, scratch, writers
 from tests.conftest import SMALL
 from tests.test_files import GOOD, POLICY
 from tests.test_files import write as write_sources
@@ -66,11 +66,12 @@ def test_repair_documents(spark, tmp_path):
             read({"regressed": comparison(), "repairs": repairs})
 
 
-def test_shapes():
+def test_shapes(spark):
     shape = {"a": [str], "b?": (int, None)}
-    assert readers.shape_problem({"a": []}, shape) is None and readers.shape_problem({"a": ["x"], "b": None}, shape) is None
-    for bad in ({}, {"a": "x"}, {"a": [1]}, {"a": [], "c": 1}, {"a": [], "b": True}, {"a": [], "b": 1.0}, []):
-        assert readers.shape_problem(bad, shape)
+    texts = [{"a": []}, {"a": ["x"], "b": None}, {}, {"a": "x"}, {"a": [1]}, {"a": [], "c": 1}, {"a": [], "b": True}, {"a": [], "b": 1.0}, []]
+    table = spark.createDataFrame([(i, json.dumps(t)) for i, t in enumerate(texts)], "i int, t string")
+    found = documents.shape_violations(documents.value_rows(table, "i", "t"), shape)
+    assert {(int(r.doc), r.problem) for r in found.collect()} == {(2, "missing field"), (3, "wrong type"), (4, "wrong type"), (5, "unknown field"), (6, "wrong type"), (7, "wrong type"), (8, "wrong type")}
 
 
 def test_bundles(spark, tmp_path):
