@@ -207,12 +207,13 @@ def case_table(spark, d):
 
 @query("report_page", "select release_id, outcome, count(*) as cases, count(distinct case_id) as ids from outcomes where outcome <> 'unchanged' group by 1, 2")
 def report_page(spark, d):
-    """The page, written and read: every changed case is a row of it."""
+    """The report, written and read: every changed case is a line of a page, with each release's answer."""
     policy = {"cases": v.cases(spark, d), "slices": v.slices(spark, d), "slice_members": v.slice_members(spark, d)}
-    path = scratch(spark, "page") + "/report.html"
+    path = scratch(spark, "report")
     report.save(spark, importer.assess(policy, v.predictions(spark, d)), path)
-    row = r"<tr data-id='([^']*)' data-release='([^']*)' data-outcome='([^']*)'"
-    parts = spark.read.text(path).where(F.col("value").rlike(row)).select(*[F.regexp_extract("value", row, k).alias(n) for k, n in enumerate(("case_id", "release_id", "outcome"), 1)])
+    line, cell = r"^<tr data-case='([^']*)'", r"<td class=(\w+ data-release='[^']*)'"
+    rows = spark.read.text(f"{path}/cases-*.html").where(F.col("value").rlike(line)).select(F.regexp_extract("value", line, 1).alias("case_id"), F.explode(F.regexp_extract_all("value", F.lit(cell), F.lit(1))).alias("x"))
+    parts = rows.select("case_id", F.split_part("x", F.lit(" data-release='"), F.lit(2)).alias("release_id"), F.split_part("x", F.lit(" "), F.lit(1)).alias("outcome")).where("outcome <> 'unchanged'")
     return parts.groupBy("release_id", "outcome").agg(F.count("*").alias("cases"), F.count_distinct("case_id").alias("ids"))
 
 

@@ -138,17 +138,27 @@ def test_pictures(spark):
     assert got[2] is None and unpacked(base64.b64decode(got[1].removeprefix("data:image/png;base64,"))) == (2, 1, [[7, 9]])
 
 
-def test_page_has_every_changed_case(spark):
+def test_pages_have_every_changed_case(spark, tmp_path):
     n = 700
     cases = spark.range(n).select(F.col("id").cast("string").alias("case_id"), F.lit("<yes>").alias("expected"))
     answer = lambda r, wrong: cases.select(F.lit(r).alias("release_id"), "case_id", F.when(F.col("case_id").cast("int") % wrong == 0, F.lit("no_way")).otherwise(F.lit("<yes>")).alias("observed"))
     predictions = answer("baseline", 1000).unionByName(answer("candidate", 2)).unionByName(answer("fix", 7))
     policy = {"cases": cases, "slices": spark.createDataFrame([("all", 0.01, None)], "name string, maximum_accuracy_drop double, minimum_accuracy double"), "slice_members": cases.select(F.lit("all").alias("name"), "case_id")}
     tables = importer.assess(policy, predictions)
-    text = importer.render(tables)
-    found = re.findall(r"<tr data-id='(\d+)' data-release='(\w+)' data-outcome='(\w+)'", text)
     want = {(str(i), r, "regressed") for r, k in (("candidate", 2), ("fix", 7)) for i in range(1, n) if i % k == 0}
-    assert set(found) == want and len(found) == len(want) > 400 and "<yes>" not in text and "exportIds" in text
+    pages = report.save(spark, tables, f"file://{tmp_path}/report", size=40)
+    texts = {p.name: p.read_text() for p in tmp_path.glob("report/*.html")}
+    lines = [x for name, t in texts.items() if name != "index.html" for x in re.findall("<tr data-case='([^']*)'.*", t)]
+    found = [(c, r, k) for t in texts.values() for c, rest in re.findall("<tr data-case='([^']*)'(.*)", t) for k, r in re.findall(r"<td class=(\w+) data-release='(\w+)'", rest)]
+    assert {f for f in found if f[2] != "unchanged"} == want and len(found) == 2 * len(lines) and len(lines) == len(set(lines)) == len({i for i, *_ in want})
+    assert len(texts) == pages + 1 > 8 and all("<yes>" not in t for t in texts.values()) and all(t.count("<tr data-case") <= 40 for t in texts.values())
+    listed = re.findall(r"<a href=([^>]+)>", texts["index.html"])
+    assert sorted(listed) == sorted(set(texts) - {"index.html"}) and "<td>regressed</td>" not in texts["index.html"]
+    ranges = [(t.split("<tr data-case='")[1].split("'")[0], t.rsplit("<tr data-case='")[-1].split("'")[0]) for t in (texts[x] for x in listed)]
+    assert all(a <= b for a, b in ranges) and all(b < c for (_, b), (c, _) in zip(ranges, ranges[1:], strict=False))
+    assert report.case_pages(tables["outcomes"], unchanged=True).agg(F.sum("cases")).first()[0] == n and report.case_pages(tables["outcomes"].limit(0)).count() == 0
+    with pytest.raises(Exception, match="exist"):
+        report.save(spark, tables, f"file://{tmp_path}/report")
     shown = report.shown(tables["outcomes"], "NO way", "fix", "regressed")
     assert {r.case_id for r in shown.collect()} == {i for i, r, _ in want if r == "fix"}
     places = {(r.release_id, r.case_id): r.place for r in compare.case_table(tables["outcomes"]).collect()}
