@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = some.select("id", "code").join(materialize(several, "several"), "id").where("code > a").select("a", F.col("code").alias("b")).distinct()
     of = materialize(components(links.union(several)), "components")
     whole = classes.join(of, F.col("code") == F.col("id"), "left").select("code", "rep", F.coalesce("component", "code").alias("component"))
-    low = whole.groupBy("component").agg(F.min("rep").alias("low"))
+    low = materialize(whole.groupBy("component").agg(F.min("rep").alias("low")), "smallest")  # a table, so that a large component's classes can be split over tasks
     low = materialize(whole.select(F.col("code").alias("code3"), "component").join(low, "component").select("code3", "low"), "low")
     linked = some.select("id", "code").join(low, F.col("code") == F.col("code3")).groupBy(F.col("id").alias("id2")).agg(F.min("low").alias("low"))
     out = prints.join(materialize(linked, "linked"), F.col("id") == F.col("id2"), "left")

@@ -1,16 +1,19 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy per character class.
 
-Candidate strings are maximal runs of 20 or more characters of ``A-Za-z0-9+/_=-`` with a
-letter and a digit.  Within them each class (hex, base62, base64) has its own runs; a
+Candidate strings are maximal runs of 20 or more characters of ``A-Za-z0-9+/_=-`` that mix
+letters with two digits or more, or scramble capitals and small letters: a quarter of either
+at least, changing at a third of the places (names of joined words do neither).  Within them each class (hex, base62, base64) has its own runs; a
 window slides over such a run while the counts of its characters, and with them the
 sum of c * log2(c), change by one character in and one out.  Windows at or above the
-class's entropy that hold letters and digits are joined to spans of kind ``entropy``.
+class's entropy that mix or scramble are joined to spans of kind ``entropy``.
 Allow-listed strings (UUIDs, alphabets in order, repeated short units, names of
-words joined by separators, and the caller's own list) are suppressed, as are spans
-inside a span of the fixed patterns, which always stay.
+words joined by separators unless they are scrambled, and the caller's own list) are
+suppressed, as are spans inside a span of the fixed patterns, which always stay.
 
 Defined results: null and empty texts have no spans; equal rows have equal spans;
-empty tables give empty results; offsets are code points, the end exclusive.
+empty tables give empty results; offsets are code points, the end exclusive; columns other
+than the id and the text aren't read, and ``redact`` gives them back as they are, so their
+names can't clash.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ CLASSES = {"hex": (re.compile(rb"[0-9A-Fa-f]+"), 24, 3.2), "base62": (re.compile
 ALLOWED = (
     re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
     re.compile(rb"(.{1,8}?)\1+.{0,7}", re.S),  # a short unit again and again
+)
+WORDS = (
     re.compile(rb"(?:[A-Za-z]+|[0-9]{1,8})(?:[-_/=+]+(?:[A-Za-z]+|[0-9]{1,8}))*[-_/=+]*"),  # words and short numbers with separators
     re.compile(rb"[A-Za-z]+[0-9]{1,8}|[0-9]{1,8}[A-Za-z]+"),  # a word and a number
 )
@@ -63,9 +68,24 @@ def window_entropies(run: bytes, size: int):
             yield log_size - total / size
 
 
+_DIGITS, _CAPITALS, _SMALL = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
+_CHANGE = re.compile(rb"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")
+
+
+def _scrambled(part: bytes) -> bool:
+    """Capitals and small letters a quarter each at least, and a change between them at a third of the places."""
+    n = len(part)
+    capitals, small = n - len(part.translate(None, _CAPITALS)), n - len(part.translate(None, _SMALL))
+    return 4 * min(capitals, small) >= n and 3 * len(_CHANGE.findall(part)) >= n - 1
+
+
 def _mixed(part: bytes) -> bool:
-    digits = sum(48 <= b <= 57 for b in part)
-    return 2 <= digits < len(part)
+    digits = len(part) - len(part.translate(None, _DIGITS))
+    return 2 <= digits < len(part) or _scrambled(part)
+
+
+def _listed(part: bytes) -> bool:
+    return part in ORDERED or any(a.fullmatch(part) for a in ALLOWED) or (not _scrambled(part) and any(a.fullmatch(part) for a in WORDS))
 
 
 def entropy_spans(data: bytes, allow: frozenset[bytes] = frozenset()) -> list[tuple[int, int]]:
@@ -73,13 +93,13 @@ def entropy_spans(data: bytes, allow: frozenset[bytes] = frozenset()) -> list[tu
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(data):
         text = m[0]
-        if not _mixed(text) or text in allow or text in ORDERED or any(a.fullmatch(text) for a in ALLOWED):
+        if not _mixed(text) or text in allow or _listed(text):
             continue
         spans = []
         for runs, size, least in CLASSES.values():
             for r in runs.finditer(text):
                 run = r[0]
-                if len(run) < size or not _mixed(run) or run in ORDERED or any(a.fullmatch(run) for a in ALLOWED):
+                if len(run) < size or not _mixed(run) or _listed(run):
                     continue
                 for i, bits in enumerate(window_entropies(run, size)):
                     if bits >= least and _mixed(run[i : i + size]):

@@ -324,8 +324,14 @@ def test_incremental_entropy():
 def plain_entropy_spans(data):
     """Every window of every class by itself, with counts anew, as covered places."""
     covered = set()
-    mixed = lambda part: 2 <= sum(chr(b) in "0123456789" for b in part) < len(part)
-    listed = lambda part: part in secrets.ORDERED or any(a.fullmatch(part) for a in secrets.ALLOWED)
+
+    def scrambled(part):
+        kinds = ["A" if chr(b).isupper() else "a" if chr(b).islower() else "" for b in part]
+        changes = sum({x, y} == {"A", "a"} for x, y in zip(kinds, kinds[1:], strict=False))
+        return 4 * kinds.count("A") >= len(part) and 4 * kinds.count("a") >= len(part) and 3 * changes >= len(part) - 1
+
+    mixed = lambda part: 2 <= sum(chr(b) in "0123456789" for b in part) < len(part) or scrambled(part)
+    listed = lambda part: part in secrets.ORDERED or any(a.fullmatch(part) for a in secrets.ALLOWED + (() if scrambled(part) else secrets.WORDS))
     for m in secrets.CANDIDATE.finditer(data):
         if not mixed(m[0]) or listed(m[0]):
             continue
@@ -341,7 +347,7 @@ def plain_entropy_spans(data):
 
 def test_entropy_spans_as_plain_windows():
     rng = random.Random(13)
-    kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFabcdef0123456789+/=", "ab12", "abcdefghijklmnopqrstuvwxyz", "0123456789"]
+    kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFabcdef0123456789+/=", "ab12", "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
     found = 0
     for _ in range(400):
         text = "".join("".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(60))) + rng.choice([" ", "\n", ". ", "=", ":", "é"]) for _ in range(6)) if rng.random() < 0.3 else " ".join("".join(rng.choice(k) for _ in range(rng.randrange(60))) for k in rng.choices(kinds, k=5))
@@ -359,10 +365,22 @@ def test_entropy_finds_keys_and_leaves_text():
     key = b"sk8Jd02kLq9ZxT7vPw3RmB5nYc1H"
     assert secrets.entropy_spans(b"use " + key + b" now") == [(4, 4 + len(key))]
     assert secrets.entropy_spans(b"use " + key + b" now", frozenset([key])) == []
-    for text in (b"123e4567-e89b-12d3-a456-426614174000", b"abcdefghijklmnopqrstuvwxyz0123456789", b"a1b2a1b2a1b2a1b2a1b2a1b2", b"some-long-page-name-of-2024-in-words", b"Donaudampfschifffahrtsgesellschaft2024", b"thention" * 8, b"2024-11-26-13-09-00-000000"):
+    for text in (b"123e4567-e89b-12d3-a456-426614174000", b"abcdefghijklmnopqrstuvwxyz0123456789", b"a1b2a1b2a1b2a1b2a1b2a1b2", b"some-long-page-name-of-2024-in-words", b"Donaudampfschifffahrtsgesellschaft2024", b"thention" * 8, b"2024-11-26-13-09-00-000000", b"getInstanceFromTheFactoryBeanManager", b"ABSTRACTMETHODNAMESINCAPITALS", b"XMLHttpRequestUploadEventTarget"):
         assert secrets.entropy_spans(b"x " + text + b" y") == []
 
 
+@pytest.mark.parametrize("letters,size,least", [("base62", 20, 0.95), ("base62", 32, 0.95), ("hex", 24, 0.9), ("letters", 32, 0.9), ("letters", 24, 0.8), ("base64", 40, 0.9)])
+def test_recall_of_random_keys(letters, size, least):
+    """Shares of planted keys of which four fifths are found."""
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    letters = {"letters": abc, "base62": abc + "0123456789", "hex": "0123456789abcdef", "base64": abc + "0123456789+/"}[letters]
+    rng, found = random.Random(size), 0
+    for _ in range(500):
+        key = "".join(rng.choice(letters) for _ in range(size)).encode()
+        found += sum(min(b, 4 + size) - max(a, 4) for a, b in secrets.entropy_spans(b"use " + key + b" now")) >= 0.8 * size
+    assert found >= least * 500
+
+
 def test_spans_of_documents(spark, docs):
     rows = {r.doc_id: r for r in secrets.op10_entropy_secrets(spark, SMALL).collect()}
     for d in docs.collect():
