@@ -3,8 +3,10 @@
 The reader walks the chain of image directories (either byte order), decodes strips or
 tiles (none, LZW, deflate, PackBits), undoes predictors (horizontal differencing, and
 that of floating-point samples), and gives one row per page with its samples in row
-order, whole numbers of 8 or 16 bits or floats of 16, 32 or 64 (little-endian), chunky;
-planar pages are made chunky.  Each page is decoded by itself; a row is never dropped.
+order, chunky and little-endian: whole numbers of 8, 16 or 32 bits, signed or not, of 1, 2 or
+4 bits (as bytes), or floats of 16, 32 or 64; planar pages are made chunky, and bytes that are
+filled from the low bit are turned.  Subsampled chroma and mixed sample formats are errors of
+their page.  Each page is decoded by itself; a row is never dropped.
 Files of one payload each can be read as a row per file, its pages in one.
 
 A payload is stored as one to three pages, and its rows give the codec of the first; the
@@ -35,7 +37,13 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, SAMPLE_FORMAT = 322, 323, 324, 325, 339
-FLOATS = {16: np.float16, 32: np.float32, 64: np.float64}
+FILL_ORDER, SUBSAMPLING, YCBCR = 266, 530, 6
+KINDS = {  # sample format: type by bits
+    1: {1: np.uint8, 2: np.uint8, 4: np.uint8, 8: np.uint8, 16: np.uint16, 32: np.uint32},
+    2: {8: np.int8, 16: np.int16, 32: np.int32},
+    3: {16: np.float16, 32: np.float32, 64: np.float64},
+}
+TURNED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 FIELD = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 
 
@@ -243,15 +251,23 @@ def read_directories(data: bytes):
         (at,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
 
 
+def _unpacked(raw: bytes, rows: int, n: int, bits: int) -> np.ndarray:
+    """Rows of n samples of less than a byte each, highest bits first; a row ends with its byte."""
+    ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : n * bits].reshape(rows, n, bits)
+    return (ones << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+
+
 def read_page(data: bytes, order: str, fields: dict) -> np.ndarray:
     """Samples of a page, rows x columns x channels."""
     one = lambda tag, default=None: fields[tag][0] if tag in fields else default
     width, height, channels = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    bits = set(fields.get(BITS, (8,)))
-    floats = set(fields.get(SAMPLE_FORMAT, (1,))) == {3}
-    if not width or not height or len(bits) != 1 or bits - (set(FLOATS) if floats else {8, 16}):
-        raise ValueError("only pages with width and height and samples of one size, 8 or 16 bits or floats, are supported")
-    kind = np.dtype(FLOATS[min(bits)] if floats else np.uint8 if bits == {8} else np.uint16).newbyteorder(order)
+    sizes_of, formats = set(fields.get(BITS, (1,))), set(fields.get(SAMPLE_FORMAT, (1,)))
+    bits, form = min(sizes_of), min(formats)
+    if not width or not height or len(sizes_of) != 1 or len(formats) != 1 or bits not in KINDS.get(form, {}):
+        raise ValueError(f"samples of {sorted(sizes_of)} bits in formats {sorted(formats)} and {width} x {height} places aren't supported")
+    if one(PHOTOMETRIC) == YCBCR and set(fields.get(SUBSAMPLING, (2, 2))) != {1}:
+        raise ValueError("subsampled chroma isn't supported")
+    kind = np.dtype(KINDS[form][bits]).newbyteorder(order)
     tiled = TILE_AT in fields
     h, w = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
     places, sizes = fields[TILE_AT if tiled else STRIP_AT], fields[TILE_BYTES if tiled else STRIP_BYTES]
@@ -259,23 +275,28 @@ def read_page(data: bytes, order: str, fields: dict) -> np.ndarray:
     across, down = -(-width // w), -(-height // h)
     if len(places) < planes * across * down:
         raise ValueError("strips or tiles are missing")
+    predictor = one(PREDICTOR, 1)
+    if predictor not in {1: (1, 2), 2: (1, 2), 3: (1, 3)}[form] or predictor == 2 and bits < 8:
+        raise ValueError(f"predictor {predictor} isn't supported for these samples")
     out = np.zeros((height, width, channels), kind.newbyteorder("<"))
     for i in range(planes * across * down):
         plane, k = divmod(i, across * down)
         y, x = k // across * h, k % across * w
         rows = h if tiled else min(h, height - y)
-        raw = _decode(one(COMPRESSION, 1), data[places[i] : places[i] + sizes[i]], rows * w * depth * kind.itemsize)
-        predictor = one(PREDICTOR, 1)
-        if predictor == 3 and floats:  # differences of bytes, highest bytes of a row first
-            planes = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, w * kind.itemsize, depth), axis=1, dtype=np.uint8)
-            raw = planes.reshape(rows, kind.itemsize, w * depth).transpose(0, 2, 1).tobytes()
+        stored = data[places[i] : places[i] + sizes[i]]
+        if one(FILL_ORDER, 1) == 2:
+            stored = stored.translate(TURNED)
+        raw = _decode(one(COMPRESSION, 1), stored, rows * -(-w * depth * bits // 8))
+        if predictor == 3:  # differences of bytes, highest bytes of a row first
+            turned = np.cumsum(np.frombuffer(raw, np.uint8).reshape(rows, w * kind.itemsize, depth), axis=1, dtype=np.uint8)
+            raw = turned.reshape(rows, kind.itemsize, w * depth).transpose(0, 2, 1).tobytes()
             part = np.frombuffer(raw, kind.newbyteorder(">")).reshape(rows, w, depth)
+        elif bits < 8:
+            part = _unpacked(raw, rows, w * depth, bits).reshape(rows, w, depth)
         else:
             part = np.frombuffer(raw, kind).reshape(rows, w, depth)
-        if predictor == 2 and not floats:
+        if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
-        elif predictor != 1 and not (predictor == 3 and floats):
-            raise ValueError(f"predictor {predictor} isn't supported for these samples")
         out[y : y + rows, x : x + w, plane : plane + depth] = part[: height - y, : width - x]
     return out
 
@@ -286,8 +307,8 @@ PAGE = [("page", T.IntegerType(), pa.int32()), ("width", T.LongType(), pa.int64(
 def feature(a: np.ndarray, fields: dict) -> str:
     """Size, codec, extremes, sum and a histogram of 8 equal steps of the samples read."""
     flat = a.reshape(-1)
-    if flat.dtype.kind == "f":
-        return f"{a.shape[1]}x{a.shape[0]}x{a.shape[2]};f{flat.dtype.itemsize * 8};{np.nanmin(flat)}..{np.nanmax(flat)}"
+    if flat.dtype.kind != "u":
+        return f"{a.shape[1]}x{a.shape[0]}x{a.shape[2]};{flat.dtype.kind}{flat.dtype.itemsize * 8};{np.nanmin(flat)}..{np.nanmax(flat)}"
     steps = np.bincount(flat >> (flat.dtype.itemsize * 8 - 3), minlength=8)
     layout = "tiles" if TILE_AT in fields else "strips"
     return f"{a.shape[1]}x{a.shape[0]}x{a.shape[2]};{layout};c{fields.get(COMPRESSION, (1,))[0]};p{fields.get(PREDICTOR, (1,))[0]};{flat.min()}..{flat.max()};sum={int(flat.sum(dtype=np.uint64))};" + ",".join(map(str, steps))

@@ -111,3 +111,43 @@ def test_long_payloads_are_lzw():
     payload *= 3
     first, *others = list(tiff.pages_of(tiff.payload_tiff(payload)))
     assert {p[4] for p in (first, *others)} >= {tiff.PACKBITS} and b"".join(p[5] for p in (first, *others)) == payload
+
+
+def page_fields(a, bits, raw, form=1, **more):
+    h, w, c = a.shape
+    return {tiff.WIDTH: (w,), tiff.HEIGHT: (h,), tiff.BITS: (bits,) * c, tiff.SAMPLES: (c,), tiff.SAMPLE_FORMAT: (form,) * c, tiff.ROWS_PER_STRIP: (h,), tiff.STRIP_AT: (0,), tiff.STRIP_BYTES: (len(raw),)} | more
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("channels,width", [(1, 13), (3, 7), (1, 16)])
+def test_samples_of_less_than_a_byte(bits, channels, width):
+    """Highest bits first, rows padded to bytes; plain, PackBits, and filled from the low bit."""
+    a = np.random.default_rng(bits).integers(0, 1 << bits, (5, width, channels)).astype(np.uint8)
+    rows = ["".join(f"{x:0{bits}b}" for x in row.reshape(-1)) for row in a]
+    raw = b"".join(int(r.ljust(-(-len(r) // 8) * 8, "0"), 2).to_bytes(-(-len(r) // 8), "big") for r in rows)
+    assert (tiff.read_page(raw, "<", page_fields(a, bits, raw)) == a).all()
+    coded = tiff.packbits_encode(raw)
+    assert (tiff.read_page(coded, ">", page_fields(a, bits, coded) | {tiff.COMPRESSION: (tiff.PACKBITS,)}) == a).all()
+    turned = bytes(int(f"{b:08b}"[::-1], 2) for b in coded)
+    assert (tiff.read_page(turned, "<", page_fields(a, bits, turned) | {tiff.COMPRESSION: (tiff.PACKBITS,), tiff.FILL_ORDER: (2,)}) == a).all()
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("kind,form", [(np.int8, 2), (np.int16, 2), (np.int32, 2), (np.uint32, 1)])
+def test_signed_and_long_samples(order, kind, form):
+    info = np.iinfo(kind)
+    a = np.random.default_rng(4).integers(info.min, info.max, (6, 5, 2), dtype=np.int64).astype(kind)
+    raw = a.astype(a.dtype.newbyteorder(order)).tobytes()
+    assert (tiff.read_page(raw, order, page_fields(a, info.bits, raw, form)) == a).all()
+    with np.errstate(over="ignore"):
+        diff = np.concatenate([a[:, :1], a[:, 1:] - a[:, :-1]], axis=1).astype(a.dtype.newbyteorder(order)).tobytes()
+    assert (tiff.read_page(diff, order, page_fields(a, info.bits, diff, form) | {tiff.PREDICTOR: (2,)}) == a).all()
+
+
+def test_refused_samples():
+    a = np.zeros((4, 4, 3), np.uint8)
+    raw = a.tobytes()
+    for more in ({tiff.PHOTOMETRIC: (tiff.YCBCR,), tiff.SUBSAMPLING: (2, 2)}, {tiff.PHOTOMETRIC: (tiff.YCBCR,)}, {tiff.SAMPLE_FORMAT: (1, 1, 2)}, {tiff.BITS: (8, 8, 16)}, {tiff.BITS: (12,) * 3}, {tiff.SAMPLE_FORMAT: (6,) * 3}, {tiff.PREDICTOR: (3,)}):
+        with pytest.raises(ValueError):
+            tiff.read_page(raw, "<", page_fields(a, 8, raw) | more)
+    assert (tiff.read_page(raw, "<", page_fields(a, 8, raw) | {tiff.PHOTOMETRIC: (tiff.YCBCR,), tiff.SUBSAMPLING: (1, 1)}) == a).all()
