@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from . import importer
 from .operators import compare, repairs
 from .operators import validate as val
-from .sources import readers, writers
+from .sources import documents, readers, writers
+from .sources.scratch import stored
 
-# Names of the documents' schemas.
-ANSWER, PROTOCOL = "mrf-first-use-answer/1", "mrf-first-use-protocol/1"
+ANSWER, PROTOCOL = "slicewise-first-use-answer/1", "slicewise-first-use-protocol/1"
 TASK = (
     "Decide whether the candidate and a complete rollback satisfy the policy, which supplied repairs pass, and what the evidence can't establish. "
     "Null means unanswered, not failed. Answer unaided first and keep revisions apart. State the sources' digests, and how a changed source would be noticed. "
@@ -50,26 +50,36 @@ def prepare(spark: SparkSession, policy_path: str, predictions_path: str, out: s
     return protocol
 
 
-def submission_problems(gold: dict, submission: dict) -> list[str]:
-    """What makes a submitted answer unusable: another schema or keys, answers of another type, repeated entries, impossible times."""
-    answers, out = submission.get("answers"), []
-    if submission.get("schema") != ANSWER:
-        out.append("schema")
-    if not isinstance(answers, dict) or set(answers) != set(gold):
-        return [*out, "answer keys"]
-    for key, want in gold.items():
-        answer = answers[key]
-        if answer is not None and type(answer) is not type(want):
-            out.append(f"type of {key}")
-        elif isinstance(answer, list) and (not all(isinstance(x, str) for x in answer) or len(set(answer)) < len(answer)):
-            out.append(f"entries of {key}")
-    effort = submission.get("effort", {})
-    times = [effort.get(k) for k in ("active_seconds", "provenance_lookup_seconds")] if isinstance(effort, dict) else ["none"]
-    if any(t is not None and not (isinstance(t, (int, float)) and not isinstance(t, bool) and 0 <= t < float("inf")) for t in times):
-        out.append("measured effort")
-    elif len(times) == 2 and None not in times and times[1] > times[0]:
-        out.append("lookup time above active time")
-    return out
+def answer_shape(gold: dict) -> dict:
+    """The shape of a submission to the questions of ``gold``: every answer of its kind or null."""
+    kind = lambda x: [str] if isinstance(x, list) else type(x)
+    seconds = (int, float, None)
+    return {
+        "schema": str, "answers": {k: (kind(x), None) for k, x in gold.items()}, "participant": dict, "assistance": [str], "notes": (str, None),
+        "effort": {"active_seconds": seconds, "provenance_lookup_seconds": seconds},
+    }
+
+
+def submission_violations(submissions: DataFrame, gold: dict, submission: str = "submission", text: str = "text") -> DataFrame:
+    """(submission, problem, path) of whatever makes submitted answers unusable: JSON texts, one a row.
+
+    Beside the shape: the schema's name, an entry twice in a list, seconds below zero, more
+    of them for looking up than altogether.
+    """
+    values = stored(documents.value_rows(submissions, submission, text), "submissions")
+    problems = documents.shape_violations(values, answer_shape(gold)).select("doc", "problem", "path")
+    times = {"active": "$.effort.active_seconds", "lookup": "$.effort.provenance_lookup_seconds"}
+    number = lambda p: F.max(F.when((F.col("path") == p) & F.col("kind").isin("integer", "number"), F.col("value").cast("double")))
+    effort = values.groupBy("doc").agg(*[number(p).alias(name) for name, p in times.items()])
+    rules = [
+        (values.where((F.col("path") == "$.schema") & (F.col("value") != ANSWER)), "another schema", F.col("path")),
+        (values.where(F.col("path").rlike(r"^\$\.answers\.[^.\[]*\[\]$")).groupBy("doc", "path", "value").agg(F.count("*").alias("n")).where("n > 1"), "repeated entry", F.col("path")),
+        *[(effort.where(F.col(name) < 0), "negative time", F.lit(p)) for name, p in times.items()],
+        (effort.where("lookup > active"), "lookup above activity", F.lit("$.effort")),
+    ]
+    for rows, problem, path in rules:
+        problems = problems.union(rows.select("doc", F.lit(problem), path))
+    return problems.toDF(submission, "problem", "path")
 
 
 def answer_table(spark: SparkSession, values: dict) -> DataFrame:

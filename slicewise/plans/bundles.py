@@ -227,3 +227,19 @@ def first_use_packet(spark, d):
     return spark.createDataFrame([tuple(gold[k] for k in cmp.KEYS)], ", ".join(f"{k} {kinds[type(gold[k])]}" for k in cmp.KEYS))
 
 
+
+
+@query("submission_violations", """select s_suppkey as submission, unnest(case s_suppkey % 9 when 1 then ['another schema'] when 2 then ['wrong type'] when 3 then ['missing field'] when 4 then ['lookup above activity']
+  when 5 then ['negative time', 'negative time'] when 6 then ['repeated key'] when 7 then ['unknown field'] else [] end) as problem from supplier""")
+def submission_violations(spark, d):
+    """Answers of as many participants as there are suppliers, some with a planned fault."""
+    gold = {"candidate_passes": False, "new_errors": 3, "comment": "none"}
+    k = F.col("s_suppkey") % 9
+    pick = lambda rest, bad, good: F.when(k == rest, F.lit(bad)).otherwise(F.lit(good))
+    active, lookup = F.when(k == 5, F.lit("-2")).otherwise(F.col("s_suppkey").cast("string")), F.when(k == 4, (F.col("s_suppkey") + 1).cast("string")).when(k == 5, F.lit("-3.5")).otherwise(F.lit("0"))
+    text = F.concat(
+        F.lit('{"schema":"'), pick(1, "other/1", packet.ANSWER), F.lit('","answers":{"candidate_passes":'), pick(2, '"false"', "false"), F.lit(',"comment":"c '), F.col("s_name"), pick(3, '"', '","new_errors":3'), pick(6, ',"comment":null', ""), pick(7, ',"more":{"x":[1]}', ""),
+        F.lit('},"participant":{"experience":[]},"assistance":["manual"],"notes":null,"effort":{"active_seconds":'), active, F.lit(',"provenance_lookup_seconds":'), lookup, F.lit("}}"),
+    )
+    found = packet.submission_violations(v.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("submission"), text.alias("text")), gold)
+    return found.select(F.col("submission").cast("long").alias("submission"), "problem")

@@ -174,11 +174,21 @@ def test_packets(spark, tmp_path):
     assert gold["source_sha256"] == protocol["source_sha256"] and gold["passing_supplied_repairs"] == "targeted" and gold["candidate_passes"] is False
     answer = writers.read_document(spark, f"file://{tmp_path}/packet/ordinary/answer-template")
     gold.pop("source_sha256")
-    assert packet.submission_problems(gold, answer) == []
-    assert packet.submission_problems(gold, answer | {"schema": "x"}) == ["schema"] and packet.submission_problems(gold, answer | {"answers": {}}) == ["answer keys"]
-    assert packet.submission_problems(gold, answer | {"answers": answer["answers"] | {"new_errors": True}}) == ["type of new_errors"]
-    assert packet.submission_problems(gold, answer | {"effort": {"active_seconds": 1, "provenance_lookup_seconds": 2}}) == ["lookup time above active time"]
-    assert packet.submission_problems({"x": []}, {"schema": packet.ANSWER, "answers": {"x": ["a", "a"]}}) == ["entries of x"]
+    assert set(gold) == set(answer["answers"]) and packet.ANSWER == answer["schema"]
+    effort = lambda a, b: {"effort": {"active_seconds": a, "provenance_lookup_seconds": b}}
+    questions = gold | {"named": ["a"]}
+    answer["answers"]["named"] = None
+    given = lambda **x: {"answers": answer["answers"] | x}
+    cases = {
+        "empty": ({}, []), "good": (given(new_errors=3, candidate_passes=False, named=["x", "y"]) | effort(2.5, 1), []), "schema": ({"schema": "x"}, ["another schema"]), "keys": ({"answers": {}}, ["missing field"]), "more": (given(other=1), ["unknown field"]),
+        "type": (given(new_errors=True, candidate_passes=1), ["wrong type"] * 2), "twice": (given(named=["a", "a", "b"]), ["repeated entry"]), "entry": (given(named=[1]), ["wrong type"]), "time": (effort(1, 2), ["lookup above activity"]), "below": (effort(-1, -2.0), ["negative time"] * 2),
+        "text": (effort("1", None), ["wrong type"]), "half": (effort(None, 7), []),
+    }
+    table = spark.createDataFrame([(n, json.dumps(answer | x)) for n, (x, _) in cases.items()] + [("broken", "{")], "submission string, text string")
+    found = {}
+    for r in packet.submission_violations(table, questions).collect():
+        found.setdefault(r.submission, []).append(r.problem)
+    assert found.pop("broken") and found == {n: p for n, (_, p) in cases.items() if p}
     rows = {r.key: r.value for r in packet.answer_table(spark, gold | {"list": ["a", "b"]}).collect()}
     assert rows["candidate_passes"] == "false" and rows["list"] == "a,b"
 
