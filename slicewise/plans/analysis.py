@@ -289,14 +289,14 @@ def candidate_rank(spark, d):
     return localize.ranked(b2(spark, d), [], "candidate")
 
 
-# scores of five candidates by three methods in two worlds and three trajectories, with planned ties
+# scores of five candidates by three methods in three trajectories and a world for every customer, with planned ties
 _score = bucket_sql("m || '|' || w || '|' || case when m = 'static' then 0 else t end || '|' || c", 8)
-view("method_scores", f"select w as world, m as method, t as trajectory_id, 'c' || c as candidate, cast({_score} as double) / 4 as score from (values (0), (1)) ww(w) cross join (values ('static'), ('grad'), ('trac')) mm(m) cross join (values (0), (1), (2)) tt(t) cross join (values (0), (1), (2), (3), (4)) cc(c)")
-view("roots", "select w as world, case w when 0 then 'c2' else 'c4' end as root from (values (0), (1)) v(w)")
+view("method_scores", f"select w as world, m as method, t as trajectory_id, 'c' || c as candidate, cast({_score} as double) / 4 as score from (select c_custkey as w from customer) ww cross join (values ('static'), ('grad'), ('trac')) mm(m) cross join (values (0), (1), (2)) tt(t) cross join (values (0), (1), (2), (3), (4)) cc(c)")
+view("roots", "select c_custkey as world, case c_custkey % 2 when 0 then 'c2' else 'c4' end as root from customer")
 
 
 def method_scores(spark, d):
-    rows = spark.range(2).select(F.col("id").cast("int").alias("world"))
+    rows = v.table(spark, d, "customer").select(F.col("c_custkey").alias("world"))
     for name, values in (("method", ["static", "grad", "trac"]), ("trajectory_id", [0, 1, 2]), ("c", [0, 1, 2, 3, 4])):
         rows = rows.withColumn(name, F.explode(F.array(*[F.lit(x) for x in values])))
     t = F.when(F.col("method") == "static", F.lit(0)).otherwise(F.col("trajectory_id"))
@@ -304,8 +304,8 @@ def method_scores(spark, d):
     return rows.select("world", "method", "trajectory_id", F.concat(F.lit("c"), F.col("c").cast("string")).alias("candidate"), (draw.cast("double") / 4).alias("score"))
 
 
-def roots(spark):
-    return spark.range(2).select(F.col("id").cast("int").alias("world"), F.when(F.col("id") == 0, F.lit("c2")).otherwise(F.lit("c4")).alias("root"))
+def roots(spark, d):
+    return v.table(spark, d, "customer").select(F.col("c_custkey").alias("world"), F.when(F.col("c_custkey") % 2 == 0, F.lit("c2")).otherwise(F.lit("c4")).alias("root"))
 
 
 view("mean_scores", "select world, method, candidate, avg(score) as score from method_scores group by 1, 2, 3")
@@ -319,7 +319,7 @@ view("tie_scores", TIE)
 
 def ties(spark, d):
     means = localize.mean_over(method_scores(spark, d), ["world", "method", "candidate"])
-    return ranking.tie_aware(means, roots(spark).join(means.select("world", "method").distinct(), "world"), ["world", "method"])
+    return ranking.tie_aware(means, roots(spark, d).join(means.select("world", "method").distinct(), "world"), ["world", "method"])
 
 
 @query("mean_trajectory", "select * from mean_scores")
@@ -337,9 +337,11 @@ def truth_top1(spark, d):
     return ranking.top_1_summary(ties(spark, d))
 
 
-@query("chance_reference", "select n as candidates, 1 / n as top_1, least(3, n) / n as top_3, (select sum(1.0::double / i) from (select unnest(range(1, n + 1)) as i)) / n as reciprocal_rank, cast(factorial(cast(n as int)) as bigint) as permutations from (values (1), (2), (5), (8)) v(n)")
+@query("chance_reference", "select n as candidates, 1 / n as top_1, least(3, n) / n as top_3, (select sum(1.0::double / i) from (select unnest(range(1, n + 1)) as i)) / n as reciprocal_rank, cast(factorial(cast(n as int)) as bigint) as permutations from (select distinct cast(count(*) as int) as n from lineitem group by l_orderkey) v")
 def chance_reference(spark, d):
-    return ranking.chance_reference(spark.createDataFrame([(1,), (2,), (5,), (8,)], "candidates int"))
+    """For as many candidates as orders have lines."""
+    sizes = v.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("candidates")).select("candidates").distinct()
+    return ranking.chance_reference(sizes)
 
 
 _subsets = [("0,1,2", (0, 1, 2)), ("0", (0,)), ("1", (1,)), ("2", (2,)), ("0,1", (0, 1)), ("0,2", (0, 2)), ("1,2", (1, 2))]
@@ -349,7 +351,7 @@ _stab = " union all ".join(f"select world, method, '{name}' as subset, candidate
 @query("rank_stability", f"select world, method, subset, root_rank from (select *, row_number() over (partition by world, method, subset order by score desc, candidate) as root_rank from ({_stab})) join roots using (world) where candidate = root")
 def rank_stability(spark, d):
     scores = method_scores(spark, d)
-    return ranking.rank_stability(scores, roots(spark).join(scores.select("world", "method").distinct(), "world"), ["world", "method"], [0, 1, 2])
+    return ranking.rank_stability(scores, roots(spark, d).join(scores.select("world", "method").distinct(), "world"), ["world", "method"], [0, 1, 2])
 
 
 @query("static_methods", "select world, method from method_scores group by 1, 2, candidate having min(score) <> max(score)")
@@ -460,26 +462,41 @@ def dot_products(spark, d):
 # ---------------------------------------------------------------- certification
 
 SPLITS = certify.REQUIRED
-SCORES = [("baseline", s, 0.96 + 0.005 * i) for i, s in enumerate(SPLITS)] + [("candidate", s, (0.25 if s == certify.TARGET else 0.95 + 0.005 * i)) for i, s in enumerate(SPLITS)]
-SCORES += [(f"restore:c{k}", s, ((0.94 if k == 2 else 0.25 + 0.005 * k) if s == certify.TARGET else 0.955 + 0.005 * i)) for k in range(5) for i, s in enumerate(SPLITS)]
-view("scores", "select run, split, cast(score as double) as score from (values " + ", ".join(f"('{r}', '{s}', {x!r})" for r, s, x in SCORES) + ") v(run, split, score)")
+RUN_NAMES = ("baseline", "candidate", *[f"restore:c{k}" for k in range(5)])
+
+
+def _misses(run: str, target: bool) -> int:
+    """Of 1,000 cases of a split, those that a run is planned to get wrong."""
+    return {"baseline": 20, "candidate": 750 if target else 25, "restore:c2": 40 if target else 22}.get(run, 745 if target else 24)
+
+
+_run_miss = " ".join(f"when run = '{r}' and split {'=' if t else '<>'} '{certify.TARGET}' then {_misses(r, t)}" for r in RUN_NAMES for t in (True, False))
+view("run_rows", "select run, o_orderkey, [" + ", ".join(f"'{x}'" for x in SPLITS) + f"][cast(o_orderkey % {len(SPLITS)} as int) + 1] as split from orders cross join (values " + ", ".join(f"('{r}')" for r in RUN_NAMES) + ") v(run)")
+view("scores", f"select run, split, count(*) filter ({bucket_sql(chr(39) + 'score|' + chr(39) + ' || run || ' + chr(39) + '|' + chr(39) + ' || o_orderkey')} >= case {_run_miss} end) / count(*) as score from run_rows group by 1, 2")
 _p = "split in (" + ", ".join(f"'{s}'" for s in certify.PROTECTED) + ")"
 view("gate", f"select bool_and(b.score >= 0.95) as baseline_passed, max(case when split = 'triangle_large' then b.score - c.score end) as target_regression, max(case when {_p} then abs(c.score - b.score) end) as largest_drift, bool_and(not {_p} or abs(c.score - b.score) <= 0.05) as protected_passed from scores b join scores c using (split) where b.run = 'baseline' and c.run = 'candidate'")
 view("restorations", f"select substr(r.run, 9) as restoration, max(case when split = 'triangle_large' then r.score - c.score end) as recovery, max(case when {_p} then abs(r.score - b.score) end) as largest_drift from scores r join scores b using (split) join scores c using (split) where r.run like 'restore:%' and b.run = 'baseline' and c.run = 'candidate' group by 1")
 
 
-def scores(spark):
-    return spark.createDataFrame(SCORES, "run string, split string, score double")
+def scores(spark, d):
+    """run, split, score: the share of orders that each run gets right; an order is a case of one split."""
+    split = F.get(F.array(*[F.lit(x) for x in SPLITS]), (F.col("o_orderkey") % len(SPLITS)).cast("int"))
+    rows = v.table(spark, d, "orders").select("o_orderkey", split.alias("split"), F.explode(F.array(*[F.lit(r) for r in RUN_NAMES])).alias("run"))
+    limit = F.lit(0)
+    for r in RUN_NAMES:
+        limit = F.when(F.col("run") == r, F.when(F.col("split") == certify.TARGET, F.lit(_misses(r, True))).otherwise(F.lit(_misses(r, False)))).otherwise(limit)
+    right = bucket(joined("score", F.col("run"), F.col("o_orderkey").cast("string"))) >= limit
+    return rows.groupBy("run", "split").agg((F.count_if(right) / F.count("*")).alias("score"))
 
 
 @query("candidate_gate", "select *, target_regression >= 0.15 as target_passed, baseline_passed and protected_passed and target_regression >= 0.15 as all_passed from gate")
 def candidate_gate(spark, d):
-    return certify.candidate_gate(scores(spark))
+    return certify.candidate_gate(scores(spark, d))
 
 
 @query("restoration_table", "select * from restorations")
 def restoration_table(spark, d):
-    return certify.restoration_table(scores(spark))
+    return certify.restoration_table(scores(spark, d))
 
 
 CERT = "select bool_and(recovery >= 0.15) filter (restoration = 'c2') as planted_recovery_passed, bool_and(largest_drift <= 0.05) filter (restoration = 'c2') as planted_protected_passed, bool_and(recovery <= 0.05) filter (restoration <> 'c2') as others_recovery_passed, bool_and(largest_drift <= 0.05) filter (restoration <> 'c2') as others_protected_passed, string_agg(case when recovery >= 0.15 then restoration end, ',' order by restoration) = 'c2' as unique_recovery_passed from restorations"
@@ -487,35 +504,45 @@ CERT = "select bool_and(recovery >= 0.15) filter (restoration = 'c2') as planted
 
 @query("certification", f"select *, planted_recovery_passed and planted_protected_passed and others_recovery_passed and others_protected_passed and unique_recovery_passed as all_passed from ({CERT})")
 def certification(spark, d):
-    return certify.certification(scores(spark), "c2")
+    return certify.certification(scores(spark, d), "c2")
 
 
 @query("order_control_gate", "select baseline_passed, baseline_passed and protected_passed and target_regression >= 0.15 as candidate_gate_passed, (select recovery >= 0.15 from restorations where restoration = 'c2') as planted_recovery_passed, (select largest_drift <= 0.05 from restorations where restoration = 'c2') as planted_protected_passed, baseline_passed and protected_passed and target_regression >= 0.15 and (select recovery >= 0.15 and largest_drift <= 0.05 from restorations where restoration = 'c2') as all_passed from gate")
 def order_control_gate(spark, d):
-    return certify.order_control(scores(spark), "c2")
+    return certify.order_control(scores(spark, d), "c2")
 
 
 @query("public_payload", f"select baseline_passed, target_regression >= 0.15 and protected_passed as localized_regression_passed, c.ok as unique_causal_passed, baseline_passed and protected_passed and target_regression >= 0.15 and (select recovery >= 0.15 and largest_drift <= 0.05 from restorations where restoration = 'c2') as order_robustness_passed, true as construction_passed, c.ok and baseline_passed and protected_passed and target_regression >= 0.15 as certified from gate cross join (select planted_recovery_passed and planted_protected_passed and others_recovery_passed and others_protected_passed and unique_recovery_passed as ok from ({CERT})) c")
 def public_payload(spark, d):
-    s = scores(spark)
+    s = scores(spark, d)
     return certify.public_payload(certify.candidate_gate(s), certify.certification(s, "c2"), certify.order_control(s, "c2"), True)
 
 
-RUNS = [("w0", "baseline", 1.0, 0.75), ("w0", "candidate", 0.0, 0.75), ("w0", "recovery", 1.0, 0.6875), ("w1", "baseline", 0.875, 0.5), ("w1", "candidate", 0.8125, 0.25), ("w1", "recovery", 0.8125, 0.5)]
+_pb = bucket_sql("'protocol|' || run || '|' || c_custkey")
+view("protocol_runs", f"select c_nationkey as g, run, count(*) filter ({_pb} >= case run when 'candidate' then 300 else 60 end) / count(*) as target, count(*) filter ({_pb} >= 400) / count(*) as unrelated from customer cross join (values ('baseline'), ('candidate'), ('recovery')) v(run) group by 1, 2")
 
 
-@query("protocol_assessment", "with r as (select * from (values " + ", ".join(f"('{g}', '{n}', {t}::double, {u}::double)" for g, n, t, u in RUNS) + """) v(g, run, target, unrelated)), w as (select g, max(case when run = 'baseline' then target end) as bt, max(case when run = 'candidate' then target end) as ct, max(case when run = 'recovery' then target end) as rt, max(case when run = 'baseline' then unrelated end) as bu, max(case when run = 'candidate' then unrelated end) as cu, max(case when run = 'recovery' then unrelated end) as ru from r group by 1)
+@query("protocol_assessment", """with w as (select g, max(case when run = 'baseline' then target end) as bt, max(case when run = 'candidate' then target end) as ct, max(case when run = 'recovery' then target end) as rt, max(case when run = 'baseline' then unrelated end) as bu, max(case when run = 'candidate' then unrelated end) as cu, max(case when run = 'recovery' then unrelated end) as ru from protocol_runs group by 1)
 select g as "group", bt - ct as regression, rt - ct as recovery, greatest(abs(cu - bu), abs(ru - bu)) as largest_drift, bt >= 0.9 as baseline_passed, bt - ct >= 0.15 as regression_passed, rt - ct >= 0.15 as recovery_passed, greatest(abs(cu - bu), abs(ru - bu)) <= 0.1 as drift_passed from w""")
 def protocol_assessment(spark, d):
-    return certify.protocol_assessment(spark.createDataFrame(RUNS, "group string, run string, target double, unrelated double"), 0.9, 0.15, 0.15, 0.1)
+    """A group for every nation, with marks of its customers."""
+    rows = v.table(spark, d, "customer").withColumn("run", F.explode(F.array(*[F.lit(r) for r in ("baseline", "candidate", "recovery")])))
+    draw = bucket(joined("protocol", F.col("run"), F.col("c_custkey").cast("string")))
+    hit = draw >= F.when(F.col("run") == "candidate", F.lit(300)).otherwise(F.lit(60))
+    runs = rows.groupBy(F.col("c_nationkey").alias("group"), "run").agg((F.count_if(hit) / F.count("*")).alias("target"), (F.count_if(draw >= 400) / F.count("*")).alias("unrelated"))
+    return certify.protocol_assessment(runs, 0.9, 0.15, 0.15, 0.1)
 
 
-GAPS = [(0, 0.125, 0.0), (1, 0.1875, 0.015625), (2, 0.0625, 0.0)]
+_gb = bucket_sql("'gap|' || o_orderkey")
+view("gaps", f"select o_orderpriority as trajectory_id, count(*) filter ({_gb} < 125) / count(*) as t, count(*) filter ({_gb} >= 985) / count(*) as p from orders group by 1")
 
 
-@query("stage_a", "select avg(t) as mean_target_gap, avg(p) as mean_protected_gap, bool_and(t >= 0.05) as each_target_passed, bool_and(p <= 0.03) as each_protected_passed, avg(t) >= 0.10 as mean_target_passed, avg(p) <= 0.02 as mean_protected_passed, bool_and(t >= 0.05) and bool_and(p <= 0.03) and avg(t) >= 0.10 and avg(p) <= 0.02 as all_passed from (values " + ", ".join(f"({t}::double, {p}::double)" for _, t, p in GAPS) + ") v(t, p)")
+@query("stage_a", "select round(avg(t), 12) as mean_target_gap, round(avg(p), 12) as mean_protected_gap, bool_and(t >= 0.05) as each_target_passed, bool_and(p <= 0.03) as each_protected_passed, avg(t) >= 0.10 as mean_target_passed, avg(p) <= 0.02 as mean_protected_passed, bool_and(t >= 0.05) and bool_and(p <= 0.03) and avg(t) >= 0.10 and avg(p) <= 0.02 as all_passed from gaps")
 def stage_a(spark, d):
-    return certify.stage_gate(spark.createDataFrame(GAPS, "trajectory_id int, target_gap double, protected_gap double"))
+    """A trajectory for each priority of orders; its gaps are shares of its orders."""
+    draw = bucket(joined("gap", F.col("o_orderkey").cast("string")))
+    gaps = v.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("trajectory_id")).agg((F.count_if(draw < 125) / F.count("*")).alias("target_gap"), (F.count_if(draw >= 985) / F.count("*")).alias("protected_gap"))
+    return certify.stage_gate(gaps).withColumns({c: F.round(c, 12) for c in ("mean_target_gap", "mean_protected_gap")})
 
 
 _sd = bucket_sql("'state|' || s || '|' || t || '|' || content_id")
@@ -552,12 +579,22 @@ def root_margins(spark, d):
     return certify.root_margins(effects(spark, d), "restore_root").withColumns({c: F.round(c, 9) + 0.0 for c in ("root_delta", "strongest_other", "margin")})
 
 
-DOSES = [(9, 0, True), (9, 1, False), (9, 2, False), (18, 0, True), (18, 1, True), (18, 2, False), (36, 0, True), (36, 1, True), (36, 2, True)]
+# a dose is 9 to 45; its world passes where a dose's share of the world's customers answers right
+_db = bucket_sql("'dose|' || o_orderkey")
+view("doses", f"select cast(9 * (1 + o_orderkey % 5) as int) as dose, c_nationkey as world, count(*) filter ({_db} < 200 + 120 * (o_orderkey % 5)) * 2 > count(*) as passed from orders join customer on o_custkey = c_custkey group by 1, 2")
+
+
+def doses(spark, d):
+    k = F.col("o_orderkey") % 5
+    rows = v.table(spark, d, "orders").join(v.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    right = bucket(joined("dose", F.col("o_orderkey").cast("string"))) < 200 + 120 * k
+    return rows.groupBy((9 * (1 + k)).cast("int").alias("dose"), F.col("c_nationkey").alias("world")).agg((F.count_if(right) * 2 > F.count("*")).alias("passed"))
 
 
-@query("dose_selection", "select 18 as selected_dose, true as authorized, '9,18' as observed_doses")
+@query("dose_selection", """with n as (select dose, count(*) filter (passed) as passing from doses group by 1), f as (select min(dose) as selected_dose from n where passing >= 13)
+select selected_dose, selected_dose is not null as authorized, (select string_agg(dose, ',' order by dose) from n where selected_dose is null or dose <= selected_dose) as observed_doses from f""")
 def dose_selection(spark, d):
-    return certify.dose_selection(spark.createDataFrame(DOSES, "dose int, world int, passed boolean"), 2)
+    return certify.dose_selection(doses(spark, d), 13)
 
 
 # ---------------------------------------------------------------- incidents
@@ -649,7 +686,8 @@ def neutral_ranking(spark, d):
 
 @query("seeded_ranking")
 def seeded_ranking(spark, d):
-    return localize.seeded_ranking(spark, [f"change_{i}" for i in range(5)])
+    """A seeded shuffle of the nations as changes, a manifest of a few rows."""
+    return localize.seeded_ranking(spark, [r.n_name for r in v.table(spark, d, "nation").select("n_name").orderBy("n_nationkey").collect()])
 
 
 @query("candidate_suspiciousness", "select candidate, sum(cast(x as double)) as score from (select candidate, (('0x' || substr(sha256('sus|' || slot_id), 1, 8))::ubigint % 1000) as x from world) group by 1")

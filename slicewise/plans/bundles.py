@@ -91,14 +91,16 @@ def blind_violations(spark, d):
     return blind.violations({"header": header, "releases": parts["releases"].where(~lost), "candidates": parts["candidates"].withColumn("internal_role", F.lit("root"))})
 
 
-WORLDS = [("world_00", "a", "b", "c"), ("world_01", "a", "b", "c"), ("world_02", "a", "b", "c")]
-TRUTHS = [("world_00", blind.TRUTH_MODE, "a", "b", "c"), ("world_01", "another", "a", "x", "c"), ("world_03", blind.TRUTH_MODE, "a", "b", "c")]
-
-
-@query("truth_match", "select * from (values ('world_01', 'mode'), ('world_01', 'baseline_release_sha256'), ('world_02', 'no truth'), ('world_03', 'no blind world')) v(world_id, field)")
+@query("truth_match", """select c_name as world_id, field from (select c_name, unnest(case c_custkey % 9 when 1 then ['mode'] when 2 then ['baseline_release_sha256'] when 3 then ['no truth'] when 4 then ['no blind world']
+  when 5 then ['mode', 'development_partition_sha256', 'composite_release_sha256'] else [] end) as field from customer)""")
 def truth_match(spark, d):
-    names = ", ".join(f"{c} string" for c in blind.SHARED)
-    return blind.truth_mismatches(spark.createDataFrame(WORLDS, f"world_id string, {names}"), spark.createDataFrame(TRUTHS, f"world_id string, mode string, {names}"))
+    """A world for every customer; some truths are of another mode or name other digests, some worlds stand on one side only."""
+    rows, k = v.table(spark, d, "customer"), F.col("c_custkey") % 9
+    digest = lambda c, bad: sha(F.concat(F.lit(c), F.when(k.isin(*bad), F.lit("other")).otherwise(F.col("c_name")))).alias(c)
+    world = rows.where(k != 4).select(F.col("c_name").alias("world_id"), *[digest(c, [-1]) for c in blind.SHARED])
+    mode = F.when(k.isin(1, 5), F.lit("another")).otherwise(F.lit(blind.TRUTH_MODE)).alias("mode")
+    truth = rows.where(k != 3).select(F.col("c_name").alias("world_id"), mode, *[digest(c, bad) for c, bad in zip(blind.SHARED, ([5], [2], [5]), strict=True)])
+    return blind.truth_mismatches(world, truth)
 
 
 @query("pair_truth", f"select m.candidate_id, p.a as label_a, p.b as label_b, cast(p.candidate as int) as pair_rank_within_world, m.internal_role from ({tr.MANIFEST}) m join pairs5 p on p.candidate = m.internal_role")
@@ -177,13 +179,13 @@ def stage_b_contrasts(spark, d):
 
 # ---------------------------------------------------------------- archives, pictures, pages, packets
 
-@query("source_score_archive", "select release_id, case_id, chr(65 + k) as observed from (select 'baseline' as release_id, 'case_' || i as case_id, cast(i % 5 as int) as k from (select unnest(range(200)) as i) union all select 'candidate', 'case_' || i, cast((i * 3) % 5 as int) from (select unnest(range(200)) as i))")
+@query("source_score_archive", "select release_id, s_name as case_id, chr(65 + k) as observed from (select 'baseline' as release_id, s_name, cast(s_suppkey % 5 as int) as k from supplier union all select 'candidate', s_name, cast(s_suppkey * 3 % 5 as int) from supplier)")
 def source_score_archive(spark, d):
-    """Scores of 200 cases whose first highest class is known; the archive is written by the driver, as one of a run would be."""
-    i, classes = np.arange(200), np.array(list("ABCDE"))
-    held = io.BytesIO()
+    """Scores of a case for every supplier, whose first highest class is known; the archive is one file and is written by the driver, as one of a run would be."""
+    rows, classes = v.table(spark, d, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey").toPandas(), np.array(list("ABCDE"))
+    held, i = io.BytesIO(), rows.s_suppkey.to_numpy()
     table = lambda best: np.where(np.arange(5)[None, :] >= best[:, None], 0.75, 0.25).astype(np.float32)
-    np.savez(held, case_ids=np.array([f"case_{k}" for k in i]), classes=classes, wide=table(i % 5), narrow=table(i * 3 % 5))
+    np.savez(held, case_ids=np.array(rows.s_name.tolist()), classes=classes, wide=table(i % 5), narrow=table(i * 3 % 5))
     path = scratch(spark, "scores") + "/scores.npz"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)

@@ -139,23 +139,26 @@ def public_fields(spark, d):
     return val.extra_fields(ev.select("event_id", record.alias("record")), "record", ["prompt", "response"]).select("event_id")
 
 
-view("ranking_rows", "select case when i % 9 = 4 then ' ' when i % 7 = 3 then 'c1' else 'c' || i end as change_id, case when i % 6 = 5 then null when i % 11 = 10 then 'inf'::double else i::double end as score from (select unnest(range(30)) as i)")
+view("ranking_rows", "select case when i % 9 = 4 then ' ' when i % 7 = 3 then 'c1' else 'c' || i end as change_id, case when i % 6 = 5 then null when i % 11 = 10 then 'inf'::double else i::double end as score from (select s_suppkey as i from supplier)")
 
 
 @query("ranking_violations", "select change_id, 'blank id' as problem from ranking_rows where trim(change_id) = '' union all select change_id, 'score' from ranking_rows where score is null or isinf(score) union all select change_id, 'repeated id' from ranking_rows group by 1 having count(*) > 1")
 def ranking_violations(spark, d):
-    i = F.col("id")
+    i = F.col("s_suppkey")
     name = F.when(i % 9 == 4, F.lit(" ")).when(i % 7 == 3, F.lit("c1")).otherwise(F.concat(F.lit("c"), i.cast("string")))
     score = F.when(i % 6 == 5, F.lit(None)).when(i % 11 == 10, F.lit(float("inf"))).otherwise(i.cast("double"))
-    return val.score_violations(spark.range(30).select(name.alias("change_id"), score.alias("score")))
+    return val.score_violations(v.table(spark, d, "supplier").select(name.alias("change_id"), score.alias("score")))
 
 
-OUTCOMES = [(ver, fx, masked) for ver in ("original", "first_repair", "followup_repair") for fx in ("single_batch", "two_batches") for masked in (False, True)]
+view("replays", "select o_orderkey, ['original', 'first_repair', 'followup_repair'][cast(o_orderkey % 3 as int) + 1] as version, case o_orderkey // 3 % 2 when 0 then 'single_batch' else 'two_batches' end as fixture, o_orderkey // 6 % 2 = 1 as masked from orders")
 
 
-@query("expected_outcomes", "select version, fixture, masked, case when version = 'followup_repair' then 'returned' when version = 'first_repair' then case when masked then 'returned' else 'exception' end when masked or fixture = 'single_batch' then 'returned' else 'exception' end as expected, case when version = 'original' and masked then false when version = 'original' and fixture <> 'single_batch' then null when version = 'first_repair' and not masked then null else true end as loss_matches from (values " + ", ".join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in OUTCOMES) + ") v(version, fixture, masked)")
+@query("expected_outcomes", "select o_orderkey, version, fixture, masked, case when version = 'followup_repair' then 'returned' when version = 'first_repair' then case when masked then 'returned' else 'exception' end when masked or fixture = 'single_batch' then 'returned' else 'exception' end as expected, case when version = 'original' and masked then false when version = 'original' and fixture <> 'single_batch' then null when version = 'first_repair' and not masked then null else true end as loss_matches from replays")
 def expected_outcomes(spark, d):
-    rows = spark.createDataFrame(OUTCOMES, "version string, fixture string, masked boolean")
+    """A replay for every order."""
+    k = F.col("o_orderkey")
+    version = F.get(F.array(*[F.lit(x) for x in ("original", "first_repair", "followup_repair")]), (k % 3).cast("int"))
+    rows = v.table(spark, d, "orders").select("o_orderkey", version.alias("version"), F.when(F.expr("o_orderkey div 3 % 2") == 0, F.lit("single_batch")).otherwise(F.lit("two_batches")).alias("fixture"), (F.expr("o_orderkey div 6 % 2") == 1).alias("masked"))
     original, first = F.col("version") == "original", F.col("version") == "first_repair"
     single = F.col("fixture") == "single_batch"
     fails = (first & ~F.col("masked")) | (original & ~F.col("masked") & ~single)
@@ -334,22 +337,23 @@ def balanced_allocation(spark, d):
     return tasks.balanced_allocation(spark, list(_shards), "shard_causal_03", 77)
 
 
-@query("qualified_worlds", "select dose, count(*) filter (passed) as passing, count(*) filter (passed) >= 2 as qualified from (values " + ", ".join(f"({a}, {str(c).lower()})" for a, _, c in an.DOSES) + ") v(dose, passed) group by 1")
+@query("qualified_worlds", "select dose, count(*) filter (passed) as passing, count(*) filter (passed) >= 13 as qualified from doses group by 1")
 def qualified_worlds(spark, d):
-    runs = spark.createDataFrame(an.DOSES, "dose int, world int, passed boolean")
-    return runs.groupBy("dose").agg(F.count_if("passed").alias("passing")).withColumn("qualified", F.col("passing") >= 2)
+    return an.doses(spark, d).groupBy("dose").agg(F.count_if("passed").alias("passing")).withColumn("qualified", F.col("passing") >= 13)
 
 
-@query("multiset_preservation", "select prompt, s as surplus from (select prompt, sum(x) as s from (select prompt, 1 as x from panel_rows union all select case when panel_index = 7 then prompt || '!' else prompt end, -1 from panel_rows) group by 1) where s <> 0")
+@query("multiset_preservation", "select prompt, s as surplus from (select prompt, sum(x) as s from (select p_name as prompt, 1 as x from part union all select case when p_partkey % 50 = 7 then p_name || '!' else p_name end, -1 from part) group by 1) where s <> 0")
 def multiset_preservation(spark, d):
-    rows = tasks.panels(spark, tasks.TRAIN_MATERIALS, "train")
-    changed = F.when(F.col("panel_index") == 7, F.concat("prompt", F.lit("!"))).otherwise(F.col("prompt"))
-    return val.multiset_differences(rows.select("prompt"), rows.select(changed.alias("prompt")))
+    """Names of all parts before and after a change of some."""
+    rows = v.table(spark, d, "part")
+    changed = F.when(F.col("p_partkey") % 50 == 7, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))
+    return val.multiset_differences(rows.select(F.col("p_name").alias("prompt")), rows.select(changed.alias("prompt")))
 
 
-@query("record_stream_digest")
+@query("record_stream_digest", """select sha256(string_agg('{"example_id":' || cast(to_json(p_partkey::varchar) as varchar) || ',"prompt":' || cast(to_json(p_name) as varchar) || ',"response":' || cast(to_json(p_brand) as varchar) || '}' || chr(10), '' order by p_partkey::varchar)) as digest from part""")
 def record_stream_digest(spark, d):
-    rows = tasks.panels(spark, tasks.TRAIN_MATERIALS, "train")
+    """All parts as records, in order."""
+    rows = v.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("example_id"), F.col("p_name").alias("prompt"), F.col("p_brand").alias("response"))
     return spark.createDataFrame([(digests.stream_digest(rows, ["example_id"], ["example_id", "prompt", "response"]),)], "digest string")
 
 

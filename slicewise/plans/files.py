@@ -65,25 +65,32 @@ def source_generations_jsonl(spark, d):
     return readers.read_generations(spark, path).select("case_id", "expected", "raw_output")
 
 
-@query("source_examples_jsonl", "select example_id, prompt, response from panel_rows")
+def _examples(spark, d):
+    """Every part as an example."""
+    return v.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("example_id"), F.col("p_name").alias("prompt"), F.col("p_brand").alias("response"), (F.col("p_partkey") % 5).alias("k"))
+
+
+@query("source_examples_jsonl", "select p_partkey::varchar as example_id, p_name as prompt, p_brand as response from part")
 def source_examples_jsonl(spark, d):
     path = scratch(spark, "examples")
-    writers.write_jsonl(tasks.panels(spark, tasks.TRAIN_MATERIALS, "train"), path, ["example_id", "prompt", "response"], order="example_id")
+    writers.write_jsonl(_examples(spark, d), path, ["example_id", "prompt", "response"], order="example_id")
     return readers.read_examples(spark, path)
 
 
-@query("source_changed_records", f"select 'change_1' as change_id, example_id, prompt, {ch._flip('response')} as response from panel_flips where flip and shard_id = 'shard_bind_01'")
+@query("source_changed_records", "select 'change_' || (p_partkey % 5) as change_id, p_partkey::varchar as example_id, p_name as prompt, p_brand || ' changed' as response from part where p_partkey % 7 = 3")
 def source_changed_records(spark, d):
-    rows = tasks.panel_changes(spark).where("shard_id = 'shard_bind_01'")
-    folders = []
-    for c in ("response", "candidate_response"):
-        folder = scratch(spark, c)
-        one = rows.select(F.to_json(F.struct("example_id", "prompt", F.col(c).alias("response"))).alias("value")).coalesce(1)
-        one.write.text(f"{folder}/parts")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    """Parts in five changes, a file for each, before and after some responses were changed."""
+    rows, folders = _examples(spark, d), []
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for side in ("before", "after"):
+        folder = scratch(spark, side)
+        response = F.when(F.col("example_id").cast("long") % 7 == 3, F.concat("response", F.lit(" changed"))).otherwise(F.col("response")) if side == "after" else F.col("response")
+        one = rows.select("k", F.to_json(F.struct("example_id", "prompt", response.alias("response"))).alias("value"))
+        one.repartition("k").write.partitionBy("k").text(f"{folder}/parts")
         fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        part = fs.globStatus(hadoop.Path(f"{folder}/parts/part-*"))[0].getPath()
-        fs.rename(part, hadoop.Path(f"{folder}/change_1.jsonl"))
+        for k in range(5):
+            part = fs.globStatus(hadoop.Path(f"{folder}/parts/k={k}/part-*"))[0].getPath()
+            fs.rename(part, hadoop.Path(f"{folder}/change_{k}.jsonl"))
         fs.delete(hadoop.Path(f"{folder}/parts"), True)
         folders.append(folder)
     return readers.read_changed_records(spark, *folders)
@@ -103,13 +110,14 @@ def source_trajectories_json(spark, d):
     return readers.read_trajectory_predictions(spark, path).groupBy("trajectory_id", "true_label", "predicted_label").agg(F.count("*").alias("n"))
 
 
-@query("source_documents_by_mode", "select world, method from method_scores where method = 'grad' group by 1, 2")
+@query("source_documents_by_mode", "select s_suppkey as world, s_name as method from supplier where s_suppkey % 3 = 1")
 def source_documents_by_mode(spark, d):
-    path = scratch(spark, "modes")
-    rows = stored(an.method_scores(spark, d).select("world", "method").distinct().withColumn("mode", F.col("method")), "modes")
-    for r in rows.collect():  # a document for each of six pairs
-        rows.where((F.col("world") == r.world) & (F.col("mode") == r.mode)).coalesce(1).write.json(f"{path}/{r.world}-{r.mode}")
-    return readers.read_documents_by_mode(spark, f"{path}/*", "world int, method string", "grad").select("world", "method")
+    """A document for every supplier, in one of three modes."""
+    path, k = scratch(spark, "modes"), F.col("s_suppkey")
+    mode = F.get(F.array(*[F.lit(x) for x in ("static", "grad", "trac")]), (k % 3).cast("int"))
+    rows = v.table(spark, d, "supplier").select(k.alias("at"), k.alias("world"), F.col("s_name").alias("method"), mode.alias("mode"))
+    rows.repartition("at").write.partitionBy("at").json(path)
+    return readers.read_documents_by_mode(spark, f"{path}/*", "world long, method string", "grad").select("world", "method")
 
 
 @query("source_summaries", "select trajectory_id, state, label, recall from state_recalls")
@@ -124,19 +132,22 @@ def source_summaries(spark, d):
     return found.select("trajectory_id", "state", F.explode("per_label_recall").alias("label", "recall"))
 
 
-@query("source_frozen_worlds", "select * from world_marks")
+@query("source_frozen_worlds", "select s_nationkey as world, 'role_' || (s_suppkey % 3) as role, s_name as example_id from supplier")
 def source_frozen_worlds(spark, d):
+    """A world for every nation, whose changed examples are its suppliers."""
     path = scratch(spark, "worlds")
-    roles = ch.world_marks(spark).groupBy("world", "role").agg(F.array_sort(F.collect_list("example_id")).alias("ids"))
+    rows = v.table(spark, d, "supplier").select(F.col("s_nationkey").alias("world"), F.concat(F.lit("role_"), (F.col("s_suppkey") % 3).cast("string")).alias("role"), F.col("s_name").alias("example_id"))
+    roles = rows.groupBy("world", "role").agg(F.array_sort(F.collect_list("example_id")).alias("ids"))
     worlds = roles.groupBy("world").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "ids")))).alias("changed"))
     worlds.agg(F.collect_list(F.struct("world", "changed")).alias("worlds")).select(F.to_json(F.struct("worlds")).alias("value")).coalesce(1).write.text(path)
     return readers.read_frozen_worlds(spark, path)
 
 
-@query("source_lineage", "select 'change_' || i as change_id, 'data' as kind, i = 3 as is_root from (select unnest(range(5)) as i)")
+@query("source_lineage", "select 'change_' || s_suppkey as change_id, 'data' as kind, s_suppkey = 3 as is_root from supplier")
 def source_lineage(spark, d):
+    """A change for every supplier."""
     path = scratch(spark, "lineage")
-    rows = spark.range(5).select(F.concat(F.lit("change_"), F.col("id").cast("string")).alias("change_id"), F.lit("data").alias("kind"), F.lit("d").alias("description"), F.lit("a").alias("before"), F.lit("b").alias("after"), F.create_map(F.lit("after_path"), F.lit("x")).alias("metadata"))
+    rows = v.table(spark, d, "supplier").select(F.concat(F.lit("change_"), F.col("s_suppkey").cast("string")).alias("change_id"), F.lit("data").alias("kind"), F.col("s_name").alias("description"), F.lit("a").alias("before"), F.lit("b").alias("after"), F.create_map(F.lit("after_path"), F.lit("x")).alias("metadata"))
     rows.agg(F.collect_list(F.struct(*rows.columns)).alias("changes")).select(F.to_json(F.struct("changes", F.lit("change_3").alias("hidden_root_cause_id"))).alias("value")).coalesce(1).write.text(path)
     return readers.read_lineage(spark, path, with_truth=True).select("change_id", "kind", "is_root")
 
@@ -182,19 +193,16 @@ def artifact_maps(spark, d):
     return documents.shape_violations(stored(values, "values"), {"*": str}).select(F.col("doc").cast("long").alias("c_custkey"), "problem")
 
 
-@query("payload_verification", "select 'id_' || i as identity, i <> 1 and i <> 2 as ok, case i when 1 then 'digest' when 2 then 'missing' end as problem from (select unnest(range(4)) as i)")
+@query("payload_verification", "select 'id_' || n_nationkey as identity, n_nationkey % 7 not in (1, 2) as ok, case n_nationkey % 7 when 1 then 'digest' when 2 then 'missing' end as problem from nation")
 def payload_verification(spark, d):
-    folder = scratch(spark, "payloads")
-    for i in (0, 1, 3):
-        spark.createDataFrame([(f"payload {i}",)], "value string").coalesce(1).write.text(f"{folder}/p{i}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = []
-    for i in range(4):
-        part = fs.globStatus(hadoop.Path(f"{folder}/p{i}/part-*")) if i != 2 else []
-        path = f"p{i}/" + (part[0].getPath().getName() if len(part) else "none")
-        rows.append((f"id_{i}", path, f"payload {i}\n" if i != 1 else "other"))
-    references = spark.createDataFrame(rows, "identity string, path string, text string").select("identity", "path", sha(F.col("text")).alias("sha256"))
+    """A file for every nation; of some the digest given is another's, some aren't there."""
+    folder, k = scratch(spark, "payloads"), F.col("n_nationkey")
+    texts = stored(v.table(spark, d, "nation").join(v.table(spark, d, "customer"), F.col("c_nationkey") == k, "left").groupBy(k).agg(F.concat_ws(" ", F.array_sort(F.collect_list("c_name"))).alias("text")), "texts")
+    texts.where(k % 7 != 2).select(k.alias("at"), F.col("text").alias("value")).repartition("at").write.partitionBy("at").text(folder)
+    place = r"(at=(\d+)/part-[^/]*)$"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.regexp_extract("path", place, 1).alias("path"), F.regexp_extract("path", place, 2).cast("int").alias("at"))
+    text = F.when(k % 7 == 1, F.lit("other")).otherwise(F.concat("text", F.lit("\n")))
+    references = texts.join(files, k == F.col("at"), "left").select(F.concat(F.lit("id_"), k.cast("string")).alias("identity"), F.coalesce("path", F.lit("none")).alias("path"), sha(text).alias("sha256"))
     return readers.verify_payloads(spark, folder, references).select("identity", "ok", "problem")
 
 

@@ -110,9 +110,10 @@ def epoch_order(spark, d):
     return rec.epoch_order(slots(spark, d), [0, 1], [0, 1, 2])
 
 
-@query("trajectory_seeds", " union all ".join(f"select t as trajectory_id, '{p}' as purpose, cast(('0x' || substr(sha256('{TRAJECTORY_SPACE}|trajectory=' || t || '|purpose={p}'), 1, 16))::ubigint % 9223372036854775808::ubigint as bigint) as seed from (values (0), (1), (2)) v(t)" for p in ("python", "torch", "classifier-head", "dropout", "data-order")))
+@query("trajectory_seeds", " union all ".join(f"select t as trajectory_id, '{p}' as purpose, cast(('0x' || substr(sha256('{TRAJECTORY_SPACE}|trajectory=' || t || '|purpose={p}'), 1, 16))::ubigint % 9223372036854775808::ubigint as bigint) as seed from (select c_custkey as t from customer) v" for p in ("python", "torch", "classifier-head", "dropout", "data-order")))
 def trajectory_seeds(spark, d):
-    rows = spark.range(3).select(F.col("id").cast("int").alias("trajectory_id"))
+    """A trajectory for every customer."""
+    rows = v.table(spark, d, "customer").select(F.col("c_custkey").alias("trajectory_id"))
     each = [F.struct(F.lit(p).alias("purpose"), rec.trajectory_seed(F.col("trajectory_id"), p).alias("seed")) for p in ("python", "torch", "classifier-head", "dropout", "data-order")]
     return rows.select("trajectory_id", F.explode(F.array(*each)).alias("x")).select("trajectory_id", "x.purpose", "x.seed")
 
