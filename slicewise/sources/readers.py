@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import csv
 import json
-from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +18,9 @@ from ..functions.canonical import normal_text
 from ..functions.text import blank
 from ..operators import validate as val
 from ..operators.records import with_content_id
+from ..shipping import ship
 from . import documents as docs
+from . import local
 
 PREDICTION_FIELDS = ["case_id", "observed", "release_id"]
 RECORD_LIMIT, FILE_LIMIT, TOTAL_LIMIT = 8 << 20, 64 << 20, 256 << 20
@@ -328,12 +330,26 @@ def config_problems(config: dict) -> list[str]:
     return out
 
 
-def verify_payloads(spark: SparkSession, folder: str, references: DataFrame) -> DataFrame:
-    """identity, path, ok, bytes, problem for references(identity, path, sha256): files are found, within limits, and of the digest given."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    root = PurePosixPath(folder.removeprefix("file://")).as_posix().rstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{root}/", "")
-    sizes = files.select(path.alias("path"), F.col("length").alias("bytes"), F.when(F.col("length") <= FILE_LIMIT, F.sha2("content", 256)).alias("found"))
-    rows = references.join(sizes, "path", "left")
-    problem = F.when(F.col("bytes").isNull(), F.lit("missing")).when(F.col("found").isNull(), F.lit("too large")).when(F.col("found") != F.col("sha256"), F.lit("digest"))
-    return rows.select("identity", "path", problem.isNull().alias("ok"), "bytes", problem.alias("problem"))
+def verify_payloads(spark: SparkSession, folder: str, references: DataFrame, limit: int = FILE_LIMIT) -> DataFrame:
+    """identity, path, ok, bytes, problem for references(identity, path, sha256): each file is a regular one below ``folder`` of ``limit`` bytes at most, is reached over no link, doesn't change while it is read, and is of the digest given.
+
+    Tasks read the files in pieces, so a file's size bounds time but no memory.
+    """
+    ship(spark)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for identity, path, want in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                try:
+                    found, size = local.payload_digest(folder, path, limit)
+                    rows.append((identity, path, found == want, size, None if found == want else "digest"))
+                except local.Refused as refused:
+                    rows.append((identity, path, False, None, refused.problem))
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], names=["identity", "path", "ok", "bytes", "problem"])
+
+    rows = references.select(F.col("identity").cast("string").alias("identity"), "path", "sha256")
+    return rows.repartition("identity", "path").mapInArrow(run, "identity string, path string, ok boolean, bytes long, problem string")

@@ -1,12 +1,15 @@
 """Strict readers on good and broken files; the importer from end to end; the stream."""
 
+import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from slicewise import importer
 from slicewise.operators.validate import InvalidInput
-from slicewise.sources import readers, writers
+from slicewise.sources import local, readers, writers
 
 POLICY = {
     "cases": [{"case_id": str(i), "expected": "yes"} for i in range(4)],
@@ -94,3 +97,59 @@ def test_write_same(spark, tmp_path):
     assert writers.write_same(df, path) and not writers.write_same(df.orderBy("id"), path)
     with pytest.raises(InvalidInput):
         writers.write_same(spark.range(6), path)
+
+
+def test_guarded_payloads(spark, tmp_path, monkeypatch):
+    """Files are refused where a link leads to them, where they are too large, no files, or change while they are read."""
+    root = tmp_path / "payloads"
+    (root / "in").mkdir(parents=True)
+    data = b"x" * 3000
+    for name in ("in/good", "in/other", "in/edge"):
+        (root / name).write_bytes(data)
+    (root / "in/large").write_bytes(data + b"y")
+    (root / "link").symlink_to(root / "in/good")
+    (root / "folder").symlink_to(root / "in")
+    digest = hashlib.sha256(data).hexdigest()
+    want = {"in/good": None, "in/other": "digest", "in/edge": None, "in/large": "too large", "link": "link", "folder/good": "link", "in": "no regular file", "in/none": "missing", "../payloads/in/good": "path", "in/./good": "path"}
+    rows = spark.createDataFrame([(f"i{k}", p, "0" * 64 if p == "in/other" else digest) for k, p in enumerate(want)], "identity string, path string, sha256 string")
+    for folder in (f"file://{root}", str(root)):
+        got = readers.verify_payloads(spark, folder, rows, limit=3000).collect()
+        assert {r.path: r.problem for r in got} == want and all(r.ok == (r.problem is None) for r in got) and {r.bytes for r in got if r.ok} == {3000}
+    read = local.os.read
+
+    def growing(fd, n):
+        part = read(fd, n)
+        (root / "in/good").write_bytes(data[:-1] + b"z")
+        return part
+
+    monkeypatch.setattr(local.os, "read", growing)
+    with pytest.raises(local.Refused) as refused:
+        local.payload_digest(str(root), "in/good", 3000)
+    assert refused.value.problem == "changed"
+
+
+def test_one_of_several_writers_wins(spark, tmp_path):
+    """Writers that all begin before any has finished: one table is there, whole, and the others say that they lost."""
+    path = f"file://{tmp_path}/deep/table"
+    frames = [spark.range(400).select("id", F.lit(k).alias("writer")).repartition(3) for k in range(4)]
+
+    def write_one(df):
+        try:
+            writers.write_new(df, path)
+            return True
+        except InvalidInput as error:
+            assert "already exists" in str(error)
+            return False
+
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(write_one, frames))
+    assert won.count(True) == 1
+    held = spark.read.parquet(path)
+    assert held.count() == 400 and [r.writer for r in held.select("writer").distinct().collect()] == [won.index(True)]
+    assert [p.name for p in (tmp_path / "deep").iterdir()] == ["table"]
+    with pytest.raises(InvalidInput):
+        writers.write_new(frames[0], path)
+    other = f"file://{tmp_path}/aside"
+    frames[1].write.parquet(other)
+    assert not writers._publish(spark, other, path) and spark.read.parquet(other).count() == 400
+    assert not writers.write_same(frames[won.index(True)], path)
