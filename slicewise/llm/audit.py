@@ -107,7 +107,7 @@ def op13_filter_audit(spark, sf_dir: str) -> DataFrame:
 
 
 OP13_SQL = r"""
-with d as (select row_number() over () as r, doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+with d as materialized (select row_number() over () as r, doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
 w as (select r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as word from d),
 n as (select r, count(*) as n, count(distinct word) as v from w group by r),
 c as (select text, min(doc_id) as first_id from d group by text),

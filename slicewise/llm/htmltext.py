@@ -7,7 +7,7 @@ line is a copy of the article and tells nothing, so the next nearest is taken; w
 are copies, nothing is deleted.  A template's lines recur: a line counts as shared if
 ``CONFIRMED`` of the pages as near as the partner have it (all, where there are fewer).
 These lines of both pages are aligned by a longest common subsequence, bit-parallel with
-backtracking, long ones halved first so that memory stays bounded, and the common ones
+backtracking, long ones from rows kept in steps so that memory stays bounded, and the common ones
 are deleted.
 
 Differencing alone can't give right results where a template's lines change from page
@@ -28,10 +28,10 @@ an empty result; html that ends within a tag loses that tag only.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -60,7 +60,7 @@ NAMES = {"ad", "ads", "advert", "advertisement", "advertising", "adverts", "adse
 INNER = {"ad", "ads", "advert", "advertisement", "advertising", "adverts", "adsense", "sponsored", "promo", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "comment", "comments", "replies", "disqus", "respond", "sidebar", "breadcrumbs", "pagination"}
 CHROME, PLAIN, ARTICLE = 0, 1, 2
 SIDE, CONFIRMED = 2, 3
-TABLE_BITS = 1 << 28  # of the rows that backtracking keeps
+TABLE_BITS = 1 << 28  # of the rows that backtracking keeps all of
 
 
 def _excluded(tag: str, attributes: str, in_article: bool) -> bool:
@@ -154,45 +154,51 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return [*range(lead), *[lead + i for i in middle], *range(len(a) - tail, len(a))]
 
 
-def _rows(x: list[int], y: list[int]):
-    """For each entry of ``x``, a number whose zero bits mark where the common length with the first entries of ``y`` grows."""
-    places: dict[int, int] = {}
-    every = (1 << len(y)) - 1
-    at = Counter(x)
+def _places(x: list[int], y: list[int]) -> dict[int, int]:
+    """For each value of both, its places in ``y`` as bits."""
+    out: dict[int, int] = {}
+    some = set(x)
     for j, v in enumerate(y):
-        if v in at:
-            places[v] = places.get(v, 0) | (1 << j)
-    row = every
+        if v in some:
+            out[v] = out.get(v, 0) | (1 << j)
+    return out
+
+
+def _rows(x: list[int], places: dict[int, int], row: int, every: int):
+    """After each entry of ``x``, a number whose zero bits mark where the common length with the first entries of the other list grows; ``row`` stands before the first."""
     for v in x:
         u = row & places.get(v, 0)
         row = ((row + u) | (row - u)) & every
         yield row
 
 
-def _lengths(x: list[int], y: list[int]) -> np.ndarray:
-    """Common lengths of all of ``x`` with the first 0..len(y) entries of ``y``."""
-    row = (1 << len(y)) - 1
-    for row in _rows(x, y):  # noqa: B007
-        pass
-    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
-    return np.append(0, np.cumsum(bits == 0))
-
-
 def _common(x: list[int], y: list[int]) -> list[int]:
+    """Places in ``x`` of the longest common subsequence that backtracking finds.
+
+    Rows that would take more than ``TABLE_BITS`` are kept in steps only, and made again from
+    there, a step at a time; so the result is that of the whole table.
+    """
     if not x or not y:
         return []
-    if len(x) > 1 and len(x) * len(y) > TABLE_BITS:
-        half = len(x) // 2
-        cut = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
-        return _common(x[:half], y[:cut]) + [half + i for i in _common(x[half:], y[cut:])]
-    rows = list(_rows(x, y))
+    places, every = _places(x, y), (1 << len(y)) - 1
+    step = len(x) if len(x) * len(y) <= TABLE_BITS else math.isqrt(len(x)) + 1
+    starts = [every]
+    if step < len(x):
+        for i, row in enumerate(_rows(x, places, every, every), 1):
+            if i % step == 0:
+                starts.append(row)
+    held, rows = -1, []  # the step whose rows are at hand, the one before it first
     found, i, j = [], len(x), len(y)
     while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
+        part = (i - 1) // step
+        if part != held:
+            rows, held = [starts[part], *_rows(x[part * step : i], places, starts[part], every)], part
+        k = i - part * step
+        if rows[k] >> (j - 1) & 1:
             j -= 1
         else:
             i -= 1
-            if not (i and not rows[i - 1] >> (j - 1) & 1):
+            if rows[k - 1] >> (j - 1) & 1:
                 found.append(i)
                 j -= 1
     return found[::-1]

@@ -5,7 +5,7 @@ Every document gives its normalised lines (lower case, white space collapsed) as
 host, and in more than ``max_share`` of that host's different texts, is boilerplate:
 it is removed, and a document that loses more than ``max_lost`` of its words by that
 is rejected.  Exact copies count once, so copying a text makes none of its lines
-boilerplate.
+boilerplate.  With ``count="documents"`` copies count each.
 
 Plan: one scan makes a narrow row per document (features and line hashes), written
 once; the line counts are a distinct count in two hash aggregations, the first of
@@ -88,14 +88,15 @@ def base_features(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
 
 
 def line_verdicts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, min_docs: int = 20, max_share: float = 0.05, max_lost: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, min_docs: int = 20, max_share: float = 0.05, max_lost: float = 0.5, count: str = "texts",
 ) -> DataFrame:
     """A row per document: id, host, text hash, base features, lost_words, hot_lines and kept."""
     keys = [col(id_col).alias("id"), col(host_col).alias("host"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("content")]
     profile = materialize(base_features(docs, text_col, keys), "lines")
     line = profile.select("id", "host", "content", F.explode("lines").alias("x")).select("id", "host", "content", "x.h", "x.n")
-    docs_of = profile.groupBy("host").agg(F.count_distinct("content").alias("host_docs"))
-    counts = line.groupBy("host", "h").agg(F.count_distinct("content").alias("docs")).where(F.col("docs") > min_docs)
+    counted = {"texts": F.col("content"), "documents": F.struct("id", "content")}[count]
+    docs_of = profile.groupBy("host").agg(F.count_distinct(counted).alias("host_docs"))
+    counts = line.groupBy("host", "h").agg(F.count_distinct(counted).alias("docs")).where(F.col("docs") > min_docs)
     hot = (
         counts.join(docs_of.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
         .where(F.col("docs") > max_share * F.col("host_docs"))

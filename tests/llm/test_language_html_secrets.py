@@ -261,14 +261,20 @@ def test_long_pages():
     assert htmltext.blocks(page) == [("text", htmltext.PLAIN)]
     rng = random.Random(4)
     a, b = ([rng.randrange(3000) for _ in range(n)] for n in (700, 900))
-    whole = htmltext._common(a, b)
-    before, htmltext.TABLE_BITS = htmltext.TABLE_BITS, 1000
+    whole, before = htmltext._common(a, b), htmltext.TABLE_BITS
+    rest = iter(b)
+    assert len(whole) == plain_common(a, b) and whole == sorted(set(whole)) and all(any(a[i] == y for y in rest) for i in whole)
     try:
-        halved = htmltext._common(a, b)
+        for bits in (1, 1000, 300 * 900):
+            htmltext.TABLE_BITS = bits
+            assert htmltext._common(a, b) == whole
+            few, more = ([rng.randrange(4) for _ in range(n)] for n in (37, 41))
+            htmltext.TABLE_BITS = before
+            want = htmltext._common(few, more)
+            htmltext.TABLE_BITS = bits
+            assert htmltext._common(few, more) == want
     finally:
         htmltext.TABLE_BITS = before
-    rest = iter(b)
-    assert len(halved) == len(whole) == plain_common(a, b) and halved == sorted(set(halved)) and all(any(a[i] == y for y in rest) for i in halved)
 
 
 def test_copies_are_no_partners(spark):

@@ -85,6 +85,8 @@ def test_hot_lines(spark):
     assert all(v[i].kept and v[i].lost_words == 52 for i in range(30))
     assert not v[100].kept and not v[100].base_failed and v[100].lost_words == 52 and v[101].kept and v[101].lost_words == 0
     assert all(v[200 + i].kept and v[200 + i].lost_words == 0 for i in range(40)) and not v[300].kept and v[301].kept
+    each = {r.id: r for r in quality.line_verdicts(docs, count="documents").collect()}  # copies count: their lines are in over half of the host's documents
+    assert not any(each[200 + i].kept for i in range(40)) and each[200].lost_words == 82 and all(each[i].kept == v[i].kept for i in v if not 200 <= i < 240)
     out = {r.doc_id: r.text for r in quality.keep_documents(docs).collect()}
     assert out[3] == own(3) and out[101] == rows[31][1] and out[200] == rows[32][1] and 100 not in out and 300 not in out
 
