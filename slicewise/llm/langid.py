@@ -18,7 +18,9 @@ a hash of the id: the classifier's documented bound.  Scoring reads every whole
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without
 labelled rows every text is ``und``; equal texts get equal predictions; an empty table
-gives an empty result; rows with a null language are predicted but not learnt from.
+gives an empty result; rows with a null language or a null id are predicted but not learnt
+from, and a null id is not held out; columns other than those named are not read, so their
+names can't clash.
 """
 
 from __future__ import annotations
@@ -286,4 +288,4 @@ def predict(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", tex
 def op5_kneser_ney(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs, train(docs)).withColumnRenamed("id", "doc_id")
-    return out.select("doc_id", (fold("doc_id") == 2).alias("held_out"), "lang_pred", "score", "accepted", "bits")
+    return out.select("doc_id", F.coalesce(fold("doc_id") == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted", "bits")
