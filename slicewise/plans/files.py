@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from .. import importer
 from ..functions import text as tx
 from ..functions.hashing import sha
-from ..operators import localize, tasks
+from ..operators import configs, localize
 from ..sources import documents, readers, writers
 from ..sources.scratch import scratch, stored
 from ..streaming.ingest import keep_report
 from . import analysis as an
-from . import checks as ch
 from . import training as tr
 from . import views as v
 from .base import query
@@ -195,6 +194,37 @@ def artifact_maps(spark, d):
     return documents.shape_violations(stored(values, "values"), {"*": str}).select(F.col("doc").cast("long").alias("c_custkey"), "problem")
 
 
+_RULES = (
+    "target doses rise", "flips sum to the changes", "material limits are in order", "no dose is above the flips", "what a dose leaves divides by three", "worlds that must pass exist", "materials are different",
+)
+
+
+@query("config_violations", "select c_custkey, case k " + " ".join(f"when {i} then 'not so: {r}'" for i, r in enumerate(_RULES, 1)) + " else 'evaluation.minimum_baseline_score isn''t between 0 and 1' end as problem from (select c_custkey, c_custkey % 10 as k from customer) where k between 1 and 8")
+def config_violations(spark, d):
+    """A configuration for every customer, most with a rule broken."""
+    k = F.col("c_custkey") % 10
+    pick = lambda rest, bad, good: F.when(k == rest, F.lit(bad)).otherwise(F.lit(good))
+    doses = F.when(k == 1, F.lit("[6,3]")).when(k == 4, F.lit("[3,15]")).when(k == 5, F.lit("[3,4]")).otherwise(F.lit("[3,6]"))
+    text = F.concat(
+        F.lit('{"calibration":{"target_doses":'), doses, F.lit(',"changes_per_candidate":'), pick(2, "23", "24"), F.lit(',"accept_to_reject_per_candidate":12,"reject_to_accept_per_candidate":12,"material_count_min":'), pick(3, "3", "1"),
+        F.lit(',"material_count_max":2,"calibration_world_count":3,"minimum_passing_worlds":'), pick(6, "4", "2"), F.lit(',"calibration_materials":["a",'), pick(7, '"a"', '"b"'), F.lit(']},"evaluation":{"minimum_baseline_score":'), pick(8, "2", "0.9"), F.lit("}}"),
+    )
+    values = stored(documents.value_rows(v.table(spark, d, "customer").withColumn("text", text), "c_custkey", "text"), "values")
+    return configs.config_violations(values).select(F.col("doc").cast("long").alias("c_custkey"), "problem")
+
+
+@query("bounded_records", """select n, case when length(t) + 1 > 2000 then 'too large' when n % 6 = 1 then 'no record' end as problem, case when length(t) + 1 <= 2000 and n % 6 <> 1 then length(names) end as size
+from (select n, names, '{"nation":' || n || ',"names":"' || names || '"' || case when n % 6 = 1 then '' else '}' end as t from (select c_nationkey as n, string_agg(c_name, ' ' order by c_name) as names from customer where c_custkey % (1 + c_nationkey) < 3 group by 1))""")
+def bounded_records(spark, d):
+    """A record for every nation, in a file of its own; large ones are refused unread, some are broken."""
+    path, n = scratch(spark, "records"), F.col("c_nationkey")
+    rows = v.table(spark, d, "customer").where(F.col("c_custkey") % (1 + n) < 3).groupBy(n).agg(F.concat_ws(" ", F.array_sort(F.collect_list("c_name"))).alias("names"))
+    text = F.concat(F.lit('{"nation":'), n.cast("string"), F.lit(',"names":"'), F.col("names"), F.lit('"'), F.when(n % 6 == 1, F.lit("")).otherwise(F.lit("}")))
+    rows.select(n.alias("n"), text.alias("value")).repartition("n").write.partitionBy("n").text(path)
+    found = readers.read_records(spark, path, "nation int, names string", 2000).where(F.col("file").startswith("n="))
+    return found.select(F.regexp_extract("file", r"^n=(\d+)/", 1).cast("int").alias("n"), "problem", F.length("record.names").alias("size"))
+
+
 @query("payload_verification", """select 'id_' || n_nationkey as identity, n_nationkey % 7 not in (1, 2, 3, 4) as ok, case n_nationkey % 7 when 1 then 'digest' when 2 then 'missing' when 3 then 'link' when 4 then 'too large' end as problem from nation""")
 def payload_verification(spark, d):
     """A file for every nation; of some the digest given is another's, some aren't there, are links or too large."""

@@ -287,6 +287,17 @@ def read_bounded(spark: SparkSession, path: str, limit: int = RECORD_LIMIT) -> s
     return bytes(spark.read.format("binaryFile").load(path).select("content").first().content).decode("utf-8")
 
 
+def read_records(spark: SparkSession, path: str, schema: str, limit: int = RECORD_LIMIT) -> DataFrame:
+    """file, bytes, problem, record: one JSON record a file; files over ``limit`` bytes are refused, and aren't read."""
+    name = lambda c: F.regexp_extract(c, r"([^/]*/[^/]*)$", 1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(name("path").alias("file"), F.col("length").alias("bytes"))
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).where(F.col("_metadata.file_size") <= limit).select(name("_metadata.file_path").alias("of"), "value")
+    rows = files.join(texts, F.col("file") == F.col("of"), "left").withColumn("record", F.from_json("value", schema))
+    broken = F.col("record").isNull() | (F.try_parse_json("value").isNull())
+    problem = F.when(F.col("bytes") > limit, F.lit("too large")).when(broken, F.lit("no record"))
+    return rows.select("file", "bytes", problem.alias("problem"), F.when(problem.isNull(), F.col("record")).alias("record"))
+
+
 def strict_map(text: str) -> dict[str, str]:
     """A JSON object of strings; a key that occurs twice is an error, which Spark's reader doesn't see."""
 

@@ -5,6 +5,7 @@ import hashlib
 import io
 import json
 import math
+import random
 import re
 import struct
 import zlib
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from slicewise import importer, packet, report
 from slicewise.functions.preview import grey_png, png_uri
-from slicewise.operators import blind, certify, compare, incidents, localize
+from slicewise.operators import blind, certify, compare, configs, incidents, localize
 from slicewise.operators import records as rec
 from slicewise.operators import releases as rel
 from slicewise.operators import validate as val
@@ -201,6 +202,22 @@ def test_config_rules():
     assert readers.config_problems({"evaluation": {"maximum_unrelated_delta": 2}})
 
 
+def test_config_rules_of_a_table(spark):
+    """The same problems as of one configuration on the driver."""
+    rng = random.Random(2)
+    table = []
+    for _ in range(120):
+        c = {"target_doses": rng.sample([3, 6, 9, 4, 15], rng.randrange(4)), "changes_per_candidate": rng.choice([24, 23]), "accept_to_reject_per_candidate": 12, "reject_to_accept_per_candidate": 12, "material_count_min": rng.choice([1, 3]), "material_count_max": 2, "calibration_world_count": 3, "minimum_passing_worlds": rng.choice([2, 4]), "calibration_materials": rng.choice([["a", "b"], ["a", "a"], []])}
+        c = {k: x for k, x in c.items() if rng.random() < 0.8}
+        e = {k: rng.choice([0, 1, 0.5, 2, -0.1, True, "x", None]) for k in ("minimum_x", "maximum_y", "other") if rng.random() < 0.5}
+        table.append({k: x for k, x in (("calibration", c), ("evaluation", e)) if rng.random() < 0.9})
+    texts = spark.createDataFrame([(str(i), json.dumps(c)) for i, c in enumerate(table)], "i string, t string")
+    got = {}
+    for r in configs.config_violations(documents.value_rows(texts, "i", "t")).collect():
+        got.setdefault(int(r.doc), set()).add(r.problem)
+    assert got == {i: set(p) for i, c in enumerate(table) if (p := readers.config_problems(c))}
+
+
 def test_truths_and_balance(spark):
     truth = spark.createDataFrame([("a", [["c1"]], "1"), ("b", [["c1"], ["c1"]], "2"), ("c", [["c1", "c1"]], "3"), ("d", [], "x")], "incident_id string, sets array<array<string>>, incident_sha256 string")
     assert {r.incident_id for r in incidents.truth_violations(truth).collect()} == {"b", "c", "d"}
