@@ -359,21 +359,21 @@ def record_stream_digest(spark, d):
 
 _FIELDS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 _leaf = """sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}')"""
-_levels = ", ".join(f"m{k} as (select at // 64 as at, sha256(string_agg(digest, '' order by at)) as digest from m{k - 1} group by 1)" for k in range(1, 6))
+_levels = ", ".join(f"m{k} as (select pos // 64 as pos, sha256(string_agg(digest, '' order by pos)) as digest from m{k - 1} group by 1)" for k in range(1, 6))
 
 
-@query("merkle_root", f"with m0 as (select row_number() over (order by o_orderkey) - 1 as at, {_leaf} as digest from orders), {_levels}, every as ({' union all '.join(f'select {k} as level, digest, (select count(*) from m{k}) as n from m{k}' for k in range(6))}) select digest from every where n = 1 order by level limit 1")
+@query("merkle_root", f"with m0 as (select row_number() over (order by o_orderkey) - 1 as pos, {_leaf} as digest from orders), {_levels}, every as ({' union all '.join(f'select {k} as level, digest, (select count(*) from m{k}) as n from m{k}' for k in range(6))}) select digest from every where n = 1 order by level limit 1")
 def merkle_root(spark, d):
     """One digest of all orders as an ordered sequence, made by all tasks."""
     return merkle.root(merkle.tree(v.table(spark, d, "orders"), ["o_orderkey"], _FIELDS))
 
 
-@query("merkle_differences", "select at, 'changed' as problem from (select row_number() over (order by o_orderkey) - 1 as at, o_orderkey from orders) where o_orderkey % 997 = 5")
+@query("merkle_differences", "select place, 'changed' as problem from (select row_number() over (order by o_orderkey) - 1 as place, o_orderkey from orders) where o_orderkey % 997 = 5")
 def merkle_differences(spark, d):
     """Positions of the orders that differ in a later state, found from the roots of two trees."""
     rows = v.table(spark, d, "orders")
     later = rows.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 997 == 5, F.lit("changed")).otherwise(F.col("o_orderstatus")))
-    return merkle.differences(*(merkle.tree(x, ["o_orderkey"], _FIELDS) for x in (rows, later)))[0]
+    return merkle.differences(*(merkle.tree(x, ["o_orderkey"], _FIELDS) for x in (rows, later)))[0].withColumnRenamed("at", "place")
 
 
 # ---------------------------------------------------------------- scalar functions
