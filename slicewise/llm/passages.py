@@ -52,6 +52,7 @@ K, RATE, MIN_SEEDS, LONG_K, EXPLAINED = 4, 4, 2, 50, 25
 GAP_COST = 0.04  # per word of gap on either side; a seed is worth K, so seeds a window apart still chain
 EDIT, RENEW, DROP, BRIDGE = 6, 2, 12, 20
 MARGIN = 80
+WIDER = 25  # words beside an alignment that isn't enough, where more of the passage is looked for
 HOT = 1000
 HEAD = 2  # numbers before the words of a row of ``one_words``
 SPAN = ("start", "end", "partner_start", "partner_end", "matches")
@@ -267,7 +268,40 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], min_words:
                 joined[-1] = both
                 continue
         joined.append(p)
-    return [tuple(p) for p in joined if good(p)], tuple(seen)
+    out = []
+    for p in joined:
+        if not good(p) and p[1] - p[0] == p[3] - p[2]:
+            low, high = max(0, p[0] - WIDER, p[0] - p[2]), min(p[1] + WIDER, len(a), len(b) + p[0] - p[2])
+            seen = [min(seen[0], p[0] - WIDER), max(seen[1], p[1] + WIDER), min(seen[2], p[2] - WIDER), max(seen[3], p[3] + WIDER)]
+            p = substituted(a, b, low, high, p[2] - p[0], identity) or p
+        if good(p):
+            out.append(tuple(p))
+    return out, tuple(seen)
+
+
+def substituted(a: list[int], b: list[int], low: int, high: int, shift: int, identity: float) -> list[int] | None:
+    """The longest stretch of a[low:high] that begins and ends with words equal to those ``shift`` further in ``b``, ``identity`` of all words being so.
+
+    An alignment ends where it pays most: before an end of a word or two behind an edit, and
+    behind parts with so many edits that the whole falls below ``identity``.  Where words
+    are replaced only, the stretch in question is found exactly.
+    """
+    equal = [a[i] == b[i + shift] for i in range(low, high)]
+    total = [0]
+    for e in equal:
+        total.append(total[-1] + e)
+    height = [t - identity * i for i, t in enumerate(total)]
+    starts, best = [], (0, 0)
+    for i, e in enumerate(equal):
+        if e and (not starts or height[i] < height[starts[-1]] - 1e-9):
+            starts.append(i)
+    for j in range(len(equal), 0, -1):
+        while equal[j - 1] and starts and height[j] >= height[starts[-1]] - 1e-9:
+            i = starts.pop()
+            if j - i > best[1] - best[0]:
+                best = (i, j)
+    i, j = best
+    return [low + i, low + j, low + i + shift, low + j + shift, total[j] - total[i]] if i < j else None
 
 
 def may_repeat(a: np.ndarray, b: np.ndarray, matches: float) -> bool:

@@ -232,3 +232,19 @@ def test_shared_runs_are_found(spark, docs):
     need = {i for s in runs.values() if len(s) > 1 for i in s}
     rows = passages.repeated_passages(docs).collect()
     assert need <= {x for r in rows for x in (r.id, r.partner)}
+
+
+def test_longest_stretch_of_replaced_words():
+    rng = random.Random(12)
+    for _ in range(400):
+        n = rng.randrange(1, 60)
+        a = [rng.randrange(1000) for _ in range(n + 10)]
+        shift = rng.randrange(5)
+        b = [-1] * shift + [x if rng.random() < 0.75 else -2 for x in a] + [-1] * 5
+        low = rng.randrange(n)
+        got = passages.substituted(a, b, low, n, shift, 0.8)
+        equal = [a[i] == b[i + shift] for i in range(n)]
+        fits = [(j - i, i, j) for i in range(low, n) for j in range(i + 1, n + 1) if equal[i] and equal[j - 1] and sum(equal[i:j]) >= 0.8 * (j - i) - 1e-9]
+        assert (got is None) == (not fits)
+        if got:
+            assert got[1] - got[0] == max(fits)[0] and (got[1] - got[0], got[0], got[1]) in fits and got[2:4] == [got[0] + shift, got[1] + shift] and got[4] == sum(equal[got[0] : got[1]])
