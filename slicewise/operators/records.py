@@ -15,6 +15,17 @@ from ..functions.canonical import content_id, normal_text
 from ..functions.hashing import TRAJECTORY_SPACE, joined, sha, u63
 
 
+ROWS = 4000  # of a narrow table that others are made from, in a task
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys over as many tasks as its rows need: what a row grows into is bounded by task, however few files the rows are in.
+
+    Groupings and windows by these keys and others need no further exchange.
+    """
+    return df.repartition(max(1, -(-df.count() // ROWS)), *keys)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that ``df`` doesn't have."""
     taken, out = {c.lower() for c in df.columns}, []

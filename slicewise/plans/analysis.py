@@ -9,6 +9,7 @@ from ..functions.hashing import RANDOM_SPACE, ROOT_SPACE, bucket, joined
 from ..functions.vectors import argmax, dot, log_odds, margin
 from ..operators import certify, incidents, localize, metrics, pairs, ranking
 from ..operators import validate as val
+from ..operators.records import spread
 from ..sources.scratch import stored
 from . import training as tr
 from . import views as v
@@ -296,7 +297,7 @@ view("roots", "select c_custkey as world, case c_custkey % 2 when 0 then 'c2' el
 
 
 def method_scores(spark, d):
-    rows = v.table(spark, d, "customer").select(F.col("c_custkey").alias("world"))
+    rows = spread(v.table(spark, d, "customer").select(F.col("c_custkey").alias("world")), "world")
     for name, values in (("method", ["static", "grad", "trac"]), ("trajectory_id", [0, 1, 2]), ("c", [0, 1, 2, 3, 4])):
         rows = rows.withColumn(name, F.explode(F.array(*[F.lit(x) for x in values])))
     t = F.when(F.col("method") == "static", F.lit(0)).otherwise(F.col("trajectory_id"))
@@ -319,7 +320,7 @@ view("tie_scores", TIE)
 
 def ties(spark, d):
     means = localize.mean_over(method_scores(spark, d), ["world", "method", "candidate"])
-    return ranking.tie_aware(means, roots(spark, d).join(means.select("world", "method").distinct(), "world"), ["world", "method"])
+    return ranking.tie_aware(means, roots(spark, d).join(means.select("world", "method").distinct().hint("merge"), "world"), ["world", "method"])
 
 
 @query("mean_trajectory", "select * from mean_scores")
@@ -351,7 +352,7 @@ _stab = " union all ".join(f"select world, method, '{name}' as subset, candidate
 @query("rank_stability", f"select world, method, subset, root_rank from (select *, row_number() over (partition by world, method, subset order by score desc, candidate) as root_rank from ({_stab})) join roots using (world) where candidate = root")
 def rank_stability(spark, d):
     scores = method_scores(spark, d)
-    return ranking.rank_stability(scores, roots(spark, d).join(scores.select("world", "method").distinct(), "world"), ["world", "method"], [0, 1, 2])
+    return ranking.rank_stability(scores, roots(spark, d).join(scores.select("world", "method").distinct().hint("merge"), "world"), ["world", "method"], [0, 1, 2])
 
 
 @query("static_methods", "select world, method from method_scores group by 1, 2, candidate having min(score) <> max(score)")
