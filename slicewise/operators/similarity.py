@@ -14,8 +14,9 @@ are counted, and the ``SEEDS`` most promising of each group are compared in full
 token leads to are joined on all tokens.  The result is exact, whatever the bounds are.
 
 Right rows keep only tokens that some left row has; the others count in their size.  A
-frequent token is no hot key: tables stand on both sides of the joins, so the planner
-broadcasts a side of known small size, and splits large partitions otherwise.
+frequent token is no hot key: all joins are merge joins, whose large partitions the planner
+splits.  None is a broadcast: tokens compress so well that the planner, which goes by the
+size of files, would send tables of many times its limit to the driver.
 """
 
 from __future__ import annotations
@@ -49,22 +50,22 @@ def prefixes(places: DataFrame, bounds: DataFrame) -> DataFrame:
     """
     low = size_class(F.greatest(F.ceil(F.col("t") * F.col("na") - EPS), F.lit(1)))
     high = size_class(F.floor(F.col("na") / F.col("t") + EPS))
-    classes = places.select("row", "na").distinct().join(bounds, "row").withColumn("class", F.explode(F.sequence(low, high)))
+    classes = places.select("row", "na").distinct().join(bounds.hint("merge"), "row").withColumn("class", F.explode(F.sequence(low, high)))
     least = F.exp(F.col("class") * STEP) - EPS  # tokens of the smallest right row in the class
     overlap = F.greatest(F.ceil(F.col("t") * (F.col("na") + least) / (1 + F.col("t")) - EPS), F.lit(1))
     classes = classes.withColumn("last", F.least(F.col("na") - overlap + 1, F.col("na"))).where("last >= 1")
-    return classes.join(places.select("row", "token", "place"), "row").where("place <= last").drop("place")
+    return classes.join(places.select("row", "token", "place").hint("merge"), "row").where("place <= last").drop("place")
 
 
 def pair_counts(left: DataFrame, right: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """Pairs that meet on ``keys``, with the number of tokens on which they do (``both``)."""
-    return left.join(right, keys).groupBy("row", "right_id", "g", "of", "na", "nb", *more).agg(F.count("*").alias("both"))
+    return left.join(right.hint("merge"), keys).groupBy("row", "right_id", "g", "of", "na", "nb", *more).agg(F.count("*").alias("both"))
 
 
 def compared(pairs: DataFrame, sets: DataFrame, right: DataFrame) -> DataFrame:
     """``pairs`` (row, g, of, right_id, na, nb) with their similarity ``t``, from whole sets."""
-    tokens = right.join(pairs.select("right_id", "of").distinct(), ["right_id", "of"], "left_semi").groupBy("right_id", "of").agg(F.collect_list("token").alias("tb"))
-    out = pairs.join(sets, "row").join(tokens, ["right_id", "of"])
+    tokens = right.join(pairs.select("right_id", "of").distinct().hint("merge"), ["right_id", "of"], "left_semi").groupBy("right_id", "of").agg(F.collect_list("token").alias("tb"))
+    out = pairs.join(sets.hint("merge"), "row").join(tokens.hint("merge"), ["right_id", "of"])
     return out.withColumn("t", similarity(F.size(F.array_intersect("ta", "tb")))).drop("ta", "tb")
 
 
@@ -78,10 +79,10 @@ def best_similarity(left: DataFrame, right: DataFrame, left_id: list[str], right
     sets = stored(left.select(F.struct(*left_id).alias("row"), F.col("tokens").alias("ta")).where(F.size("ta") > 0), "left")
     tokens = sets.select("row", F.size("ta").alias("na"), F.explode("ta").alias("token"))
     b = right.select("right_id", (F.struct(*right_group) if right_group else F.lit(0)).alias("g"), group.alias("of"), F.size("tokens").alias("nb"), F.explode_outer("tokens").alias("token"))  # the planner would compute tokens again, to filter rows by them, for an inner one
-    b = stored(b.join(tokens.select("token").distinct(), "token", "left_semi").withColumn("class", size_class(F.col("nb"))), "right")
+    b = stored(b.join(tokens.select("token").distinct().hint("merge"), "token", "left_semi").withColumn("class", size_class(F.col("nb"))), "right")
     often = b.groupBy("token").agg(F.count("*").alias("rows"))
     order = W.partitionBy("row").orderBy(F.coalesce("rows", F.lit(0)), "token")  # tokens that no right row has stand first: they count in the size
-    a = stored(tokens.join(often, "token", "left").select("row", "na", "token", F.row_number().over(order).alias("place")), "places")
+    a = stored(tokens.join(often.hint("merge"), "token", "left").select("row", "na", "token", F.row_number().over(order).alias("place")), "places")
 
     rare = a.where(F.col("place") <= F.ceil(F.col("na") * part)).drop("place")
     promise = F.row_number().over(W.partitionBy("row", "of").orderBy(F.desc(similarity(F.col("both"))), "right_id"))
@@ -94,8 +95,8 @@ def best_similarity(left: DataFrame, right: DataFrame, left_id: list[str], right
 
     groups = b.select("of").distinct().count()
     has = bounds.groupBy("row").agg(F.collect_set("of").alias("has"))
-    open_ = a.join(has, "row", "left").where(F.coalesce(F.size("has"), F.lit(0)) < groups).select("row", "na", "token", F.coalesce("has", F.array().cast("array<string>")).alias("has"))
-    rest = open_.join(b, "token").where(~F.array_contains("has", F.col("of"))).select("row", "g", "of", "right_id", "na", "nb").distinct()
+    open_ = a.join(has.hint("merge"), "row", "left").where(F.coalesce(F.size("has"), F.lit(0)) < groups).select("row", "na", "token", F.coalesce("has", F.array().cast("array<string>")).alias("has"))
+    rest = open_.join(b.hint("merge"), "token").where(~F.array_contains("has", F.col("of"))).select("row", "g", "of", "right_id", "na", "nb").distinct()
 
     final = compared(stored(may.union(rest), "candidates"), sets, b)
     return final.groupBy("row", "g").agg(F.max("t").alias("best")).select("row.*", *["g." + c for c in right_group], "best")

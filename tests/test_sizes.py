@@ -1,6 +1,6 @@
 """What grows with the tables stays spread over tasks: no join of unbounded sides is a broadcast, no step is one task's."""
 
-from slicewise.operators import compare, records
+from slicewise.operators import compare, records, similarity
 from slicewise.plans import analysis, registry
 from slicewise.plans import views as v
 from tests.conftest import SMALL
@@ -33,3 +33,11 @@ def test_plain_slices_meet_their_limits_after_the_counts(spark):
     args = [f(spark, SMALL) for f in (v.cases, v.predictions, v.slices, v.slice_members)]
     first = next(line for line in logical(compare.ordinary_slices(*args)).splitlines() if "Join" in line or "Aggregate" in line)
     assert "Join" in first
+
+
+def test_texts_are_compared_without_broadcasts(spark, monkeypatch):
+    """Every table that the comparison stores, and its result."""
+    plans, keep = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: (plans.append(physical(df)), keep(df, name))[1])
+    plans.append(physical(analysis.max_jaccard(spark, SMALL)))
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
