@@ -2,8 +2,8 @@
 
 A bundle is three tables: header (one row), releases (release, slot columns) and
 candidates (candidate_id, changed_slot_count, changed_slot_ids, changed_slot_ids_sha256).
-Checks are violation queries over whole tables; only the two release digests, which are
-sequential, stream through the driver (``digests``).
+Checks are violation queries over whole tables; the two release digests are made part by
+part (``digests``).
 """
 
 from __future__ import annotations

@@ -1,6 +1,12 @@
 """What grows with the tables stays spread over tasks: no join of unbounded sides is a broadcast, no step is one task's."""
 
-from slicewise.operators import compare, records, similarity
+import hashlib
+
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
+
+from slicewise.functions.canonical import canonical
+from slicewise.operators import compare, digests, records, similarity
 from slicewise.plans import analysis, registry
 from slicewise.plans import views as v
 from tests.conftest import SMALL
@@ -41,3 +47,12 @@ def test_texts_are_compared_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(similarity, "stored", lambda df, name: (plans.append(physical(df)), keep(df, name))[1])
     plans.append(physical(analysis.max_jaccard(spark, SMALL)))
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_digests_send_no_records_to_the_driver(spark, monkeypatch):
+    """Lists of several parts and pieces, and an empty one, against a whole digest."""
+    rows = spark.range(30000).select(F.format_string("s%05d", "id").alias("slot_id"), F.lit("\u00e9").alias("source_content_id"), F.lit(None).cast("string").alias("model_content_id"), F.lit("x").alias("label"))
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    want = [canonical({"slot_id": f"s{k:05d}", "source_content_id": "\u00e9", "label": "x"}) for k in range(30000)]
+    assert digests.release_digest(rows.repartition(3)) == hashlib.sha256(f"[{','.join(want)}]".encode()).hexdigest()
+    assert digests.release_digest(rows.limit(0)) == hashlib.sha256(b"[]").hexdigest()
