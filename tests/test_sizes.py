@@ -1,6 +1,7 @@
 """What grows with the tables stays spread over tasks: no join of unbounded sides is a broadcast, no step is one task's."""
 
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
@@ -9,6 +10,7 @@ from slicewise.functions.canonical import canonical
 from slicewise.operators import compare, digests, records, similarity
 from slicewise.plans import analysis, registry
 from slicewise.plans import views as v
+from slicewise.sources import local, readers, writers
 from tests.conftest import SMALL
 
 QUERIES = registry.queries()
@@ -56,3 +58,31 @@ def test_digests_send_no_records_to_the_driver(spark, monkeypatch):
     want = [canonical({"slot_id": f"s{k:05d}", "source_content_id": "\u00e9", "label": "x"}) for k in range(30000)]
     assert digests.release_digest(rows.repartition(3)) == hashlib.sha256(f"[{','.join(want)}]".encode()).hexdigest()
     assert digests.release_digest(rows.limit(0)) == hashlib.sha256(b"[]").hexdigest()
+
+
+def test_documents_and_copies_in_parts(spark, tmp_path, monkeypatch):
+    """A document is written by several tasks, beginning at any line, and read as one; sources are hashed and kept in pieces."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    cases = spark.range(9).select(F.col("id").cast("string").alias("case_id"), F.lit("a,\"b").alias("expected"))
+    slices = spark.createDataFrame([("s", 0.1, None), ("t", 0.2, 0.5)], "name string, maximum_accuracy_drop double, minimum_accuracy double")
+    members = cases.select(F.explode(F.array(F.lit("s"), F.lit("t"))).alias("name"), "case_id")
+    try:
+        for k, x in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", "40")):
+            spark.conf.set(k, x)
+        path = f"file://{tmp_path}/policy"
+        writers.write_lines(writers.document_lines(["{", *writers.policy_parts(cases, slices, members), ',"declared_changes":{"a":[1]}', "}"]), path)
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    files = sorted((tmp_path / "policy").glob("part-*"))
+    assert len([f for f in files if f.stat().st_size]) > 20
+    json.loads("".join(f.read_text() for f in files))
+    got = readers.read_policy(spark, path)
+    for name, want in (("cases", cases), ("slices", slices), ("slice_members", members)):
+        assert sorted(map(str, got[name].select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    monkeypatch.setattr(local, "STEP", 50)
+    lines = "".join(hashlib.sha256(f.read_bytes()).hexdigest() + "\n" for f in files)
+    digest = hashlib.sha256(lines.encode()).hexdigest()
+    assert writers.retained(spark, {"x": path}, f"file://{tmp_path}/kept") == {"x": digest} and writers.source_digest(spark, path) == digest
+    kept = spark.read.parquet(f"file://{tmp_path}/kept/x").orderBy("file", "place").collect()
+    assert b"".join(r.content for r in kept) == b"".join(f.read_bytes() for f in files)
