@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from slicewise import importer
 from slicewise.operators.validate import InvalidInput
 from slicewise.sources import local, readers, writers
+from slicewise.streaming import ingest
 
 POLICY = {
     "cases": [{"case_id": str(i), "expected": "yes"} for i in range(4)],
@@ -153,3 +155,31 @@ def test_one_of_several_writers_wins(spark, tmp_path):
     frames[1].write.parquet(other)
     assert not writers._publish(spark, other, path) and spark.read.parquet(other).count() == 400
     assert not writers.write_same(frames[won.index(True)], path)
+
+
+def test_stream_computes_what_a_batch_changes(spark, tmp_path, monkeypatch):
+    """Batches that can't complete a release carry the report on; corrections, a late baseline and a second start give the report of all answers so far."""
+    t = {"cases": spark.createDataFrame([(str(i), "yes") for i in range(4)], "case_id string, expected string"), "slices": spark.createDataFrame([("all", 0.5, None), ("first", 0.0, 1.0)], "name string, maximum_accuracy_drop double, minimum_accuracy double")}
+    t["slice_members"] = spark.createDataFrame([("all", str(i)) for i in range(4)] + [("first", "0")], "name string, case_id string")
+    batches = [
+        "candidate,0,yes candidate,1,no baseline,0,yes", "candidate,2,yes other,9,yes", "candidate,3,yes candidate,9,no", "baseline,1,yes baseline,2,no", "baseline,3,yes", "other,0,yes other,1,yes", "candidate,0,no",
+        "other,2,yes other,2,no", "other,3,yes other,4,yes", "baseline,2,yes",
+    ]
+    answers, want, got, calls = {}, [], {}, []
+    real = ingest.compare.slice_report
+    plain = lambda df: sorted(map(str, df.collect()))
+    for text in batches:
+        lines = sorted(x.split(",") for x in text.split())
+        answers |= {(r, c): o for r, c, o in lines}
+        rows = [(r, c, o) for (r, c), o in answers.items() if c in "0123" and all((r, str(i)) in answers for i in range(4))]
+        want.append(plain(real(t["cases"], spark.createDataFrame(rows, ingest.SCHEMA), t["slices"], t["slice_members"])))
+    monkeypatch.setattr(ingest.compare, "slice_report", lambda *a, **k: calls.append(len(got)) or real(*a, **k))
+    (tmp_path / "in").mkdir()
+    for numbers in (range(3), range(3, len(batches))):
+        for k in numbers:
+            (tmp_path / f"in/{k}.csv").write_text("\n".join(["release_id,case_id,observed", *batches[k].split()]))
+            os.utime(tmp_path / f"in/{k}.csv", (1000 + k, 1000 + k))
+        stream = ingest.prediction_stream(spark, f"file://{tmp_path}/in", 1)
+        assert ingest.keep_report(stream, t, f"file://{tmp_path}/store", f"file://{tmp_path}/checkpoint", lambda df, n: got.update({n: plain(df)})).awaitTermination() is None
+    assert [got[k] for k in range(len(batches))] == want and want[2] and want[4] != want[3] and want[9] != want[8]
+    assert calls == [0, 2, 3, 4, 6, 7, 8, 9]
