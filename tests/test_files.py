@@ -183,3 +183,25 @@ def test_stream_computes_what_a_batch_changes(spark, tmp_path, monkeypatch):
         assert ingest.keep_report(stream, t, f"file://{tmp_path}/store", f"file://{tmp_path}/checkpoint", lambda df, n: got.update({n: plain(df)})).awaitTermination() is None
     assert [got[k] for k in range(len(batches))] == want and want[2] and want[4] != want[3] and want[9] != want[8]
     assert calls == [0, 2, 3, 4, 6, 7, 8, 9]
+
+
+def test_documents_in_few_files(spark, tmp_path):
+    """Documents are written a group to a file, by several tasks, and read as those that have a file of their own."""
+    rows = spark.range(1000).select(F.col("id").alias("world"), F.concat(F.lit('m "\\'), "id").alias("method"), F.when(F.col("id") % 3 == 1, "grad").otherwise("trac").alias("mode"))
+    writers.write_documents(rows, f"file://{tmp_path}/docs", F.floor(F.col("world") / 100))
+    files = list((tmp_path / "docs").glob("part-*"))
+    assert len(files) == 10 and len({f.name.split("-")[1] for f in files}) > 1 and all(len(json.loads(f.read_text())) == 100 for f in files)
+    (tmp_path / "docs/own.json").write_text('{\n "world": 1000,\n "mode": "grad", "method": null}')
+    found = readers.read_documents_by_mode(spark, f"file://{tmp_path}/docs/*", "world long, method string", "grad")
+    assert sorted((r.world, r.method) for r in found.collect()) == [(k, f'm "\\{k}') for k in range(1, 1000, 3)] + [(1000, None)]
+
+
+def test_query_of_documents_writes_few_files(spark, monkeypatch):
+    """The query's documents are in far fewer files than there are suppliers."""
+    from slicewise.plans import registry
+
+    paths, real = [], readers.read_documents_by_mode
+    monkeypatch.setattr(readers, "read_documents_by_mode", lambda s, path, *a: paths.append(path) or real(s, path, *a))
+    registry.queries()["source_documents_by_mode"](spark, "/root/testdata/sf0.01")
+    held = spark.read.format("binaryFile").load(paths[0])
+    assert 1 <= held.count() <= 2 and held.select(F.expr("sum(regexp_count(decode(content, 'UTF-8'), 'world'))")).first()[0] == 100
