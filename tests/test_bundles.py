@@ -295,3 +295,23 @@ def test_exact_sums(spark):
     values = {"a": [1e308, 1.0, -1e308, 2.0**-1074, 1e-300], "b": [0.1] * 10, "c": (rng.normal(size=500) * 10.0 ** rng.integers(-200, 200, 500)).tolist(), "d": [-0.5, 0.5], "e": [2.0**53, 1.0, 2.0**-53]}
     rows = spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs], "k string, x double").repartition(5)
     assert {r.k: r.score for r in localize.exact_sums(rows, "k", "x").collect()} == {k: math.fsum(xs) for k, xs in values.items()}
+
+
+def test_report_computes_outcomes_once(spark, tmp_path):
+    """Ranges, pages and counts of the index come from what was stored, not from the predictions again."""
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    rows = [(r, f"c{k:03}", "yes", "yes", "no" if r == "b" and k % 2 else "yes", "regressed" if r == "b" and k % 2 else "unchanged") for k in range(300) for r in ("a", "b")]
+    schema = "release_id string, case_id string, expected string, before string, observed string, outcome string"
+    outcomes = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    none = spark.createDataFrame([], "release_id string, name string")
+    tables = {"assessment": none, "releases": none, "slices": none, "outcomes": outcomes}
+    assert report.save(spark, tables, f"file://{tmp_path}/report", size=20) >= 8
+    assert computed.value == 600
+    index = (tmp_path / "report/index.html").read_text()
+    assert "<td>b</td><td>150</td><td>0</td><td>0</td><td>150</td>" in index and "<td>a</td><td>0</td><td>0</td><td>0</td><td>300</td>" in index
