@@ -14,7 +14,7 @@ from ..operators import blind, certify, compare, incidents, metrics, tasks
 from ..operators import releases as rel
 from ..operators import validate as val
 from ..sources import readers, writers
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from . import analysis as an
 from . import comparison as cmp
 from . import files
@@ -25,18 +25,22 @@ from .base import bucket_sql, query
 REPAIRS = ("restore_both", "restore_labels")
 
 
-def _comparison(spark, d, name):
+def _comparison(spark, d, answers, name):
     """Parts of the comparison document of the baseline and release ``name``."""
-    answers = v.predictions(spark, d)
     policy = writers.policy_parts(v.cases(spark, d), v.slices(spark, d), v.slice_members(spark, d))
     sides = [x for role, r in (("baseline", "baseline"), ("candidate", name)) for x in writers.release_parts(role, r, answers.where(F.col("release_id") == r))]
     return ["{", *policy, *sides, "}"]
 
 
+def _answers(spark, d, *names):
+    """The baseline's and the named releases' predictions, drawn once: a document reads them many times."""
+    return stored(v.predictions(spark, d).where(F.col("release_id").isin("baseline", *names)), "answers")
+
+
 @query("source_comparison_json", "select p.release_id, p.release_id as name, p.case_id, p.observed, c.expected from predictions p join cases c using (case_id) where p.release_id in ('baseline', 'candidate')")
 def source_comparison_json(spark, d):
     path = scratch(spark, "comparison")
-    writers.write_lines(writers.document_lines(_comparison(spark, d, "candidate")), path)
+    writers.write_lines(writers.document_lines(_comparison(spark, d, _answers(spark, d, "candidate"), "candidate")), path)
     found = readers.read_comparison(spark, path)
     return found["predictions"].join(found["cases"], "case_id").select("release_id", "name", "case_id", "observed", "expected")
 
@@ -44,9 +48,10 @@ def source_comparison_json(spark, d):
 @query("source_repair_json", f"select release_id, passed, slices, failed_slices from verdicts where release_id in ('baseline', 'candidate', {', '.join(repr(r) for r in REPAIRS)})")
 def source_repair_json(spark, d):
     path = scratch(spark, "repairs")
-    parts = ['{"regressed":', *_comparison(spark, d, "candidate"), ',"repairs":{']
+    answers = _answers(spark, d, "candidate", *REPAIRS)
+    parts = ['{"regressed":', *_comparison(spark, d, answers, "candidate"), ',"repairs":{']
     for k, name in enumerate(REPAIRS):
-        parts += [("," if k else "") + f'"{name}":', *_comparison(spark, d, name)]
+        parts += [("," if k else "") + f'"{name}":', *_comparison(spark, d, answers, name)]
     writers.write_lines(writers.document_lines([*parts, "}}"]), path)
     t = readers.read_repair_comparison(spark, path)
     return compare.release_verdicts(compare.slice_report(t["cases"], t["predictions"], t["slices"], t["slice_members"]))

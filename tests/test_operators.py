@@ -202,3 +202,19 @@ def test_seeded_ranking(spark):
     random.Random(42).shuffle(want)
     got = localize.seeded_ranking(spark, order).orderBy("rank").collect()
     assert [r.change_id for r in got] == want and [r.score for r in got] == [5.0, 4.0, 3.0, 2.0, 1.0, 0.0]
+
+
+def test_whole_tables_by_one_look(spark):
+    """Rows by case find what the two lists of violations find."""
+    cases, members = [("a", "x"), ("b", "x")], [("s", "a"), ("s", "b"), ("t", "a")]
+    answers = [(r, c, "x") for r in ("baseline", "candidate") for c in "ab"]
+    tries = [(cases, answers, members), (cases + [("a", "y")], answers, members), (cases + [("c", "x")], answers, members), (cases, answers[:-1], members), (cases, answers + answers[:1], members)]
+    tries += [(cases, answers[1:] + [("baseline", "b", "x")], members), (cases, answers, members + members[:1]), (cases, answers, members + [("t", "z")])]
+    got = []
+    for c, p, m in tries:
+        t = [spark.createDataFrame(rows, f"{x} string, {y} string{z}") for rows, x, y, z in ((c, "case_id", "expected", ""), (p, "release_id", "case_id", ", observed string"), (m, "name", "case_id", ""))]
+        slices = t[2].select("name").distinct().withColumns({"maximum_accuracy_drop": F.lit(0.1), "minimum_accuracy": F.lit(None).cast("double")})
+        faults = [val.duplicates(t[0], "case_id"), val.coverage_violations(t[0], t[1]), val.slice_violations(t[0], slices, t[2])]
+        got.append(val.whole(*t))
+        assert got[-1] == (not any(f.count() for f in faults))
+    assert got == [True] + [False] * 7
