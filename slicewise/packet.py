@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import importer
 from .operators import compare, repairs
 from .operators import validate as val
-from .sources import documents, readers, writers
+from .sources import documents, writers
 from .sources.scratch import stored
 
 ANSWER, PROTOCOL = "slicewise-first-use-answer/1", "slicewise-first-use-protocol/1"
@@ -24,18 +24,12 @@ TASK = (
 )
 
 
-def gold_row(policy: dict[str, DataFrame], predictions: DataFrame) -> DataFrame:
-    """One row of the answers that the evidence supports."""
-    verdicts = compare.release_verdicts(compare.slice_report(policy["cases"], predictions, policy["slices"], policy["slice_members"]))
-    return repairs.repair_gold(verdicts, compare.ordinary_diff(policy["cases"], predictions))
-
-
 def prepare(spark: SparkSession, policy_path: str, predictions_path: str, out: str) -> dict:
     """Write the packet into a new folder; gives the protocol."""
-    policy, predictions = readers.read_policy(spark, policy_path), readers.read_predictions(spark, predictions_path)
-    gold = gold_row(policy, predictions).first().asDict()
-    plain = compare.ordinary_diff(policy["cases"], predictions)
-    summary = importer.run(spark, policy_path, predictions_path, f"{out}/report")
+    policy, predictions = read = importer.sources(spark, policy_path, predictions_path)
+    plain = stored(compare.ordinary_diff(policy["cases"], predictions), "plain")
+    summary = importer.run(spark, policy_path, predictions_path, f"{out}/report", read=read)
+    gold = repairs.repair_gold(spark.read.parquet(f"{out}/report/releases"), plain).first().asDict()
     digests = writers.retained(spark, {"source-policy": policy_path, "source-predictions": predictions_path}, f"{out}/ordinary/sources")
     if digests != summary["source_sha256"]:
         raise val.InvalidInput("the sources changed while the packet was made")

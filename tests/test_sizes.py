@@ -6,8 +6,10 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from slicewise import packet
 from slicewise.functions.canonical import canonical
 from slicewise.operators import compare, digests, records, similarity
+from slicewise.operators import validate as val
 from slicewise.plans import analysis, registry
 from slicewise.plans import views as v
 from slicewise.sources import local, readers, writers
@@ -86,3 +88,20 @@ def test_documents_and_copies_in_parts(spark, tmp_path, monkeypatch):
     assert writers.retained(spark, {"x": path}, f"file://{tmp_path}/kept") == {"x": digest} and writers.source_digest(spark, path) == digest
     kept = spark.read.parquet(f"file://{tmp_path}/kept/x").orderBy("file", "place").collect()
     assert b"".join(r.content for r in kept) == b"".join(f.read_bytes() for f in files)
+
+
+def test_sound_sources_are_looked_at_once(spark, tmp_path, monkeypatch):
+    """Neither a sound comparison nor sound sources need the joins that tell what is wrong; a packet parses its sources once."""
+    policy = {"cases": [{"case_id": c, "expected": "x"} for c in "ab"], "slices": [{"name": "s", "case_ids": ["a", "b"], "maximum_accuracy_drop": 0.1}]}
+    side = lambda name, o: {"release_id": name, "predictions": [{"case_id": c, "observed": o} for c in "ab"]}
+    (tmp_path / "comparison.json").write_text(json.dumps(policy | {"baseline": side("r1", "x"), "candidate": side("r2", "y")}))
+    (tmp_path / "policy.json").write_text(json.dumps(policy | {"declared_changes": {}}))
+    (tmp_path / "p.csv").write_text("release_id,case_id,observed\n" + "".join(f"{r},{c},{o}\n" for r, o in (("baseline", "x"), ("candidate", "y")) for c in "ab"))
+    for name in ("coverage_violations", "slice_violations"):
+        monkeypatch.setattr(val, name, None)
+    found = readers.read_comparison(spark, f"file://{tmp_path}/comparison.json")["predictions"].collect()
+    assert sorted(tuple(r) for r in found) == [(role, n, c, o) for role, n, o in (("baseline", "r1", "x"), ("candidate", "r2", "y")) for c in "ab"]
+    calls, real = [], readers.read_predictions
+    monkeypatch.setattr(readers, "read_predictions", lambda *a, **k: calls.append(1) or real(*a, **k))
+    packet.prepare(spark, f"file://{tmp_path}/policy.json", f"file://{tmp_path}/p.csv", f"file://{tmp_path}/out")
+    assert len(calls) == 1 and writers.read_document(spark, f"file://{tmp_path}/out/facilitator-gold")["new_errors"] == 2
