@@ -21,6 +21,7 @@ from ..operators.records import with_content_id
 from ..shipping import ship
 from . import documents as docs
 from . import local
+from .scratch import stored
 
 PREDICTION_FIELDS = ["case_id", "observed", "release_id"]
 RECORD_LIMIT, FILE_LIMIT, TOTAL_LIMIT = 8 << 20, 64 << 20, 256 << 20
@@ -62,6 +63,7 @@ def _policy_tables(values: DataFrame, *also: str) -> dict[str, DataFrame]:
     """cases, slices and slice_members from the values of documents, with the columns ``also`` first; a slice's name is ``name_``."""
     cases = docs.objects(values, "$.cases[]", {"case_id": "string", "expected": "string"}, *also)
     slices = docs.objects(values, "$.slices[]", {"name": "string", "maximum_accuracy_drop": "double", "minimum_accuracy": "double"}, *[c for c in also if c != "name"])
+    slices = stored(slices, "slices")  # few rows, whose size the planner then knows: members don't move by their slice
     names = slices.select(F.col("doc").alias("doc3"), F.col("number").alias("of"), F.col("name").alias("name_"))
     members = docs.items(values, "$.slices[].case_ids", *also).join(names, (F.col("doc") == F.col("doc3")) & (F.col("parent") == F.col("of")))
     drop = F.coalesce("maximum_accuracy_drop", F.lit(0.0)).alias("maximum_accuracy_drop")
@@ -94,12 +96,13 @@ def _comparison_tables(values: DataFrame) -> dict[str, DataFrame]:
     """Tables of the comparisons in ``values``, whose column ``comparison`` names the one that a value belongs to: predictions have the role and the release's own id."""
     out = _policy_tables(values, "comparison")
     ids = values.where(F.col("path").isin("$.baseline.release_id", "$.candidate.release_id")).select("comparison", F.split_part("path", F.lit("."), F.lit(2)).alias("role"), F.col("value").alias("release_id"))
+    ids = stored(ids, "ids")  # a row a release: predictions don't move by their release
     answers = None
     for role in ("baseline", "candidate"):
         rows = docs.objects(values, f"$.{role}.predictions[]", {"case_id": "string", "observed": "string"}, "comparison").select("comparison", F.lit(role).alias("role"), "case_id", "observed")
         answers = rows if answers is None else answers.union(rows)
     val.require_none(ids.groupBy("comparison").agg(F.count_distinct("release_id").alias("n")).where("n < 2").select("comparison"), "equal release ids")
-    val.require_none(ids.join(answers, ["comparison", "role"], "left_anti").select("comparison"), "a release without predictions")
+    val.require_none(ids.join(answers.select("comparison", "role").distinct(), ["comparison", "role"], "left_anti").select("comparison"), "a release without predictions")
     return out | {"predictions": answers.join(ids, ["comparison", "role"])}
 
 
